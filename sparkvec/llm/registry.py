@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import op01_hash_forest, op04_token_files, op05_sentencepiece, op07_mixing, op08_token_counts, op09_html, op10_voronoi_topk
+from sparkvec.llm import op01_hash_forest, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html, op10_voronoi_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hash_forest": op01_hash_forest.query,
         "op4_token_files": op04_token_files.query,
         "op5_sentencepiece": op05_sentencepiece.query,
+        "op6_order_minhash": op06_order_minhash.query,
         "op7_mixing": op07_mixing.query,
         "op8_token_counts": op08_token_counts.query,
         "op9_html": op09_html.query,
