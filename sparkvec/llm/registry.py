@@ -4,12 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkvec.llm import op01_hash_forest, op03_quality, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html, op10_voronoi_topk
+from sparkvec.llm import op01_hash_forest, op02_line_dedup, op03_quality, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html, op10_voronoi_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hash_forest": op01_hash_forest.query,
+        "op2_line_dedup": op02_line_dedup.query,
         "op3_quality": op03_quality.query,
         "op4_token_files": op04_token_files.query,
         "op5_sentencepiece": op05_sentencepiece.query,
