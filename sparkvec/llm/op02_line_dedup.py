@@ -69,9 +69,10 @@ def filled(line: Column) -> Column:
     return F.trim(plain(line)) != ""
 
 
-def bitmap(k: Column, shift: int) -> Column:
+def bitmap(k: Column) -> Column:
+    """64 parities: each key flips the bit that its last six bits name."""
     one = F.lit(1).cast("long")
-    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(x, shift).bitwiseAND(63).cast("int"))))
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
 
 
 def close(n: Column, i: Column, b: Column, c: Column, m: Column, j: Column, d: Column, e: Column, near: float) -> Column:
@@ -90,8 +91,8 @@ def prefixes(df: DataFrame, ranks: Column, near: float) -> DataFrame:
     src = src.select("id", "at", keys(F.col("t"), F.col("ranks")).alias("k")).select("*", F.size("k").alias("n"))
     low = F.filter("k", lambda x: F.shiftright(x, 6).bitwiseAND(1) == 0)
     high = F.filter("k", lambda x: F.shiftright(x, 6).bitwiseAND(1) == 1)
-    long = F.col("n") > 48  # sets small enough for 64 bits have all their tokens in the first bitmap
-    src = src.select("id", "at", "n", F.slice("k", 1, (F.col("n") - F.ceil(near * F.col("n") - 1e-6) + 1).cast("int")).alias("p"), F.when(long, bitmap(low, 0)).otherwise(bitmap(F.col("k"), 0)).alias("b"), F.when(long, bitmap(high, 0)).otherwise(F.lit(0).cast("long")).alias("c"))
+    prefix = F.slice("k", 1, (F.col("n") - F.ceil(near * F.col("n") - 1e-6) + 1).cast("int"))
+    src = src.select("id", "at", "n", prefix.alias("p"), bitmap(low).alias("b"), bitmap(high).alias("c"))
     return src.select("id", "at", "n", "b", "c", F.posexplode_outer("p").alias("i", "token"))
 
 
