@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkvec.llm.common import written
+from sparkvec.llm.common import small_enough, written
 from sparkvec.session import table
 
 #: Words of a block, documents of a hash bucket, slots of a rank chunk.
@@ -135,16 +135,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(*mixture(table(spark, sf_dir, "documents")))
 
 
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The rows of df as the mix takes them: once per epoch that takes any of it, with the text cut where the target ends."""
-    key, source, text = (options.get(k, d) for k, d in (("key", "doc_id"), ("source", "source"), ("text", "text")))
-    rows, mix = mixture(df, **options)
-    runs = mix.groupBy(*ROW, "key", "epoch").agg(F.max("last").alias("upto"))
-    runs = runs.join(rows.select(*ROW, F.col("size").alias("all_words")), ROW)
-    runs = runs.groupBy("key", "all_words").agg(F.sort_array(F.collect_list("upto")).alias("runs"))
-    whole = df.withColumn("sv_words", n_words(F.col(text)))
-    cut = F.regexp_extract(F.col(text), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:" + WORD + r"[\x20\x09-\x0D]*){"), F.col("sv_upto").cast("string"), F.lit("}")), 0)
-    out = whole.join(runs.select(F.col("key").alias("sv_key"), F.col("all_words").alias("sv_n"), "runs"), F.col(key).eqNullSafe(F.col("sv_key")) & (F.col("sv_words") == F.col("sv_n")))
-    out = out.withColumn("sv_upto", F.explode("runs"))
+def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of df as the mix takes them: once per epoch that takes any of it, with the text cut where the target ends.
+
+    Rows that repeat an id and a size are all taken as the one of them that the mix takes most of.
+    """
+    rows, mix = mixture(df, key=key, source=source, text=text, **options)
+    runs = mix.groupBy(*ROW, "key", "epoch").agg(F.max("last").alias("upto")).groupBy(*ROW, "key")
+    runs = runs.agg(F.sort_array(F.collect_list("upto"), asc=False).alias("runs"))  # one entry per epoch
+    runs = runs.join(rows.select(*ROW, "size"), ROW).groupBy("key", "size").agg(F.max("runs").alias("sv_runs"))
+    runs = small_enough(written(runs), 64).select(F.col("key").alias("sv_key"), F.col("size").alias("sv_size"), "sv_runs")
+    out = df.withColumn("sv_words", n_words(F.col(text)))
+    out = out.join(runs, F.col(key).eqNullSafe(F.col("sv_key")) & (F.col("sv_words") == F.col("sv_size")))
+    out = out.withColumn("sv_upto", F.explode("sv_runs"))
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("sv_upto").cast("int")), "")
     out = out.withColumn(text, F.when(F.col("sv_upto") < F.col("sv_words"), cut).otherwise(F.col(text)))
     return out.select(*df.columns)
