@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import by_bytes, shared_dir, texts
-from sparkvec.llm.words import CUTS, segments_of
+from sparkvec.llm.words import segments_of, summed
 from sparkvec.session import table
 
 FILE_SCHEMA = "key long, part int, local_start long, n_tokens long, ids array<int>"
@@ -33,14 +33,10 @@ def encoded(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = segments_of(path), 0
         for b in by_bytes(batches, "text", 2 << 20):
-            rows = [CUTS.split(t) for t in texts(b)]
-            flat = [s for r in rows for s in r]
-            known.learn(set(flat))
-            ids, per = known.ids(known.numbers(flat))
-            words = np.fromiter(map(len, rows), np.int64, len(rows))
-            n = np.add.reduceat(per, np.cumsum(words) - words)  # every row has one segment at least
-            ends = np.cumsum(n)
-            ids = np.insert(ids.astype(np.int32), ends, end_id)
+            numbers, per_text = known.of_texts(texts(b))
+            ids, per_segment = known.ids(numbers)
+            n = summed(per_segment, per_text)
+            ids = np.insert(ids.astype(np.int32), np.cumsum(n), end_id)
             n = n + 1
             offsets = np.concatenate([[0], np.cumsum(n)])
             cols = [

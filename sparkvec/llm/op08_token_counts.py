@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import by_bytes, texts
-from sparkvec.llm.words import CUTS, Segments, segments_of
+from sparkvec.llm.words import CUTS, Segments, segments_of, summed
 from sparkvec.session import table
 
 #: Characters of a chunk.
@@ -38,8 +38,8 @@ EMPTY = ChunkMap("", 0, "", False)
 
 
 def emitted(known: Segments, parts: list[str]) -> int:
-    known.learn(set(parts))
-    return int(known.counts[known.numbers(parts)].sum()) if parts else 0
+    numbers = known.numbers(parts)
+    return int(known.counts[numbers].sum())
 
 
 def chunk_map(known: Segments, chunk: str) -> ChunkMap:
@@ -76,8 +76,7 @@ def finish(known: Segments, m: ChunkMap) -> int:
 
 
 def count_text(known: Segments, text: str, chunk: int = CHUNK) -> int:
-    if len(text) <= chunk:
-        return emitted(known, CUTS.split(text))
+    """The count of one text, cut into chunks."""
     maps = [chunk_map(known, text[i : i + chunk]) for i in range(0, len(text), chunk)]
     return finish(known, scan(known, maps)[-1])
 
@@ -88,7 +87,12 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segments_of(path)
         for b in by_bytes(batches, "text"):
-            n = [count_text(known, t, chunk) for t in texts(b)]
+            whole = texts(b)
+            long = {i: count_text(known, t, chunk) for i, t in enumerate(whole) if len(t) > chunk}
+            numbers, per_text = known.of_texts(["" if i in long else t for i, t in enumerate(whole)])
+            n = summed(known.counts[numbers], per_text)  # texts of one chunk: their maps are closed on both sides
+            for i, c in long.items():
+                n[i] = c
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     t = F.coalesce(F.col(text), F.lit(""))
