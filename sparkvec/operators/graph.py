@@ -95,8 +95,8 @@ def tunnel(failed: DataFrame, store: DataFrame, pool: DataFrame) -> DataFrame:
     return ahead.join(pool.select("qid", "id"), ["qid", "id"], "left_anti").where("qid <> id")
 
 
-def occlusion(metric: str, to_other: float, between: np.ndarray) -> np.ndarray:
-    """As functions.vector.occlude_factor, for one node and a row of others."""
+def occlusion(metric: str, to_other: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """As functions.vector.occlude_factor, on arrays."""
     most = np.finfo(np.float32).max
     with np.errstate(divide="ignore", invalid="ignore"):
         if metric in ("l2", "cosine"):
@@ -122,8 +122,7 @@ def pruned(dist: np.ndarray, mutual: np.ndarray, degree: int, alpha: float = 1.2
             later = np.arange(i + 1, len(dist))
             later = later[hidden[later] <= alpha]
             if len(later):
-                factor = np.array([occlusion(metric, dist[j], mutual[i, j : j + 1])[0] for j in later])
-                hidden[later] = np.maximum(hidden[later], factor)
+                hidden[later] = np.maximum(hidden[later], occlusion(metric, dist[later], mutual[i, later]))
         slack *= 1.2
     if fill and alpha > 1:
         for i in np.flatnonzero(~stays)[: max(0, degree - int(stays.sum()))]:
@@ -136,15 +135,15 @@ def delta_pruned(dist: np.ndarray, mutual: np.ndarray, new: int, alpha: float =
     slack = alpha
     while slack >= 1 - 1e-6:
         for i in range(len(dist) - 1, new, -1):
-            if occlusion(metric, dist[i], mutual[new, i : i + 1])[0] > slack:
+            if occlusion(metric, dist[i], mutual[new, i]) > slack:
                 return i
         for i in range(new):
-            if occlusion(metric, dist[new], mutual[i, new : new + 1])[0] > slack:
+            if occlusion(metric, dist[new], mutual[i, new]) > slack:
                 return new
         slack /= 1.2
     for i in range(len(dist)):
         for j in range(i + 1, len(dist)):
-            if occlusion(metric, dist[j], mutual[i, j : j + 1])[0] > alpha:
+            if occlusion(metric, dist[j], mutual[i, j]) > alpha:
                 return j
     return len(dist) - 1
 

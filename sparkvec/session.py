@@ -11,11 +11,11 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def get_session(master: str = "local[*]", **conf: str) -> SparkSession:
-    """A session with the settings that the operators are written for; keyword names use _ for dots."""
+    """A session with the settings that the operators are written for, and others by their names."""
     b = SparkSession.builder.master(master).config("spark.sql.session.timeZone", "UTC")
     b = b.config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
     for k, v in conf.items():
-        b = b.config(k.replace("_", "."), v)
+        b = b.config(k, v)
     return b.getOrCreate()
 
 
