@@ -78,7 +78,7 @@ def finish(known: Segments, m: ChunkMap) -> int:
 def count_text(known: Segments, text: str, chunk: int = CHUNK) -> int:
     """The count of one text, cut into chunks."""
     maps = [chunk_map(known, text[i : i + chunk]) for i in range(0, len(text), chunk)]
-    return finish(known, scan(known, maps)[-1])
+    return finish(known, scan(known, maps)[-1]) if maps else 0
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
