@@ -98,9 +98,11 @@ def slots(spark: SparkSession, wants: list[int], block: int) -> DataFrame:
     need = spark.createDataFrame([(i, n) for i, n in enumerate(blocks)], "src int, blocks long")  # one row per source
     kept = made.join(F.broadcast(need), "src").where("block < blocks").select("slot", "src", "block")
     got = made.groupBy("src").agg(F.count("*").alias("got"))
-    rest = F.broadcast(need).join(got, "src", "left").where("coalesce(got, 0) < blocks")
-    rest = rest.select("src", F.explode(F.sequence(F.coalesce("got", F.lit(0)).cast("long"), F.col("blocks") - 1)).alias("block"))
-    rest = rest.select((F.lit(sum(blocks)) + F.xxhash64("src", "block").bitwiseAND(0xFFFFFFFF)).alias("slot"), "src", "block")
+    short = F.broadcast(need).join(got, "src", "left").select("src", "blocks", F.coalesce("got", F.lit(0)).alias("got")).where("got < blocks")
+    ahead = W.orderBy("src").rowsBetween(W.unboundedPreceding, -1)  # one row per source
+    short = short.withColumn("after", F.coalesce(F.sum(F.col("blocks") - F.col("got")).over(ahead), F.lit(0)))
+    rest = short.select("src", "got", "after", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("block"))
+    rest = rest.select((F.lit(sum(blocks)) + F.col("after") + F.col("block") - F.col("got")).alias("slot"), "src", "block")
     return kept.unionByName(rest)
 
 
