@@ -26,19 +26,23 @@ class Walk(NamedTuple):
     compared: int
 
 
-def walk(start: list[int], near: np.ndarray, nbrs: list[np.ndarray], pool: int, passes: np.ndarray | None = None, most: int | None = None) -> Walk:
+def walk(start: list[int], near: np.ndarray, nbrs: list[np.ndarray], pool: int, passes: np.ndarray | None = None, most: int | None = None, k: int | None = None, relaxed: int | None = None) -> Walk:
     """Greedy traversal to a fixed point. near: approximate distances of all nodes.
 
+    With `relaxed`, it ends that many fetches after the k nearest of the pool have all been looked at.
+
     With `passes`, a node that fails is not fetched, but its first `most` neighbours still enter the pool (tunnelling); most = 0
     leaves it at a dead end.
     """
     seen = set(start)
     held = sorted((near[i], i) for i in seen)[:pool]
     done: set[int] = set()
-    fetched, skipped, compared = [], 0, len(seen)
+    fetched, skipped, compared, settled = [], 0, len(seen), None
     while True:
         at = next((i for _, i in held if i not in done), None)
-        if at is None:
+        if relaxed is not None and settled is None and k is not None and all(i in done for _, i in held[:k]):
+            settled = len(fetched)
+        if at is None or (settled is not None and len(fetched) >= settled + relaxed):
             return Walk(fetched, skipped, compared)
         done.add(at)
         if passes is not None and not passes[at]:
@@ -106,7 +110,7 @@ def build_graph(df: DataFrame, assigned: DataFrame, metric: str = "l2", degree:
     return rows.groupBy("shard", "part").applyInArrow(solve, "shard long, part int, id long, entry boolean, nbrs array<long>")
 
 
-def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, pool: int, where: Predicate, book: Codebook | None = None, gate: bool = True, store: int = 32, probes: int = 2, metric: str = "l2", with_self: bool = False) -> tuple[DataFrame, DataFrame]:
+def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, pool: int, where: Predicate, book: Codebook | None = None, gate: bool = True, store: int = 32, probes: int = 2, metric: str = "l2", with_self: bool = False, relaxed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(qid, id, dist, rk; per query n_fetch, n_skip, n_cmp).
 
     nodes: shard, part, id, vec, entry, nbrs, the predicate's columns, and codes if there is a codebook. gate: failing nodes are not
@@ -133,7 +137,7 @@ def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, poo
             for i, qid in enumerate(q["qid"].to_pylist()):
                 near = sum(tab[i][codes[:, c]] for c, tab in enumerate(tables)) if book is not None else BLOCKS[metric](qx[i : i + 1], x)[0]
                 passes = mask[i] if mask is not None else None
-                w = walk(start, near, nbrs, pool, passes if gate else None, store)
+                w = walk(start, near, nbrs, pool, passes if gate else None, store, k, relaxed)
                 got = np.array(w.fetched, int)
                 got = got[passes[got]] if passes is not None and len(got) else got
                 got = got if with_self else got[ids[got] != qid]

@@ -11,7 +11,7 @@ in order of name with ids running on. Writers make a folder with a file per part
 
 import posixpath
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,33 +96,87 @@ def read_vecs(spark: SparkSession, path: str, element: str = "float") -> DataFra
     return _ranges(spark, spans, element, 4)
 
 
-def write_files(df: DataFrame, path: str, element: str, order: str, header: bool) -> int:
-    """vec in order of a column, one file per range partition; the number of rows."""
-    kind = ELEMENTS[element][0]
+def write_parts(df: DataFrame, path: str, order: str, columns: list[str], encode: Callable[[pa.Table], bytes]) -> int:
+    """Rows in order of a column, one file per range partition, each with its own header; the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, part = [], 0
-        for b in batches:
-            part = b.column(1)[0].as_py() if b.num_rows else part
-            if b.num_rows:
-                rows.append(np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1).astype(kind))
-        if rows:
-            x = np.concatenate(rows)
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
             system, at = located(path)
             system.create_dir(at, recursive=True)
-            with system.open_output_stream(posixpath.join(at, f"part-{part:05d}")) as f:
-                if header:
-                    f.write(struct.pack("<ii", *x.shape))
-                    f.write(x.tobytes())
-                else:
-                    dims = np.full((len(x), 1), x.shape[1], "<i4").view(np.uint8)
-                    f.write(np.hstack([dims, x.view(np.uint8).reshape(len(x), -1)]).tobytes())
-        yield pa.record_batch([pa.array([sum(map(len, rows))], pa.int64())], ["n"])
-
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).select("vec", F.spark_partition_id().alias("part"))
+            with system.open_output_stream(posixpath.join(at, f"part-{t['part'][0].as_py():05d}")) as f:
+                f.write(encode(t))
+        yield pa.record_batch([pa.array([sum(b.num_rows for b in held)], pa.int64())], ["n"])
+
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).select(*columns, F.spark_partition_id().alias("part"))
     return ranged.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def rectangle(t: pa.Table, name: str, kind: str) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    col = t[name].combine_chunks()
+    return np.asarray(col.flatten()).reshape(len(col), -1).astype(kind)
+
+
+def write_files(df: DataFrame, path: str, element: str, order: str, header: bool) -> int:
+    def encode(t: pa.Table) -> bytes:
+        x = rectangle(t, "vec", ELEMENTS[element][0])
+        if header:
+            return struct.pack("<ii", *x.shape) + x.tobytes()
+        dims = np.full((len(x), 1), x.shape[1], "<i4").view(np.uint8)
+        return np.hstack([dims, x.view(np.uint8).reshape(len(x), -1)]).tobytes()
+
+    return write_parts(df, path, order, ["vec"], encode)
+
+
+def write_labels(df: DataFrame, path: str, order: str = "id") -> int:
+    """label (0 to 255) in order of id."""
+    return write_parts(df, path, order, ["label"], lambda t: struct.pack("<I", t.num_rows) + t["label"].to_numpy().astype("<u1").tobytes())
+
+
+def write_csr(df: DataFrame, path: str, columns: int, order: str = "id") -> int:
+    """labels (arrays; null as empty) in order of id."""
+
+    def encode(t: pa.Table) -> bytes:
+        sets = [sorted(set(x or [])) for x in t["labels"].to_pylist()]
+        flat = np.array([x for r in sets for x in r], "<i4")
+        at = np.cumsum([0, *map(len, sets)]).astype("<i8")
+        return struct.pack("<qqq", len(sets), columns, len(flat)) + at.tobytes() + flat.tobytes() + np.ones(len(flat), "<f4").tobytes()
+
+    return write_parts(df, path, order, ["labels"], encode)
+
+
+def write_truth(df: DataFrame, path: str, k: int) -> int:
+    """qid, rk, id, dist as ids, distances and tags (the ids); missing ranks are -1 with the largest distance."""
+    rows = F.map_from_entries(F.collect_list(F.struct("rk", F.struct("id", "dist"))))
+    wide = df.where(F.col("rk") <= k).groupBy("qid").agg(rows.alias("m"))
+    ranks = F.array(*(F.lit(i).cast("long") for i in range(1, k + 1)))
+    ids = F.transform(ranks, lambda r: F.coalesce(F.try_element_at("m", r)["id"], F.lit(-1).cast("long")))
+    dists = F.transform(ranks, lambda r: F.coalesce(F.try_element_at("m", r)["dist"], F.lit(3.4028234663852886e38)))
+
+    def encode(t: pa.Table) -> bytes:
+        x = rectangle(t, "ids", "<i4")
+        return struct.pack("<ii", *x.shape) + x.tobytes() + rectangle(t, "dists", "<f4").tobytes() + x.astype("<u4").tobytes()
+
+    return write_parts(wide.select("qid", ids.alias("ids"), dists.alias("dists")), path, "qid", ["ids", "dists"], encode)
+
+
+def write_graph(df: DataFrame, path: str, width: int, entry: int) -> int:
+    """id and nbrs in order of id; a node's number is its place in the order."""
+
+    def encode(t: pa.Table) -> bytes:
+        body = b"".join(struct.pack("<I", len(n)) + np.array(n, "<u4").tobytes() for n in t["nbrs"].to_pylist())
+        return struct.pack("<QIIQ", 24 + len(body), width, entry, 0) + body
+
+    return write_parts(df, path, "id", ["nbrs"], encode)
+
+
+def write_text_labels(df: DataFrame, path: str, order: str = "id") -> None:
+    """One label per line, in order of id."""
+    df.repartitionByRange(order).sortWithinPartitions(order).select(F.col("label").cast("string")).write.text(path)
+
+
 def write_bin(df: DataFrame, path: str, element: str = "float", order: str = "id") -> int:
     return write_files(df, path, element, order, header=True)
 
@@ -132,37 +186,50 @@ def write_vecs(df: DataFrame, path: str, element: str = "float", order: str = "i
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """id and label of a label file."""
-    (n,) = struct.unpack("<I", read_bytes(path, 0, 4))
-    return _ranges(spark, [(path, 4, 1, 0, n, 1)], "uint8", 0).select("id", F.element_at("vec", 1).cast("int").alias("label"))
+    """id and label of a label file or folder."""
+    spans, first = [], 0
+    for p in files(path):
+        (n,) = struct.unpack("<I", read_bytes(p, 0, 4))
+        spans.append((p, 4, 1, first, n, 1))
+        first += n
+    return _ranges(spark, spans, "uint8", 0).select("id", F.element_at("vec", 1).cast("int").alias("label"))
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
-    """id and labels (sorted) of a label matrix; rows without any have an empty array."""
-    rows, _, entries = struct.unpack("<qqq", read_bytes(path, 0, 24))
-    columns_at = 24 + 8 * (rows + 1)
-    step = 1 << 20
-    ask = spark.createDataFrame([(a, min(step, rows - a)) for a in range(0, rows, step)], "first long, n long")
+    """id and labels (sorted) of a label matrix file or folder; rows without any have an empty array."""
+    step, plan, before = 1 << 20, [], 0
+    for p in files(path):
+        rows, _, entries = struct.unpack("<qqq", read_bytes(p, 0, 24))
+        plan += [(p, rows, entries, before, a, min(step, rows - a)) for a in range(0, rows, step)]
+        before += rows
+    ask = spark.createDataFrame(plan, "path string, rows long, entries long, before long, first long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, rows, entries, before, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                columns_at = 24 + 8 * (rows + 1)
                 at = np.frombuffer(read_bytes(path, 24 + 8 * first, 8 * (n + 1)), "<i8")
                 some = int(at[-1] - at[0])
                 cols = np.frombuffer(read_bytes(path, columns_at + 4 * int(at[0]), 4 * some), "<i4")
                 vals = np.frombuffer(read_bytes(path, columns_at + 4 * entries + 4 * int(at[0]), 4 * some), "<f4")
                 sets = [np.sort(cols[a:z][vals[a:z] != 0]).tolist() for a, z in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
-                yield pa.record_batch([pa.array(first + np.arange(n)), pa.array(sets, pa.list_(pa.int32()))], ["id", "labels"])
+                yield pa.record_batch([pa.array(before + first + np.arange(n)), pa.array(sets, pa.list_(pa.int32()))], ["id", "labels"])
 
-    return ask.repartition(max(1, -(-rows // step))).mapInArrow(run, "id long, labels array<int>")
+    return ask.repartition(max(1, len(plan))).mapInArrow(run, "id long, labels array<int>")
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """qid, rk, id, dist, tag of a truth file; the layout follows from its size, and ids of -1 are padding."""
-    n, k = struct.unpack("<ii", read_bytes(path, 0, 8))
-    fields = (size_of(path) - 8) // max(1, 4 * n * k)
+    """qid, rk, id, dist, tag of a truth file or folder; the layout follows from the size, and ids of -1 are padding."""
+    heads, first = [], 0
+    for p in files(path):
+        n, k = struct.unpack("<ii", read_bytes(p, 0, 8))
+        heads.append((p, n, k, first))
+        first += n
+    fields = min((size_of(p) - 8) // max(1, 4 * n * k) for p, n, k, _ in heads)
+
     def column(i: int, element: str) -> DataFrame:
-        return _ranges(spark, [(path, 8 + 4 * n * k * i, 4 * k, 0, n, k)], element, 0).select(F.col("id").alias("qid"), F.posexplode("vec").alias("at", f"c{i}"))
+        spans = [(p, 8 + 4 * n * k * i, 4 * k, at, n, k) for p, n, k, at in heads]
+        return _ranges(spark, spans, element, 0).select(F.col("id").alias("qid"), F.posexplode("vec").alias("at", f"c{i}"))
 
     out = column(0, "int32")
     for i, element in ((1, "float"), (2, "uint32")):

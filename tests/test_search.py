@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkvec.functions import sql
 from sparkvec.functions import vector as V
 from sparkvec.functions.predicates import predicate
 from sparkvec.operators import cache, graph, graph_index, knn, pools, quality, quantization, updates
@@ -177,3 +178,15 @@ def test_pool_counts(spark):
     b, q = square(spark), ask(spark)
     got = pools.io_counts(knn.knn(b, q, 3), b, q, predicate("eq")).first()
     assert tuple(got) == (9, 3, 1)
+
+
+def test_relaxed_end():
+    near, nbrs = np.array([3.0, 1.0, 2.0, 4.0]), [np.array([1]), np.array([2]), np.array([3]), np.array([0])]
+    assert graph_index.walk([0], near, nbrs, 10).fetched == [0, 1, 2, 3]
+    assert graph_index.walk([0], near, nbrs, 10, k=1, relaxed=0).fetched == [0, 1]
+
+
+def test_sql_functions(spark):
+    assert "l2_sq" in sql.register(spark)
+    row = spark.sql("SELECT l2_sq(array(0D, 1D), array(2D, 1D)) a, inner_product(array(1D, 2D), array(3D, 4D)) b, labels_contain(array(1L, 2L), array(2L)) c, norm_sq(array(3D, 4D)) d").first()
+    assert tuple(row) == (4.0, 11.0, True, 25.0)

@@ -38,6 +38,23 @@ def test_small_files(spark, tmp_path):
     assert head["entry"] == 1
 
 
+def test_written_tables_come_back(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    df = spark.createDataFrame([(i, i * 7 % 256, [i % 3, 9] if i % 4 else None) for i in range(40)], "id long, label int, labels array<int>").repartition(3)
+    assert binary.write_labels(df, at("l")) == 40
+    assert [tuple(r) for r in binary.read_labels(spark, at("l")).orderBy("id").collect()] == [(i, i * 7 % 256) for i in range(40)]
+    binary.write_csr(df, at("c"), 10)
+    assert [r.labels for r in binary.read_csr(spark, at("c")).orderBy("id").collect()] == [sorted({i % 3, 9}) if i % 4 else [] for i in range(40)]
+    truth = spark.createDataFrame([(0, 1, 5, 0.5), (0, 2, 6, 1.0), (1, 1, 7, 2.0)], "qid long, rk long, id long, dist double")
+    binary.write_truth(truth, at("t"), 2)
+    assert [tuple(r)[:4] for r in binary.read_truth(spark, at("t")).orderBy("qid", "rk").collect()] == [tuple(r) for r in truth.orderBy("qid", "rk").collect()]
+    binary.write_graph(spark.createDataFrame([(0, [1, 2]), (1, []), (2, [0])], "id long, nbrs array<long>").coalesce(1), at("g"), 2, 0)
+    part = next(p for p in binary.files(at("g")))
+    assert binary.read_graph(spark, part)[0].count() >= 1
+    binary.write_text_labels(df, at("x"))
+    assert spark.read.text(at("x")).count() == 40
+
+
 def test_stream_equals_batch(spark, tmp_path):
     schema = "tag long, seq long, op string, value double"
     rows = [(i % 5, i, "delete" if i % 7 == 3 else "insert", float(i)) for i in range(40)]
