@@ -32,13 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application: the local folder where spark.checkpoint.dir is unset, as in tests.
+LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        app = spark.sparkContext.applicationId
+        if app not in LOCAL:
+            LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+        base = LOCAL[app]
     return f"{base.rstrip('/')}/sparkvec-{uuid.uuid4().hex}"
 
 
