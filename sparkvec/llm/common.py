@@ -1,36 +1,21 @@
 """What several of these operators need: the shared folder, size-checked broadcasts and text batches."""
 
-import tempfile
-import uuid
+__all__ = ["BROADCAST_BYTES", "by_bytes", "shared_dir", "small_enough", "texts", "written"]
+
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkvec.session import shared_dir, written
+
 #: A side is broadcast up to this many bytes, counted first; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sparkvec-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its counted rows stay below the limit."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
