@@ -3,9 +3,9 @@
 A line is the set of its lower-cased, white-space separated tokens. A line goes if a line before it, in order of document id
 and position, has the same set or a Jaccard similarity of at least `near`. The order is that of all lines, kept or not.
 
-1. Token counts over all texts, in a table of fixed size (tokens share its cells, which only affects cost), rank the tokens by
-   rarity. A token's 63-bit key has its cell's rank in front, so sorted keys are in order of rarity.
-2. Lines with equal sets are one: all but the first go.
+1. Equal lines are one: all but the first go.
+2. Token counts over all lines that are left, in a table of fixed size (tokens share cells, which only affects cost), rank the
+   tokens by rarity. A token's 63-bit key has its cell's rank in front, so sorted keys are in order of rarity.
 3. Each remaining line gives the rows of its prefix, its n - ceil(near * n) + 1 rarest tokens: similar lines share one of them.
    A semi-join on the token keeps the rows that have any partner within the length filter, the positional filter (what can
    still be shared from here on) and a filter on parity bitmaps (their Hamming distance never exceeds the symmetric
@@ -27,35 +27,38 @@ NEAR = 0.8
 #: Cells of the count table, as a power of two; with KEY_BITS they make up a token's key.
 CELL_BITS, KEY_BITS = 18, 45
 CELLS = 1 << CELL_BITS
+#: Sets from this size on have a bitmap of twice the bits.
+LONG = 64
 FIRST_ID = -(1 << 63)
 
 
-def plain(text: Column) -> Column:
-    return F.lower(F.translate(text, "\t\r\v\f", "    "))
+def words(text: Column) -> Column:
+    """Lower-cased tokens between white space."""
+    rare = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\v")) | F.contains(text, F.lit("\f"))
+    spaced = F.when(rare, F.translate(text, "\t\r\v\f", "    ")).otherwise(text)  # looking is cheaper than translating
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
-def ranked_cells(df: DataFrame, text: str) -> DataFrame:
-    """One row with the array of all cells' ranks by count."""
-    words = F.filter(F.split(F.translate(plain(F.col(text)), "\n", " "), " "), lambda w: w != "")
-    cells = df.select(F.explode(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(CELLS)))).alias("cell"))
-    counts = cells.groupBy("cell").count()
-    every = df.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
+def cell(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(CELLS - 1)
+
+
+def ranked_cells(df: DataFrame) -> DataFrame:
+    """One row with an array of all cells' ranks by count in lines(line), shifted to the front of a key."""
+    token = df.select(F.explode_outer(words(F.col("line"))).alias("w"))
+    counts = token.where("w is not null").select(cell(F.col("w")).alias("cell")).groupBy("cell").count()
+    every = df.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
     in_order = every.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "cell"))).alias("x"))
     ranks = in_order.select(F.posexplode("x.cell").alias("rank", "cell"))
-    return ranks.agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).alias("x")).select(F.col("x.rank").alias("ranks"))
+    front = F.shiftleft(F.col("rank").cast("long"), KEY_BITS).alias("front")
+    return ranks.agg(F.sort_array(F.collect_list(F.struct("cell", front))).alias("x")).select(F.col("x.front").alias("ranks"))
 
 
-def tokens(line: Column) -> Column:
-    """Distinct 64-bit tokens."""
-    words = F.filter(F.split(plain(line), " "), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def keys(line: Column, ranks: Column) -> Column:
+    """The line's distinct tokens as keys, rarest first."""
 
-
-def keys(token: Column, ranks: Column) -> Column:
-    """Token keys, rarest first."""
-    cell = lambda t: F.pmod(t, F.lit(CELLS))
-    rest = lambda t: F.shiftrightunsigned(t, CELL_BITS).bitwiseAND((1 << KEY_BITS) - 1)
-    return F.sort_array(F.transform(token, lambda t: F.shiftleft(F.element_at(ranks, (cell(t) + 1).cast("int")).cast("long"), KEY_BITS).bitwiseOR(rest(t))))
+    key = lambda w: F.get(ranks, cell(w)) + F.shiftrightunsigned(F.xxhash64(w), 64 - KEY_BITS)
+    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,7 +69,7 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def filled(line: Column) -> Column:
     """Whether a line has tokens."""
-    return F.trim(plain(line)) != ""
+    return F.trim(line, F.lit(" \t\r\v\f")) != ""
 
 
 def bitmap(k: Column) -> Column:
@@ -76,43 +79,47 @@ def bitmap(k: Column) -> Column:
 
 
 def close(n: Column, i: Column, b: Column, c: Column, m: Column, j: Column, d: Column, e: Column, near: float) -> Column:
-    """Whether sets of n and m tokens that share the token at places i and j can be similar; b, c and d, e are their bitmaps."""
+    """Whether sets of n and m tokens that share the token at places i and j can be similar.
+
+    b and d are the bitmaps of all keys, c and e those of every second key, known if both sets are long: then the two halves
+    are compared apart. No more bits differ than tokens do.
+    """
     shared = near / (1 + near) * (n + m)  # the least overlap of similar sets
     length = (n >= near * m - 1e-6) & (m >= near * n - 1e-6)
     position = F.least(n - i, m - j) >= shared - 1e-6
-    apart = F.bit_count(b.bitwiseXOR(d)) + F.bit_count(c.bitwiseXOR(e))
+    whole, half = b.bitwiseXOR(d), c.bitwiseXOR(e)
+    apart = F.when((n >= LONG) & (m >= LONG), F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
     return length & position & (apart <= n + m - 2 * shared + 1e-6)
 
 
 def prefixes(df: DataFrame, ranks: Column, near: float) -> DataFrame:
     """token, set, n, i and bitmaps of the prefix rows of lines(id, at, line)."""
-    src = df.where(filled(F.col("line"))).select("id", "at", tokens(F.col("line")).alias("t"), ranks.alias("ranks"))
+    src = df.where(filled(F.col("line"))).select("id", "at", "line", ranks.alias("ranks"))
     # each is used once, so the optimizer puts both into the next expression and no row holds the ranks
-    src = src.select("id", "at", keys(F.col("t"), F.col("ranks")).alias("k")).select("*", F.size("k").alias("n"))
-    low = F.filter("k", lambda x: F.shiftright(x, 6).bitwiseAND(1) == 0)
-    high = F.filter("k", lambda x: F.shiftright(x, 6).bitwiseAND(1) == 1)
+    src = src.select("id", "at", keys(F.col("line"), F.col("ranks")).alias("k")).select("*", F.size("k").alias("n"))
+    second = F.filter("k", lambda x: x.bitwiseAND(64) != 0)
     prefix = F.slice("k", 1, (F.col("n") - F.ceil(near * F.col("n") - 1e-6) + 1).cast("int"))
-    src = src.select("id", "at", "n", prefix.alias("p"), bitmap(low).alias("b"), bitmap(high).alias("c"))
+    half = F.when(F.col("n") >= LONG, bitmap(second)).otherwise(F.lit(0).cast("long"))
+    src = src.select("id", "at", "n", prefix.alias("p"), bitmap(F.col("k")).alias("b"), half.alias("c"))
     return src.select("id", "at", "n", "b", "c", F.posexplode_outer("p").alias("i", "token"))
 
 
 def later_matches(df: DataFrame, key: str = "doc_id", text: str = "text", near: float = NEAR) -> DataFrame:
     """id and gone (the positions of the lines that go) of the documents that lose any."""
     src = df.select(key, text)
-    every = lines(src, key, text).where(filled(F.col("line"))).select("id", "at", F.sort_array(tokens(F.col("line"))).alias("t"))
-    every = written(every.select("id", "at", F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit(1)).alias("g")))
+    every = lines(src, key, text).where(filled(F.col("line")))
+    every = written(every.select("id", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g")))
     repeated = every.groupBy("h", "g").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = every.join(small_enough(written(repeated), 64), ["h", "g"]).where(F.struct("id", "at") != F.col("first")).select("id", "at").distinct()
     copies = written(copies)
 
-    ranks = written(ranked_cells(src, text)).scalar()
     per_doc = copies.groupBy("id").agg(F.collect_list("at").alias("gone"))
     known = small_enough(written(per_doc), 64)
     who = F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID))
     left = src.withColumn("id", who).join(known, "id", "left")
     left = left.select("id", "gone", F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
     left = left.where(~F.coalesce(F.array_contains("gone", F.col("at")), F.lit(False)))
-    rows = prefixes(left, ranks, near)
+    rows = prefixes(left, written(ranked_cells(left.select("line"))).scalar(), near)
     a, b = rows.alias("a"), rows.alias("b")
     col = F.col
     may = close(col("a.n"), col("a.i"), col("a.b"), col("a.c"), col("b.n"), col("b.i"), col("b.b"), col("b.c"), near)
@@ -122,7 +129,7 @@ def later_matches(df: DataFrame, key: str = "doc_id", text: str = "text", near:
     # what follows is about lines that have a partner
     ids = met.groupBy("id").agg(F.collect_set("at").alias("ats"))
     texts = src.withColumn("id", who).join(small_enough(written(ids), 64), "id").select("id", "ats", F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
-    sets = written(texts.where(F.array_contains("ats", F.col("at"))).select("id", "at", tokens(F.col("line")).alias("t")).dropDuplicates(["id", "at"]))
+    sets = written(texts.where(F.array_contains("ats", F.col("at"))).select("id", "at", F.array_distinct(words(F.col("line"))).alias("t")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """id and at of the first sides of truly similar pairs."""
