@@ -3,10 +3,10 @@
 A document is its sequence of words. Every k-mer of five words is labelled with how often it occurred before in the document.
 Each of the sketches takes the `picked` labelled k-mers that are least under its own hash and keeps them in text order; equal
 sketches make candidates, more often the smaller the edit distance, as moved text changes the order. Exact copies are one
-representative. In every bucket of equal sketches each representative is paired with the bucket's smallest, so a bucket gives no
-more pairs than members; a pair is near if the word edit distance, found in a band around the diagonal, leaves a similarity of
-0.8. First the pair with the smallest partner of each representative is aligned; then all other pairs whose sides are still in
-different classes. Classes are the components of near pairs, named by their smallest document id.
+representative. A pair is near if the word edit distance, found in a band around the diagonal, leaves a similarity of 0.8. In
+every bucket of equal sketches the members are first aligned with one head, and those outside its class with further heads; then
+every pair of the bucket that is still in different classes, unless lengths or parities of words rule it out for certain.
+Classes are the components of near pairs, named by their smallest document id.
 
 With five-word k-mers, 16 sketches and 2 picked k-mers, a pair that shares 0.8 of its labelled k-mers is missed with a
 probability below 1e-6.
@@ -16,13 +16,12 @@ k-mer of all their words. Repeated rows each get a row; rows with a null id get
 one. Other columns are not read by `classes`; `deduplicated` keeps them.
 """
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -31,6 +30,8 @@ from sparkvec.llm.components import components
 from sparkvec.session import table
 
 K, SKETCHES, PICKED, NEAR = 5, 16, 2, 0.8
+#: 64-bit words of parities of a document, rounds of heads, members of a bucket that one task pairs with the others.
+MARKS, STARS, PART = 8, 2, 1024
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -194,65 +195,143 @@ def near(x: np.ndarray, y: np.ndarray, least: float = NEAR) -> bool:
     return banded(x, y, most) <= most
 
 
+def marks(docs: list[np.ndarray]) -> np.ndarray:
+    """(documents, MARKS) words of parity bits: each word of a document flips the bit that its hash names."""
+    n, bits = np.array([len(d) for d in docs], np.int64), 64 * MARKS
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
+    cell = np.repeat(np.arange(len(n)) * bits, n) + (flat & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(n) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(n), bits), axis=1).view(np.int64)
+
+
+def may(a: str, b: str, least: float) -> Column:
+    """Whether documents can be near by lengths and marks: an edit changes the length by one and two bits at most. Loses none."""
+    col = F.col
+    most = F.floor((1 - least) * F.greatest(col(f"{a}.n"), col(f"{b}.n")) + 1e-9)
+    apart = sum((F.bit_count(F.get(f"{a}.marks", F.lit(i)).bitwiseXOR(F.get(f"{b}.marks", F.lit(i)))) for i in range(MARKS)), F.lit(0))
+    return (F.abs(col(f"{a}.n") - col(f"{b}.n")) <= most) & (apart <= 2 * most)
+
+
 def sketched(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, a 128-bit digest of the text, and the sketches' keys."""
+    """key, a 128-bit digest of the text, the number of words, their marks, and the sketches' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", 2 << 20):
             whole = texts(b)
-            s = sketches([word_hashes(t) for t in whole])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * SKETCHES, pa.int32()), pa.array(s.ravel().view(np.int64), pa.int64()))
-            digest = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in whole]
-            yield pa.record_batch([b.column(0), pa.array(digest, pa.binary()), lists], ["key", "digest", "sketches"])
+            docs = [word_hashes(t) for t in whole]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64), pa.int64())) for x in (marks(docs), sketches(docs))]
+            n = pa.array([len(d) for d in docs], pa.int64())
+            yield pa.record_batch([b.column(0), b.column(1), n, *lists], ["key", "digest", "n", "marks", "sketches"])
 
-    src = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "key long, digest binary, sketches array<long>")
+    src = df.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest"), F.col(text).alias("text"))
+    return src.mapInArrow(run, "key long, digest binary, n long, marks array<long>, sketches array<long>")
 
 
-def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are near."""
+def digest(text: str) -> Column:
+    """128 bits that name a text; null is the empty one."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)
+
+
+def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of digests whose texts, in held(digest, text), are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: dict[int, np.ndarray] = {}  # a batch often holds one text many times
+            known: dict[bytes, np.ndarray] = {}  # a batch often holds one text many times
             keep = []
             for a, c, x, y in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for i, t in ((a, x), (c, y)):
-                    if i not in held:
-                        held[i] = word_hashes(t or "")
-                keep.append(near(held[a], held[c], least))
+                    if i not in known:
+                        known[i] = word_hashes(t or "")
+                keep.append(near(known[a], known[c], least))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    held = held.join(small_enough(ids, 32), "id", "left_semi").dropDuplicates(["id"])
-    one = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    ids = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    held = held.join(small_enough(ids, 40), "digest", "left_semi").dropDuplicates(["digest"])
+    one = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(held.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
+def linked(firsts: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """node, label: the components of all near pairs among candidates; firsts(digest, n, marks, sketches) has every text once.
+
+    Stars first: in each bucket the members are aligned with one of them, its head; then those that aren't in the head's class
+    get a head of their own. That links large families with few pairs. After some rounds every pair of a bucket whose sides are
+    still in different classes, and which lengths and marks allow, is aligned, so no candidate pair is left out.
+    """
+    keys = written(firsts.select(F.col("digest").alias("node"), F.explode("sketches").alias("sketch")))
+    many = keys.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1").select("sketch")
+    facts = firsts.select(F.col("digest").alias("node"), "n", "marks")
+    members = written(keys.join(many, "sketch").join(facts, "node"))
+    edges = tried = labels = None
+
+    def classed(df: DataFrame) -> DataFrame:
+        if labels is None:
+            return df.withColumn("class", F.col("node"))
+        return df.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
+
+    def align(pairs: DataFrame) -> None:
+        nonlocal edges, tried, labels
+        found = written(verified(pairs, held, least))
+        edges = found if edges is None else edges.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if labels is None or not found.isEmpty():
+            labels = components(edges)
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        return written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+
+    active = members.select("sketch", "node", "n", "marks")
+    for turn in range(STARS):
+        order = F.col("node") if turn == 0 else F.xxhash64("node", "sketch", F.lit(turn))  # at first the same head in all buckets
+        now = written(classed(active))
+        heads = written(now.groupBy("sketch").agg(F.min(F.struct(order.alias("o"), "node", "n", "marks", "class")).alias("h"), F.count("*").alias("size")).where("size > 1").select("sketch", "h.*"))
+        stars = now.alias("a").join(heads.alias("b"), (F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.class") != F.col("b.class")) & may("a", "b", least))
+        pairs = fresh(stars)
+        if turn == 0:  # most are linked by one partner each
+            pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        if not pairs.isEmpty():
+            align(pairs)
+        head_class = classed(heads.select("sketch", "node")).select("sketch", F.col("class").alias("head_class"))
+        active = classed(now.drop("class")).join(head_class, "sketch").where("class <> head_class").select("sketch", "node", "n", "marks")
+        active = written(active)
+        if active.isEmpty():
+            break
+
+    every = written(classed(members))
+    largest = every.groupBy("sketch", "class").agg(F.count("*").alias("size"))
+    largest = largest.groupBy("sketch").agg(F.max(F.struct("size", "class")).alias("x"), F.sum("size").alias("all"))
+    split = largest.where("x.size < all").select("sketch", F.col("x.class").alias("top"), F.ceil((F.col("all") - F.col("x.size")) / PART).cast("int").alias("salts"))
+    every = every.join(written(split), "sketch")  # members outside the bucket's largest class against all of other classes
+    left = every.where("class <> top").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts").cast("long")).cast("int")).alias("a")
+    right = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    once = (F.col("b.class") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
+    met = (F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.class") != F.col("b.class"))
+    pairs = fresh(left.join(right, met & once & may("a", "b", least)))
+    if labels is None or not pairs.isEmpty():
+        align(pairs)
+    return labels
+
+
+def labelled(df: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """key and digest of all rows; and digest, rep (the smallest id with that text) and label of every different text."""
+    every = written(sketched(df, key, text))
+    firsts = written(every.groupBy("digest").agg(F.min("key").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "marks", "sketches"))))
+    held = df.select(digest(text).alias("digest"), F.col(text).alias("text"))
+    labels = linked(firsts, held, least)
+    reps = firsts.select("digest", "rep").join(labels, F.col("digest") == F.col("node"), "left")
+    return every.select("key", "digest"), written(reps.select("digest", "rep", F.coalesce("label", "digest").alias("label")))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = NEAR) -> DataFrame:
     """key, copy_of (the smallest id with the same text) and class_id of every document."""
-    every = written(sketched(df, key, text))
-    firsts = every.where("key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.any_value("sketches").alias("sketches"))
-    firsts = written(firsts)
-    keys = written(firsts.select("rep", F.explode("sketches").alias("sketch")))
-    buckets = keys.groupBy("sketch").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-    pairs = written(keys.join(buckets, "sketch").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
-    first = written(verified(written(pairs.groupBy("a").agg(F.min("b").alias("b"))), df, key, text, least))
-    labels = components(first)
-    names = [labels.select(F.col("node").alias(x), F.col("label").alias(f"class_{x}")) for x in ("a", "b")]
-    rest = pairs.join(names[0], "a", "left").join(names[1], "b", "left")
-    rest = rest.where("coalesce(class_a, a) <> coalesce(class_b, b)")
-    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    rest = written(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = components(first.unionByName(written(verified(rest, df, key, text, least))))
-    reps = firsts.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left")
-    reps = reps.select("digest", "rep", F.coalesce("label", "rep").alias("class_id"))
-    out = every.select("key", "digest").join(reps, "digest", "left")
-    named = F.when(F.col("key").isNotNull(), F.col("class_id"))
-    return out.select(F.col("key").alias(key), F.when(F.col("key").isNotNull(), F.col("rep")).alias("copy_of"), named.alias("class_id"))
+    every, reps = labelled(df, key, text, least)
+    names = reps.groupBy("label").agg(F.min("rep").alias("class_id"))
+    out = every.join(reps.join(names, "label"), "digest", "left")
+    own = F.col("key").isNotNull()
+    return out.select(F.col("key").alias(key), F.when(own, F.col("rep")).alias("copy_of"), F.when(own, F.col("class_id")).alias("class_id"))
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = NEAR) -> DataFrame:

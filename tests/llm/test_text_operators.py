@@ -180,6 +180,33 @@ def test_near_copies_of_odd_rows(spark):
     assert op06_order_minhash.classes(odd(spark).limit(0)).count() == 0
 
 
+def test_near_copies_behind_other_heads(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.random()}"
+    rows = []
+    for f in range(40):  # one head that shares three quarters with a family, whose members are near each other only
+        shared, own = [word() for _ in range(150)], [word() for _ in range(50)]
+        rows.append((f, " ".join(shared + [word() for _ in range(50)])))
+        for n in range(3):
+            w = own + shared if f % 2 else shared + own
+            for _ in range(8):
+                w[rng.randrange(len(w))] = word()
+            rows.append((1000 + 10 * f + n, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sk = op06_order_minhash.sketches([op06_order_minhash.word_hashes(t) for _, t in rows])
+    of, words = defaultdict(list), [op06_order_minhash.word_hashes(t) for _, t in rows]
+    for i, line in enumerate(sk.tolist()):
+        for x in line:
+            of[x].append(i)
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in {(i, j) for b in of.values() for i in b for j in b if i < j}:  # all pairs of all buckets
+        if op06_order_minhash.near(words[i], words[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+    assert {r.doc_id: r.class_id for r in op06_order_minhash.classes(df).collect()} == want
+
+
 def targets(sizes, share=1.5, cap=2):
     """By bisection, unlike the operator."""
     w = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
