@@ -10,8 +10,6 @@ from sparkvec.operators.quantization import Codebook
 from sparkvec.session import written
 
 ATTRIBUTES = ("label", "labels", "attr")
-#: Below this many rows every strategy but a stated one is the exact plan.
-EXACT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -42,8 +40,8 @@ class VectorIndex:
         return VectorIndex(nodes, book, shard_centers, graph, metric, degree, pool, alpha)
 
     def strategy(self, where: Predicate, pool: int) -> str:
-        """exact for small tables; else gated on codes."""
-        return "exact" if self.nodes.count() <= EXACT_ROWS else "gated"
+        """exact, whatever the size: the others return fewer matches and are for callers who name them."""
+        return "exact"
 
     def search(self, queries: DataFrame, k: int = 10, pool: int = 100, where: Predicate | str = "none", strategy: str | None = None, store: int = 32, probes: int = 2, with_self: bool = False) -> DataFrame:
         """qid, id, dist, rk for queries(qid, qvec, and what the predicate reads)."""

@@ -151,6 +151,15 @@ def test_strategies(index):
     assert shares == sorted(shares)
 
 
+def test_large_tables_stay_exact():
+    class Many:
+        def count(self):
+            return 10**9
+
+    index = VectorIndex(Many(), None, None, None, "l2", 16, 32, 1.2)
+    assert index.strategy(predicate("eq"), 100) == "exact"
+
+
 def test_gate_reads_narrow_columns_only(index):
     q = index.nodes.where("id < 5").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
     pool = quantization.adc(index.nodes.select("id", "codes", "label"), q, index.book, 50)
