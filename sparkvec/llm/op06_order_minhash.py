@@ -1,6 +1,6 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A document is its sequence of words. Every k-mer of five words is labelled with how often it occurred before in the document.
+A document is its sequence of words. Every k-mer of two words is labelled with how often it occurred before in the document.
 Each of the sketches takes the `picked` labelled k-mers that are least under its own hash and keeps them in text order; equal
 sketches make candidates, more often the smaller the edit distance, as moved text changes the order. Exact copies are one
 representative. A pair is near if the word edit distance, found in a band around the diagonal, leaves a similarity of 0.8. In
@@ -8,12 +8,13 @@ every bucket of equal sketches the members are first aligned with one head, and
 every pair of the bucket that is still in different classes, unless lengths or parities of words rule it out for certain.
 Classes are the components of near pairs, named by their smallest document id.
 
-With five-word k-mers, 16 sketches and 2 picked k-mers, a pair that shares 0.8 of its labelled k-mers is missed with a
-probability below 1e-6.
+The k-mers follow from the threshold: where one word in five is replaced, at even spacing, no five-word k-mer is left, but three
+of five pairs of words are. With 32 sketches of 2 picked pairs such a pair is missed with a probability of 0.0015, and one
+with a word in ten replaced below 1e-6; documents of up to 40 words have sketches of single words.
 
-Null and empty texts are the document without words: all these are copies of each other. Documents under five words have one
-k-mer of all their words. Repeated rows each get a row; rows with a null id get a null class. An empty table gives an empty
-one. Other columns are not read by `classes`; `deduplicated` keeps them.
+Null and empty texts are the document without words: all these are copies of each other. Repeated rows each get a row; rows
+with a null id get a null class. An empty table gives an empty one. Other columns are not read by `classes`; `deduplicated`
+keeps them.
 """
 
 from bisect import bisect_left
@@ -29,7 +30,9 @@ from sparkvec.llm.common import by_bytes, small_enough, texts, written
 from sparkvec.llm.components import components
 from sparkvec.session import table
 
-K, SKETCHES, PICKED, NEAR = 5, 16, 2, 0.8
+K, SKETCHES, PICKED, NEAR = 2, 32, 2, 0.8
+#: Documents of up to SHORT words have sketches of single words, those from LONG words on of K words; near ones share a kind.
+SHORT, LONG = 40, 32
 #: 64-bit words of parities of a document, rounds of heads, members of a bucket that one task pairs with the others.
 MARKS, STARS, PART = 8, 2, 1024
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -98,6 +101,17 @@ def sketches(docs: list[np.ndarray], k: int = K, m: int = SKETCHES, picked: int
     return out
 
 
+def sketch_lists(docs: list[np.ndarray]) -> pa.ListArray:
+    """Each document's keys: of single words if it is short, of K-mers if it is long, both in between."""
+    n = np.array([len(d) for d in docs], np.int64)
+    short, long = np.flatnonzero(n <= SHORT), np.flatnonzero(n >= LONG)
+    of = np.concatenate([np.repeat(short, SKETCHES), np.repeat(long, SKETCHES)])
+    single = mixed(sketches([docs[i] for i in short], 1) + np.uint64(1))  # apart from the keys of K-mers
+    keys = np.concatenate([single.ravel(), sketches([docs[i] for i in long]).ravel()])
+    ends = np.concatenate([[0], np.cumsum(SKETCHES * ((n <= SHORT).astype(np.int64) + (n >= LONG)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[np.argsort(of, kind="stable")].view(np.int64), pa.int64()))
+
+
 def anchored(x: np.ndarray, y: np.ndarray, k: int = 3) -> int:
     """The cost of the alignment that follows k-mers which both have once, in an order that both share: never below the edit distance."""
 
@@ -219,9 +233,10 @@ def sketched(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         for b in by_bytes(batches, "text", 2 << 20):
             whole = texts(b)
             docs = [word_hashes(t) for t in whole]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64), pa.int64())) for x in (marks(docs), sketches(docs))]
+            x = marks(docs)
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * MARKS, pa.int32()), pa.array(x.ravel(), pa.int64()))
             n = pa.array([len(d) for d in docs], pa.int64())
-            yield pa.record_batch([b.column(0), b.column(1), n, *lists], ["key", "digest", "n", "marks", "sketches"])
+            yield pa.record_batch([b.column(0), b.column(1), n, x, sketch_lists(docs)], ["key", "digest", "n", "marks", "sketches"])
 
     src = df.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest"), F.col(text).alias("text"))
     return src.mapInArrow(run, "key long, digest binary, n long, marks array<long>, sketches array<long>")

@@ -180,6 +180,20 @@ def test_near_copies_of_odd_rows(spark):
     assert op06_order_minhash.classes(odd(spark).limit(0)).count() == 0
 
 
+def test_sketches_meet_down_to_the_threshold():
+    rng = random.Random(6)
+    for n, gap, least in ((200, 5, 0.97), (200, 8, 0.99), (200, 10, 0.99), (35, 5, 0.99), (5, 5, 0.99), (9, 9, 0.99), (41, 5, 0.93)):
+        met = 0
+        for _ in range(300):
+            x = [rng.getrandbits(64) for _ in range(n)]
+            y = [rng.getrandbits(64) if i % gap == gap // 2 else w for i, w in enumerate(x)]
+            docs = [np.array(d, np.uint64) for d in (x, y)]
+            assert op06_order_minhash.near(*docs)
+            a, b = op06_order_minhash.sketch_lists(docs).to_pylist()
+            met += bool(set(a) & set(b))
+        assert met >= least * 300, (n, gap, met)
+
+
 def test_near_copies_behind_other_heads(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.random()}"
