@@ -13,8 +13,8 @@ and position, has the same set or a Jaccard similarity of at least `near`. The o
 4. Of those, each is paired with the first line of its token; the true Jaccard of the pairs decides. Only lines that are
    still there after that meet all earlier partners of their tokens.
 
-Null texts stay null and have no lines; blank lines have no tokens and stay. Rows that repeat an id count as one document; a
-null id comes first. An empty table gives an empty one. Other columns stay as they are, whatever their names.
+Null texts stay null and have no lines; blank lines have no tokens and stay. Rows that repeat an id and
+text count as one document, rows of one id with other texts as documents of their own; null ids come first. An empty table gives an empty one. Other columns stay as they are, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,10 +61,14 @@ def keys(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
 
+def identity(key: str, text: str) -> Column:
+    """What names a document: its id, where null is the first, and a hash of its text, as ids may repeat."""
+    return F.struct(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("doc"), F.xxhash64(text).alias("own"))
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """id, at and line of all lines; a null id becomes the first."""
-    who = F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)).alias("id")
-    return df.select(who, F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
+    """id, at and line of all lines."""
+    return df.select(identity(key, text).alias("id"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
 
 
 def filled(line: Column) -> Column:
@@ -115,7 +119,7 @@ def later_matches(df: DataFrame, key: str = "doc_id", text: str = "text", near:
 
     per_doc = copies.groupBy("id").agg(F.collect_list("at").alias("gone"))
     known = small_enough(written(per_doc), 64)
-    who = F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID))
+    who = identity(key, text)
     left = src.withColumn("id", who).join(known, "id", "left")
     left = left.select("id", "gone", F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
     left = left.where(~F.coalesce(F.array_contains("gone", F.col("at")), F.lit(False)))
@@ -157,7 +161,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", near: f
     """df with the text of the lines that stay; and, if named, the number of lines and of those that went."""
     gone = small_enough(written(later_matches(df, key, text, near)), 64)
     gone = gone.select(F.col("id").alias("sv_id"), F.col("gone").alias("sv_gone"))
-    out = df.join(gone, F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID)) == F.col("sv_id"), "left")
+    out = df.join(gone, identity(key, text) == F.col("sv_id"), "left")
     parts = F.split(text, "\n")
     stay = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("sv_gone", i)), "\n")
     new = F.when(F.col("sv_gone").isNull(), F.col(text)).otherwise(stay)

@@ -350,11 +350,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = NEAR) -> DataFrame:
-    """The rows of df whose id names their class: one document of each group. Rows that repeat such an id stay once."""
-    found = classes(df, key, text, least).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    kept = df.join(small_enough(written(found), 24), key, "left_semi")
+    """One row of df for each class: of its texts the one with the smallest id, where null is the last; of equal ids any one text."""
+    _, reps = labelled(df, key, text, least)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("x")
+    found = written(reps.groupBy("label").agg(first).select(F.col("x.rep").alias("sv_rep"), F.col("x.digest").alias("sv_digest")))
+    same = (digest(text) == F.col("sv_digest")) & F.col(key).cast("long").eqNullSafe(F.col("sv_rep"))
+    kept = df.withColumn("sv_own", digest(text)).join(small_enough(found, 40), same, "left_semi")
     repeated = not df.groupBy(key).count().where("count > 1").isEmpty()
-    return kept.dropDuplicates([key]) if repeated else kept
+    return (kept.dropDuplicates(["sv_own"]) if repeated else kept).drop("sv_own")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

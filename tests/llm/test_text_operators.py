@@ -194,6 +194,17 @@ def test_sketches_meet_down_to_the_threshold():
         assert met >= least * 300, (n, gap, met)
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(None, "one two\nred sky"), (None, "three four\none two"), (None, "five six\nblue sea"), (7, "seven eight\ngreen hill"), (7, "nine ten\nseven eight"), (7, "nine ten\nseven eight")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r.text for r in op02_line_dedup.deduplicated(df).collect()]
+    left = [x for t in out for x in t.split("\n")]
+    assert len(out) == 6 and {x for _, t in rows for x in t.split("\n")} == set(left)
+    assert left.count("one two") == 1
+    kept = op06_order_minhash.deduplicated(df).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
 def test_near_copies_behind_other_heads(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.random()}"
