@@ -24,7 +24,7 @@ JOINED = 1000
 
 
 def segments(text: str) -> list[str]:
-    return CUTS.split(text) if ODD.search(text) else text.lower().split()
+    return CUTS.split(text) if "<|" in text or ODD.search(text) else text.lower().split()  # special strings are met in their own case only
 
 
 class Segments(dict):

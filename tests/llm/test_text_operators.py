@@ -52,6 +52,13 @@ def test_token_counts(spark, documents, texts):
     assert op08_token_counts.count_tokens(rows.limit(0), BPE).count() == 0
 
 
+def test_special_strings_keep_their_case():
+    known = segments_of(BPE)
+    some = ["A <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|endoftext|>Y"]
+    ids, _ = known.ids(known.of_texts(some)[0])
+    assert ids.tolist() == [i for x in library(some) for i in x]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 7, 50])
 def test_chunk_maps_compose(chunk):
     known = segments_of(BPE)
