@@ -1,197 +1,212 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
-
-Texts become symbols of an alphabet of 64: the most frequent lower-case letters of all trusted texts, and classes for other
-letters, capitals, digits, white space, marks and the rest. Every trusted text is counted; nothing is sampled. The counts of
-4-grams are summed by shuffled partial counts. Continuation counts of the lower orders, context totals and discounts follow from
-them by grouping, and each order's n-grams are joined with their contexts on sharded keys, which gives every seen n-gram its
-discounted share and every context its weight for the next order. The alphabet bounds these tables (64^4 entries at most,
-whatever the corpus), so they are broadcast, and workers compose them, block by block, into one log-probability per n-gram.
-
-A document's perplexity is over all its characters. A language's threshold is a quantile of its trusted documents' perplexities,
-each by the model of the half that it isn't in, found in a histogram with steps of 1/1000 nat. Languages without trusted documents,
-or null ones, use that of all languages; with fewer than FEW of them the larger of the two.
-
-Trusted are documents whose labels say quality 1 and not toxic. Documents that are null or empty have no perplexity and are
-not kept. A null lang is a language of its own; null ids are scored, but never trusted. Repeated rows are each scored; an id
-that is labelled twice is trusted if one row says so. Without any trusted text, every text is kept. An empty table gives an
-empty one. `kept` carries all columns of its input through, whatever their names.
+"""Quality classifier: interpolated modified Kneser-Ney models of character n-grams, trained on trusted text.
+
+Characters are taken as they are: the alphabet is open, so the tables grow with the corpus. (Those beyond U+FFFF share 6,400
+stand-ins, which lets four characters fit one 64-bit code.) Every trusted text is counted, none is sampled. Each language with
+FEW trusted documents has models of its own, all others share those of all trusted texts together. A group has three: of
+all its trusted documents, and of each half of them. A trusted document is scored by the half that it isn't in, any other by
+the first, so no document is scored by a model that has seen it.
+
+1. Counts of 4-grams are summed from partial counts; continuation counts of the lower orders, context totals and discounts follow
+   by grouping. Each order's n-grams are joined with their contexts and with the next lower order on sharded keys, which gives every
+   seen n-gram its probability and every context its back-off weight.
+2. Documents are dealt to blocks of one model and bounded text. The different 4-grams of a block are pre-aggregated there;
+   all blocks' ones are joined, order by order, with the probabilities and weights, and each block gets back the log-probabilities
+   of its own n-grams. No task holds a whole model, and no table goes to the driver.
+3. A document's perplexity is over all its characters. A group's limit is a quantile of its trusted documents' perplexities, from a
+   histogram with steps of 1/1000 nat.
+
+Trusted are documents whose labels say quality 1 and not toxic. A null text is the empty one; it has no perplexity and is not
+kept. A null lang is the empty one; null ids are scored, but never trusted. Repeated rows are each scored; an id that is labelled
+twice is trusted if one row says so. Where one half of the trusted documents is empty, all are scored by the model of all; without any
+trusted text, every text with characters is kept. An empty table gives an empty one. `kept` carries all columns of its input
+through, whatever their names, and texts of any length are read in pieces.
 """
 
-import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkvec.llm.common import by_bytes, small_enough, texts, written
 from sparkvec.session import table
 
-SIZE, ORDER, LETTERS, QUANTILE, FEW = 64, 4, 52, 0.99, 100
-MARKS = " \n.,'-"
-OTHER, CAPITAL, DIGIT, LETTER, BLANK, QUOTE = range(LETTERS + len(MARKS), SIZE)
-START = "\n" * (ORDER - 1)
-
-
-class Model(NamedTuple):
-    name: str
-    letters: str
-    #: By order from 1: the seen n-grams' codes and shares, the contexts' codes and weights.
-    grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def symbol_table(letters: str) -> np.ndarray:
-    """Code point -> symbol, by rule."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    for c in map(chr, range(0x3000)):
-        if c.isupper() or c.istitle():
-            out[ord(c)] = CAPITAL
-        elif c.isdigit():
-            out[ord(c)] = DIGIT
-        elif c.isalpha():
-            out[ord(c)] = LETTER
-        elif c.isspace():
-            out[ord(c)] = BLANK
-    for c in "\"()[]«»“”‘’:;":
-        out[ord(c)] = QUOTE
-    for i, c in enumerate(letters):
-        out[ord(c)] = i
-    for i, c in enumerate(MARKS):
-        out[ord(c)] = LETTERS + i
-    return out
-
-
-def codes_of(whole: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all n-grams that end at a character of a text, end to end, and the texts' lengths."""
-    n = np.array([len(t) for t in whole], np.int64)
-    points = np.frombuffer("".join(START + t for t in whole).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbols[points].astype(np.int32)
-    code = s[ORDER - 1 :].copy() if len(s) else s
-    for back in range(1, ORDER):
-        code += s[ORDER - 1 - back : len(s) - back] * SIZE**back
-    starts = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return code[at], n
-
-
-def counted(df: DataFrame, text: str, codes, schema: str) -> DataFrame:
-    """(code, n) over all rows: each task sums its own counts before they are shuffled."""
+ORDER, BITS, QUANTILE, FEW = 4, 16, 0.98, 100
+#: Stands before a text.
+START = "\x02" * (ORDER - 1)
+#: Characters of a block, characters that are coded at once.
+BLOCK, PIECE = 32 << 20, 1 << 20
+#: Stand-ins of characters beyond U+FFFF: the private-use area.
+BEYOND, BEYOND_SIZE = 0xE000, 6400
+
+
+def codes_of(text: str) -> np.ndarray:
+    """The codes of the n-grams that end at each of the characters after the first ORDER - 1, 16 bits a character."""
+    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    p = np.where(p > 0xFFFF, BEYOND + p % BEYOND_SIZE, p)
+    n = max(0, len(p) - ORDER + 1)
+    code = np.zeros(n, np.uint64)
+    for i in range(ORDER):
+        code = code << np.uint64(BITS) | p[i : i + n]
+    return code.view(np.int64)
+
+
+def pieces(whole: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes end to end, and the numbers and lengths of the texts (or parts of one) that they are of, in bounded portions."""
+    some: list[str] = []
+    of: list[int] = []
+    size = 0
+
+    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(t) - ORDER + 1 for t in some], np.int64)
+        codes = codes_of("".join(some))
+        starts = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
+        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return codes[at], np.array(of, np.int64), n
+
+    for i, t in enumerate(whole):
+        for at in range(0, len(t), PIECE):
+            some.append((START if at == 0 else t[at - ORDER + 1 : at]) + t[at : at + PIECE])
+            of.append(i)
+            size += len(some[-1])
+            if size >= PIECE:
+                yield portion()
+                some, of, size = [], [], 0
+    if some:
+        yield portion()
+
+
+def encoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, and the number of its code at each place."""
+    d = pc.dictionary_encode(pa.array(codes))
+    return d.dictionary.to_numpy(), d.indices.to_numpy()
+
+
+def counted(trusted: DataFrame) -> DataFrame:
+    """model, code and n of trusted(model, text): each task sums its own counts before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in by_bytes(batches, text, 2 << 20):
-            new, m = np.unique(codes(texts(b, text)), return_counts=True)
-            both, at = np.unique(np.concatenate([code, new.astype(np.int64)]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([n, m]), minlength=len(both)).astype(np.int64)
-            code = both
-        yield pa.record_batch([pa.array(code), pa.array(n)], ["code", "n"])
-
-    return df.select(text).mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def alphabet(trusted: DataFrame, text: str) -> str:
-    """The most frequent lower-case letters, at most LETTERS, in order of code point."""
-    points = counted(trusted, text, lambda whole: np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32), "code long, n long")
-    found = points.collect()  # at most as many as there are characters
-    lower = [(-r[1], r[0]) for r in found if chr(r[0]).isalpha() and not (chr(r[0]).isupper() or chr(r[0]).istitle())]
-    return "".join(sorted(chr(c) for _, c in sorted(lower)[:LETTERS]))
-
-
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """For counts of 1, 2 and more, within what the counts allow."""
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    d = [i - (i + 1) * y * b / a if a else i * 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return tuple(min(max(x, 0.1), i - 0.05) for i, x in zip((1, 2, 3), d, strict=True))
-
-
-def grams_of(trusted: DataFrame, text: str, letters: str) -> DataFrame:
-    """(code, n) of all rows' n-grams of the highest order."""
-    symbols = symbol_table(letters)
-    return written(counted(trusted, text, lambda whole: codes_of(whole, symbols)[0], "code long, n long"))
-
-
-def train(trusted: DataFrame, text: str = "text") -> Model:
-    """The model of all rows' texts."""
-    letters = alphabet(trusted, text)
-    return estimated(grams_of(trusted, text, letters), letters)
-
-
-def estimated(top: DataFrame, letters: str) -> Model:
-    """The model of counted n-grams."""
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in by_bytes(batches, "text", 4 << 20):
+            models, whole = b.column(0).to_numpy(), texts(b)
+            for m in np.unique(models).tolist():
+                for codes, _, _ in pieces([whole[i] for i in np.flatnonzero(models == m)]):
+                    new, at = encoded(codes)
+                    n = np.bincount(at, minlength=len(new))
+                    if m in known:
+                        new, at = encoded(np.concatenate([known[m][0], new]))
+                        n = np.bincount(at, weights=np.concatenate([known[m][1], n]), minlength=len(new)).astype(np.int64)
+                    known[m] = new, n
+        for m, (code, n) in known.items():
+            yield pa.record_batch([pa.array(np.full(len(code), m)), pa.array(code), pa.array(n)], ["model", "code", "n"])
+
+    return trusted.select("model", "text").mapInArrow(run, "model long, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
+
+
+def last(code: Column, k: int) -> Column:
+    """The n-gram's last k characters."""
+    return code.bitwiseAND(F.lit((1 << BITS * k) - 1)) if k < ORDER else code
+
+
+def discount(i: int) -> Column:
+    """What a count of i (3: or more) is lowered by, from the counts of counts n1 to n4, within what they allow."""
+    a, b = F.col(f"n{i}").cast("double"), F.col(f"n{i + 1}").cast("double")
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+    free = F.when(a > 0, i - (i + 1) * y * b / F.when(a > 0, a)).otherwise(F.lit(i * 0.5))
+    return F.least(F.greatest(free, F.lit(0.1)), F.lit(i - 0.05))
+
+
+def estimated(top: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, model, code, p of all seen n-grams; k, model, context, weight of all seen contexts) of counted 4-grams."""
     orders = {ORDER: top}
-    for k in range(ORDER - 1, 0, -1):  # how many different symbols come before
-        orders[k] = orders[k + 1].groupBy((F.col("code") % SIZE**k).alias("code")).agg(F.count("*").alias("n"))
+    for k in range(ORDER - 1, 0, -1):  # how many different characters come before
+        orders[k] = orders[k + 1].select("model", last(F.col("code"), k).alias("code")).groupBy("model", "code").agg(F.count("*").alias("n"))
     grams = None
     for k, df in orders.items():
-        one = df.select(F.lit(k).alias("k"), "code", F.floor(F.col("code") / SIZE).alias("context"), "n")
+        one = df.select(F.lit(k).alias("k"), "model", "code", F.shiftrightunsigned("code", BITS).alias("context"), "n")
         grams = one if grams is None else grams.unionByName(one)
     grams = written(grams)
-    of = grams.groupBy("k").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()
-    rates = {r[0]: discounts(*r[1:]) for r in of}
-
-    def rate(i: int) -> Column:
-        return F.element_at(F.create_map(*(F.lit(x) for k, d in rates.items() for x in (k, d[i]))), F.col("k"))
-
-    if not rates:
-        return Model(uuid.uuid4().hex, letters, [])
-    cut = F.when(F.col("n") == 1, rate(0)).when(F.col("n") == 2, rate(1)).otherwise(rate(2))
+    rates = grams.groupBy("k", "model").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    rates = written(rates.select("k", "model", *(discount(i).alias(f"d{i}") for i in (1, 2, 3))))  # four rows a model
+    grams = grams.join(small_enough(rates, 64), ["k", "model"])
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     grams = grams.withColumn("cut", cut)
-    contexts = written(grams.groupBy("k", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight")))
-    shares = grams.join(contexts, ["k", "context"]).select("k", "code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
-    shares, weights = shares.toPandas(), contexts.select("k", "context", "weight").toPandas()  # bounded by the alphabet
-    out = []
+    contexts = grams.groupBy("k", "model", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight"), F.count("*").alias("kinds"))
+    contexts = written(contexts)
+    shares = grams.join(contexts, ["k", "model", "context"]).select("k", "model", "code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"), "weight", "kinds")
+    shares, seen, lower = written(shares), None, None
     for k in range(1, ORDER + 1):
-        s, w = shares[shares.k == k].sort_values("code"), weights[weights.k == k].sort_values("context")
-        out.append((s.code.to_numpy(np.int64), s.share.to_numpy(np.float64), w.context.to_numpy(np.int64), w.weight.to_numpy(np.float64)))
-    return Model(uuid.uuid4().hex, letters, out)
-
-
-def composed(m: Model) -> np.ndarray:
-    """Log-probability of the last symbol for every code."""
-    p = np.full(1, 1 / SIZE)
-    for k, (code, share, context, weight) in enumerate(m.grams, 1):
-        lower = np.broadcast_to(p, (SIZE,)) if k == 1 else p  # of the n-gram without its first symbol
-        w = np.ones(SIZE ** (k - 1))
-        w[context] = weight
-        new = np.empty(SIZE**k, np.float32 if k == ORDER else np.float64)
-        block = SIZE ** max(k - 1, 1)
-        for first in range(SIZE**k // block):
-            part = np.repeat(w[first * (block // SIZE) : (first + 1) * (block // SIZE)], SIZE) * lower
-            a, z = np.searchsorted(code, [first * block, (first + 1) * block])
-            part[code[a:z] - first * block] += share[a:z]
-            new[first * block : (first + 1) * block] = np.log(part) if k == ORDER else part
-        p = new
-    return p
-
-
-#: The model that this worker process has composed last.
-HELD: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def scored(df: DataFrame, model: Broadcast, text: str = "text", name: str = "nll") -> DataFrame:
-    """df with the mean negative log-probability of the text's characters; null for a text without any."""
-    kept = [c for c in df.columns if c != name]
-    out = T.StructType([*df.select(*kept).schema.fields, T.StructField(name, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        if m.name not in HELD:
-            HELD.clear()
-            HELD[m.name] = composed(m), symbol_table(m.letters)
-        logs, symbols = HELD[m.name]
-        for b in by_bytes(batches, text, 2 << 20):
-            codes, n = codes_of(texts(b, text), symbols)
-            some = np.flatnonzero(n)
-            nll = np.full(len(n), np.nan)
-            if len(some):
-                nll[some] = -np.add.reduceat(logs[codes].astype(np.float64), (np.cumsum(n) - n)[some]) / n[some]
-            yield pa.record_batch([*b.columns, pa.array(nll, pa.float64(), mask=n == 0)], [*kept, name])
-
-    return df.select(*kept).mapInArrow(run, out)
+        one = shares.where(F.col("k") == k)
+        if k == 1:  # under all seen characters lies the uniform share of these and an unknown one
+            p = one.select("k", "model", "code", (F.col("share") + F.col("weight") / (F.col("kinds") + 1)).alias("p"))
+        else:
+            below = lower.select("model", F.col("code").alias("suffix"), F.col("p").alias("q"))
+            p = one.withColumn("suffix", last(F.col("code"), k - 1)).join(below, ["model", "suffix"])
+            p = p.select("k", "model", "code", (F.col("share") + F.col("weight") * F.col("q")).alias("p"))
+        lower = written(p)
+        seen = lower if seen is None else seen.unionByName(lower)
+    unknown = contexts.where("k = 1").select(F.lit(0).alias("k"), "model", F.lit(0).cast("long").alias("code"), (1 / (F.col("kinds") + 1)).alias("p"))
+    return seen.unionByName(unknown), contexts.select("k", "model", "context", "weight")
+
+
+def log_probabilities(wanted: DataFrame, seen: DataFrame, weights: DataFrame) -> DataFrame:
+    """model, code and the log-probability of the last character, for wanted(model, code): from the longest seen ending up."""
+    out = wanted.select("model", "code", F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("w"))
+    for k in range(ORDER, -1, -1):
+        one = seen.where(F.col("k") == k).select("model", F.col("code").alias("end"), F.col("p").alias("found"))
+        out = out.withColumn("end", last(F.col("code"), k)).join(one, ["model", "end"], "left")
+        out = out.select("model", "code", F.coalesce("p", F.col("w") * F.col("found")).alias("p"), "w")
+        if k > 0:
+            back = weights.where(F.col("k") == k).select("model", "context", "weight")
+            out = out.withColumn("context", F.shiftrightunsigned(last(F.col("code"), k), BITS)).join(back, ["model", "context"], "left")
+            out = out.select("model", "code", "p", F.when(F.col("p").isNull(), F.col("w") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("w")).alias("w"))
+    return out.select("model", "code", F.log("p").alias("logp"))
+
+
+def scored(rows: DataFrame, text_at: int, seen: DataFrame, weights: DataFrame) -> DataFrame:
+    """rows(model, row, ...) with the mean negative log-probability nll of a text's characters; null for a text without any.
+
+    The text is the field of `row` at place text_at, n its characters.
+    """
+    sizes = rows.groupBy("model").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("long").alias("blocks"))
+    rows = rows.join(small_enough(written(sizes), 32), "model")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
+    by = ["model", "block"]
+
+    def text_of(t: pa.Table) -> list[str]:
+        return [x or "" for x in pc.struct_field(t["row"], text_at).to_pylist()]
+
+    def different(t: pa.Table) -> pa.Table:
+        known = np.zeros(0, np.int64)
+        for codes, _, _ in pieces(text_of(t)):
+            known = encoded(np.concatenate([known, encoded(codes)[0]]))[0]
+        model, block = (pa.array(np.full(len(known), t[c][0].as_py()), pa.int64()) for c in by)
+        return pa.table([model, block, pa.array(known)], [*by, "code"])
+
+    pairs = rows.groupBy(*by).applyInArrow(different, "model long, block long, code long")
+    found = log_probabilities(pairs.select("model", "code").distinct(), seen, weights)
+    back = pairs.join(found, ["model", "code"]).select(*by, "code", "logp")
+    rest = [c for c in rows.columns if c not in by]
+
+    def score(t: pa.Table, known: pa.Table) -> pa.Table:
+        code, logp = known["code"].to_numpy(), known["logp"].to_numpy()
+        order = np.argsort(code)
+        code, logp = code[order], logp[order]
+        total, n = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
+        for codes, of, size in pieces(text_of(t)):
+            new, at = encoded(codes)
+            each = logp[np.searchsorted(code, new)][at]
+            np.add.at(total, of, np.add.reduceat(each, np.cumsum(size) - size))
+            np.add.at(n, of, size)
+        nll = pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
+        return pa.table([*(t[c] for c in rest), nll], [*rest, "nll"])
+
+    out = T.StructType([*rows.select(*rest).schema.fields, T.StructField("nll", T.DoubleType())])
+    return rows.groupBy(*by).cogroup(back.groupBy(*by)).applyInArrow(score, out)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -199,72 +214,61 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return written(good.select(F.col(key).alias("trusted_id")).where("trusted_id is not null").distinct())
 
 
-class Fit(NamedTuple):
-    """The model of all trusted texts, and limits by language, from texts that the scoring model had not seen."""
-
-    model: Broadcast
-    limits: dict[str | None, float]
-
-
-def fitted(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, quantile: float) -> Fit | None:
-    """Train on all trusted texts; for the limits, score each half of them by the model of the other half."""
-    context = df.sparkSession.sparkContext
-    ids = small_enough(trusted_ids(labels, key), 24)
-    trusted = df.select(key, lang, text).join(ids, F.col(key) == F.col("trusted_id"), "left_semi")
-    letters = alphabet(trusted, text)
-    halves = [trusted.where(F.pmod(F.xxhash64(key), F.lit(2)) == i) for i in (0, 1)]
-    counts = [grams_of(h, text, letters) for h in halves]
-    every = counts[0].unionByName(counts[1]).groupBy("code").agg(F.sum("n").alias("n"))
-    model = estimated(written(every), letters)
-    if not model.grams:
-        return None
-    scores = None
-    for half, other in zip(halves, counts[::-1], strict=True):
-        m = estimated(other, letters)
-        one = scored(half, context.broadcast(m if m.grams else model), text).select(lang, "nll")
-        scores = one if scores is None else scores.unionByName(one)
-    return Fit(context.broadcast(model), limits(scores, lang, quantile))
-
-
-def limits(scores: DataFrame, lang: str, quantile: float) -> dict[str | None, float]:
-    """The highest steps that are kept, by language; under the name "" of all. Of few documents a language's isn't below that."""
-    steps = scores.where("nll is not null").groupBy(F.col(lang).alias("lang"), F.ceil(F.col("nll") * 1000).alias("step")).count().collect()  # a histogram
-    out: dict[str | None, float] = {}
-    for name in ["", *{r[0] for r in steps}]:
-        own = sorted((r[1], r[2]) for r in steps if name == "" or r[0] == name)
-        if own:
-            upto = np.cumsum([n for _, n in own])
-            at = own[int(np.searchsorted(upto, quantile * upto[-1]))][0] / 1000
-            out[name] = at if name == "" or upto[-1] >= FEW else max(at, out[""])
-    return out
-
-
-def limit_of(lang: Column, found: dict[str | None, float]) -> Column:
-    known = [(k, v) for k, v in found.items() if k]
-    of_all = F.lit(found.get("", float("inf")))
-    if not known:
-        return of_all
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in known for x in p)), lang), of_all)
+def model_of(group: Column, part: Column) -> Column:
+    """A number that names the model of a group's half (0, 1) or whole (2); the group of all is null."""
+    return F.xxhash64(group, part)
+
+
+def judged(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, quantile: float) -> DataFrame:
+    """row (a struct of df's columns), nll, limit and keep of every row."""
+    at = df.columns.index(text)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
+    ids = trusted_ids(labels, key)
+    rows = rows.join(small_enough(ids, 24), F.col("id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull() & (F.col("n") > 0)).drop("trusted_id")
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
+    per = written(rows.where("trusted").groupBy("lang", "half").count())
+    halves = {r[0]: r[1] for r in per.groupBy("half").agg(F.sum("count")).collect()}  # two rows
+    if not halves:
+        return rows.select("row", F.lit(None).cast("double").alias("nll"), F.lit(None).cast("double").alias("limit"), (F.col("n") > 0).alias("keep"))
+    own = per.groupBy("lang").agg(F.sum("count").alias("docs"), F.count("*").alias("halves")).where((F.col("docs") >= FEW) & (F.col("halves") == 2))
+    rows = rows.join(small_enough(written(own.select("lang", F.col("lang").alias("grp"))), 64), "lang", "left")
+    part = F.when(F.col("trusted") & F.lit(len(halves) == 2), F.col("half")).otherwise(F.lit(2))
+    trusted = rows.where("trusted").select("grp", "half", F.col("row").getField(text).alias("text"))
+    both = F.explode(F.array(F.lit(2), 1 - F.col("half"))).alias("part")
+    some = trusted.select("grp", both, "text").where("grp is not null")
+    shared = not rows.where("grp is null and n > 0").isEmpty()
+    if shared:
+        some = some.unionByName(trusted.select(F.lit(None).cast("string").alias("grp"), both, "text"))
+    seen, weights = estimated(written(counted(some.select(model_of(F.col("grp"), F.col("part")).alias("model"), "text"))))
+
+    # trusted documents of other groups also set the limit of the one for all
+    ask = rows.select("row", "grp", "trusted", "n", F.lit(True).alias("first"), model_of(F.col("grp"), part).alias("model"))
+    if shared:
+        again = rows.where("trusted and grp is not null")
+        ask = ask.unionByName(again.select("row", F.lit(None).cast("string").alias("grp"), "trusted", "n", F.lit(False).alias("first"), model_of(F.lit(None).cast("string"), part).alias("model")))
+    done = written(scored(ask, at, seen, weights))
+    limits = small_enough(written(limit_of(done.where("trusted and nll is not null"), quantile)), 64)
+    done = done.where("first").join(limits, F.col("grp").eqNullSafe(F.col("of")), "left")
+    return done.select("row", "nll", "limit", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)).alias("keep"))
+
+
+def limit_of(scores: DataFrame, quantile: float) -> DataFrame:
+    """of (a group) and limit: the step of the histogram of its nll below which the quantile lies."""
+    steps = scores.groupBy(F.col("grp").alias("of"), F.ceil(F.col("nll") * 1000).alias("step")).agg(F.count("*").alias("n"))
+    up = W.partitionBy("of").orderBy("step")
+    steps = steps.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(W.partitionBy("of")))
+    return steps.where(F.col("upto") >= quantile * F.col("all")).groupBy("of").agg((F.min("step") / 1000).alias("limit"))
 
 
 def classified(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """key, lang, perplexity, max_perplexity (the language's) and keep."""
-    fit = fitted(df, labels, key, text, lang, quantile)
-    if fit is None:
-        none = F.lit(None).cast("double")
-        return df.select(key, lang, none.alias("perplexity"), none.alias("max_perplexity"), (F.length(text) > 0).alias("keep")).fillna({"keep": False})
-    limit = limit_of(F.col(lang), fit.limits)
-    keep = F.coalesce(F.col("nll") <= limit, F.lit(False))
-    return scored(df.select(key, lang, text), fit.model, text).select(key, lang, F.exp("nll").alias("perplexity"), F.exp(limit).alias("max_perplexity"), keep.alias("keep"))
+    out = judged(df.select(key, lang, text), labels, key, text, lang, quantile)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in (key, lang)), F.exp("nll").alias("perplexity"), F.exp("limit").alias("max_perplexity"), "keep")
 
 
 def kept(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """The rows of df that the classifier keeps."""
-    fit = fitted(df, labels, key, text, lang, quantile)
-    if fit is None:
-        return df.where(F.length(text) > 0)
-    name = "sv_nll"
-    return scored(df, fit.model, text, name).where(F.col(name) <= limit_of(F.col(lang), fit.limits)).select(*df.columns)
+    return judged(df, labels, key, text, lang, quantile).where("keep").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,13 +280,73 @@ def test_quality(spark):
     train = labels.where("doc_id % 2 = 0")
     got = op03_quality.classified(d, train).join(labels.where("doc_id % 2 = 1"), "doc_id")
     share = {r.quality: r.s for r in got.groupBy("quality").agg(F.avg(F.col("keep").cast("double")).alias("s")).collect()}
-    assert share[1] > 0.93 and share[0] < 0.25
-
-
-def test_model_is_a_distribution(spark, documents):
-    m = op03_quality.train(documents)
-    p = np.exp(op03_quality.composed(m).astype(float)).reshape(-1, op03_quality.SIZE).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
+    assert share[1] > 0.93 and share[0] < 0.15
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney by its definition, on strings."""
+
+    def __init__(self, corpus, order=4):
+        self.order, self.counts = order, {order: defaultdict(int)}
+        for t in corpus:
+            t = op03_quality.START + t
+            for i in range(len(t) - order + 1):
+                self.counts[order][t[i : i + order]] += 1
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = defaultdict(int)
+            for g in self.counts[k + 1]:
+                self.counts[k][g[1:]] += 1
+        self.cuts, self.after = {}, defaultdict(lambda: defaultdict(int))
+        for k, grams in self.counts.items():
+            n = [sum(1 for c in grams.values() if c == i) for i in range(5)]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+            free = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2 for i in (1, 2, 3)]
+            self.cuts[k] = [min(max(f, 0.1), i - 0.05) for i, f in zip((1, 2, 3), free, strict=True)]
+            for g, c in grams.items():
+                self.after[k, g[:-1]][g[-1]] = c
+
+    def p(self, context, c):
+        k = len(context) + 1
+        below = 1 / (len(self.counts[1]) + 1) if k == 1 else self.p(context[1:], c)
+        seen = self.after.get((k, context))
+        if not seen:
+            return below
+        cut = lambda n: self.cuts[k][min(n, 3) - 1] if n else 0
+        total = sum(seen.values())
+        n = seen.get(c, 0)
+        return (n - cut(n)) / total + sum(map(cut, seen.values())) / total * below
+
+    def nll(self, t):
+        t = op03_quality.START + t
+        return -np.mean([np.log(self.p(t[i - self.order + 1 : i], t[i])) for i in range(self.order - 1, len(t))])
+
+
+def test_scores_are_kneser_neys(spark, texts, monkeypatch):
+    corpora = {1: [t[:900] for t in list(texts.values())[:12] if t], 2: ["日本語の文章です。", "中文句子,没有空格。", "aaaa aaab", ""]}
+    asked = ["The and of", "中文", "日本語 the", "q", "", None, "aaaa" * 40, "x\x02y \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), next(iter(texts.values()))[:2500]]
+    train = spark.createDataFrame([(m, t) for m, c in corpora.items() for t in c], "model long, text string")
+    seen, weights = op03_quality.estimated(op03_quality.counted(train))
+    rows = [(m, (i, t), len(t or "")) for m in corpora for i, t in enumerate(asked)]
+    rows = spark.createDataFrame(rows, "model long, row struct<id: int, text: string>, n int")
+    monkeypatch.setattr(op03_quality, "BLOCK", 300)
+    got = {(r.model, r.row.id): r.nll for r in op03_quality.scored(rows.select("*", F.col("model").alias("of")), 1, seen, weights).select("row", "nll", F.col("of").alias("model")).collect()}
+    models = {m: KneserNey(c) for m, c in corpora.items()}
+    assert len(got) == len(corpora) * len(asked)
+    for (m, i), nll in got.items():
+        assert (nll is None) if not asked[i] else abs(nll - models[m].nll(asked[i])) < 1e-9, (m, asked[i])
+    for m in models.values():  # over all characters and an unknown one
+        assert abs(sum(m.p("the", c) for c in [*m.counts[1], "\u0fff"]) - 1) < 1e-9
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    whole = ["abcdefgh" * 50, "", "xy", "é" * 33]
+    want = {i: op03_quality.codes_of(op03_quality.START + t).tolist() for i, t in enumerate(whole) if t}
+    monkeypatch.setattr(op03_quality, "PIECE", 7)
+    got = defaultdict(list)
+    for codes, of, n in op03_quality.pieces(whole):
+        for i, part in zip(of, np.split(codes, np.cumsum(n)[:-1]), strict=True):
+            got[i] += part.tolist()
+    assert got == want
 
 
 def test_quality_of_odd_rows(spark):
