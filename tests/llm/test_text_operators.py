@@ -249,21 +249,79 @@ def targets(sizes, share=1.5, cap=2):
     return [min(low * a, cap * s) for a, s in zip(w, sizes, strict=True)]
 
 
-def test_mixing(spark, documents):
-    rows, mix = op07_mixing.mixture(documents, block=97)
-    got = op07_mixing.taken(rows, mix).join(documents, "doc_id").collect()
+def brute_schedule(rows, aims, n, wide, cap=2):
+    """Slot by slot: the next block of the source that the point falls to; rows are (src, bucket, rn, size) in stream order."""
+    words = defaultdict(list)
+    for src, bucket, rn, size in rows:
+        words[src] += [(bucket, rn)] * size
+    done, mix = defaultdict(int), []
+    for i in range(n):
+        point, total, src = (i * op07_mixing.GOLDEN % 2**64) / 2**64, sum(aims), 0
+        while src < len(aims) - 1 and sum(aims[: src + 1]) / total <= point:
+            src += 1
+        r = done[src]
+        done[src] += 1
+        stream = words[src] * cap
+        mix.append((src, stream[int(r * wide) : int((r + 1) * wide)]))
+    return mix
+
+
+@pytest.mark.parametrize("golden", [op07_mixing.GOLDEN, int(0.123 * 2**64)])
+def test_mixing_is_the_schedules(spark, documents, monkeypatch, golden):
+    monkeypatch.setattr(op07_mixing, "GOLDEN", golden)
+    rows, mix = op07_mixing.mixture(documents, block=97, least=1)
+    held = rows.orderBy("src", "bucket", "rn").collect()
+    aims = [t for _, t in sorted({(r.src, r.target) for r in held})]
+    n = op07_mixing.n_slots(sum(aims), 97, 1)
+    want = brute_schedule([(r.src, r.bucket, r.rn, r["size"]) for r in held], aims, n, sum(aims) / n)
+    got = defaultdict(lambda: defaultdict(int))
+    for r in mix.collect():
+        got[r.slot][r.src, r.bucket, r.rn] += r.last - r.first
+    for i, (src, words) in enumerate(want):
+        counts = defaultdict(int)
+        for bucket, rn in words:
+            counts[src, bucket, rn] += 1
+        assert got[i] == counts, i
+    if golden != int(0.123 * 2**64):  # every prefix is near the weights
+        seen = [0] * len(aims)
+        for i, (src, _) in enumerate(want, 1):
+            seen[src] += 1
+            assert all(abs(c - i * a / sum(aims)) < 4 for c, a in zip(seen, aims, strict=True))
+
+
+def test_mixing(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = op07_mixing.query(spark, "/root/testdata/sf0.01").join(documents, "doc_id").collect()
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in got}
-    assert all(r["size"] == size[r.doc_id] and 0 <= r.taken <= 2 * r["size"] for r in got)
+    assert all(r["size"] == size[r.doc_id] and 0 <= r.taken <= 2 * r["size"] and (r.taken > 0) == (r.first_slot is not None) for r in got)
     names = sorted({r.source for r in got})
     sizes = [sum(size[r.doc_id] for r in got if r.source == s) for s in names]
     for s, aim in zip(names, targets(sizes), strict=True):
         own = [r for r in got if r.source == s]
-        assert abs(own[0].target - aim) < 1e-6 * aim + 1e-6 and abs(sum(r.taken for r in own) - aim) <= 1
-    again = op07_mixing.query(spark, SF)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, op07_mixing.query(spark, SF).collect()))
-    slots = [r.src for r in mix.select("slot", "src").distinct().orderBy("slot").collect()]
-    half = slots[: len(slots) // 2]
-    assert all(abs(half.count(s) - slots.count(s) / 2) <= 6 for s in set(slots))
+        assert abs(own[0].target - aim) < 1e-6 * aim + 1e-6 and abs(sum(r.taken for r in own) - aim) <= 0.005 * aim + 50
+    again = op07_mixing.query(spark, "/root/testdata/sf0.01")
+    assert sorted(map(tuple, again.collect())) == sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken, r.first_slot) for r in got)
+
+
+def test_mixed_documents_follow_the_slots(spark, documents):
+    df = documents.withColumn("slot", F.lit("clash")).withColumn("sv_words", F.lit(1))
+    df = df.unionByName(df.limit(3)).unionByName(df.limit(2).withColumn("text", F.lit("other words")))
+    rows, mix = op07_mixing.mixture(df, block=97)
+    out = op07_mixing.mixed_documents(df, block=97)
+    assert out.columns == df.columns
+    found = out.collect()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    assert sum(len(words(r.text)) for r in found) == mix.agg(F.sum(F.col("last") - F.col("first"))).first()[0]
+    want = mix.groupBy(*op07_mixing.ROW, "key", "epoch").agg(F.min("slot").alias("slot")).orderBy("slot").collect()
+    first = {r.slot: set() for r in want}
+    for r in want:
+        first[r.slot].add(r.key)
+    at = 0
+    for s in sorted(first):  # documents of one slot in any order
+        n = sum(1 for r in want if r.slot == s)
+        assert {r.doc_id for r in found[at : at + n]} == first[s]
+        at += n
+    assert at == len(found)
 
 
 def test_mixed_documents_of_odd_rows(spark):
@@ -273,6 +331,7 @@ def test_mixed_documents_of_odd_rows(spark):
     assert words == want
     assert out.columns == odd(spark).columns
     assert op07_mixing.taken(*op07_mixing.mixture(odd(spark).limit(0))).count() == 0
+    assert op07_mixing.mixed_documents(odd(spark).limit(0)).count() == 0
 
 
 def test_quality(spark):
