@@ -1,9 +1,13 @@
 """Main text of HTML pages: flat text blocks, judged by their own and their neighbours' word counts and link densities.
 
-A page is read into flat blocks at block-level tags. Each block has its number of words, the share of them inside links, the
-same of the block before and after, and whether it stands inside an article or inside a container that names itself as page
-furniture. A decision tree, trained on the small labelled table below, keeps or leaves each block; kept blocks are joined in
-page order by one newline.
+A page is read into flat blocks at block-level tags, with tags, attributes and comments ended as the HTML standard has it. What stands in
+an element that the page itself declares to be a menu, header, footer, sidebar, notice, advert, form or reader comments (by tag, role, or
+a whole class or id name) gives no block. Each block has its number of words, the share of them inside links, the same of the block
+before and after, and whether it stands in the page's article, beside it, or on a page without one. A decision tree, trained on
+the small labelled table below, keeps or leaves each block; kept blocks are joined in page order by one newline.
+
+The article is what article and main elements hold, or containers that say so; a page whose such elements hold less than a third of the
+words outside links counts as one without. In the article the table keeps all blocks; on pages without one, words and links decide.
 
 A null or empty page gives the empty text. Unclosed and cut-off tags are taken as browsers do: an unfinished tag is dropped,
 an unclosed script or style runs to the end. Repeated rows each give a row; an empty table gives an empty one; other columns
@@ -13,6 +17,7 @@ are not read. Pages are narrow per row, so no shuffle is needed and no size of p
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,38 +27,72 @@ from pyspark.sql import functions as F
 from sparkvec.llm.common import by_bytes, texts
 from sparkvec.session import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-#: Elements whose content is not markup, or not shown.
-RAW = frozenset("script style title noscript template textarea iframe svg math object select option button".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog head".split())
-FURNITURE_NAMES = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
-ARTICLE_NAMES = frozenset("article story post entry content".split())
-
-#: The labelled table: words, link density, words and density before, words and density after, in article, in furniture, label.
+#: A value is quoted, or runs to white space or >; quotes elsewhere mean nothing.
+VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+ATTRIBUTES = rf"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{VALUE}?+)?+|=)*+"
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(>|\Z)|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)|</>", re.S)
+ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:\s*+=\s*+({VALUE})?+)?+")
+#: Elements whose content is no markup, and others whose content is not running text.
+RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
+APART = frozenset("template svg object select datalist button canvas audio video".split())
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
+EDGES = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in APART}
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+IN_HEAD = frozenset("base link meta script style title noscript template".split())
+#: A start tag of the first kind ends the innermost open one of the second, unless one of the third is in between.
+ENDED_BY = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
+
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search head".split())
+FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: A class or id names furniture if one of its parts between - and _ is a word of the first set, and the others are of either.
+FURNITURE = frozenset("ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar".split())
+NEUTRAL = frozenset("area bar body bottom box block container content form global group holder inner item left links list main message nested page panel primary reader right row secondary section site slot thread top unit user widget wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+ARTICLE = frozenset("article articlebody article-body article-content article-text entry-content post-body post-content story-body".split())
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    linked: int
+    in_article: bool
+
+
+class Place(NamedTuple):
+    tag: str
+    in_article: bool
+    furniture: bool
+    comments: bool  # furniture that an article inside doesn't end
+
+
+#: The labelled table: words, link density, words and density before, words and density after, place (2: in the article, 1: on a page
+#: without one, 0: beside it), label. From the layouts of news pages, blogs, manuals, forums and shops.
 LABELLED = (
-    (6, 1.0, 0, 0.0, 5, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0),
-    (12, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0), (30, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0), (55, 0.0, 60, 0.0, 20, 0.0, 0, 1, 0), (40, 0.1, 60, 0.0, 3, 1.0, 1, 1, 0),
-    (25, 0.0, 110, 0.0, 14, 0.0, 1, 1, 0), (4, 1.0, 60, 0.0, 5, 1.0, 1, 1, 0), (9, 0.0, 0, 0.0, 70, 0.0, 1, 1, 0), (120, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0),
-    (9, 0.0, 8, 0.0, 70, 0.0, 1, 0, 1), (70, 0.0, 9, 0.0, 80, 0.0, 1, 0, 1), (5, 0.0, 80, 0.0, 60, 0.0, 1, 0, 1), (1, 0.0, 66, 0.0, 12, 0.0, 1, 0, 1),
-    (12, 0.0, 1, 0.0, 0, 0.0, 1, 0, 1), (6, 0.0, 1, 1.0, 11, 0.0, 1, 0, 1), (3, 0.0, 5, 0.0, 4, 0.0, 1, 0, 1), (200, 0.05, 50, 0.0, 40, 0.0, 1, 0, 1),
-    (45, 0.3, 70, 0.0, 50, 0.1, 1, 0, 1), (20, 0.45, 70, 0.0, 60, 0.0, 1, 0, 1), (8, 0.5, 40, 0.0, 60, 0.0, 1, 0, 1), (90, 0.0, 5, 0.0, 2, 1.0, 1, 0, 1),
-    (4, 1.0, 70, 0.0, 3, 1.0, 1, 0, 0), (3, 1.0, 3, 1.0, 4, 1.0, 1, 0, 0), (12, 0.95, 60, 0.0, 2, 1.0, 1, 0, 0), (2, 1.0, 9, 0.0, 80, 0.0, 1, 0, 0),
-    (80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (40, 0.0, 6, 0.0, 50, 0.05, 0, 0, 1), (25, 0.0, 40, 0.0, 45, 0.0, 0, 0, 1), (60, 0.1, 30, 0.0, 20, 0.0, 0, 0, 1),
-    (18, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1), (9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1), (7, 0.0, 60, 0.0, 35, 0.0, 0, 0, 1), (150, 0.02, 3, 1.0, 4, 1.0, 0, 0, 1),
-    (35, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1), (30, 0.2, 55, 0.0, 2, 1.0, 0, 0, 1), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0),
-    (6, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0), (10, 0.0, 5, 1.0, 6, 0.5, 0, 0, 0), (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0), (15, 0.8, 10, 0.7, 12, 0.9, 0, 0, 0),
-    (25, 0.9, 4, 1.0, 6, 1.0, 0, 0, 0), (40, 0.7, 3, 1.0, 5, 1.0, 0, 0, 0), (8, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0), (6, 0.3, 45, 0.0, 3, 1.0, 0, 0, 0),
-    (2, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0), (11, 0.0, 60, 0.0, 4, 0.9, 0, 0, 0), (3, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0), (9, 0.6, 30, 0.0, 4, 1.0, 0, 0, 0),
+    # in an article: title, lead, paragraphs, captions, lists of links, one-word lines
+    (9, 0.0, 0, 0.0, 70, 0.0, 2, 1), (70, 0.0, 9, 0.0, 80, 0.0, 2, 1), (5, 0.0, 80, 0.0, 60, 0.0, 2, 1), (1, 0.0, 66, 0.0, 12, 0.0, 2, 1),
+    (12, 0.0, 1, 0.0, 0, 0.0, 2, 1), (4, 1.0, 70, 0.0, 3, 1.0, 2, 1), (3, 1.0, 4, 1.0, 0, 0.0, 2, 1), (20, 0.8, 70, 0.0, 60, 0.0, 2, 1),
+    (2, 0.0, 3, 1.0, 4, 1.0, 2, 1), (140, 0.1, 12, 1.0, 9, 1.0, 2, 1), (6, 0.0, 0, 0.0, 0, 0.0, 2, 1), (1, 1.0, 0, 0.0, 0, 0.0, 2, 1),
+    # beside an article: site names, teasers, dates, offers, legal lines
+    (6, 1.0, 0, 0.0, 5, 1.0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 0), (30, 0.0, 90, 0.0, 0, 0.0, 0, 0), (55, 0.0, 60, 0.0, 20, 0.0, 0, 0),
+    (12, 0.2, 9, 0.0, 0, 0.0, 0, 0), (2, 0.0, 0, 0.0, 9, 0.0, 0, 0), (120, 0.0, 14, 1.0, 11, 1.0, 0, 0), (40, 0.5, 60, 0.0, 3, 1.0, 0, 0),
+    # no article element: paragraphs of any length among others, whatever links stand near
+    (80, 0.0, 60, 0.0, 70, 0.0, 1, 1), (40, 0.0, 6, 0.0, 50, 0.05, 1, 1), (25, 0.0, 40, 0.0, 45, 0.0, 1, 1), (60, 0.1, 30, 0.0, 20, 0.0, 1, 1),
+    (18, 0.0, 50, 0.0, 60, 0.0, 1, 1), (150, 0.02, 3, 1.0, 4, 1.0, 1, 1), (35, 0.0, 2, 1.0, 45, 0.0, 1, 1), (30, 0.2, 55, 0.0, 2, 1.0, 1, 1),
+    (22, 0.3, 2, 1.0, 4, 1.0, 1, 1), (28, 0.0, 0, 0.0, 3, 1.0, 1, 1), (45, 0.35, 20, 0.0, 0, 0.0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 1),
+    # headings, short paragraphs and last lines next to paragraphs
+    (9, 0.0, 40, 0.0, 60, 0.0, 1, 1), (7, 0.0, 60, 0.0, 35, 0.0, 1, 1), (4, 0.0, 3, 1.0, 60, 0.0, 1, 1), (8, 0.0, 50, 0.0, 0, 0.0, 1, 1),
+    (6, 0.3, 45, 0.0, 3, 1.0, 1, 1), (11, 0.0, 60, 0.0, 4, 0.9, 1, 1), (1, 0.0, 30, 0.0, 30, 0.0, 1, 1), (3, 0.0, 0, 0.0, 25, 0.0, 1, 1),
+    (12, 0.0, 14, 0.0, 13, 0.0, 1, 1), (10, 0.0, 12, 0.0, 5, 1.0, 1, 1), (9, 0.0, 4, 1.0, 15, 0.0, 1, 1), (14, 0.1, 9, 0.0, 8, 0.0, 1, 1),
+    (6, 0.0, 13, 0.0, 2, 0.0, 1, 1), (2, 0.0, 3, 0.0, 12, 0.0, 1, 1),
+    # menus, link lists, site names and lone labels between them
+    (5, 1.0, 2, 1.0, 3, 1.0, 1, 0), (4, 1.0, 3, 1.0, 60, 0.0, 1, 0), (3, 1.0, 80, 0.0, 60, 0.0, 1, 0), (15, 0.8, 10, 0.7, 12, 0.9, 1, 0),
+    (25, 0.9, 4, 1.0, 6, 1.0, 1, 0), (40, 0.7, 3, 1.0, 5, 1.0, 1, 0), (9, 0.6, 30, 0.0, 4, 1.0, 1, 0), (60, 0.95, 70, 0.0, 0, 0.0, 1, 0),
+    (3, 0.0, 0, 0.0, 2, 1.0, 1, 0), (2, 0.0, 2, 1.0, 1, 1.0, 1, 0), (6, 0.0, 5, 1.0, 6, 0.9, 1, 0), (5, 0.0, 2, 1.0, 3, 1.0, 1, 0),
+    (4, 0.0, 3, 1.0, 0, 0.0, 1, 0), (7, 0.2, 4, 1.0, 2, 1.0, 1, 0), (3, 0.0, 2, 0.0, 1, 1.0, 1, 0), (2, 0.0, 0, 0.0, 3, 0.0, 1, 0), (1, 1.0, 40, 0.0, 1, 1.0, 1, 0),
 )
-#: More labelled rows by rule: blocks of any length between any neighbours, in an article, in furniture, and in both.
-AROUND = ((0, 60), (60, 0), (4, 15), (15, 4), (200, 200), (2, 120), (0, 0))
-LABELLED += tuple((w, 0.0, p, 0.0, n, 0.0, a, f, 1 - f) for w in (1, 4, 12, 40, 120) for p, n in AROUND for a, f in ((1, 0), (0, 1), (1, 1)))
 
 
-def train(rows: tuple = LABELLED, depth: int = 7) -> tuple:
+def train(rows: tuple = LABELLED, depth: int = 9) -> tuple:
     """A decision tree by Gini impurity: nested (feature, threshold, below, above), or a label."""
 
     def grow(x: np.ndarray, y: np.ndarray, left: int) -> tuple | int:
@@ -83,68 +122,113 @@ def judge(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-def names_of(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    return {n for m in NAMES.finditer(attributes) for n in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+def attributes(raw: str) -> dict[str, str]:
+    """Names and values, the first of each name."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        v = m[2] or ""
+        out.setdefault(m[1].lower(), html.unescape(v[1:-1] if v[:1] in "\"'" and v[:1] == v[-1:] and len(v) > 1 else v))
+    return out
+
+
+def furniture_words(name: str) -> set[str]:
+    """The words by which a class or id names furniture, none if it names something else."""
+    parts = [p for p in re.split(r"[-_]+", name.lower()) if p and not p.isdigit()]
+    return set(parts) & FURNITURE if all(p in FURNITURE or p in NEUTRAL for p in parts) else set()
+
 
+def entered(tag: str, raw: str, at: Place) -> Place:
+    """The place inside a new element."""
+    a = attributes(raw) if "=" in raw else {}
+    names = [*a.get("class", "").split(), *a.get("id", "").split()]
+    role = a.get("role", "").lower()
+    named = set().union(*map(furniture_words, names)) if tag not in ("html", "body", "main") else set()
+    comments = at.comments or tag == "aside" or bool(named & COMMENTS)
+    article = tag in ("article", "main") or role in ("article", "main") or any(n.lower() in ARTICLE for n in [*names, a.get("itemprop", "")])
+    if article and not comments and not named:
+        return Place(tag, True, False, False)
+    if at.in_article:
+        named.discard("header")
+    own = tag in FURNITURE_TAGS or (tag == "header" and not at.in_article) or role in FURNITURE_ROLES or bool(named)
+    return Place(tag, at.in_article, at.furniture or own, comments)
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in article, in furniture) of the page's flat blocks in order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, in article, in furniture
+
+def blocks(page: str) -> list[Block]:
+    """The page's flat blocks in order, without furniture."""
+    out: list[Block] = []
+    places: list[Place] = []
+    outside = Place("", False, False, False)
     parts: list[str] = []
     linked: list[str] = []
-    in_link, at, low = False, 0, ""
+    link: int | None = None  # open places where the link began
+    at = 0
 
     def close() -> None:
         if parts:
+            here = places[-1] if places else outside
             words = "".join(parts).split()
-            if words:
-                _, article, furniture = open_tags[-1] if open_tags else ("", False, False)
-                out.append((" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), article, furniture))
+            if words and not here.furniture:
+                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), here.in_article))
             parts.clear()
             linked.clear()
 
+    def leave(i: int) -> None:
+        nonlocal link
+        close()
+        del places[i:]
+        if link is not None and link > i:
+            link = None
+
     def say(raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if in_link:
+            if link is not None:
                 linked.append(text)
 
-    while m := TAG.search(page, at):
+    for m in iter(lambda: TAG.search(page, at), None):
         say(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or m[4] == "":
             continue
         tag, ends = m[2].lower(), m[1] == "/"
-        if tag in RAW and not ends:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style"):
-                low = low or page.lower()
-                shut = low.find(f"</{tag}", at)
-                stop = page.find(">", shut) if shut >= 0 else -1
-                at = stop + 1 if stop >= 0 else len(page)
+        if not ends and tag not in IN_HEAD and places and places[-1].tag == "head":
+            leave(len(places) - 1)
+        if tag == "br":
+            parts.append(" ")
         elif tag == "a":
-            in_link = not ends
-        elif tag == "br":
+            link = None if ends or "href" not in attributes(m[3]) else len(places)
+            linked.append(" ")
+        elif tag in RAW and not ends:
+            shut = ENDS[tag].search(page, at)
+            at = shut.end() if shut else len(page)
+        elif tag in APART and not ends:
+            depth, stop = 1, at
+            for e in EDGES[tag].finditer(page, at):
+                depth += -1 if e[1] else 0 if e[0].endswith("/>") else 1
+                if depth == 0:
+                    stop = e.end()
+                    break
+            at = stop
             parts.append(" ")
-        elif tag in BLOCK or (open_tags and ends and any(x[0] == tag for x in open_tags)):
+        elif tag in BLOCK or any(p.tag == tag for p in places):
             close()
-            in_link = False
             if ends:
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] == tag:
-                        del open_tags[i:]
-                        break
-            elif tag not in VOID and not m[3].rstrip().endswith("/"):
-                if tag in ("p", "li", "dd", "dt", "tr", "td", "th") and open_tags and open_tags[-1][0] == tag:
-                    open_tags.pop()
-                _, article, furniture = open_tags[-1] if open_tags else ("", False, False)
-                names = names_of(m[3])
-                article = article or tag in ("article", "main") or bool(names & ARTICLE_NAMES)
-                furniture = furniture or tag in FURNITURE_TAGS or (tag == "header" and not article) or (tag not in ("html", "body", "article", "main") and bool(names & FURNITURE_NAMES))
-                open_tags.append((tag, article, furniture))
+                i = next((i for i in range(len(places) - 1, -1, -1) if places[i].tag == tag), None)
+                if i is not None:
+                    leave(i)
+            elif tag != "hr":
+                if places and places[-1].tag == "p" and tag not in ("html", "body"):
+                    leave(len(places) - 1)
+                if tag in ENDED_BY:
+                    open_ones, bound = (x.split() for x in ENDED_BY[tag])
+                    for i in range(len(places) - 1, -1, -1):
+                        if places[i].tag in bound:
+                            break
+                        if places[i].tag in open_ones:
+                            leave(i)
+                            break
+                places.append(entered(tag, m[3], places[-1] if places else outside))
     say(page[at:])
     close()
     return out
@@ -152,8 +236,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
 def main_text(page: str, tree: tuple) -> str:
     found = blocks(page)
-    sizes = [(0, 0.0), *((w, n / w) for _, w, n, _, _ in found), (0, 0.0)]
-    return "\n".join(b[0] for i, b in enumerate(found, 1) if judge(tree, (*sizes[i], *sizes[i - 1], *sizes[i + 1], b[3], b[4])))
+    plain = sum(b.words - b.linked for b in found)
+    inside = sum(b.words - b.linked for b in found if b.in_article)
+    whole = any(b.in_article for b in found) and 3 * inside >= plain
+    sizes = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
+    places = [(2 if b.in_article else 0) if whole else 1 for b in found]
+    return "\n".join(b.text for i, b in enumerate(found) if judge(tree, (*sizes[i + 1], *sizes[i], *sizes[i + 2], places[i])))
 
 
 def extract(df: DataFrame, page: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:

@@ -385,10 +385,9 @@ def test_scores_are_kneser_neys(spark, texts, monkeypatch):
     asked = ["The and of", "中文", "日本語 the", "q", "", None, "aaaa" * 40, "x\x02y \ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), next(iter(texts.values()))[:2500]]
     train = spark.createDataFrame([(m, t) for m, c in corpora.items() for t in c], "model long, text string")
     seen, weights = op03_quality.estimated(op03_quality.counted(train))
-    rows = [(m, (i, t), len(t or "")) for m in corpora for i, t in enumerate(asked)]
-    rows = spark.createDataFrame(rows, "model long, row struct<id: int, text: string>, n int")
+    rows = spark.createDataFrame([(m, i, t) for m in corpora for i, t in enumerate(asked)], "model long, id int, text string")
     monkeypatch.setattr(op03_quality, "BLOCK", 300)
-    got = {(r.model, r.row.id): r.nll for r in op03_quality.scored(rows.select("*", F.col("model").alias("of")), 1, seen, weights).select("row", "nll", F.col("of").alias("model")).collect()}
+    got = {(r.of, r.id): r.nll for r in op03_quality.scored(rows.withColumn("of", F.col("model")), seen, weights).collect()}
     models = {m: KneserNey(c) for m, c in corpora.items()}
     assert len(got) == len(corpora) * len(asked)
     for (m, i), nll in got.items():
@@ -434,3 +433,75 @@ def test_html(spark):
     want = "A & B\nFirst paragraph of the story é with a link in it.\nShort.\nLast one ends here."
     assert got == [(1, want, len(want)), (2, "", 0), (3, "", 0), (4, "Cut off &am", 11), (4, "x", 1), (None, "", 0)]
     assert op09_html.extract(df.limit(0)).count() == 0
+
+
+LONG = "This paragraph has more than a score of words, so it is taken for running text of the story and not for one of the labels around it."
+
+
+def extracted(page, tree=op09_html.train()):
+    return op09_html.main_text(page, tree)
+
+
+def test_the_table_is_learnt():
+    assert all(op09_html.judge(op09_html.train(), r[:-1]) == r[-1] for r in op09_html.LABELLED)
+
+
+@pytest.mark.parametrize("name", ["entry-header", "post-header", "content has-sidebar", "story related-topic", "main-content", "ad-hoc-notes", "page"])
+def test_names_that_are_not_furniture(name):
+    page = f'<body><div class="{name}"><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></body>'
+    assert extracted(page) == f"Head\n{LONG}\nShort.\n{LONG}"
+
+
+@pytest.mark.parametrize("apart", ['<div class="ad">', '<div id="comments">', '<ol class="comment-list">', '<div class="cookie-notice">', '<ul class="nav menu">', '<div role="navigation">', "<aside>", "<form action=x>", "<footer>", '<section class="reader-comments">', '<div class="newsletter-signup box">', '<div class="site-banner">', "<nav>"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_furniture(apart, inside):
+    tag = apart[1:].split()[0].strip(">")
+    box = f"{apart}<h2>Not this</h2><article><p>{LONG} Nor this.</p></article></{tag}>" if "comment" in apart or tag == "aside" else f"{apart}<h2>Not this</h2><p>{LONG} Nor this.</p></{tag}>"
+    page = f"<body><article><h1>Head</h1><p>One.</p>{box if inside else ''}<p>Two.</p></article>{'' if inside else box}</body>"
+    assert extracted(page) == "Head\nOne.\nTwo."
+
+
+def test_html_syntax():
+    art = "<article>{}</article>".format
+    assert extracted(art("<p>" + "\u0130" * 40 + "<SCRIPT>no</sCript ><p>yes")) == "\u0130" * 40 + "\nyes"
+    assert extracted(art("<p title=it's>a<p data-x='>'>b<p x=\"1\"y='2'>c<p =d>e</p>")) == "a\nb\nc\ne"
+    assert extracted(art("<p>a < b &lt; c &amp;amp; &#8364;&eacute &notit; x<!-- <p>no --><!-->d<!doctype x><?php no ?></3 no>e</p>")) == "a < b < c &amp; €é ¬it; xde"
+    assert extracted(art("<p>a<br>b\n\t c&nbsp;d<textarea><p>no</textarea><select><option>no<option>no</select><svg><title>no</title><svg></svg></svg>e</p>")) == "a b c d e"
+    assert extracted("<head><title>no</title><p>yes") == "" and extracted(f"<head><title>no</title><p>{LONG}") == LONG
+    assert extracted(art("<p>a</p><p class='x")) == "a"
+    assert extracted(f'<div><a href="/x"><h2>Menu one</h2><h2>Menu two</h2></a></div><p>{LONG}</p>') == LONG  # a link around blocks
+    assert extracted(f'<div><a name="x">Heading</a></div><p>{LONG}</p>') == f"Heading\n{LONG}"
+    assert extracted(art(f'<p>Under twenty-eight words.</p><p><a href="a">all link</a></p><p>{LONG}</p>')) == f"Under twenty-eight words.\nall link\n{LONG}"
+    assert extracted(art("<p>x</p>" * 30_000 + "<b>" * 30_000)).count("x") == 30_000
+
+
+def test_pages_against_another_parser(spark):
+    from html.parser import HTMLParser
+
+    class Articles(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.deep, self.out = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag == "article"
+            self.out[-1] += " " if tag == "br" else ""
+            if tag in ("p", "h1", "article"):
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            self.deep -= tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.out.append("")
+
+        def handle_data(self, data):
+            if self.deep:
+                self.out[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in op09_html.extract(pages).collect()}
+    for r in pages.collect():
+        a = Articles()
+        a.feed(r.html or "")
+        a.close()
+        assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in a.out if x.split())
