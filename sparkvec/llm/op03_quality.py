@@ -10,7 +10,7 @@ the first, so no document is scored by a model that has seen it.
    by grouping. Each order's n-grams are joined with their contexts and with the next lower order on sharded keys, which gives every
    seen n-gram its probability and every context its back-off weight.
 2. Documents are dealt to blocks of one model and bounded text. The different 4-grams of a block are pre-aggregated there;
-   all blocks' ones are joined, order by order, with the probabilities and weights, and each block gets back the log-probabilities
+   they are joined, order by order, with the probabilities and weights, and each block gets back the log-probabilities
    of its own n-grams. No task holds a whole model, and no table goes to the driver.
 3. A document's perplexity is over all its characters. A group's limit is a quantile of its trusted documents' perplexities, from a
    histogram with steps of 1/1000 nat.
@@ -154,50 +154,47 @@ def estimated(top: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def log_probabilities(wanted: DataFrame, seen: DataFrame, weights: DataFrame) -> DataFrame:
-    """model, code and the log-probability of the last character, for wanted(model, code): from the longest seen ending up."""
-    out = wanted.select("model", "code", F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("w"))
+    """wanted(model, block, code) with the log-probability logp of the last character: from the longest seen ending up."""
+    own = ["model", "block", "code"]
+    out = wanted.select(*own, F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("w"))
     for k in range(ORDER, -1, -1):
         one = seen.where(F.col("k") == k).select("model", F.col("code").alias("end"), F.col("p").alias("found"))
         out = out.withColumn("end", last(F.col("code"), k)).join(one, ["model", "end"], "left")
-        out = out.select("model", "code", F.coalesce("p", F.col("w") * F.col("found")).alias("p"), "w")
+        out = out.select(*own, F.coalesce("p", F.col("w") * F.col("found")).alias("p"), "w")
         if k > 0:
             back = weights.where(F.col("k") == k).select("model", "context", "weight")
             out = out.withColumn("context", F.shiftrightunsigned(last(F.col("code"), k), BITS)).join(back, ["model", "context"], "left")
-            out = out.select("model", "code", "p", F.when(F.col("p").isNull(), F.col("w") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("w")).alias("w"))
-    return out.select("model", "code", F.log("p").alias("logp"))
+            out = out.select(*own, "p", F.when(F.col("p").isNull(), F.col("w") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("w")).alias("w"))
+    return out.select(*own, F.log("p").alias("logp"))
 
 
-def scored(rows: DataFrame, text_at: int, seen: DataFrame, weights: DataFrame) -> DataFrame:
-    """rows(model, row, ...) with the mean negative log-probability nll of a text's characters; null for a text without any.
+def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool = False) -> DataFrame:
+    """rows(model, id, text, ...) with the mean negative log-probability nll of a text's characters; null for a text without any.
 
-    The text is the field of `row` at place text_at, n its characters.
+    The texts are left out of the result if it is without them.
     """
-    sizes = rows.groupBy("model").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("long").alias("blocks"))
+    sizes = rows.groupBy("model").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / BLOCK)).cast("long").alias("blocks"))
     rows = rows.join(small_enough(written(sizes), 32), "model")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
     by = ["model", "block"]
 
-    def text_of(t: pa.Table) -> list[str]:
-        return [x or "" for x in pc.struct_field(t["row"], text_at).to_pylist()]
-
     def different(t: pa.Table) -> pa.Table:
         known = np.zeros(0, np.int64)
-        for codes, _, _ in pieces(text_of(t)):
+        for codes, _, _ in pieces([x or "" for x in t["text"].to_pylist()]):
             known = encoded(np.concatenate([known, encoded(codes)[0]]))[0]
         model, block = (pa.array(np.full(len(known), t[c][0].as_py()), pa.int64()) for c in by)
         return pa.table([model, block, pa.array(known)], [*by, "code"])
 
     pairs = rows.groupBy(*by).applyInArrow(different, "model long, block long, code long")
-    found = log_probabilities(pairs.select("model", "code").distinct(), seen, weights)
-    back = pairs.join(found, ["model", "code"]).select(*by, "code", "logp")
-    rest = [c for c in rows.columns if c not in by]
+    back = log_probabilities(pairs, seen, weights)
+    rest = [c for c in rows.columns if c not in by and (with_text or c != "text")]
 
     def score(t: pa.Table, known: pa.Table) -> pa.Table:
         code, logp = known["code"].to_numpy(), known["logp"].to_numpy()
         order = np.argsort(code)
         code, logp = code[order], logp[order]
         total, n = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
-        for codes, of, size in pieces(text_of(t)):
+        for codes, of, size in pieces([x or "" for x in t["text"].to_pylist()]):
             new, at = encoded(codes)
             each = logp[np.searchsorted(code, new)][at]
             np.add.at(total, of, np.add.reduceat(each, np.cumsum(size) - size))
@@ -219,37 +216,40 @@ def model_of(group: Column, part: Column) -> Column:
     return F.xxhash64(group, part)
 
 
-def judged(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, quantile: float) -> DataFrame:
-    """row (a struct of df's columns), nll, limit and keep of every row."""
-    at = df.columns.index(text)
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(key).alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
+def judged(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, quantile: float, with_text: bool) -> DataFrame:
+    """row (a struct of df's other columns), text if asked for, nll, limit and keep of every row."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text]
+    rows = df.select(F.struct(*rest).alias("row"), F.col(text).alias("text"), F.col(key).alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
     ids = trusted_ids(labels, key)
-    rows = rows.join(small_enough(ids, 24), F.col("id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull() & (F.col("n") > 0)).drop("trusted_id")
+    rows = rows.join(small_enough(ids, 24), F.col("id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0)).drop("trusted_id")
     rows = rows.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
     per = written(rows.where("trusted").groupBy("lang", "half").count())
     halves = {r[0]: r[1] for r in per.groupBy("half").agg(F.sum("count")).collect()}  # two rows
+    shown = ["row", "text"] if with_text else ["row"]
     if not halves:
-        return rows.select("row", F.lit(None).cast("double").alias("nll"), F.lit(None).cast("double").alias("limit"), (F.col("n") > 0).alias("keep"))
+        none = F.lit(None).cast("double")
+        return rows.select(*shown, none.alias("nll"), none.alias("limit"), F.coalesce(F.length("text") > 0, F.lit(False)).alias("keep"))
     own = per.groupBy("lang").agg(F.sum("count").alias("docs"), F.count("*").alias("halves")).where((F.col("docs") >= FEW) & (F.col("halves") == 2))
     rows = rows.join(small_enough(written(own.select("lang", F.col("lang").alias("grp"))), 64), "lang", "left")
     part = F.when(F.col("trusted") & F.lit(len(halves) == 2), F.col("half")).otherwise(F.lit(2))
-    trusted = rows.where("trusted").select("grp", "half", F.col("row").getField(text).alias("text"))
+    trusted = rows.where("trusted").select("grp", "half", "text")
     both = F.explode(F.array(F.lit(2), 1 - F.col("half"))).alias("part")
     some = trusted.select("grp", both, "text").where("grp is not null")
-    shared = not rows.where("grp is null and n > 0").isEmpty()
+    shared = not rows.where("grp is null and length(text) > 0").isEmpty()
+    of_all = F.lit(None).cast("string")
     if shared:
-        some = some.unionByName(trusted.select(F.lit(None).cast("string").alias("grp"), both, "text"))
+        some = some.unionByName(trusted.select(of_all.alias("grp"), both, "text"))
     seen, weights = estimated(written(counted(some.select(model_of(F.col("grp"), F.col("part")).alias("model"), "text"))))
 
     # trusted documents of other groups also set the limit of the one for all
-    ask = rows.select("row", "grp", "trusted", "n", F.lit(True).alias("first"), model_of(F.col("grp"), part).alias("model"))
+    ask = rows.select("row", "id", "text", "grp", "trusted", F.lit(True).alias("first"), model_of(F.col("grp"), part).alias("model"))
     if shared:
         again = rows.where("trusted and grp is not null")
-        ask = ask.unionByName(again.select("row", F.lit(None).cast("string").alias("grp"), "trusted", "n", F.lit(False).alias("first"), model_of(F.lit(None).cast("string"), part).alias("model")))
-    done = written(scored(ask, at, seen, weights))
+        ask = ask.unionByName(again.select("row", "id", "text", of_all.alias("grp"), "trusted", F.lit(False).alias("first"), model_of(of_all, part).alias("model")))
+    done = written(scored(ask, seen, weights, with_text))
     limits = small_enough(written(limit_of(done.where("trusted and nll is not null"), quantile)), 64)
     done = done.where("first").join(limits, F.col("grp").eqNullSafe(F.col("of")), "left")
-    return done.select("row", "nll", "limit", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)).alias("keep"))
+    return done.select(*shown, "nll", "limit", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)).alias("keep"))
 
 
 def limit_of(scores: DataFrame, quantile: float) -> DataFrame:
@@ -262,13 +262,14 @@ def limit_of(scores: DataFrame, quantile: float) -> DataFrame:
 
 def classified(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """key, lang, perplexity, max_perplexity (the language's) and keep."""
-    out = judged(df.select(key, lang, text), labels, key, text, lang, quantile)
+    out = judged(df.select(key, lang, text), labels, key, text, lang, quantile, False)
     return out.select(*(F.col("row").getField(c).alias(c) for c in (key, lang)), F.exp("nll").alias("perplexity"), F.exp("limit").alias("max_perplexity"), "keep")
 
 
 def kept(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """The rows of df that the classifier keeps."""
-    return judged(df, labels, key, text, lang, quantile).where("keep").select("row.*")
+    out = judged(df, labels, key, text, lang, quantile, True).where("keep")
+    return out.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
