@@ -1,18 +1,16 @@
-"""Token counts by a lazily compiled deterministic transducer over text chunks.
+"""Token counts by a compiled finite-state transducer whose transitions carry the number of tokens they emit.
 
-The transducer reads white-space separated segments. Its transition on a segment stays at the boundary state and emits the
-number of tokens that the library gives for it; transitions are compiled on first use and kept. A chunk of text that begins
-and ends anywhere is a map from the state before it to the state after it: what it emits depends only on the unfinished
-segment it is entered with. Such a map is kept as (head, emitted, tail, cut): `head` completes the segment that was open
-before, `emitted` is the sum between, `tail` is left open. Maps compose associatively, and a prefix scan in pairs
-gives the map, so the count, of the whole text.
+`transducer` compiles the tokenizer's pattern and merges into a deterministic transducer over characters. Every text, short or long, is cut
+into chunks. A chunk is a map from the state before it to the state behind it and the tokens emitted; maps compose associatively,
+and a prefix scan in pairs gives the map, so the count, of the whole text from the start state. Chunks are run from the
+start state first; entered from another one, only the characters until both ways meet are run again. A text without any
+white space is no special case.
 
-Nulls and empty texts have 0 tokens and 0 bytes. Repeated rows give repeated rows; an empty table gives an empty one. Other
-columns, whatever their names, are not read.
+Nulls and empty texts have 0 tokens and 0 bytes. Special strings are met in their own case, count 1, and are outside of all merges.
+Repeated rows give repeated rows; an empty table gives an empty one. Other columns, whatever their names, are not read.
 """
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import public_tokenizers
 import pyarrow as pa
@@ -20,79 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import by_bytes, texts
-from sparkvec.llm.words import CUTS, Segments, segments_of, summed
+from sparkvec.llm.transducer import count_text, machine_of
 from sparkvec.session import table
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
 
 
-class ChunkMap(NamedTuple):
-    head: str
-    emitted: int
-    tail: str
-    cut: bool  # False: the chunk is inside one segment, and head holds all of it
-
-
-EMPTY = ChunkMap("", 0, "", False)
-
-
-def emitted(known: Segments, parts: list[str]) -> int:
-    numbers = known.numbers(parts)
-    return int(known.counts[numbers].sum())
-
-
-def chunk_map(known: Segments, chunk: str) -> ChunkMap:
-    parts = CUTS.split(chunk)
-    if len(parts) == 1:
-        return ChunkMap(chunk, 0, "", False)
-    return ChunkMap(parts[0], emitted(known, parts[1:-1]), parts[-1], True)
-
-
-def compose(known: Segments, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-    """First a, then b."""
-    if not a.cut:
-        return ChunkMap(a.head + b.head, b.emitted, b.tail, b.cut)
-    if not b.cut:
-        return ChunkMap(a.head, a.emitted, a.tail + b.head, True)
-    return ChunkMap(a.head, a.emitted + emitted(known, [a.tail + b.head]) + b.emitted, b.tail, True)
-
-
-def scan(known: Segments, maps: list[ChunkMap]) -> list[ChunkMap]:
-    """All prefixes' maps: pairs are composed, the pairs' prefixes found in the same way, then the ones between."""
-    if len(maps) < 2:
-        return list(maps)
-    pairs = [compose(known, a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
-    wide = scan(known, pairs)
-    out = [maps[0]]
-    for i in range(1, len(maps)):
-        out.append(wide[i // 2] if i % 2 else compose(known, wide[i // 2 - 1], maps[i]))
-    return out
-
-
-def finish(known: Segments, m: ChunkMap) -> int:
-    """What the map emits from the start of a text to its end."""
-    return m.emitted + emitted(known, [m.head, m.tail] if m.cut else [m.head])
-
-
-def count_text(known: Segments, text: str, chunk: int = CHUNK) -> int:
-    """The count of one text, cut into chunks."""
-    maps = [chunk_map(known, text[i : i + chunk]) for i in range(0, len(text), chunk)]
-    return finish(known, scan(known, maps)[-1]) if maps else 0
-
-
 def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """key, n_bytes (UTF-8) and n_tokens of every whole text, without added special tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = segments_of(path)
+        machine = machine_of(path)
         for b in by_bytes(batches, "text"):
-            whole = texts(b)
-            long = {i: count_text(known, t, chunk) for i, t in enumerate(whole) if len(t) > chunk}
-            numbers, per_text = known.of_texts(["" if i in long else t for i, t in enumerate(whole)])
-            n = summed(known.counts[numbers], per_text)  # texts of one chunk: their maps are closed on both sides
-            for i, c in long.items():
-                n[i] = c
+            n = [count_text(machine, t, chunk) for t in texts(b)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     t = F.coalesce(F.col(text), F.lit(""))

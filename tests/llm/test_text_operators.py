@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkvec.llm import op02_line_dedup, op03_quality, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html
+from sparkvec.llm import op02_line_dedup, op03_quality, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html, transducer
 from sparkvec.llm.words import segments_of
 
 SF = "/root/testdata/sf0.001"
@@ -59,11 +59,39 @@ def test_special_strings_keep_their_case():
     assert ids.tolist() == [i for x in library(some) for i in x]
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 50])
-def test_chunk_maps_compose(chunk):
-    known = segments_of(BPE)
-    for text, ids in zip(ODD[1:6] + ODD[7:], library(ODD[1:6] + ODD[7:]), strict=True):
-        assert op08_token_counts.count_text(known, text, chunk) == len(ids)
+def fuzzed(n, seed):
+    rng = random.Random(seed)
+    some = ["a", "b", "th", "e", "'", "'s", "'re", "'l", "'ll", "'v", "r", "1", "2٣", "é", "e\u0301", "İ", "ς", "Σ", "日本", "😀", "!", "?!", " ", "\n", "<|endoftext|>", "<|END", "|>", "\x1d", "\u3000", "ing", "tion", "S", "ß", "ﬁ", "²", "_"]
+    return ["".join(rng.choice(some) for _ in range(rng.randrange(1, 25))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("chunk", "states"), [(1, 150_000), (2, 40), (7, 150_000), (1000, 40)])
+def test_chunk_maps_compose(monkeypatch, chunk, states):
+    monkeypatch.setattr(transducer, "MOST_STATES", states)
+    monkeypatch.setattr(transducer.ChunkMap, "MARK_EVERY", 3)
+    machine = transducer.Machine(BPE)
+    some = [*ODD[1:6], *ODD[7:], *fuzzed(2000, chunk)]
+    assert [transducer.count_text(machine, t, chunk) for t in some] == [len(ids) for ids in library(some)]
+    assert len(machine.states) <= states
+
+
+def test_emitted_tokens_are_those_of_every_prefix():
+    machine = transducer.machine_of(BPE)
+    text = "it's they'll don't're hello, (world)!! 2024 straße unbelievably antidisestablishmentarianism'll"
+    state, n = machine.start, 0
+    for i, c in enumerate(text):
+        state, k = state[c]
+        n += k
+        assert n == len(library([text[: i + 1]])[0]), text[: i + 1]
+
+
+def test_a_long_text_without_white_space():
+    rng = random.Random(4)
+    machine = transducer.machine_of(BPE)
+    text = "".join(rng.choice(["the", "ing", "ation", "er", "st", "q", "1"]) for _ in range(1_500_000))
+    cut = text[:150_000]
+    assert transducer.count_text(machine, cut, 1000) == len(library([cut])[0])
+    assert transducer.count_text(machine, text, 1 << 16) == transducer.count_text(machine, text, len(text))
 
 
 def test_token_files(spark, texts):
