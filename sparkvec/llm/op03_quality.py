@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ ORDER, BITS, QUANTILE, FEW = 4, 16, 0.98, 100
 #: Stands before a text.
 START = "\x02" * (ORDER - 1)
 #: Characters of a block, characters that are coded at once.
-BLOCK, PIECE = 32 << 20, 1 << 20
+BLOCK, PIECE = 8 << 20, 1 << 20
 #: Stand-ins of characters beyond U+FFFF: the private-use area.
 BEYOND, BEYOND_SIZE = 0xE000, 6400
 
@@ -168,6 +169,26 @@ def log_probabilities(wanted: DataFrame, seen: DataFrame, weights: DataFrame) ->
     return out.select(*own, F.log("p").alias("logp"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with compressed texts, since these are shuffled."""
+    names = rows.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in by_bytes(batches, "text"):
+            raw = pa.array([None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()], pa.binary())
+            yield pa.record_batch([raw if i == at else c for i, c in enumerate(b.columns)], names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema.fields]))
+
+
+def unpacked(t: pa.Table) -> list[str]:
+    """The texts of a table; null is the empty one."""
+    z = zstandard.ZstdDecompressor()
+    return ["" if x is None else z.decompress(x).decode("utf-8", "surrogatepass") for x in t["text"].to_pylist()]
+
+
 def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool = False) -> DataFrame:
     """rows(model, id, text, ...) with the mean negative log-probability nll of a text's characters; null for a text without any.
 
@@ -175,12 +196,12 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool
     """
     sizes = rows.groupBy("model").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / BLOCK)).cast("long").alias("blocks"))
     rows = rows.join(small_enough(written(sizes), 32), "model")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+    rows = packed(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.coalesce("blocks", F.lit(1)))).drop("blocks"))
     by = ["model", "block"]
 
     def different(t: pa.Table) -> pa.Table:
         known = np.zeros(0, np.int64)
-        for codes, _, _ in pieces([x or "" for x in t["text"].to_pylist()]):
+        for codes, _, _ in pieces(unpacked(t)):
             known = encoded(np.concatenate([known, encoded(codes)[0]]))[0]
         model, block = (pa.array(np.full(len(known), t[c][0].as_py()), pa.int64()) for c in by)
         return pa.table([model, block, pa.array(known)], [*by, "code"])
@@ -194,15 +215,17 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool
         order = np.argsort(code)
         code, logp = code[order], logp[order]
         total, n = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
-        for codes, of, size in pieces([x or "" for x in t["text"].to_pylist()]):
+        for codes, of, size in pieces(unpacked(t)):
             new, at = encoded(codes)
             each = logp[np.searchsorted(code, new)][at]
             np.add.at(total, of, np.add.reduceat(each, np.cumsum(size) - size))
             np.add.at(n, of, size)
         nll = pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-        return pa.table([*(t[c] for c in rest), nll], [*rest, "nll"])
+        whole = {"text": pa.array(unpacked(t), pa.string(), mask=t["text"].is_null().to_numpy())} if with_text else {}
+        return pa.table([*(whole[c] if c in whole else t[c] for c in rest), nll], [*rest, "nll"])
 
-    out = T.StructType([*rows.select(*rest).schema.fields, T.StructField("nll", T.DoubleType())])
+    kinds = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in rows.select(*rest).schema.fields]
+    out = T.StructType([*kinds, T.StructField("nll", T.DoubleType())])
     return rows.groupBy(*by).cogroup(back.groupBy(*by)).applyInArrow(score, out)
 
 
