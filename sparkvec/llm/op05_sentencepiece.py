@@ -35,8 +35,10 @@ from sparkvec.session import table
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Segments kept at most, characters indexed at once, longest segment that is relaxed in step with others.
-KEPT, INDEXED, IN_STEP = 1_200_000, 400_000, 48
+#: Bytes of segments kept at most (estimated), characters indexed at once, longest segment that is relaxed in step with others.
+KEPT, INDEXED, IN_STEP = 128 << 20, 400_000, 48
+#: What a kept segment takes besides its characters and ids.
+ENTRY = 180
 NONE = -1
 
 
@@ -164,6 +166,7 @@ class Segments(dict):
     def restart(self) -> None:
         self.clear()
         self.pending: list[str] = []
+        self.held = 0
         self.flat, self.counts, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, segment: str) -> int:
@@ -182,7 +185,7 @@ class Segments(dict):
         return text.replace("\n", " \n").split(" ")
 
     def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > KEPT:
+        if self.held > KEPT:
             self.restart()
         rows = [self.cut(t) for t in texts]
         flat = [s for r in rows for s in r]
@@ -221,6 +224,7 @@ class Segments(dict):
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, out.astype(np.int32)])
+        self.held += len(points) * 2 + len(out) * 4 + len(new) * ENTRY
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and how many each has."""
@@ -240,7 +244,7 @@ class Segments(dict):
         return [raw[z - s + (raw[z - s : z - s + 1] == b" ") : z] for s, z in zip(sizes, ends, strict=True)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def segments_of(path: str) -> Segments:
     return Segments(path)
 

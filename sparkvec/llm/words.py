@@ -17,8 +17,8 @@ CUTS = re.compile("[ \t\n\r]+")
 ODD = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 END_OF_WORD = "</w>"
-#: Segments kept at most; beyond it the table starts anew. A bound on memory, not on what is counted.
-KEPT = 1_500_000
+#: Bytes of segments kept at most (estimated, with ENTRY for each); beyond it the table starts anew. A bound on memory, not on what is counted.
+KEPT, ENTRY = 256 << 20, 180
 #: Plain words that are encoded in one call.
 JOINED = 1000
 
@@ -44,6 +44,7 @@ class Segments(dict):
 
     def restart(self) -> None:
         self.clear()
+        self.held = 0
         self.pending: list[str] = []
         self.flat = np.zeros(0, np.uint32)
         self.counts = np.zeros(0, np.int64)
@@ -52,11 +53,12 @@ class Segments(dict):
     def __missing__(self, segment: str) -> int:
         self[segment] = n = len(self)
         self.pending.append(segment)
+        self.held += len(segment) + ENTRY
         return n
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The segments' numbers, good until the next call."""
-        if len(self) > KEPT:
+        if self.held > KEPT:
             self.restart()
         out = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
         if self.pending:
@@ -110,7 +112,7 @@ def summed(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - lengths]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def segments_of(path: str) -> Segments:
     """One table per worker process and file."""
     return Segments(path)
