@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.operators.knn import BLOCKS, knn, matrix
-from sparkvec.session import written
+from sparkvec.session import bounded, written
 
 
 def knn_graph(base: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
@@ -61,8 +61,12 @@ def bfs(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def shard_graphs(base: DataFrame, assigned: DataFrame, degree: int) -> DataFrame:
-    """Exact neighbours within each shard of assigned(id, shard); shards are of bounded size, each one task's matrix."""
+#: Rows of a shard's part.
+PART_ROWS = 2000
+
+
+def shard_graphs(base: DataFrame, assigned: DataFrame, degree: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Exact neighbours within each shard of assigned(id, shard); shards of more than part_rows are cut into parts by id."""
 
     def solve(t: pa.Table) -> pa.Table:
         ids, x = t["id"].to_numpy(), matrix(t["vec"])
@@ -80,8 +84,10 @@ def shard_graphs(base: DataFrame, assigned: DataFrame, degree: int) -> DataFrame
                 dist += line[best].tolist()
         return pa.table([pa.array(src, pa.int64()), pa.array(pos, pa.int64()), pa.array(dst, pa.int64()), pa.array(dist, pa.float64())], ["src", "pos", "dst", "dist"])
 
-    rows = assigned.join(base.select("id", "vec"), "id")
-    return rows.groupBy("shard").applyInArrow(solve, "src long, pos long, dst long, dist double")
+    parts = assigned.groupBy("shard").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    rows = assigned.join(bounded(parts, 32), "shard").withColumn("part", F.pmod("id", "parts")).drop("parts")
+    rows = rows.join(base.select("id", "vec"), "id")
+    return rows.groupBy("shard", "part").applyInArrow(solve, "src long, pos long, dst long, dist double")
 
 
 def merge_shards(edges: DataFrame, degree: int) -> DataFrame:
@@ -130,24 +136,6 @@ def pruned(dist: np.ndarray, mutual: np.ndarray, degree: int, alpha: float = 1.2
     return np.flatnonzero(stays).tolist()
 
 
-def delta_pruned(dist: np.ndarray, mutual: np.ndarray, new: int, alpha: float = 1.2, metric: str = "l2") -> int:
-    """Of degree + 1 neighbours in ascending distance with a newcomer at place `new`, the place of the one that goes."""
-    slack = alpha
-    while slack >= 1 - 1e-6:
-        for i in range(len(dist) - 1, new, -1):
-            if occlusion(metric, dist[i], mutual[new, i]) > slack:
-                return i
-        for i in range(new):
-            if occlusion(metric, dist[new], mutual[i, new]) > slack:
-                return new
-        slack /= 1.2
-    for i in range(len(dist)):
-        for j in range(i + 1, len(dist)):
-            if occlusion(metric, dist[j], mutual[i, j]) > alpha:
-                return j
-    return len(dist) - 1
-
-
 def robust_prune(candidates: DataFrame, base: DataFrame, degree: int, alpha: float = 1.2, metric: str = "l2", most: int = 750, fill: bool = False) -> DataFrame:
     """src, pos, dst, dist of what stays of edges(src, dst, dist); of each node's candidates the `most` nearest are looked at."""
 

@@ -4,10 +4,12 @@ A shard has a bounded number of rows (by its k-means centre, split by hash where
 by sequential insertion and later searches it. A query visits the shards of its nearest centres, and the shards' results are merged.
 """
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,11 @@ from sparkvec.functions.predicates import Predicate
 from sparkvec.operators.graph import pruned
 from sparkvec.operators.knn import BLOCKS, matrix, ranked
 from sparkvec.operators.quantization import Codebook, closest_centers, query_tables
+from sparkvec.session import bounded, written
 
-SLACK = 1.3
+#: How far a neighbour list may grow before it is pruned, and the nearest candidates that pruning looks at.
+SLACK, CANDIDATES = 1.3, 750
+GRAPH = "shard long, part int, id long, entry boolean, nbrs array<long>"
 STATS = "qid long, id long, dist double, n_fetch long, n_skip long, n_cmp long"
 
 
@@ -26,16 +31,17 @@ class Walk(NamedTuple):
     compared: int
 
 
-def walk(start: list[int], near: np.ndarray, nbrs: list[np.ndarray], pool: int, passes: np.ndarray | None = None, most: int | None = None, k: int | None = None, relaxed: int | None = None) -> Walk:
-    """Greedy traversal to a fixed point. near: approximate distances of all nodes.
+def walk(start: list[int], near: Callable[[list[int]], np.ndarray], nbrs: list[np.ndarray], pool: int, passes: np.ndarray | None = None, most: int | None = None, k: int | None = None, relaxed: int | None = None) -> Walk:
+    """Greedy traversal to a fixed point. near gives the approximate distances of nodes, and is asked once for each that is met.
 
     With `relaxed`, it ends that many fetches after the k nearest of the pool have all been looked at.
 
     With `passes`, a node that fails is not fetched, but its first `most` neighbours still enter the pool (tunnelling); most = 0
     leaves it at a dead end.
     """
-    seen = set(start)
-    held = sorted((near[i], i) for i in seen)[:pool]
+    first = sorted(set(start))
+    seen = set(first)
+    held = sorted(zip(near(first).tolist(), first, strict=True))[:pool]
     done: set[int] = set()
     fetched, skipped, compared, settled = [], 0, len(seen), None
     while True:
@@ -51,63 +57,136 @@ def walk(start: list[int], near: np.ndarray, nbrs: list[np.ndarray], pool: int,
         else:
             fetched.append(at)
             ahead = nbrs[at]
-        new = [i for i in ahead if i not in seen]
+        new = [int(i) for i in ahead if i not in seen]
         seen.update(new)
         compared += len(new)
         if new:
-            held = sorted(held + [(near[i], i) for i in new])[:pool]
+            held = sorted([*held, *zip(near(new).tolist(), new, strict=True)])[:pool]
 
 
-def build(x: np.ndarray, metric: str, degree: int, pool: int, alpha: float, most: int = 750) -> tuple[int, list[np.ndarray]]:
-    """Entry point (the medoid) and neighbours, by inserting rows one after another: search, prune, link back."""
-    sq = (x * x).sum(1)
+class Shard:
+    """Vectors of one shard part and their neighbours, changed in place. Nodes are numbers of rows."""
 
-    def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Between rows by number; as one matrix product, since building needs no bit-equal sums."""
-        products = x[a] @ x[b].T
-        return np.maximum(sq[a][:, None] + sq[b] - 2 * products, 0) if metric == "l2" else 1 - products
+    def __init__(self, x: np.ndarray, nbrs: list[np.ndarray], metric: str, degree: int, pool: int, alpha: float, candidates: int):
+        self.x, self.nbrs, self.metric, self.degree, self.pool, self.alpha, self.candidates = x, nbrs, metric, degree, pool, alpha, candidates
+        self.sq = (x * x).sum(1)
 
-    every = np.arange(len(x))
-    entry = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if len(x) else 0
-    nbrs: list[np.ndarray] = [np.zeros(0, int) for _ in x]
+    def dist(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Between rows by number; as one matrix product, since building needs no bit-equal sums."""
+        products = self.x[a] @ self.x[b].T
+        return np.maximum(self.sq[a][:, None] + self.sq[b] - 2 * products, 0) if self.metric == "l2" else 1 - products
 
-    def cut(i: int, others: np.ndarray) -> np.ndarray:
+    def cut(self, i: int, others: np.ndarray) -> np.ndarray:
+        """What pruning leaves of the candidates."""
         others = np.unique(others[others != i])
-        d = dist(every[i : i + 1], others)[0]
-        order = np.lexsort((others, d))[:most]
+        d = self.dist(np.array([i]), others)[0]
+        order = np.lexsort((others, d))[: self.candidates]
         others, d = others[order], d[order]
-        return others[pruned(d, dist(others, others), degree, alpha, metric, fill=True)]
+        return others[pruned(d, self.dist(others, others), self.degree, self.alpha, self.metric, fill=True)]
+
+    def insert(self, i: int, entry: int) -> None:
+        """Search for the row from the entry, prune what was looked at, and link back."""
+        at = np.array([i])
+        found = walk([entry], lambda some: self.dist(at, np.array(some, int))[0], self.nbrs, self.pool).fetched if i != entry else []
+        self.nbrs[i] = self.cut(i, np.array(found, int))
+        for j in self.nbrs[i]:
+            back = np.append(self.nbrs[j], i)
+            self.nbrs[j] = self.cut(int(j), back) if len(back) > SLACK * self.degree else back
+
+    def delete(self, gone: np.ndarray) -> None:
+        """Neighbours that go (a mask) are replaced by their own that stay; what is too long is pruned."""
+        for i in np.flatnonzero(~gone):
+            mine = self.nbrs[i]
+            lost = mine[gone[mine]]
+            if len(lost):
+                ahead = np.concatenate([mine, *(self.nbrs[j] for j in lost)])
+                ahead = np.unique(ahead[~gone[ahead]])
+                ahead = ahead[ahead != i]
+                self.nbrs[i] = self.cut(int(i), ahead) if len(ahead) > self.degree else ahead
 
+    def trimmed(self) -> list[np.ndarray]:
+        return [n if len(n) <= self.degree else self.cut(i, n) for i, n in enumerate(self.nbrs)]
+
+
+def medoid_of(x: np.ndarray) -> int:
+    return int(((x - x.mean(0)) ** 2).sum(1).argmin()) if len(x) else 0
+
+
+def build(x: np.ndarray, metric: str, degree: int, pool: int, alpha: float, candidates: int = CANDIDATES) -> tuple[int, list[np.ndarray]]:
+    """Entry point (the medoid) and neighbours, by inserting rows one after another: search, prune, link back."""
+    g = Shard(x, [np.zeros(0, int) for _ in x], metric, degree, pool, alpha, candidates)
+    entry = medoid_of(x)
     for i in [entry, *(j for j in range(len(x)) if j != entry)]:
-        near = dist(every[i : i + 1], every)[0]
-        found = walk([entry], near, nbrs, pool).fetched if i != entry else []
-        nbrs[i] = cut(i, np.array(found, int))
-        for j in nbrs[i]:
-            back = np.append(nbrs[j], i)
-            nbrs[j] = cut(int(j), back) if len(back) > SLACK * degree else back
-    return entry, [n if len(n) <= degree else cut(i, n) for i, n in enumerate(nbrs)]
+        g.insert(i, entry)
+    return entry, g.trimmed()
 
 
 def shards(df: DataFrame, centers: DataFrame, copies: int, most_rows: int) -> DataFrame:
     """id, shard and part: each row in its nearest centres' shards, large shards in parts by hash."""
     of = closest_centers(df, centers, copies).select("id", F.col("center").alias("shard"))
-    parts = of.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(most_rows)).cast("int").alias("parts"))
-    out = of.join(F.broadcast(parts), "shard")  # one row per centre
-    return out.select("id", "shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    return parted(of, of.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(most_rows)).cast("int").alias("parts")))
 
 
-def build_graph(df: DataFrame, assigned: DataFrame, metric: str = "l2", degree: int = 32, pool: int = 64, alpha: float = 1.2) -> DataFrame:
+def parted(of: DataFrame, parts: DataFrame) -> DataFrame:
+    """id, shard, part of rows of(id, shard) in shards with that many parts; a shard that had no rows has one."""
+    out = of.join(bounded(parts, 32), "shard", "left")
+    return out.select("id", "shard", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+
+
+def build_graph(df: DataFrame, assigned: DataFrame, metric: str = "l2", degree: int = 32, pool: int = 64, alpha: float = 1.2, candidates: int = CANDIDATES) -> DataFrame:
     """shard, part, id, entry (whether a walk starts here) and nbrs, all within one shard part."""
 
     def solve(t: pa.Table) -> pa.Table:
         order = np.argsort(t["id"].to_numpy(), kind="stable")
         t = t.take(pa.array(order))
         ids = t["id"].to_numpy()
-        entry, nbrs = build(matrix(t["vec"]), metric, degree, pool, alpha)
+        entry, nbrs = build(matrix(t["vec"]), metric, degree, pool, alpha, candidates)
         return pa.table([t["shard"], t["part"], t["id"], pa.array(np.arange(len(ids)) == entry), pa.array([ids[n].tolist() for n in nbrs], pa.list_(pa.int64()))], ["shard", "part", "id", "entry", "nbrs"])
 
     rows = assigned.join(df.select("id", "vec"), "id").select("shard", "part", "id", "vec")
-    return rows.groupBy("shard", "part").applyInArrow(solve, "shard long, part int, id long, entry boolean, nbrs array<long>")
+    return rows.groupBy("shard", "part").applyInArrow(solve, GRAPH)
+
+
+def changed(graph: DataFrame, rows: DataFrame, gone: DataFrame, new: DataFrame, metric: str, degree: int, pool: int, alpha: float, candidates: int = CANDIDATES) -> DataFrame:
+    """The graph without the nodes gone(id) and with new(id, shard, part); rows(id, fresh, vec) has the vectors of old and new ones.
+
+    Only the shard parts that hold one of these are read and written anew: deleted neighbours are replaced by their own, then the
+    new rows are inserted one after another. All other parts stay as they are.
+    """
+    lost = graph.join(gone.select("id").distinct(), "id", "left_semi").select("shard", "part")
+    touched = written(lost.unionByName(new.select("shard", "part")).distinct())
+    still = graph.join(bounded(touched, 32), ["shard", "part"], "left_anti")
+    old = graph.join(bounded(touched, 32), ["shard", "part"], "left_semi")
+    old = old.join(gone.select("id", F.lit(True).alias("gone")).distinct(), "id", "left").select("shard", "part", "id", "entry", "nbrs", F.coalesce("gone", F.lit(False)).alias("gone"), F.lit(False).alias("fresh"))
+    fresh = new.select("shard", "part", "id", F.lit(False).alias("entry"), F.array().cast("array<long>").alias("nbrs"), F.lit(False).alias("gone"), F.lit(True).alias("fresh"))
+    every = old.unionByName(fresh).join(rows.select("id", "fresh", "vec"), ["id", "fresh"], "left")
+
+    def solve(t: pa.Table) -> pa.Table:
+        # an id that is replaced is there twice: the old node goes, the new one stays
+        t = t.filter(pc.is_valid(t["vec"]))
+        fresh = t["fresh"].to_numpy()
+        order = np.lexsort((fresh, t["id"].to_numpy()))
+        t, fresh = t.take(pa.array(order)), fresh[order]
+        ids, gone = t["id"].to_numpy(), t["gone"].to_numpy()
+        x = matrix(t["vec"])
+        at = {int(v): i for i, v in enumerate(ids) if not fresh[i]}
+        nbrs = [np.array([at[v] for v in n if v in at], int) for n in t["nbrs"].to_pylist()]
+        g = Shard(x, nbrs, metric, degree, pool, alpha, candidates)
+        g.delete(gone)
+        live = np.flatnonzero(~gone)
+        if not len(live):
+            return pa.table([pa.array([], f.type) for f in schema], schema=schema)
+        was = np.flatnonzero(t["entry"].to_numpy() & ~gone)
+        old = live[~fresh[live]]
+        entry = int(was[0]) if len(was) else int(old[medoid_of(x[old])]) if len(old) else int(live[medoid_of(x[live])])
+        for i in live[fresh[live]]:
+            g.insert(int(i), entry)
+        nbrs = g.trimmed()
+        cols = [t["shard"].take(pa.array(live)), t["part"].take(pa.array(live)), pa.array(ids[live]), pa.array(live == entry), pa.array([ids[nbrs[i]].tolist() for i in live], pa.list_(pa.int64()))]
+        return pa.table(cols, schema=schema)
+
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("id", pa.int64()), ("entry", pa.bool_()), ("nbrs", pa.list_(pa.int64()))])
+    return still.select("shard", "part", "id", "entry", "nbrs").unionByName(every.groupBy("shard", "part").applyInArrow(solve, GRAPH))
 
 
 def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, pool: int, where: Predicate, book: Codebook | None = None, gate: bool = True, store: int = 32, probes: int = 2, metric: str = "l2", with_self: bool = False, relaxed: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +197,7 @@ def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, poo
     """
     asked = closest_centers(queries.select(F.col("qid").alias("id"), F.col("qvec").alias("vec")), centers, probes).select(F.col("id").alias("qid"), F.col("center").alias("shard"))
     parts = nodes.select("shard", "part").distinct()
-    asked = asked.join(F.broadcast(parts), "shard").join(queries, "qid")  # parts: a row per shard part
+    asked = asked.join(bounded(parts, 32), "shard").join(queries, "qid")
     asked = asked.select("qid", "qvec", *where.query_columns, F.col("shard").alias("to_shard"), F.col("part").alias("to_part"))
     held = nodes.sparkSession.sparkContext.broadcast(book)
 
@@ -135,7 +214,12 @@ def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, poo
                 codes = matrix(t["codes"]).astype(int)
                 tables = query_tables(qx, book, "l2" if metric == "l2" else "ip")
             for i, qid in enumerate(q["qid"].to_pylist()):
-                near = sum(tab[i][codes[:, c]] for c, tab in enumerate(tables)) if book is not None else BLOCKS[metric](qx[i : i + 1], x)[0]
+
+                def near(some: list[int], i: int = i) -> np.ndarray:
+                    if book is None:
+                        return BLOCKS[metric](qx[i : i + 1], x[some])[0]
+                    return sum(tab[i][codes[some, c]] for c, tab in enumerate(tables))
+
                 passes = mask[i] if mask is not None else None
                 w = walk(start, near, nbrs, pool, passes if gate else None, store, k, relaxed)
                 got = np.array(w.fetched, int)

@@ -90,23 +90,23 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rk", rk.cast("long")).where(F.col("rk") <= k).select("qid", "id", "dist", "rk")
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Predicate | None = None, with_self: bool = False) -> DataFrame:
-    """qid, id, dist, rk: for each query the k nearest rows that satisfy the predicate; fewer if fewer match."""
-    if metric not in BLOCKS:
-        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(BLOCKS)}")
-    where = where or Always()
-    base = base.where("id is not null and vec is not null").select("id", "vec", *where.base_columns)
-    queries = queries.where("qid is not null and qvec is not null").select("qid", "qvec", *where.query_columns)
-    n, dim = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
-    base = base.where(F.size("vec") == (dim or 0))
-    if n * (dim or 0) * 8 <= BROADCAST:
-        held = base.sparkSession.sparkContext.broadcast(queries.where(F.size("qvec") == (dim or 0)).toArrow())
+Kernel = Callable[[pa.RecordBatch, pa.Table], pa.RecordBatch]
+
+
+def met(base: DataFrame, queries: DataFrame, row_bytes: int, kernel: Kernel) -> DataFrame:
+    """What the kernel finds (qid, id, dist) for every batch of base(id, ...) and every query(qid, ...).
+
+    Queries of a counted size below BROADCAST go to all tasks; more are cut into blocks that meet salted parts of the base.
+    """
+    n = queries.count()
+    if n * row_bytes <= BROADCAST:
+        held = base.sparkSession.sparkContext.broadcast(queries.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield block_knn(b, held.value, k, metric, where, with_self)
+                yield kernel(b, held.value)
 
-        return ranked(base.mapInArrow(run, FOUND), k)
+        return base.mapInArrow(run, FOUND)
     blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-base.count() // PART_ROWS))
     name = uuid.uuid4().hex
 
@@ -118,9 +118,21 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where:
 
     def solve(b: pa.Table, q: pa.Table) -> pa.Table:
         rows = b.combine_chunks().to_batches()
-        return pa.Table.from_batches([block_knn(x, q, k, metric, where, with_self) for x in rows if q.num_rows], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())]))
+        return pa.Table.from_batches([kernel(x, q) for x in rows if q.num_rows], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())]))
 
-    return ranked(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(solve, FOUND), k)
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(solve, FOUND)
+
+
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Predicate | None = None, with_self: bool = False) -> DataFrame:
+    """qid, id, dist, rk: for each query the k nearest rows that satisfy the predicate; fewer if fewer match."""
+    if metric not in BLOCKS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(BLOCKS)}")
+    where = where or Always()
+    base = base.where("id is not null and vec is not null").select("id", "vec", *where.base_columns)
+    queries = queries.where("qid is not null and qvec is not null").select("qid", "qvec", *where.query_columns)
+    dim = queries.agg(F.max(F.size("qvec"))).first()[0] or 0
+    base, queries = base.where(F.size("vec") == dim), queries.where(F.size("qvec") == dim)
+    return ranked(met(base, queries, dim * 8 + 64, lambda b, q: block_knn(b, q, k, metric, where, with_self)), k)
 
 
 def matching_points(base: DataFrame, queries: DataFrame, where: Predicate) -> DataFrame:

@@ -4,24 +4,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec.session import bounded, written
+
 #: Rows that a bucket of the order is meant to have.
 BUCKET_ROWS = 200_000
 
 
 def positions(df: DataFrame, first: str, *ties: str, name: str = "at") -> DataFrame:
-    """df with each row's place, from 0, by the numeric column `first` (nulls before all) and then `ties`.
+    """df with each row's place, from 0, by the column `first` (nulls before all) and then `ties`.
 
-    Rows are bucketed at approximate quantiles of `first`; a place is the count of earlier buckets plus the place within the
-    own one, so the quantiles' error only makes buckets uneven.
+    Rows are dealt to ranges of (first, ties), so a frequent value is in many ranges if the ties tell its rows apart; a place is
+    the count of earlier ranges plus the place within the own one. The ranges are written, as they come from a sample.
     """
-    n = df.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    bounds = sorted(set(df.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.001))) if buckets > 1 else []
-    at_most = F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b <= F.col(first))
-    held = df.withColumn("sv_bucket", F.when(F.col(first).isNull(), F.lit(-1)).otherwise(F.size(at_most)))
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    held = written(df.repartitionByRange(buckets, first, *ties).withColumn("sv_bucket", F.spark_partition_id()))
     counts = held.groupBy("sv_bucket").agg(F.count("*").alias("sv_n"))
     ahead = W.orderBy("sv_bucket").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
     starts = counts.select("sv_bucket", F.coalesce(F.sum("sv_n").over(ahead), F.lit(0)).alias("sv_start"))
     place = F.row_number().over(W.partitionBy("sv_bucket").orderBy(first, *ties))
-    out = held.withColumn("sv_place", place).join(F.broadcast(starts), "sv_bucket")
+    out = held.withColumn("sv_place", place).join(bounded(starts, 32), "sv_bucket")
     return out.withColumn(name, (F.col("sv_start") + F.col("sv_place") - 1).cast("long")).drop("sv_bucket", "sv_place", "sv_start")

@@ -1,8 +1,8 @@
 """Search strategies over a pool: the L nearest of all rows first, then the predicate.
 
-`post` takes the pool by exact distance and filters it. `gated` takes it from the codes, filters on narrow columns, and only then
-fetches the wide vectors of the survivors for exact distances: the explicit join on id is what keeps wide columns out of the
-pool's scan. Both return fewer than k rows where fewer pool members match.
+`post` takes the pool by exact distance and filters it, so it returns fewer than k rows where fewer pool members match. `gated` takes
+the pool from the codes of the rows that satisfy the predicate, and only then fetches their wide vectors for exact distances:
+the explicit join on id is what keeps wide columns out of the pool's scan. It returns k rows if k match, whatever the selectivity.
 """
 
 from pyspark.sql import DataFrame
@@ -12,12 +12,13 @@ from sparkvec.functions.predicates import Predicate
 from sparkvec.functions.vector import distance
 from sparkvec.operators.knn import knn, ranked
 from sparkvec.operators.quantization import Codebook, adc
+from sparkvec.session import bounded
 
 
 def filtered_pool(pool: DataFrame, base: DataFrame, queries: DataFrame, where: Predicate) -> DataFrame:
     """The pool's pairs that satisfy the predicate; base gives narrow columns only."""
     rows = pool.select("qid", "id", "dist").join(base.select("id", *where.base_columns), "id")
-    return rows.join(F.broadcast(queries.select("qid", *where.query_columns)), "qid").where(where.column()).select("qid", "id", "dist")
+    return rows.join(bounded(queries.select("qid", *where.query_columns), 1024), "qid").where(where.column()).select("qid", "id", "dist")
 
 
 def post_filter_knn(base: DataFrame, queries: DataFrame, k: int, pool: int, where: Predicate, metric: str = "l2") -> DataFrame:
@@ -27,14 +28,13 @@ def post_filter_knn(base: DataFrame, queries: DataFrame, k: int, pool: int, wher
 
 def rerank(pairs: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Exact distances for (qid, id) pairs, and the k nearest."""
-    wide = pairs.select("qid", "id").join(base.select("id", "vec"), "id").join(F.broadcast(queries.select("qid", "qvec")), "qid")
+    wide = pairs.select("qid", "id").join(base.select("id", "vec"), "id").join(bounded(queries.select("qid", "qvec"), 8192), "qid")
     return ranked(wide.select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("dist")), k)
 
 
 def gated_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, k: int, pool: int, where: Predicate, metric: str = "l2") -> DataFrame:
     """qid, id, dist, rk: codes are (id, codes) with the predicate's columns; base is read for survivors only."""
-    gated = filtered_pool(adc(codes, queries, book, pool, metric), codes, queries, where)
-    return rerank(gated, base, queries, k, metric)
+    return rerank(adc(codes, queries, book, max(pool, k), metric, where), base, queries, k, metric)
 
 
 def io_counts(pool: DataFrame, base: DataFrame, queries: DataFrame, where: Predicate) -> DataFrame:

@@ -46,11 +46,11 @@ def recall_tie_aware(results: DataFrame, truth: DataFrame, queries: DataFrame, k
 
 def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
     """p and value: the element at index floor(p n) of the sorted values (the last one for p = 1), without interpolation."""
-    some = df.where(F.col(value).isNotNull()).select(value)
+    some = df.where(F.col(value).isNotNull()).select(value, F.rand(7).alias("tie"))  # equal values may stand in any order
     n = some.count()
     wanted = [(p, min(int(p * n), n - 1)) for p in at] if n else []
     ask = df.sparkSession.createDataFrame(wanted, "p double, at long")
-    return positions(some, value).join(F.broadcast(ask), "at").select("p", F.col(value).alias("value"))
+    return positions(some, value, "tie").join(F.broadcast(ask), "at").select("p", F.col(value).alias("value"))
 
 
 def throughput(n_queries: int, seconds: float) -> float:

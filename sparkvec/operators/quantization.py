@@ -10,11 +10,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkvec.functions.predicates import Always, Predicate
 from sparkvec.functions.vector import chunk_bounds, chunked, l2_sq, sample_rate
-from sparkvec.operators.knn import FOUND, matrix, nearest, ranked
+from sparkvec.operators.knn import BLOCK, matrix, met, nearest, ranked
+from sparkvec.session import bounded
+
+
+#: Rows that a codebook's sample has at least, if there are as many.
+LEAST_SAMPLE = 10_000
 
 
 class Codebook(NamedTuple):
@@ -66,10 +72,23 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
+def save_codebook(spark: SparkSession, book: Codebook, to: str) -> None:
+    """As one table of chunk, start, width, center, vec and the mean's part."""
+    rows = [(c, at, n, i, v.tolist(), book.mean[at : at + n].tolist()) for c, ((at, n), x) in enumerate(zip(book.bounds, book.centers, strict=True)) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "chunk int, start int, width int, center int, vec array<double>, mean array<double>").coalesce(1).write.parquet(to)
+
+
+def open_codebook(spark: SparkSession, at: str) -> Codebook:
+    rows = sorted(spark.read.parquet(at).select("chunk", "center", "start", "width", "vec", "mean").collect())  # chunks x centres
+    first = [r for r in rows if r.center == 0]
+    per = [np.array([r.vec for r in rows if r.chunk == f.chunk], float) for f in first]
+    return Codebook([(f.start, f.width) for f in first], per, np.concatenate([np.array(f.mean, float) for f in first]))
+
+
 def train(df: DataFrame, dim: int, m: int, k: int = 256, rounds: int = 15, seed: int = 42, share: float = 0.1, most: int = 256_000) -> Codebook:
-    """A codebook from a bounded sample of rows (min(share of all, most), or all of a table below 10,000 rows), chunks in parallel."""
+    """A codebook from a bounded sample: a share of the rows, `most` at most and LEAST_SAMPLE at least; chunks in parallel."""
     n = df.count()
-    rate = 1.0 if n < 10_000 else sample_rate(n, share, most)
+    rate = min(1.0, max(sample_rate(n, share, most), LEAST_SAMPLE / max(n, 1)))
     sample = df.where("vec is not null").where(F.size("vec") == dim)
     if rate < 1:
         sample = sample.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(rate * (1 << 20)))
@@ -88,11 +107,12 @@ def train(df: DataFrame, dim: int, m: int, k: int = 256, rounds: int = 15, seed:
     return codebook_of(fitted, dim, m, mean)
 
 
-def encode(df: DataFrame, book: Codebook, *keep: str) -> DataFrame:
-    """id, the columns to keep, and codes (array<int>). The codebook is small by construction and goes to all tasks."""
+def encode(df: DataFrame, book: Codebook, *keep: str, keep_vec: bool = False) -> DataFrame:
+    """id, the columns to keep (and vec), and codes (array<int>). The codebook is small by construction and goes to all tasks."""
     held = df.sparkSession.sparkContext.broadcast(book)
     src = df.where("id is not null and vec is not null").where(F.size("vec") == book.dim).select("id", *keep, "vec")
-    fields = ", ".join(f"`{n}` {t}" for n, t in src.drop("vec").dtypes)
+    fields = ", ".join(f"`{n}` {t}" for n, t in (src if keep_vec else src.drop("vec")).dtypes)
+    last = None if keep_vec else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = held.value
@@ -101,7 +121,7 @@ def encode(df: DataFrame, book: Codebook, *keep: str) -> DataFrame:
             x = x - book.mean if x.size else np.zeros((0, book.dim))
             codes = np.stack([nearest_center(x[:, at : at + n], c) for (at, n), c in zip(book.bounds, book.centers, strict=True)], 1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32()), pa.array(codes.ravel(), pa.int32()))
-            yield pa.record_batch([*b.columns[:-1], lists], [*b.schema.names[:-1], "codes"])
+            yield pa.record_batch([*b.columns[:last], lists], [*b.schema.names[:last], "codes"])
 
     return src.mapInArrow(run, f"{fields}, codes array<int>")
 
@@ -129,34 +149,53 @@ def query_tables(q: np.ndarray, book: Codebook, metric: str = "l2") -> list[np.n
 def query_table(queries: DataFrame, centers: DataFrame, dim: int, m: int, metric: str = "l2") -> DataFrame:
     """qid, chunk, center, value by a join of the queries' chunks with the codebook's rows of that chunk."""
     parts = queries.select("qid", F.posexplode(chunked(F.col("qvec"), dim, m)).alias("chunk", "part"))
-    joined = parts.join(F.broadcast(centers.withColumnRenamed("vec", "center_vec")), "chunk")  # chunks x centres rows
+    joined = parts.join(bounded(centers.withColumnRenamed("vec", "center_vec"), 8 * dim + 32), "chunk")
     ip = F.aggregate(F.zip_with("part", "center_vec", lambda x, y: -(x * y)), F.lit(0.0), lambda s, x: s + x)
     return joined.select("qid", "chunk", "center", (l2_sq(F.col("part"), F.col("center_vec")) if metric == "l2" else ip).alias("value"))
 
 
-def adc(codes: DataFrame, queries: DataFrame, book: Codebook, k: int | None, metric: str = "l2", keep: tuple[str, ...] = (), with_self: bool = False) -> DataFrame:
-    """The k rows of each query with the least approximate distance (all pairs if k is None), from the codes alone."""
-    held = codes.sparkSession.sparkContext.broadcast((queries.select("qid", "qvec").toArrow(), book))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, book = held.value
-        tables, qids = query_tables(matrix(q["qvec"]), book, metric), q["qid"].to_numpy()
-        for b in batches:
-            ids, code = b.column(0).to_numpy(), np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            dist = np.zeros((len(qids), b.num_rows))
-            for c, t in enumerate(tables):
-                dist += t[:, code[:, c]]
-            allowed = None if with_self else qids[:, None] != ids[None]
-            r, c = nearest(dist, ids, allowed, k or max(1, b.num_rows))
-            yield pa.record_batch([pa.array(qids[r]), pa.array(ids[c]), pa.array(dist[r, c])], ["qid", "id", "dist"])
-
-    found = codes.select("id", "codes").mapInArrow(run, FOUND)
-    found = ranked(found, k) if k else found
-    return found.join(codes.select("id", *keep), "id").select(*found.columns, *keep) if keep else found
+def adc(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: str = "l2", where: Predicate | None = None, with_self: bool = False) -> DataFrame:
+    """qid, id, dist, rk: of the rows that satisfy the predicate each query's k with the least approximate distance, from codes alone.
 
+    The gate is inside the kernel, so rows that fail it take no place in the pool.
+    """
+    where = where or Always()
+    held = codes.sparkSession.sparkContext.broadcast(book)
 
-def symmetric(a: DataFrame, b: DataFrame, book: Codebook) -> DataFrame:
-    """qid, id, value: distances between codes of a(qid, codes) and b(id, codes), from the centres' mutual distances."""
+    def kernel(b: pa.RecordBatch, q: pa.Table) -> pa.RecordBatch:
+        tables, qids = query_tables(matrix(q["qvec"]), held.value, metric), q["qid"].to_numpy()
+        ids, code = b.column(0).to_numpy(), np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+        out, step = [], max(1, BLOCK // max(1, b.num_rows))
+        for at in range(0, len(qids), step):
+            mine = qids[at : at + step]
+            dist = np.zeros((len(mine), b.num_rows))
+            for c, t in enumerate(tables):
+                dist += t[at : at + step][:, code[:, c]]
+            allowed = where.mask(b, q.slice(at, step))
+            if not with_self:
+                other = mine[:, None] != ids[None]
+                allowed = other if allowed is None else allowed & other
+            r, c = nearest(dist, ids, allowed, k)
+            out.append((mine[r], ids[c], dist[r, c]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "dist"])
+
+    ask = queries.where("qid is not null and qvec is not null").where(F.size("qvec") == book.dim).select("qid", "qvec", *where.query_columns)
+    return ranked(met(codes.select("id", "codes", *where.base_columns), ask, book.dim * 8 + 64, kernel), k)
+
+
+def code_values(pairs: DataFrame, queries: DataFrame, codes: DataFrame, centers: DataFrame, dim: int, m: int, metric: str = "l2") -> DataFrame:
+    """qid, id, value: approximate distances of pairs(qid, id), from joins of the queries' tables and the rows' codes."""
+    tables = query_table(queries, centers, dim, m, metric)
+    per = tables.groupBy("qid", "chunk").agg(F.array_sort(F.collect_list(F.struct("center", "value"))).alias("t"))  # as many as centres
+    per = per.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("chunk", F.col("t.value").alias("t")))).alias("t")).select("qid", F.col("t.t").alias("tables"))
+    rows = pairs.join(codes.select("id", "codes"), "id").join(per, "qid")
+    each = F.zip_with("tables", "codes", lambda t, c: F.get(t, c))
+    return rows.select("qid", "id", F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("value"))
+
+
+def symmetric(pairs: DataFrame, codes: DataFrame, book: Codebook) -> DataFrame:
+    """qid, id, value of pairs(qid, id): distances between the two rows' codes, from the centres' mutual distances."""
     mutual = []
     for c in book.centers:
         d = np.zeros((len(c), len(c)))
@@ -164,19 +203,19 @@ def symmetric(a: DataFrame, b: DataFrame, book: Codebook) -> DataFrame:
             step = c[:, j, None] - c[None, :, j]
             d += step * step
         mutual.append(d)
-    held = b.sparkSession.sparkContext.broadcast((a.select("qid", "codes").toArrow(), mutual))
+    held = codes.sparkSession.sparkContext.broadcast(mutual)  # as large as the codebook allows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, mutual = held.value
-        qids, qc = q["qid"].to_numpy(), matrix(q["codes"]).astype(int)
         for x in batches:
-            ids, code = x.column(0).to_numpy(), np.asarray(x.column(1).flatten()).reshape(x.num_rows, -1)
-            dist = np.zeros((len(qids), len(ids)))
-            for c, d in enumerate(mutual):
-                dist += d[qc[:, c]][:, code[:, c]]
-            yield pa.record_batch([pa.array(np.repeat(qids, len(ids))), pa.array(np.tile(ids, len(qids))), pa.array(dist.ravel())], ["qid", "id", "value"])
+            a, b = (np.asarray(x.column(i).flatten()).reshape(x.num_rows, -1) for i in (2, 3))
+            value = np.zeros(x.num_rows)
+            for c, d in enumerate(held.value):
+                value += d[a[:, c], b[:, c]]
+            yield pa.record_batch([x.column(0), x.column(1), pa.array(value)], ["qid", "id", "value"])
 
-    return b.select("id", "codes").mapInArrow(run, "qid long, id long, value double")
+    one = codes.select("id", "codes")
+    rows = pairs.join(one, "id").join(one.select(F.col("id").alias("qid"), F.col("codes").alias("qcodes")), "qid")
+    return rows.select("qid", "id", "qcodes", "codes").mapInArrow(run, "qid long, id long, value double")
 
 
 def closest_centers(df: DataFrame, centers: DataFrame, k: int) -> DataFrame:
@@ -200,12 +239,36 @@ def closest_centers(df: DataFrame, centers: DataFrame, k: int) -> DataFrame:
 
 
 def kmeans_step(df: DataFrame, centers: DataFrame, dim: int) -> DataFrame:
-    """center, n, sse and cvec after one Lloyd step; centres that no row is nearest to keep their place."""
-    of = closest_centers(df, centers, 1).select("id", "center", "dist")
-    mean = F.array(*(F.avg(F.element_at("vec", i + 1).cast("double")) for i in range(dim)))
-    moved = df.select("id", "vec").join(of, "id").groupBy("center").agg(F.count("*").alias("n"), F.sum("dist").alias("sse"), mean.alias("moved"))
+    """center, n, sse and cvec after one Lloyd step; centres that no row is nearest to keep their place.
+
+    Each batch gives counts and coordinate sums per centre, so no vector is shuffled.
+    """
+    held = df.sparkSession.sparkContext.broadcast(centers.orderBy("center").toArrow())  # k rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, names = matrix(held.value["cvec"]), held.value["center"].to_numpy()
+        n, sse, sums = np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), dim))
+        for b in batches:
+            x = matrix(b.column(1))
+            if not len(x):
+                continue
+            d = np.zeros((len(x), len(c)))
+            for j in range(dim):
+                step = x[:, j, None] - c[None, :, j]
+                d += step * step
+            of = d.argmin(1)
+            n += np.bincount(of, minlength=len(c))
+            sse += np.bincount(of, weights=d.min(1), minlength=len(c))
+            np.add.at(sums, of, x)
+        yield pa.record_batch([pa.array(names), pa.array(n), pa.array(sse), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["center", "n", "sse", "sums"])
+
+    src = df.where("id is not null and vec is not null").where(F.size("vec") == dim).select("id", "vec")
+    parts = src.mapInArrow(run, "center long, n long, sse double, sums array<double>").where("n > 0")
+    total = F.array(*(F.sum(F.element_at("sums", i + 1)) for i in range(dim)))
+    moved = parts.groupBy("center").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), total.alias("sums"))
     out = centers.join(moved, "center", "left")
-    return out.select("center", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sse", F.lit(0.0)).alias("sse"), F.coalesce("moved", F.col("cvec").cast("array<double>")).alias("cvec"))
+    mean = F.transform("sums", lambda x: x / F.col("n"))
+    return out.select("center", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sse", F.lit(0.0)).alias("sse"), F.coalesce(mean, F.col("cvec").cast("array<double>")).alias("cvec"))
 
 
 def kmeans(df: DataFrame, dim: int, k: int, rounds: int = 20, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.operators.ordering import positions
 from sparkvec.operators.quantization import closest_centers
+from sparkvec.session import bounded
 
 #: Multiplier of the integer hash that labels are drawn by.
 STEP = 2654435761
@@ -41,6 +42,12 @@ def equal_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     return positions(df.select("id", value), value, "id").select("id", F.floor(F.col("at") * bins / F.lit(max(n, 1))).alias("bin"))
 
 
+def bin_statistics(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """bin, n, least and most: how many rows each bin has and between which values."""
+    b = equal_bins(df, value, bins).join(df.select("id", value), "id")
+    return b.groupBy("bin").agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
 def truth_from_unfiltered(truth: DataFrame, labels: DataFrame, query_labels: DataFrame, k: int) -> DataFrame:
     """qid, id, rk: of an unfiltered truth the first k with the query's label; fewer where the truth is too short."""
     same = truth.join(labels.select("id", "label"), "id").join(query_labels.select("qid", "qlabel"), "qid").where("label = qlabel")
@@ -50,7 +57,7 @@ def truth_from_unfiltered(truth: DataFrame, labels: DataFrame, query_labels: Dat
 
 def truth_in_window(truth: DataFrame, windows: DataFrame, k: int) -> DataFrame:
     """step, qid, id, rk: per window(step, first, last) of ids the first k of each query; a step with a short query is left out."""
-    inside = truth.join(F.broadcast(windows), (F.col("id") >= F.col("first")) & (F.col("id") < F.col("last")))
+    inside = truth.join(bounded(windows, 64), (F.col("id") >= F.col("first")) & (F.col("id") < F.col("last")))
     rk = F.row_number().over(W.partitionBy("step", "qid").orderBy("dist", "id")).cast("long")
     kept = inside.withColumn("rk", rk).where(F.col("rk") <= k).select("step", "qid", "id", "rk")
     n = truth.select("qid").distinct().count()

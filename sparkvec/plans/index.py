@@ -2,7 +2,8 @@
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Predicate, predicate
 from sparkvec.operators import graph_index, knn, pools, quantization, updates
@@ -24,20 +25,23 @@ class VectorIndex:
     degree: int
     pool: int
     alpha: float
+    copies: int = 2
+    candidates: int = graph_index.CANDIDATES
 
     @staticmethod
-    def build(df: DataFrame, id: str = "id", vec: str = "vec", label: str | None = None, labels: str | None = None, attr: str | None = None, metric: str = "l2", degree: int = 32, pool: int = 64, alpha: float = 1.2, chunks: int = 16, centers: int = 256, shards: int = 4, shard_rows: int = 20_000, copies: int = 2, seed: int = 42) -> "VectorIndex":
+    def build(df: DataFrame, id: str = "id", vec: str = "vec", label: str | None = None, labels: str | None = None, attr: str | None = None, metric: str = "l2", degree: int = 32, pool: int = 64, alpha: float = 1.2, chunks: int = 16, centers: int = 256, shards: int = 4, shard_rows: int = 20_000, copies: int = 2, seed: int = 42, candidates: int = graph_index.CANDIDATES) -> "VectorIndex":
+        """candidates: how many of a node's candidates pruning looks at, nearest first."""
         names = {id: "id", vec: "vec"} | {c: n for c, n in ((label, "label"), (labels, "labels"), (attr, "attr")) if c}
         rows = written(df.select(*(df[c].alias(n) for c, n in names.items())))
         dim = rows.selectExpr("max(size(vec))").first()[0]
         book = quantization.train(rows, dim, min(chunks, dim), min(centers, max(1, rows.count() // 16)), seed=seed)
         kept = [n for n in names.values() if n not in ("id", "vec")]
-        codes = quantization.encode(rows, book, *kept)
-        nodes = written(rows.join(codes.select("id", "codes"), "id"))
+        codes = quantization.encode(rows, book, *kept, keep_vec=True)
+        nodes = written(codes.select("id", "vec", *kept, "codes"))
         shard_centers = written(quantization.kmeans(rows, dim, shards, seed=seed))
         assigned = written(graph_index.shards(rows, shard_centers, copies, shard_rows))
-        graph = written(graph_index.build_graph(rows, assigned, metric, degree, pool, alpha))
-        return VectorIndex(nodes, book, shard_centers, graph, metric, degree, pool, alpha)
+        graph = written(graph_index.build_graph(rows, assigned, metric, degree, pool, alpha, candidates))
+        return VectorIndex(nodes, book, shard_centers, graph, metric, degree, pool, alpha, copies, candidates)
 
     def strategy(self, where: Predicate, pool: int) -> str:
         """exact, whatever the size: the others return fewer matches and are for callers who name them."""
@@ -60,17 +64,39 @@ class VectorIndex:
         raise ValueError(f"unknown strategy {strategy!r}; known: exact, post, gated, graph")
 
     def insert(self, df: DataFrame) -> "VectorIndex":
-        """A new index whose rows of the same id are replaced; codes use the codebook at hand, the graph is built anew."""
-        kept = [c for c in self.nodes.columns if c not in ("vec", "codes")]
-        codes = quantization.encode(df, self.book, *[c for c in kept if c != "id"]).select("id", "codes")
-        nodes = self.nodes.join(df.select("id"), "id", "left_anti").unionByName(df.join(codes, "id").select(*self.nodes.columns))
-        return self._with(written(nodes))
+        """A new index whose rows of the same id are replaced. Codes use the codebook at hand; of the graph only the shard parts that
+        hold replaced rows or get new ones are changed."""
+        kept = [c for c in self.nodes.columns if c not in ("id", "vec", "codes")]
+        new = written(quantization.encode(df, self.book, *kept, keep_vec=True).select(*self.nodes.columns))
+        gone = new.select("id")
+        nodes = written(updates.live(self.nodes, gone).unionByName(new))
+        parts = self.graph.groupBy("shard").agg((F.max("part") + 1).alias("parts"))
+        of = quantization.closest_centers(new, self.centers, self.copies).select("id", F.col("center").alias("shard"))
+        return self._changed(nodes, gone, graph_index.parted(of, parts), new)
 
     def delete(self, ids: DataFrame) -> "VectorIndex":
-        """A new index without these ids, and without edges to them."""
-        return self._with(written(updates.live(self.nodes, ids)))
+        """A new index without these ids; their neighbours are linked to what they led to."""
+        none = self.graph.select("id", "shard", "part").limit(0)
+        return self._changed(written(updates.live(self.nodes, ids)), ids, none, None)
 
-    def _with(self, nodes: DataFrame, shard_rows: int = 20_000, copies: int = 2) -> "VectorIndex":
-        assigned = written(graph_index.shards(nodes, self.centers, copies, shard_rows))
-        graph = written(graph_index.build_graph(nodes, assigned, self.metric, self.degree, self.pool, self.alpha))
+    def _changed(self, nodes: DataFrame, gone: DataFrame, new: DataFrame, fresh: DataFrame | None) -> "VectorIndex":
+        # old nodes keep their old vectors until their neighbours are relinked
+        rows = self.nodes.select("id", "vec", F.lit(False).alias("fresh"))
+        rows = rows if fresh is None else rows.unionByName(fresh.select("id", "vec", F.lit(True).alias("fresh")))
+        graph = written(graph_index.changed(self.graph, rows, gone, new, self.metric, self.degree, self.pool, self.alpha, self.candidates))
         return replace(self, nodes=nodes, graph=graph)
+
+    def save(self, to: str) -> None:
+        """Write all parts to a new folder."""
+        spark = self.nodes.sparkSession
+        self.nodes.write.parquet(f"{to}/nodes")
+        self.graph.write.parquet(f"{to}/graph")
+        self.centers.coalesce(1).write.parquet(f"{to}/centers")
+        quantization.save_codebook(spark, self.book, f"{to}/codebook")
+        row = (self.metric, self.degree, self.pool, self.alpha, self.copies, self.candidates)
+        spark.createDataFrame([row], "metric string, degree int, pool int, alpha double, copies int, candidates int").coalesce(1).write.parquet(f"{to}/settings")
+
+    @staticmethod
+    def open(spark: SparkSession, at: str) -> "VectorIndex":
+        read = spark.read.parquet
+        return VectorIndex(read(f"{at}/nodes"), quantization.open_codebook(spark, f"{at}/codebook"), read(f"{at}/centers"), read(f"{at}/graph"), **read(f"{at}/settings").first().asDict())

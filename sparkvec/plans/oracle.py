@@ -52,10 +52,12 @@ def pooled(where: str, pool: int, k: int) -> str:
     return f"WITH {BQ}, {pairs()}, pool AS ({top('d', pool, '*')}), f AS (SELECT qid, id, dist FROM pool WHERE {where}) {top('f', k)}"
 
 
-GRAPH = f"g AS (SELECT src, rk - 1 AS pos, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rk FROM (SELECT x.id AS src, y.id AS dst, {l2('x.v', 'y.v')} AS dist FROM b x, b y WHERE x.id <> y.id)) WHERE rk <= 8)"
-BG = f"{B}, {GRAPH}"
 MEAN = "m AS (SELECT pos, avg(v[pos + 1]::DOUBLE) AS value FROM b, range(64) r(pos) GROUP BY pos), mv AS (SELECT list(value ORDER BY pos) AS mean FROM m)"
 NEAR3 = f"a AS (SELECT x.id, y.id AS center, {l2('x.v', 'y.v')} AS dist FROM b x, b y WHERE y.id IN (0, 1, 2)), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, center) AS rk FROM a)"
+PARTS = "id % ceil(count(*) OVER (PARTITION BY center) / 2000.0)::BIGINT"
+NEAR1 = f"na AS (SELECT x.id, y.id AS center, {l2('x.v', 'y.v')} AS dist FROM b x, b y WHERE y.id IN (0, 1, 2)), nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, center) AS rk FROM na)"
+GRAPH = f"{NEAR1}, sg AS (SELECT id, center AS shard, {PARTS} AS part FROM nn WHERE rk = 1), g AS (SELECT src, rk - 1 AS pos, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rk FROM (SELECT x.id AS src, y.id AS dst, {l2('p.v', 'r.v')} AS dist FROM sg x JOIN sg y ON x.shard = y.shard AND x.part = y.part AND x.id <> y.id JOIN b p ON p.id = x.id JOIN b r ON r.id = y.id)) WHERE rk <= 8)"
+BG = f"{B}, {GRAPH}"
 FREQ = "f AS (SELECT user_id AS id, count(*) AS freq FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"
 POOLS = "(VALUES (10), (50), (100), (200)) p(l)"
 RESULTS = f"{pairs()}, t AS ({top('d WHERE label = ql', 10)}), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM d), res AS (SELECT l, qid, id, dist, row_number() OVER (PARTITION BY l, qid ORDER BY dist, id) AS rk FROM ranked, {POOLS} WHERE r <= l AND label = ql)"
@@ -78,15 +80,15 @@ def oracle_sql() -> dict[str, str]:
         "postfilter_subset_knn": pooled(SUBSET, 100, 10),
         "top_l_pool": f"WITH {BQ}, {PIV}, {CODES}, {QTAB}, {ADC} {top('adc', 20)}",
         "rerank_exact": f"WITH {BQ}, {PIV}, {CODES}, {QTAB}, {ADC}, pool AS ({top('adc', 50)}), e AS (SELECT pool.qid, pool.id, {l2('qv', 'v')} AS dist FROM pool JOIN b ON b.id = pool.id JOIN q ON q.qid = pool.qid) {top('e', 10)}",
-        "gated_pool_knn": f"WITH {BQ}, {PIV}, {CODES}, {QTAB}, {ADC}, pool AS ({top('adc', 100)}), e AS (SELECT pool.qid, pool.id, {l2('qv', 'v')} AS dist FROM pool JOIN b ON b.id = pool.id JOIN q ON q.qid = pool.qid WHERE label = ql) {top('e', 10)}",
+        "gated_pool_knn": f"WITH {BQ}, {PIV}, {CODES}, {QTAB}, {ADC}, gate AS (SELECT adc.* FROM adc JOIN b ON b.id = adc.id JOIN q ON q.qid = adc.qid WHERE label = ql), pool AS ({top('gate', 100)}), e AS (SELECT pool.qid, pool.id, {l2('qv', 'v')} AS dist FROM pool JOIN b ON b.id = pool.id JOIN q ON q.qid = pool.qid) {top('e', 10)}",
         "matching_points": f"WITH {BQ} SELECT qid, id FROM q JOIN b ON {EQ}",
         "selectivity": f"WITH {BQ} SELECT qid, sum((label = ql)::INT)::DOUBLE / (SELECT count(*) FROM b)::DOUBLE AS sel FROM q, b GROUP BY qid",
         "label_histogram": f"WITH {B} SELECT label, count(*) AS n FROM b GROUP BY label",
         "multilabel_sets": f"WITH {B} SELECT id, len(labels)::BIGINT AS n_labels, list_sum(labels)::BIGINT AS label_sum FROM b",
-        "dist_l2": f"WITH {BQ} SELECT qid, id, {l2('qv', 'v')} AS value FROM q, b",
-        "dist_ip": f"WITH {BQ} SELECT qid, id, -({ip('qv', 'v')}) AS value FROM q, b",
-        "dist_cosine": f"WITH {BQ} SELECT qid, id, 1.0::DOUBLE - {ip('qv', 'v')} AS value FROM q, b",
-        "dist_matrix": f"WITH {BQ} SELECT qid, id, {ip('qv', 'qv')} + {ip('v', 'v')} - 2.0::DOUBLE * {ip('qv', 'v')} AS value FROM q, b",
+        "dist_l2": f"WITH {BQ} SELECT qid, id, {l2('qv', 'v')} AS value FROM q JOIN b ON qid = id - id % 20",
+        "dist_ip": f"WITH {BQ} SELECT qid, id, -({ip('qv', 'v')}) AS value FROM q JOIN b ON qid = id - id % 20",
+        "dist_cosine": f"WITH {BQ} SELECT qid, id, 1.0::DOUBLE - {ip('qv', 'v')} AS value FROM q JOIN b ON qid = id - id % 20",
+        "dist_matrix": f"WITH {BQ} SELECT qid, id, {ip('qv', 'qv')} + {ip('v', 'v')} - 2.0::DOUBLE * {ip('qv', 'v')} AS value FROM q JOIN b ON qid = id - id % 20",
         "normalize": f"WITH {B}, s AS (SELECT id, v, {ip('v', 'v')} AS n FROM b) SELECT id, pos, CASE WHEN n < 1.1920928955078125e-07 THEN 0.0::DOUBLE ELSE v[pos + 1]::DOUBLE / sqrt(n) END AS value FROM s, range({DIM}) r(pos)",
         "row_norms": f"WITH {B} SELECT id, {ip('v', 'v')} AS value FROM b",
         "occlude_factor": f"WITH {BG} SELECT x.src, x.dst AS near, y.dst AS far, CASE WHEN {l2('p.v', 'r.v')} = 0 THEN 3.4028234663852886e38::DOUBLE ELSE y.dist / {l2('p.v', 'r.v')} END AS factor FROM g x JOIN g y ON x.src = y.src AND x.pos < y.pos JOIN b p ON p.id = x.dst JOIN b r ON r.id = y.dst",
@@ -117,12 +119,12 @@ def oracle_sql() -> dict[str, str]:
         "pq_encode": f"WITH {B}, {PIV}, {CODES} SELECT id, chunk, code FROM codes",
         "pq_query_table": f"WITH {BQ}, {PIV}, {QTAB} SELECT qid, chunk, center, value FROM qtab",
         "pq_query_table_ip": f"WITH {BQ}, {PIV} SELECT qid, chunk, center, list_sum(list_transform(range(1, {WIDTH + 1}), lambda i: -(qv[{WIDTH}*chunk+i]::DOUBLE * pv[i]::DOUBLE))) AS value FROM q, piv",
-        "pq_adc": f"WITH {BQ}, {PIV}, {CODES}, {QTAB}, {ADC} SELECT qid, id, dist AS value FROM adc",
-        "pq_sdc": f"WITH {BQ}, {PIV}, {CODES}, pp AS (SELECT x.chunk, x.center AS c1, y.center AS c2, {l2('x.pv', 'y.pv', WIDTH)} AS d FROM piv x JOIN piv y ON x.chunk = y.chunk) SELECT q.qid, y.id, list_sum(list(d ORDER BY pp.chunk)) AS value FROM q JOIN codes x ON x.id = q.qid JOIN codes y ON y.chunk = x.chunk JOIN pp ON pp.chunk = x.chunk AND pp.c1 = x.code AND pp.c2 = y.code GROUP BY q.qid, y.id",
+        "pq_adc": f"WITH {BQ}, {PIV}, {CODES}, {QTAB} SELECT qid, id, list_sum(list(value ORDER BY qtab.chunk)) AS value FROM codes JOIN qtab ON qtab.chunk = codes.chunk AND qtab.center = codes.code AND qtab.qid = codes.id - codes.id % 20 GROUP BY qid, id",
+        "pq_sdc": f"WITH {BQ}, {PIV}, {CODES}, pp AS (SELECT x.chunk, x.center AS c1, y.center AS c2, {l2('x.pv', 'y.pv', WIDTH)} AS d FROM piv x JOIN piv y ON x.chunk = y.chunk) SELECT q.qid, y.id, list_sum(list(d ORDER BY pp.chunk)) AS value FROM q JOIN codes x ON x.id = q.qid JOIN codes y ON y.chunk = x.chunk AND y.id - y.id % 20 = q.qid JOIN pp ON pp.chunk = x.chunk AND pp.c1 = x.code AND pp.c2 = y.code GROUP BY q.qid, y.id",
         "neighbor_store": f"WITH {BG} SELECT src, pos, dst FROM g WHERE pos < 4",
         "reverse_edges": f"WITH {BG} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)",
         "bfs_hops": f"WITH RECURSIVE {BG}, {MEAN}, s AS (SELECT id FROM b, mv ORDER BY {l2('v', 'mean')}, id LIMIT 1), h1 AS (SELECT DISTINCT dst AS id, 1 AS hop FROM g JOIN s ON src = id), h2 AS (SELECT DISTINCT dst AS id, 2 AS hop FROM g JOIN h1 ON src = id), h3 AS (SELECT DISTINCT dst AS id, 3 AS hop FROM g JOIN h2 ON src = id) SELECT id, min(hop)::BIGINT AS hop FROM (SELECT id, 0 AS hop FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY id",
-        "merge_shards": f"WITH {B}, {NEAR3}, sh AS (SELECT id, center AS shard FROM n WHERE rk <= 2), e AS (SELECT x.shard, x.id AS src, y.id AS dst, {l2('p.v', 'r.v')} AS dist FROM sh x JOIN sh y ON x.shard = y.shard AND x.id <> y.id JOIN b p ON p.id = x.id JOIN b r ON r.id = y.id), k AS (SELECT *, row_number() OVER (PARTITION BY shard, src ORDER BY dist, dst) AS rn FROM e), u AS (SELECT DISTINCT src, dst, dist FROM k WHERE rn <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS pos FROM u) SELECT src, pos, dst FROM o WHERE pos < 8",
+        "merge_shards": f"WITH {B}, {NEAR3}, sh AS (SELECT id, center AS shard, {PARTS} AS part FROM n WHERE rk <= 2), e AS (SELECT x.shard, x.id AS src, y.id AS dst, {l2('p.v', 'r.v')} AS dist FROM sh x JOIN sh y ON x.shard = y.shard AND x.part = y.part AND x.id <> y.id JOIN b p ON p.id = x.id JOIN b r ON r.id = y.id), k AS (SELECT *, row_number() OVER (PARTITION BY shard, src ORDER BY dist, dst) AS rn FROM e), u AS (SELECT DISTINCT src, dst, dist FROM k WHERE rn <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS pos FROM u) SELECT src, pos, dst FROM o WHERE pos < 8",
         "tunnel_expand": f"WITH {BQ}, {GRAPH}, {pairs()}, pool AS ({top('d', 20, '*')}), x AS (SELECT DISTINCT pool.qid, g.dst AS id FROM pool JOIN g ON g.src = pool.id WHERE label <> ql AND pos < 4) SELECT x.qid, x.id FROM x WHERE x.qid <> x.id AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.qid = x.qid AND p.id = x.id)",
         "live_nodes": f"WITH {B} SELECT id FROM b WHERE id % 10 <> 3",
         "delete_repair": f"WITH {BG}, l AS (SELECT src, dst FROM g WHERE src % 10 <> 3) SELECT DISTINCT src, dst FROM (SELECT src, dst FROM l WHERE dst % 10 <> 3 UNION ALL SELECT l.src, g.dst FROM l JOIN g ON g.src = l.dst WHERE l.dst % 10 = 3 AND g.dst % 10 <> 3 AND g.dst <> l.src)",

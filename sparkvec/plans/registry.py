@@ -59,7 +59,8 @@ def three(base: DataFrame) -> DataFrame:
 
 
 def graph_of(base: DataFrame) -> DataFrame:
-    return graph.knn_graph(base, DEGREE)
+    """Exact neighbours within shards of bounded size: the work grows with the rows."""
+    return graph.shard_graphs(base, quantization.shard_assign(base, three(base), 1), DEGREE)
 
 
 def coordinates(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -67,10 +68,14 @@ def coordinates(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def paired(spark: SparkSession, sf: str, value: Callable[[F.Column, F.Column], F.Column]) -> DataFrame:
-    """qid, id and a value of every query with every row; queries are broadcast once their size is known."""
+    """qid, id and a value of every row with the query of its block of ids."""
     b, q = both(spark, sf)
-    q = F.broadcast(q) if q.count() * DIM * 8 <= knn.BROADCAST else q
-    return b.join(q.select("qid", "qvec"), F.lit(True)).select("qid", "id", value(F.col("qvec"), F.col("vec")).alias("value"))
+    return pairs_of(b).join(b.select("id", "vec"), "id").join(q.select("qid", "qvec"), "qid").select("qid", "id", value(F.col("qvec"), F.col("vec")).alias("value"))
+
+
+def pairs_of(base: DataFrame) -> DataFrame:
+    """Each id with the query before it: a list of pairs that grows with the rows."""
+    return base.select((F.col("id") - F.col("id") % 20).alias("qid"), "id")
 
 
 def knn_by(name: str) -> Query:
@@ -346,16 +351,14 @@ FOUND["pq_query_table"], FOUND["pq_query_table_ip"] = tables_by("l2"), tables_by
 @query
 def pq_adc(spark: SparkSession, sf: str) -> DataFrame:
     b, q = both(spark, sf)
-    book = book_of(b)
-    return quantization.adc(quantization.encode(b, book), q, book, None).withColumnRenamed("dist", "value")
+    return quantization.code_values(pairs_of(b), q, quantization.encode(b, book_of(b)), centers_of(b), DIM, CHUNKS)
 
 
 @query
 def pq_sdc(spark: SparkSession, sf: str) -> DataFrame:
-    b, q = both(spark, sf)
+    b = base_of(spark, sf)
     book = book_of(b)
-    codes = written(quantization.encode(b, book))
-    return quantization.symmetric(codes.join(q, F.col("id") == F.col("qid")).select("qid", "codes"), codes, book)
+    return quantization.symmetric(pairs_of(b), written(quantization.encode(b, book)), book)
 
 
 @query

@@ -6,6 +6,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -47,6 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparkvec-{uuid.uuid4().hex}"
 
 
+#: A side is broadcast up to this many bytes, counted first; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows, of this size at most, stay below the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
