@@ -2,11 +2,11 @@
 
 Components become floor(1024 x). With Phi the largest norm of the data, a further component sqrt(Phi^2 - |s|^2) for data and
 0 for queries turns the largest inner product into the smallest Euclidean distance: |q - s|^2 = |q|^2 + Phi^2 - 2 q.s. Data
-and queries are then assigned to the nearest of a few pivots. From summaries per cell alone (largest query distance, the
-k + 1 smallest data distances) follows for each query cell a bound theta that the k-th distance of none of its queries
-exceeds. Query cells are gathered into groups, and a data row of cell j at distance d from its pivot is sent to a group only if
+and queries are then assigned to the nearest of about sqrt(n) pivots. From summaries per cell alone (largest query distance, the
+k + r smallest data distances, with r the most rows that any query's id has) follows for each query cell a bound theta that the k-th
+distance of none of its queries exceeds. Query cells are gathered into groups, and a data row of cell j at distance d from its pivot is sent to a group only if
 d >= |p_i p_j| - U_i - theta_i for one of the group's cells i: by the triangle inequality all others are too far. Every group is
-solved locally, in salted parts of bounded size, and the parts' results are merged. Inner products are sums of integers far
+solved locally, in parts of bounded size (as many as the rows that it was sent need), and the parts' results are merged. Inner products are sums of integers far
 below 2^53 and so exact in double precision.
 
 Pivots are a bounded sample (rows of smallest hash); they affect cost only. Vectors that are null, empty or hold null or
@@ -27,7 +27,10 @@ from sparkvec.llm.common import written
 from sparkvec.llm.vectors import matrix, merged, usable
 from sparkvec.session import table
 
-PIVOTS, PART_ROWS, GROUP_QUERIES, SCALE = 48, 2048, 512, 1024
+#: Pivots at least and at most (the driver holds their mutual distances), rows of a part, queries of a group, scale of components.
+PIVOTS, MOST_PIVOTS, PART_ROWS, GROUP_QUERIES, SCALE = 48, 2048, 2048, 512, 1024
+#: Rows of a cell, besides k, whose distances the driver gets. With more rows of one id the bound only loosens.
+OWN = 1000
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -57,14 +60,17 @@ def assigned(rows: DataFrame, pivots: np.ndarray, phi2: float, data: bool) -> Da
     return rows.select("key", "v").mapInArrow(run, "key long, v array<double>, cell int, dist double")
 
 
-def bounds(pivots: np.ndarray, reach: dict[int, float], nearest: list[tuple[int, float]], k: int) -> dict[int, np.ndarray]:
-    """For every query cell i the least distance from its pivot that a row of each data cell needs to be among the k nearest."""
+def bounds(pivots: np.ndarray, reach: dict[int, float], nearest: list[tuple[int, float]], k: int, own: int) -> dict[int, np.ndarray]:
+    """For every query cell i the least distance from its pivot that a row of each data cell needs to be among the k nearest.
+
+    Up to `own` rows may have a query's id, so the k-th of the others is among the first k + own.
+    """
     between = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(-1))
     cells, dist = np.array([c for c, _ in nearest], int), np.array([d for _, d in nearest])
     out = {}
     for i, u in reach.items():
         upper = np.sort(u + between[i, cells] + dist)
-        theta = upper[k] if len(upper) > k else np.inf  # one of the k + 1 may be the query's own row
+        theta = upper[k + own - 1] if len(upper) >= k + own else np.inf
         out[i] = (between[i] - u - theta) * (1 - 1e-9) - 1e-6
     return out
 
@@ -86,7 +92,7 @@ def grouped(counts: dict[int, int], pivots: np.ndarray, most: int) -> list[list[
     return out
 
 
-def solve_groups(data: DataFrame, queries: DataFrame, groups: list[list[int]], needs: dict[int, np.ndarray], blocks: int, salts: int, dim: int, k: int) -> DataFrame:
+def solve_groups(data: DataFrame, queries: DataFrame, groups: list[list[int]], needs: dict[int, np.ndarray], blocks: int, part_rows: int, dim: int, k: int) -> DataFrame:
     """Send each row where it may matter, and find every group part's best."""
     floor = np.array([np.min([needs[c] for c in g], axis=0) for g in groups])
     group_of = {c: g for g, cells in enumerate(groups) for c in cells}
@@ -104,9 +110,22 @@ def solve_groups(data: DataFrame, queries: DataFrame, groups: list[list[int]], n
     def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    sent = data.mapInArrow(send, "grp int, key long, v array<double>").select("grp", each(blocks).alias("block"), part("salt", salts).alias("salt"), "key", "v")
-    cell_group = F.create_map(*(F.lit(x) for pair in group_of.items() for x in pair))  # one entry per query cell
-    asked = queries.select(F.element_at(cell_group, F.col("cell")).alias("grp"), part("block", blocks).alias("block"), each(salts).alias("salt"), "key", "v")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(floor), np.int64)
+        for b in batches:
+            cell, dist = b.column(0).to_numpy(), b.column(1).to_numpy()
+            n += (dist[:, None] >= floor[:, cell].T).sum(0)
+        yield pa.record_batch([pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], ["grp", "n"])
+
+    spark = data.sparkSession
+    got = data.select("cell", "dist").mapInArrow(counted, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+    salts = got.select("grp", F.greatest(F.lit(1), F.ceil(F.col("n") / part_rows)).cast("int").alias("salts"))
+    salts = F.broadcast(written(salts))  # one row per group
+    sent = data.mapInArrow(send, "grp int, key long, v array<double>").join(salts, "grp")
+    sent = sent.select("grp", each(blocks).alias("block"), F.pmod(F.xxhash64("key", F.lit("salt")), F.col("salts")).cast("int").alias("salt"), "key", "v")
+    groups_of = F.broadcast(spark.createDataFrame(list(group_of.items()), "cell int, grp int"))  # one row per query cell
+    asked = queries.join(groups_of, "cell").join(salts, "grp")
+    asked = asked.select("grp", part("block", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "v")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, found, score = [], [], []
@@ -127,26 +146,28 @@ def solve_groups(data: DataFrame, queries: DataFrame, groups: list[list[int]], n
     return sent.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(solve, FOUND)
 
 
-def search(rows: DataFrame, is_query: Column, k: int, n_pivots: int = PIVOTS, part_rows: int = PART_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int, n_pivots: int | None = None, part_rows: int = PART_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k highest inner products; rows come from `usable`."""
     spark, rows = rows.sparkSession, written(integers(rows))
     out = None
     for dim, phi2, n in sorted(rows.groupBy("dim").agg(F.max("sq"), F.count("*")).collect()):  # one row per vector length
         data = rows.where(F.col("dim") == dim)
-        sample = data.orderBy(F.xxhash64("key"), "key").limit(n_pivots).select("v").collect()
+        wanted = n_pivots or min(max(PIVOTS, int(n**0.5)), MOST_PIVOTS)
+        sample = data.orderBy(F.xxhash64("key"), "key").limit(wanted).select("v").collect()
         pivots = extended(np.unique(np.array([r[0] for r in sample]), axis=0), phi2)
         queries = data.where(is_query).groupBy("key").agg(F.min("v").alias("v"))
         data, queries = written(assigned(data, pivots, phi2, True)), written(assigned(queries, pivots, phi2, False))
+        own = data.join(queries.select("key"), "key", "left_semi").groupBy("key").count().agg(F.max("count")).first()[0] or 0
         in_cell = W.partitionBy("cell").orderBy("dist")
-        nearest = data.select("cell", "dist", F.row_number().over(in_cell).alias("rn")).where(F.col("rn") <= k + 1)
-        nearest = [(r[0], r[1]) for r in nearest.collect()]  # k + 1 per pivot
+        nearest = data.select("cell", "dist", F.row_number().over(in_cell).alias("rn")).where(F.col("rn") <= k + min(own, OWN))
+        nearest = [(r[0], r[1]) for r in nearest.collect()]  # k + OWN per pivot at most
         asked = queries.groupBy("cell").agg(F.max("dist"), F.count("*")).collect()
         if not asked:
             continue
-        needs = bounds(pivots, {r[0]: r[1] for r in asked}, nearest, k)
+        needs = bounds(pivots, {r[0]: r[1] for r in asked}, nearest, k, own)
         counts = {r[0]: r[2] for r in asked}
         blocks = max(1, -(-max(counts.values()) // (4 * group_queries)))
-        found = solve_groups(data, queries, grouped(counts, pivots, group_queries), needs, blocks, max(1, -(-n // part_rows)), dim, k)
+        found = solve_groups(data, queries, grouped(counts, pivots, group_queries), needs, blocks, part_rows, dim, k)
         out = found if out is None else out.unionByName(found)
     return merged(spark.createDataFrame([], FOUND) if out is None else out, k)
 

@@ -92,10 +92,22 @@ def test_voronoi(spark, table):
 def test_voronoi_sends_less_where_it_can():
     rng = np.random.default_rng(1)
     pivots = op10_voronoi_topk.extended(rng.standard_normal((6, 8)) * 1000, 1e8)
-    needs = op10_voronoi_topk.bounds(pivots, {0: 10.0}, [(0, float(d)) for d in range(12)], 10)
+    needs = op10_voronoi_topk.bounds(pivots, {0: 10.0}, [(0, float(d)) for d in range(12)], 10, 1)
     assert needs[0][0] < 0 and (needs[0][1:] > 0).all()
 
 
+def test_voronoi_with_repeated_query_ids(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((12, 8)) * 4
+    rows = [(i, (centers[i % 12] + rng.standard_normal(8) * 0.05).tolist()) for i in range(1, 240)]
+    rows += [(0, (centers[0] + rng.standard_normal(8) * 0.001).tolist()) for _ in range(15)]  # fill the nearest places
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = results(op10_voronoi_topk.search(usable(df, "vec_id", "embedding", zero=True), F.col("key") == 0, 10, n_pivots=12, part_rows=20))
+    asked = min((np.floor(1024 * np.array(v)).tolist(), v) for i, v in rows if i == 0)[1]
+    want = sorted((-whole(np.array(asked), np.array(v)), i) for i, v in rows if i != 0)[:10]
+    assert [(i, s) for i, s in got[0]] == [(i, -s) for s, i in want]
+
+
 def test_voronoi_of_the_test_table(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     want = brute([tuple(r) for r in e.select("vec_id", "embedding").collect()], whole, 100, 10)
