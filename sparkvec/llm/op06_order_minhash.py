@@ -35,6 +35,8 @@ K, SKETCHES, PICKED, NEAR = 2, 32, 2, 0.8
 SHORT, LONG = 40, 32
 #: 64-bit words of parities of a document, rounds of heads, members of a bucket that one task pairs with the others.
 MARKS, STARS, PART = 8, 2, 1024
+#: Pairs of one text that meet it in one task.
+SIDE_PAIRS = 256
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -247,6 +249,16 @@ def digest(text: str) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)
 
 
+def with_text(pairs: DataFrame, held: DataFrame, side: str) -> DataFrame:
+    """pairs with the text of one side; a digest of many pairs is dealt to several tasks, each with its text."""
+    many = pairs.groupBy(side).agg(F.ceil(F.count("*") / SIDE_PAIRS).cast("int").alias("salts")).where("salts > 1")
+    many = small_enough(written(many), 40)
+    salted = pairs.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    texts = held.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}")).join(many, side, "left")
+    texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(texts, [side, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of digests whose texts, in held(digest, text), are near."""
 
@@ -263,8 +275,7 @@ def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
     ids = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     held = held.join(small_enough(ids, 40), "digest", "left_semi").dropDuplicates(["digest"])
-    one = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(held.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    two = with_text(with_text(pairs, held, "a"), held, "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
