@@ -12,6 +12,8 @@ written, in any order among themselves. An empty table gives empty files and an
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +74,28 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").withColumn("start", F.col("part_start") + F.col("local_start"))
 
 
+def read_keys(spark: SparkSession, at: str, first: int, last: int) -> DataFrame:
+    """The rows with keys from first to last: row groups and pages of other keys are skipped by their statistics."""
+    return read_tokens(spark, at).where(F.col("key").between(first, last))
+
+
+def read_token_range(spark: SparkSession, at: str, first: int, last: int) -> DataFrame:
+    """key, start and ids of the tokens [first, last) of the whole corpus; ids are read of the parts and rows that hold any.
+
+    The places are found in the narrow columns, so ids outside are not decoded.
+    """
+    places = read_tokens(spark, at).select("part", "local_start", "start", "n_tokens")
+    inside = places.where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    spans = inside.groupBy("part").agg(F.min("local_start").alias("a"), F.max("local_start").alias("z"), F.min(F.col("start") - F.col("local_start")).alias("part_start")).collect()  # one row per part inside
+    if not spans:
+        return read_tokens(spark, at).select("key", "start", "ids").limit(0)
+    some = reduce(or_, (F.col("part").eqNullSafe(r.part) & F.col("local_start").between(r.a, r.z) for r in spans))
+    rows = spark.read.schema(FILE_SCHEMA).parquet(at).where(some)
+    start = F.element_at(F.create_map(*(F.lit(x) for r in spans for x in (r.part, r.part_start))), F.col("part")) + F.col("local_start")
+    skip = F.greatest(first - start, F.lit(0)).cast("int")
+    return rows.select("key", (start + skip).alias("start"), F.slice("ids", skip + 1, F.least("n_tokens", last - start).cast("int") - skip).alias("ids"))
+
+
 def digest(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
 

@@ -115,6 +115,41 @@ def test_token_files_of_odd_rows(spark, tmp_path):
     assert op04_token_files.digest(op04_token_files.read_tokens(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_token_files_are_read_in_parts(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    to = str(tmp_path / "t")
+    op04_token_files.write_tokens(documents, to, BPE, row_group=64 << 10, page=4 << 10)
+    flat, keys = [], sorted(texts)
+    for ids in library(texts[d] for d in keys):
+        flat += [*ids, 1]
+    for first, last in ((0, 10), (1234, 5678), (len(flat) - 5, len(flat)), (len(flat), len(flat) + 9), (0, len(flat))):
+        got = op04_token_files.read_token_range(spark, to, first, last).orderBy("start").collect()
+        assert [i for r in got for i in r.ids] == flat[first:last]
+        at = first
+        for r in got:
+            assert r.start == at
+            at += len(r.ids)
+    assert [r.key for r in op04_token_files.read_keys(spark, to, keys[20], keys[25]).orderBy("key").collect()] == keys[20:26]
+    groups, outside = 0, 0
+    for f in (tmp_path / "t").glob("*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        for g in range(m.num_row_groups):
+            cols = {m.row_group(g).column(c).path_in_schema: m.row_group(g).column(c) for c in range(m.row_group(g).num_columns)}
+            ids = next(c for n, c in cols.items() if n.startswith("ids."))
+            assert {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"} & set(ids.encodings) and all(c.has_offset_index and c.has_column_index for c in cols.values())
+            s = cols["key"].statistics
+            groups, outside = groups + 1, outside + (s.max < keys[20] or s.min > keys[25])
+    assert groups >= 6 and outside >= groups - 2
+    plan = op04_token_files.read_keys(spark, to, keys[20], keys[25])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan
+    long = spark.createDataFrame([(1, "a" * 3_000_000), (2, "b c " * 500_000)], "doc_id long, text string")
+    op04_token_files.write_tokens(long, str(tmp_path / "l"), BPE)
+    assert [r.n_tokens for r in op04_token_files.read_tokens(spark, str(tmp_path / "l")).orderBy("key").collect()][1] == 1_000_001
+
+
 def test_sentencepiece_is_the_librarys(spark, texts):
     m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     known = op05_sentencepiece.segments_of(PIECES)
