@@ -364,11 +364,11 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     """One row of df for each class: of its texts the one with the smallest id, where null is the last; of equal ids any one text."""
     _, reps = labelled(df, key, text, least)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("x")
-    found = written(reps.groupBy("label").agg(first).select(F.col("x.rep").alias("sv_rep"), F.col("x.digest").alias("sv_digest")))
-    same = (digest(text) == F.col("sv_digest")) & F.col(key).cast("long").eqNullSafe(F.col("sv_rep"))
-    kept = df.withColumn("sv_own", digest(text)).join(small_enough(found, 40), same, "left_semi")
+    found = written(reps.groupBy("label").agg(first).select("x.rep", "x.digest"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), digest(text).alias("own"), F.col(key).cast("long").alias("id"))
+    kept = rows.join(small_enough(found, 40), (F.col("own") == F.col("digest")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     repeated = not df.groupBy(key).count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["sv_own"]) if repeated else kept).drop("sv_own")
+    return (kept.dropDuplicates(["own"]) if repeated else kept).select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
