@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LOCAL: dict[str, str] = {}
 
 
+#: By application: the folders that were given out.
+GIVEN: dict[str, list[str]] = {}
+#: Those of them that a scratch block leaves.
+FINAL: set[str] = set()
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all folders that this application's operators have written, once no result is needed any more."""
+    for path in GIVEN.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what was written inside, but for what `final` has named: for tables that only lead to another written one."""
+    app = spark.sparkContext.applicationId
+    before = len(GIVEN.get(app, []))
+    yield
+    made = GIVEN.get(app, [])[before:]
+    kept = [p for p in made if p in FINAL]
+    for p in made:
+        if p not in kept:
+            _delete(spark, p)
+            GIVEN[app].remove(p)
+    FINAL.difference_update(kept)
+
+
+def final(df: DataFrame) -> DataFrame:
+    """written(df), which an enclosing scratch leaves there."""
+    out = written(df)
+    FINAL.add(GIVEN[df.sparkSession.sparkContext.applicationId][-1])
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +86,9 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in LOCAL:
             LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
         base = LOCAL[app]
-    return f"{base.rstrip('/')}/sparkvec-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/sparkvec-{uuid.uuid4().hex}"
+    GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 #: A side is broadcast up to this many bytes, counted first; beyond it the join shuffles.
