@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.llm.common import BROADCAST_BYTES, small_enough, written
-from sparkvec.session import table
+from sparkvec.session import final, scratch, table
 
 NEAR = 0.8
 #: Cells of the count table, as a power of two, and bits of a token's hash; together they make up a token's key.
@@ -166,7 +166,9 @@ def later_matches(df: DataFrame, key: str = "doc_id", text: str = "text", near:
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", near: float = NEAR, lines_as: str | None = None, gone_as: str | None = None) -> DataFrame:
     """df with the text of the lines that stay; and, if named, the number of lines and of those that went."""
-    gone = with_lists(written(later_matches(df, key, text, near)), "gone")
+    with scratch(df.sparkSession):
+        gone = final(later_matches(df, key, text, near))
+    gone = with_lists(gone, "gone")
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *identity(key, text)).join(gone, ["doc", "own"], "left")
     whole = F.col("row").getField(text)
     parts = F.split(whole, "\n")

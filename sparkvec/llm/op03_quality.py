@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkvec.llm.common import by_bytes, small_enough, texts, written
-from sparkvec.session import table
+from sparkvec.session import final, scratch, table
 
 ORDER, BITS, QUANTILE, FEW = 4, 16, 0.98, 100
 #: Stands before a text.
@@ -262,16 +262,17 @@ def judged(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, qua
     of_all = F.lit(None).cast("string")
     if shared:
         some = some.unionByName(trusted.select(of_all.alias("grp"), both, "text"))
-    seen, weights = estimated(written(counted(some.select(model_of(F.col("grp"), F.col("part")).alias("model"), "text"))))
+    with scratch(df.sparkSession):
+        seen, weights = (final(t) for t in estimated(written(counted(some.select(model_of(F.col("grp"), F.col("part")).alias("model"), "text")))))
 
-    # trusted documents of other groups also set the limit of the one for all
-    ask = rows.select("row", "id", "text", "grp", "trusted", F.lit(True).alias("first"), model_of(F.col("grp"), part).alias("model"))
+    # limits first: trusted documents of other groups also set the one of all
+    ask = rows.where("trusted").select("id", "text", "grp", model_of(F.col("grp"), part).alias("model"))
     if shared:
         again = rows.where("trusted and grp is not null")
-        ask = ask.unionByName(again.select("row", "id", "text", of_all.alias("grp"), "trusted", F.lit(False).alias("first"), model_of(of_all, part).alias("model")))
-    done = written(scored(ask, seen, weights, with_text))
-    limits = small_enough(written(limit_of(done.where("trusted and nll is not null"), quantile)), 64)
-    done = done.where("first").join(limits, F.col("grp").eqNullSafe(F.col("of")), "left")
+        ask = ask.unionByName(again.select("id", "text", of_all.alias("grp"), model_of(of_all, part).alias("model")))
+    limits = small_enough(written(limit_of(scored(ask, seen, weights), quantile)), 64)
+    done = scored(rows.select("row", "id", "text", "grp", model_of(F.col("grp"), part).alias("model")), seen, weights, with_text)
+    done = done.join(limits, F.col("grp").eqNullSafe(F.col("of")), "left")
     return done.select(*shown, "nll", "limit", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)).alias("keep"))
 
 

@@ -36,7 +36,7 @@ from sparkvec.session import table
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Bytes of segments kept at most (estimated), characters indexed at once, longest segment that is relaxed in step with others.
-KEPT, INDEXED, IN_STEP = 128 << 20, 400_000, 48
+KEPT, INDEXED, IN_STEP = 64 << 20, 200_000, 48
 #: What a kept segment takes besides its characters and ids.
 ENTRY = 180
 NONE = -1

@@ -28,7 +28,7 @@ from xxhash import xxh64_intdigest
 
 from sparkvec.llm.common import by_bytes, small_enough, texts, written
 from sparkvec.llm.components import components
-from sparkvec.session import table
+from sparkvec.session import final, scratch, table
 
 K, SKETCHES, PICKED, NEAR = 2, 32, 2, 0.8
 #: Documents of up to SHORT words have sketches of single words, those from LONG words on of K words; near ones share a kind.
@@ -343,12 +343,14 @@ def linked(firsts: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
 def labelled(df: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
     """key and digest of all rows; and digest, rep (the smallest id with that text) and label of every different text."""
-    every = written(sketched(df, key, text))
-    firsts = written(every.groupBy("digest").agg(F.min("key").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "marks", "sketches"))))
-    held = df.select(digest(text).alias("digest"), F.col(text).alias("text"))
-    labels = linked(firsts, held, least)
-    reps = firsts.select("digest", "rep").join(labels, F.col("digest") == F.col("node"), "left")
-    return every.select("key", "digest"), written(reps.select("digest", "rep", F.coalesce("label", "digest").alias("label")))
+    with scratch(df.sparkSession):
+        every = final(sketched(df, key, text))
+        firsts = written(every.groupBy("digest").agg(F.min("key").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "marks", "sketches"))))
+        held = df.select(digest(text).alias("digest"), F.col(text).alias("text"))
+        labels = linked(firsts, held, least)
+        reps = firsts.select("digest", "rep").join(labels, F.col("digest") == F.col("node"), "left")
+        reps = final(reps.select("digest", "rep", F.coalesce("label", "digest").alias("label")))
+    return every.select("key", "digest"), reps
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = NEAR) -> DataFrame:
