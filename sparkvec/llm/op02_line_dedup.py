@@ -100,14 +100,16 @@ def close(n: Column, i: Column, b: Column, c: Column, m: Column, j: Column, d: C
 
 def prefixes(df: DataFrame, ranks: Column, near: float) -> DataFrame:
     """token, ref, n, i and bitmaps of the prefix rows of lines(ref, t)."""
-    src = df.select("ref", "t", ranks.alias("ranks"))
-    # each is used once, so the optimizer puts both into the next expression and no row holds the ranks
-    src = src.select("ref", keys(F.col("t"), F.col("ranks")).alias("k")).select("*", F.size("k").alias("n"))
+    # the optimizer puts the ranks, used once, into the next expression, so no row holds them
+    src = df.select("ref", "t", ranks.alias("ranks")).select("ref", keys(F.col("t"), F.col("ranks")).alias("k"))
+    # and exploding an array of one keeps it from computing keys and bitmaps again for each row of the prefix
+    n = F.size("k")
     second = F.filter("k", lambda x: x.bitwiseAND(64) != 0)
-    prefix = F.slice("k", 1, (F.col("n") - F.ceil(near * F.col("n") - 1e-6) + 1).cast("int"))
-    half = F.when(F.col("n") >= LONG, bitmap(second)).otherwise(F.lit(0).cast("long"))
-    src = src.select("ref", "n", prefix.alias("p"), bitmap(F.col("k")).alias("b"), half.alias("c"))
-    return src.select("ref", "n", "b", "c", F.posexplode("p").alias("i", "token"))
+    prefix = F.slice("k", 1, (n - F.ceil(near * n - 1e-6) + 1).cast("int"))
+    half = F.when(n >= LONG, bitmap(second)).otherwise(F.lit(0).cast("long"))
+    facts = F.struct(n.alias("n"), bitmap(F.col("k")).alias("b"), half.alias("c"), prefix.alias("p"))
+    src = src.select("ref", F.explode(F.array(facts)).alias("x"))
+    return src.select("ref", "x.n", "x.b", "x.c", F.posexplode("x.p").alias("i", "token"))
 
 
 def with_lists(df: DataFrame, lists: str) -> DataFrame:
