@@ -1,7 +1,9 @@
 """What several of these operators need: the shared folder, size-checked broadcasts and text batches."""
 
-__all__ = ["BROADCAST_BYTES", "by_bytes", "shared_dir", "small_enough", "texts", "written"]
+__all__ = ["BROADCAST_BYTES", "by_bytes", "settled", "shared_dir", "small_enough", "texts", "written"]
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,15 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def settled() -> None:
+    """Give free memory back to the system: workers are reused, and what one stage has freed should not count in the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The strings of a column; a null is the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

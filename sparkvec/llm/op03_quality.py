@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvec.llm.common import by_bytes, small_enough, texts, written
+from sparkvec.llm.common import by_bytes, settled, small_enough, texts, written
 from sparkvec.session import final, scratch, table
 
 ORDER, BITS, QUANTILE, FEW = 4, 16, 0.98, 100
@@ -104,6 +104,8 @@ def counted(trusted: DataFrame) -> DataFrame:
                     known[m] = new, n
         for m, (code, n) in known.items():
             yield pa.record_batch([pa.array(np.full(len(code), m)), pa.array(code), pa.array(n)], ["model", "code", "n"])
+        known.clear()
+        settled()
 
     return trusted.select("model", "text").mapInArrow(run, "model long, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
 
@@ -179,6 +181,7 @@ def packed(rows: DataFrame) -> DataFrame:
         for b in by_bytes(batches, "text"):
             raw = pa.array([None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()], pa.binary())
             yield pa.record_batch([raw if i == at else c for i, c in enumerate(b.columns)], names)
+        settled()
 
     return rows.mapInArrow(run, T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema.fields]))
 
@@ -203,6 +206,7 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool
         known = np.zeros(0, np.int64)
         for codes, _, _ in pieces(unpacked(t)):
             known = encoded(np.concatenate([known, encoded(codes)[0]]))[0]
+        settled()
         model, block = (pa.array(np.full(len(known), t[c][0].as_py()), pa.int64()) for c in by)
         return pa.table([model, block, pa.array(known)], [*by, "code"])
 
@@ -220,6 +224,7 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool
             each = logp[np.searchsorted(code, new)][at]
             np.add.at(total, of, np.add.reduceat(each, np.cumsum(size) - size))
             np.add.at(n, of, size)
+        settled()
         nll = pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
         whole = {"text": pa.array(unpacked(t), pa.string(), mask=t["text"].is_null().to_numpy())} if with_text else {}
         return pa.table([*(whole[c] if c in whole else t[c] for c in rest), nll], [*rest, "nll"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvec.llm.common import by_bytes, texts
+from sparkvec.llm.common import by_bytes, settled, texts
 from sparkvec.llm.words import summed
 from sparkvec.session import table
 
@@ -260,6 +260,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             flat, n = known.encode(texts(b, text))
             col = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.record_batch([*b.columns, col], [*kept, ids])
+        known.restart()  # the worker may be used for other things next
+        settled()
 
     return df.select(*kept).mapInArrow(run, out)
 
@@ -293,6 +295,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
             raw, ends = flat.astype("<u4").tobytes(), np.cumsum(n) * 4
             crc = [zlib.crc32(raw[z - 4 * k : z]) for k, z in zip(n, ends, strict=True)]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["key", "n_tokens", "ids_crc32", "decoded_same"])
+        known.restart()
+        settled()
 
     src = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return src.mapInArrow(run, "key long, n_tokens long, ids_crc32 long, decoded_same boolean").withColumnRenamed("key", key)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sparkvec.llm.common import by_bytes, small_enough, texts, written
+from sparkvec.llm.common import by_bytes, settled, small_enough, texts, written
 from sparkvec.llm.components import components
 from sparkvec.session import final, scratch, table
 
@@ -239,6 +239,7 @@ def sketched(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * MARKS, pa.int32()), pa.array(x.ravel(), pa.int64()))
             n = pa.array([len(d) for d in docs], pa.int64())
             yield pa.record_batch([b.column(0), b.column(1), n, x, sketch_lists(docs)], ["key", "digest", "n", "marks", "sketches"])
+        settled()
 
     src = df.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest"), F.col(text).alias("text"))
     return src.mapInArrow(run, "key long, digest binary, n long, marks array<long>, sketches array<long>")
@@ -272,6 +273,8 @@ def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
                         known[i] = word_hashes(t or "")
                 keep.append(near(known[a], known[c], least))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            known.clear()
+        settled()
 
     ids = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     held = held.join(small_enough(ids, 40), "digest", "left_semi").dropDuplicates(["digest"])
