@@ -406,8 +406,9 @@ def graph_search(spark: SparkSession, sf: str) -> DataFrame:
     b, q = both(spark, sf)
     centers = written(quantization.kmeans(b, DIM, 4, 5))
     assigned = written(graph_index.shards(b, centers, 2, 2000))
-    nodes = graph_index.build_graph(b, assigned, "l2", 16, 32).join(b, "id")
-    return graph_index.search(written(nodes), q, centers, K, 200, predicate("eq"), probes=4)[0]
+    book = quantization.train(b, DIM, CHUNKS, CENTERS)
+    nodes = graph_index.build_graph(b, assigned, "l2", 16, 32).join(quantization.encode(b, book, "label", keep_vec=True), "id")
+    return graph_index.search(written(nodes), q, centers, K, 200, predicate("eq"), book, probes=4)[0]
 
 
 @query
