@@ -14,7 +14,7 @@ and position, has the same set or a Jaccard similarity of at least `near`. The o
 5. Of those, each is paired with the first line of its token; the true Jaccard of the pairs' words decides. Only lines that are
    still there after that meet all earlier partners of their tokens.
 
-Words that share a hash only add candidates: each counts for itself in a line's size and prefix, and the last word is had by the words.
+Words that share a hash only add candidates: each counts for itself in a line's size and prefix, and the words themselves decide.
 
 Null texts stay null and have no lines; blank lines have no tokens and stay. Rows that repeat an id and text count as one document,
 rows of one id with other texts as documents of their own; null ids come first. An empty table gives an empty one. Other
