@@ -18,6 +18,7 @@ one of the name that they add, which is replaced.
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,7 +37,7 @@ from sparkvec.llm.words import summed
 from sparkvec.session import table
 
 #: Bytes of pieces kept at most (estimated, with ENTRY for each), ids of a matrix at most, bytes of a piece that is merged in one row.
-KEPT, ENTRY, CELLS, LONG = 96 << 20, 180, 1 << 20, 256
+KEPT, ENTRY, CELLS, LONG = 48 << 20, 180, 1 << 18, 256
 NONE = np.iinfo(np.int32).max
 PAD = -1
 
@@ -99,29 +100,53 @@ class PairTable:
         return out.reshape(a.shape)
 
 
+def ranks_in(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+
+
+class Tokens:
+    """The bytes of every token end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        raw = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            raw[r] = t
+        self.raw, self.raw_n = np.frombuffer(b"".join(raw), np.uint8), np.array([len(t) for t in raw])
+        self.raw_at = np.cumsum(self.raw_n) - self.raw_n
+
+    def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[bytes]:
+        n = self.raw_n[ids]
+        step = np.repeat(self.raw_at[ids] - (np.cumsum(n) - n), n)
+        raw = self.raw[step + np.arange(len(step))].tobytes()
+        sizes = summed(n, per_text)
+        ends = np.cumsum(sizes)
+        return [raw[z - s : z] for s, z in zip(sizes, ends, strict=True)]
+
+
 class ByteBpe(dict):
     """Piece -> number, with the ids of numbered pieces in flat arrays."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
-        with open(path, "rb") as f:
-            self.rank_of = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
-        size = max(self.rank_of.values()) + 1
-        raw = [b""] * size
-        for t, r in self.rank_of.items():
-            raw[r] = t
-        self.raw, self.raw_n = np.frombuffer(b"".join(raw), np.uint8), np.array([len(t) for t in raw])
-        self.raw_at = np.cumsum(self.raw_n) - self.raw_n
+        self.rank_of = ranks_in(path)
+        self.raw_n = Tokens(self.rank_of).raw_n
         self.byte = np.array([self.rank_of[bytes([b])] for b in range(256)], np.int32)
-        splits = {}
+        self.pair = PairTable(*self.splits())
+        self.usual, self.exact, self.odd = splitters(pattern)
+        self.restart()
+        settled()
+
+    def splits(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make a token, packed, and its rank."""
+        keys, ranks = array("Q"), array("i")
         for t, r in self.rank_of.items():
             for i in range(1, len(t)):
                 a, b = self.rank_of.get(t[:i]), self.rank_of.get(t[i:])
                 if a is not None and b is not None:
-                    splits[a << 32 | b] = r
-        self.pair = PairTable(np.array(list(splits), np.uint64), np.array(list(splits.values()), np.int32))
-        self.usual, self.exact, self.odd = splitters(pattern)
-        self.restart()
+                    keys.append(a << 32 | b)
+                    ranks.append(r)
+        return np.frombuffer(keys, np.uint64), np.frombuffer(ranks, np.int32)
 
     def restart(self) -> None:
         self.clear()
@@ -235,14 +260,6 @@ class ByteBpe(dict):
         step = np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n)
         return self.flat[step + np.arange(len(step))], summed(n, np.fromiter(map(len, rows), np.int64, len(rows)))
 
-    def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[bytes]:
-        n = self.raw_n[ids]
-        step = np.repeat(self.raw_at[ids] - (np.cumsum(n) - n), n)
-        raw = self.raw[step + np.arange(len(step))].tobytes()
-        sizes = summed(n, per_text)
-        ends = np.cumsum(sizes)
-        return [raw[z - s : z] for s, z in zip(sizes, ends, strict=True)]
-
 
 @lru_cache(maxsize=1)
 def coder_of(path: str, pattern: str) -> ByteBpe:
@@ -250,35 +267,41 @@ def coder_of(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """df with the column `ids` (array<int>): the tokens of every whole text."""
-    kept = [c for c in df.columns if c != ids]
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(ranks_in(path))
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with the column `ids` (array<int>): the tokens of every whole text."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != ids]
     out = T.StructType([*df.select(*kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    read = kept if text in kept else [*kept, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path, pattern)
         for b in by_bytes(batches, text, 2 << 20):
             flat, n = coder.encode(texts(b, text))
             col = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.record_batch([*b.columns, col], [*kept, ids])
+            yield pa.record_batch([*b.columns[: len(kept)], col], [*kept, ids])
         coder.restart()  # the worker may be used for other things next
         settled()
 
-    return df.select(*kept).mapInArrow(run, out)
+    return df.select(*read).mapInArrow(run, out)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the column `decoded` (binary): the bytes that the ids stand for."""
     kept = [c for c in df.columns if c != decoded]
     out = T.StructType([*df.select(*kept).schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(path, pattern)
+        tokens = tokens_of(path)
         for b in batches:
             col = b.column(kept.index(ids))
             n = np.diff(col.offsets.to_numpy())
             n[~np.asarray(col.is_valid())] = 0
-            got = coder.decode(col.flatten().to_numpy(), n)
+            got = tokens.decode(col.flatten().to_numpy(), n)
             got = [g if ok else None for g, ok in zip(got, col.is_valid().to_pylist(), strict=True)]
             yield pa.record_batch([*b.columns, pa.array(got, pa.binary())], [*kept, decoded])
 
@@ -288,6 +311,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded bytes of all documents."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    ids = encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
