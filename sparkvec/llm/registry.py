@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sparkvec.llm import op01_hash_forest, op02_line_dedup, op03_quality, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html, op10_voronoi_topk, op12_byte_bpe, op13_merkle, oracle
+from sparkvec.llm import op01_hash_forest, op02_line_dedup, op03_quality, op04_token_files, op05_sentencepiece, op06_order_minhash, op07_mixing, op08_token_counts, op09_html, op10_voronoi_topk, op11_runs, op12_byte_bpe, op13_merkle, oracle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op08_token_counts.query,
         "op9_html": op09_html.query,
         "op10_voronoi_topk": op10_voronoi_topk.query,
+        "op11_runs": op11_runs.query,
         "op12_byte_bpe": op12_byte_bpe.query,
         "op13_merkle": op13_merkle.query,
         "pipeline": corpus_pipeline.run,
