@@ -164,10 +164,11 @@ def planted(key: Column, text: Column) -> Column:
     g = F.floor(h / 10)
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
     n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    tail = F.transform(F.sequence(a, (n - 1).cast("long")), lambda i: F.get(words, (a + (i - a) % p).cast("int")))
-    made = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    # p is more than a (3 + g % 8)th of the words from a on, so so many periods reach to the end
+    periods = F.flatten(F.array_repeat(F.slice(words, a + 1, p), (3 + g % 8).cast("int")))
+    made = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(periods, F.lit(1), n - a)), " ")
     return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)
 
 
