@@ -17,6 +17,7 @@ one of the name that they add, which is replaced.
 """
 
 import base64
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -308,9 +309,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     return df.select(*kept).mapInArrow(run, out)
 
 
+def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """key, n_tokens, and the SHA-256 of every whole text's ids and of what they decode to, without the ids leaving the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, tokens = coder_of(path, pattern), tokens_of(path)
+        for b in by_bytes(batches, "text", 1 << 20):
+            ids, n = coder.encode(texts(b))
+            ends = np.cumsum(n)
+            listed = [",".join(map(str, ids[z - k : z].tolist())) for k, z in zip(n, ends, strict=True)]
+            cols = [[hashlib.sha256(x).hexdigest() for x in some] for some in (map(str.encode, listed), tokens.decode(ids, n))]
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), *map(pa.array, cols)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.restart()
+        settled()
+
+    src = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return src.mapInArrow(run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded bytes of all documents."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
