@@ -65,25 +65,39 @@ def nearest(dist: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: in
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cols) if cols else np.zeros(0, int)
 
 
-def block_knn(base: pa.RecordBatch, queries: pa.Table, k: int, metric: str, where: Predicate, with_self: bool) -> pa.RecordBatch:
-    """The kernel: base has id and vec, queries have qid and qvec, both with the predicate's columns."""
-    q, x = matrix(queries["qvec"]), matrix(base.column(base.schema.get_field_index("vec")))
+def alike(allowed: np.ndarray | None, queries: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the queries that may have the same rows, with these rows: distances are computed within such groups only."""
+    if allowed is None:
+        yield np.arange(queries), np.arange(rows)
+        return
+    _, of = np.unique(np.packbits(allowed, axis=1), axis=0, return_inverse=True)
+    for group in np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1]):
+        if len(group) and len(at := np.flatnonzero(allowed[group[0]])):
+            yield group, at
+
+
+def found_in(base: pa.RecordBatch, queries: pa.Table, k: int, where: Predicate, with_self: bool, distances: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """Each query's k nearest rows that satisfy the predicate; distances(query numbers, row numbers) is asked for these rows only."""
     ids, qids = base.column(base.schema.get_field_index("id")).to_numpy(), queries["qid"].to_numpy()
     out = []
-    step = max(1, BLOCK // max(1, len(x)))
-    for at in range(0, len(q), step):
-        part = queries.slice(at, step)
-        allowed = where.mask(base, part)
-        if not with_self:
-            other = qids[at : at + step, None] != ids[None]
-            allowed = other if allowed is None else allowed & other
-        dist = BLOCKS[metric](q[at : at + step], x)
-        r, c = nearest(dist, ids, allowed, k)
-        out.append((qids[at : at + step][r], ids[c], dist[r, c]))
+    step = max(1, BLOCK // max(1, len(ids)))
+    for at in range(0, len(qids), step):
+        allowed = where.mask(base, queries.slice(at, step))
+        for group, rows in alike(allowed, min(step, len(qids) - at), len(ids)):
+            dist = distances(group + at, rows)
+            other = None if with_self else qids[group + at, None] != ids[rows][None]
+            r, c = nearest(dist, ids[rows], other, k)
+            out.append((qids[group + at][r], ids[rows][c], dist[r, c]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["qid", "id", "dist"])
 
 
+def block_knn(base: pa.RecordBatch, queries: pa.Table, k: int, metric: str, where: Predicate, with_self: bool) -> pa.RecordBatch:
+    """The kernel: base has id and vec, queries have qid and qvec, both with the predicate's columns."""
+    q, x = matrix(queries["qvec"]), matrix(base.column(base.schema.get_field_index("vec")))
+    return found_in(base, queries, k, where, with_self, lambda some, rows: BLOCKS[metric](q[some], x[rows]))
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """qid, id, dist and rk (from 1) of each query's k nearest, ties by id."""
     rk = F.row_number().over(W.partitionBy("qid").orderBy("dist", "id"))
@@ -150,9 +164,16 @@ def selectivity(base: DataFrame, queries: DataFrame, where: Predicate) -> DataFr
 
 
 def partitioned_knn(base: DataFrame, queries: DataFrame, k: int, parts: int, metric: str = "l2") -> DataFrame:
-    """The k nearest of each part of the base, united and ranked again."""
-    found = None
-    for p in range(parts):
-        one = knn(base.where(F.pmod("id", F.lit(parts)) == p), queries, k, metric).select("qid", "id", "dist")
-        found = one if found is None else found.unionByName(one)
-    return ranked(found, k)
+    """The k nearest of each part of the base, united and ranked again: one pass, as the kernel takes the parts one by one."""
+    if metric not in BLOCKS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(BLOCKS)}")
+    dim = queries.agg(F.max(F.size("qvec"))).first()[0] or 0
+    base = base.where("id is not null and vec is not null").where(F.size("vec") == dim).select("id", "vec", F.pmod("id", F.lit(parts)).alias("part"))
+    queries = queries.where("qid is not null and qvec is not null").where(F.size("qvec") == dim).select("qid", "qvec")
+
+    def kernel(b: pa.RecordBatch, q: pa.Table) -> pa.RecordBatch:
+        part = b.column(2).to_numpy()
+        each = [block_knn(b.take(pa.array(np.flatnonzero(part == p))), q, k, metric, Always(), False) for p in np.unique(part)]
+        return pa.concat_batches(each) if each else block_knn(b, q, k, metric, Always(), False)
+
+    return ranked(met(base, queries, dim * 8 + 64, kernel), k)

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from sparkvec.operators.ordering import positions
 
+#: Strategies or settings that one report compares.
+MOST_NAMES = 1000
+
 
 def _hits(results: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     pairs = results.select(*by, "qid", "id").distinct().join(truth.select("qid", "id").distinct(), ["qid", "id"])
@@ -27,7 +30,10 @@ def recall_valid(results: DataFrame, truth: DataFrame, k: int, by: tuple[str, ..
     valid = truth.where(F.col("rk") <= k).select("qid", "id").distinct()
     sizes = valid.groupBy("qid").agg(F.count("*").alias("size"))
     hits = results.where(F.col("rk") <= k).select(*by, "qid", "id").distinct().join(valid, ["qid", "id"]).groupBy(*by, "qid").agg(F.count("*").alias("hits"))
-    grid = results.select(*by).distinct().crossJoin(sizes) if by else sizes  # a few labels of strategies
+    names = [r.asDict() for r in results.select(*by).distinct().limit(MOST_NAMES + 1).collect()] if by else []
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} combinations of {by}")
+    grid = sizes.withColumn("name", F.explode(F.array(*(F.struct(*(F.lit(n[c]).alias(c) for c in by)) for n in names)))).select("qid", "size", "name.*") if names else sizes
     each = grid.join(hits, [*by, "qid"], "left").withColumn("share", F.coalesce("hits", F.lit(0)).cast("double") / F.col("size"))
     return each.groupBy(*by).agg(F.round(F.avg("share"), 12).alias("recall"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Always, Predicate
 from sparkvec.functions.vector import chunk_bounds, chunked, l2_sq, sample_rate
-from sparkvec.operators.knn import BLOCK, matrix, met, nearest, ranked
+from sparkvec.operators.knn import found_in, matrix, met, nearest, ranked
 from sparkvec.session import bounded
 
 
@@ -163,22 +163,16 @@ def adc(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: st
     held = codes.sparkSession.sparkContext.broadcast(book)
 
     def kernel(b: pa.RecordBatch, q: pa.Table) -> pa.RecordBatch:
-        tables, qids = query_tables(matrix(q["qvec"]), held.value, metric), q["qid"].to_numpy()
-        ids, code = b.column(0).to_numpy(), np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-        out, step = [], max(1, BLOCK // max(1, b.num_rows))
-        for at in range(0, len(qids), step):
-            mine = qids[at : at + step]
-            dist = np.zeros((len(mine), b.num_rows))
+        tables = query_tables(matrix(q["qvec"]), held.value, metric)
+        code = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+
+        def distances(some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            dist = np.zeros((len(some), len(rows)))
             for c, t in enumerate(tables):
-                dist += t[at : at + step][:, code[:, c]]
-            allowed = where.mask(b, q.slice(at, step))
-            if not with_self:
-                other = mine[:, None] != ids[None]
-                allowed = other if allowed is None else allowed & other
-            r, c = nearest(dist, ids, allowed, k)
-            out.append((mine[r], ids[c], dist[r, c]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "dist"])
+                dist += t[some][:, code[rows, c]]
+            return dist
+
+        return found_in(b, q, k, where, with_self, distances)
 
     ask = queries.where("qid is not null and qvec is not null").where(F.size("qvec") == book.dim).select("qid", "qvec", *where.query_columns)
     return ranked(met(codes.select("id", "codes", *where.base_columns), ask, book.dim * 8 + 64, kernel), k)

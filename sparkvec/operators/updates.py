@@ -12,10 +12,15 @@ from sparkvec.operators.knn import knn
 from sparkvec.operators.ordering import positions
 
 
+def change_order(changes: DataFrame) -> F.Column:
+    """What decides between changes of one tag, the same in any order of rows."""
+    return F.struct("seq", F.coalesce(F.col("op") == "delete", F.lit(False)), F.xxhash64(*changes.columns))
+
+
 def latest(changes: DataFrame) -> DataFrame:
-    """Of changes(tag, seq, op, ...) each tag's one with the largest seq."""
+    """Of changes(tag, seq, op, ...) each tag's one with the largest seq; among equals a delete, then the one with the greatest hash."""
     rest = [c for c in changes.columns if c != "tag"]
-    last = changes.where("tag is not null").groupBy("tag").agg(F.max_by(F.struct(*rest), "seq").alias("last"))
+    last = changes.where("tag is not null").groupBy("tag").agg(F.max_by(F.struct(*rest), change_order(changes)).alias("last"))
     return last.select("tag", *(F.col(f"last.{c}").alias(c) for c in rest))
 
 

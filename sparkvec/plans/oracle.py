@@ -91,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
         "dist_matrix": f"WITH {BQ} SELECT qid, id, {ip('qv', 'qv')} + {ip('v', 'v')} - 2.0::DOUBLE * {ip('qv', 'v')} AS value FROM q JOIN b ON qid = id - id % 20",
         "normalize": f"WITH {B}, s AS (SELECT id, v, {ip('v', 'v')} AS n FROM b) SELECT id, pos, CASE WHEN n < 1.1920928955078125e-07 THEN 0.0::DOUBLE ELSE v[pos + 1]::DOUBLE / sqrt(n) END AS value FROM s, range({DIM}) r(pos)",
         "row_norms": f"WITH {B} SELECT id, {ip('v', 'v')} AS value FROM b",
-        "occlude_factor": f"WITH {BG} SELECT x.src, x.dst AS near, y.dst AS far, CASE WHEN {l2('p.v', 'r.v')} = 0 THEN 3.4028234663852886e38::DOUBLE ELSE y.dist / {l2('p.v', 'r.v')} END AS factor FROM g x JOIN g y ON x.src = y.src AND x.pos < y.pos JOIN b p ON p.id = x.dst JOIN b r ON r.id = y.dst",
+        "occlude_factor": f"WITH {BG} SELECT src, near, far, CASE WHEN apart = 0 THEN 3.4028234663852886e38::DOUBLE ELSE dist / apart END AS factor FROM (SELECT x.src, x.dst AS near, y.dst AS far, y.dist, {l2('p.v', 'r.v')} AS apart FROM g x JOIN g y ON x.src = y.src AND x.pos < y.pos JOIN b p ON p.id = x.dst JOIN b r ON r.id = y.dst)",
         "ram_estimate": f"WITH {B} SELECT label, 1.1::DOUBLE * (count(*)::DOUBLE * 32.0::DOUBLE * 4.0::DOUBLE * 1.3::DOUBLE + (count(*) * {DIM} * 4)::DOUBLE) AS bytes FROM b GROUP BY label",
         "scan_vectors": f"WITH {B} SELECT id, pos, v[pos + 1]::DOUBLE AS value FROM b, range({DIM}) r(pos)",
         "vector_metadata": f"WITH {B} SELECT count(*) AS n_rows, max(len(v))::BIGINT AS dim FROM b",

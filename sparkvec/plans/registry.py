@@ -7,6 +7,7 @@ by 20, each without itself; deletes are ids that end in 3; the codebook's centre
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.functions import vector as V
@@ -245,11 +246,11 @@ def tag_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def pooled_results(b: DataFrame, q: DataFrame) -> DataFrame:
     """l, qid, id, dist, rk of the post-filter at several pool sizes, from the largest pool."""
     pool = written(knn.knn(b, q, max(POOLS)))
-    out = None
-    for n in POOLS:
-        one = knn.ranked(pools.filtered_pool(pool.where(F.col("rk") <= n), b, q, predicate("eq")), n).select(F.lit(n).alias("l"), "*")
-        out = one if out is None else out.unionByName(one)
-    return written(out)
+    passed = pools.filtered_pool(pool, b, q, predicate("eq")).join(pool.select("qid", "id", F.col("rk").alias("place")), ["qid", "id"])
+    sizes = F.filter(F.array(*map(F.lit, POOLS)), lambda n: n >= F.col("place"))
+    each = passed.withColumn("l", F.explode(sizes))
+    rk = F.row_number().over(W.partitionBy("l", "qid").orderBy("dist", "id")).cast("long")
+    return written(each.select("l", "qid", "id", "dist", rk.alias("rk")))
 
 
 def recalled(measure: Callable) -> Query:

@@ -61,14 +61,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what was written inside, but for what `final` has named: for tables that only lead to another written one."""
     app = spark.sparkContext.applicationId
     before = len(GIVEN.get(app, []))
-    yield
-    made = GIVEN.get(app, [])[before:]
-    kept = [p for p in made if p in FINAL]
-    for p in made:
-        if p not in kept:
-            _delete(spark, p)
-            GIVEN[app].remove(p)
-    FINAL.difference_update(kept)
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        made = GIVEN.get(app, [])[before:]
+        kept = [p for p in made if p in FINAL]
+        for p in made:
+            if not done or p not in kept:  # after a failure nothing of it is needed
+                _delete(spark, p)
+                GIVEN[app].remove(p)
+        FINAL.difference_update(kept)
 
 
 def final(df: DataFrame) -> DataFrame:
@@ -79,8 +83,11 @@ def final(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, a local session gets a local
+    folder; on a cluster, whose executors would not see it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in LOCAL:

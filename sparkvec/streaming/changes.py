@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkvec.operators.updates import latest, version
+from sparkvec.operators.updates import change_order, latest, version
 from sparkvec.session import written
 
 
@@ -23,7 +23,7 @@ def once(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def latest_per_tag(changes: DataFrame) -> DataFrame:
     """A running table of each tag's latest change: state is one row per tag."""
     rest = [c for c in changes.columns if c != "tag"]
-    last = changes.groupBy("tag").agg(F.max_by(F.struct(*rest), "seq").alias("last"))
+    last = changes.groupBy("tag").agg(F.max_by(F.struct(*rest), change_order(changes)).alias("last"))
     return last.select("tag", *(F.col(f"last.{c}").alias(c) for c in rest))
 
 

@@ -271,3 +271,48 @@ def test_sql_functions(spark):
     assert "l2_sq" in sql.register(spark)
     row = spark.sql("SELECT l2_sq(array(0D, 1D), array(2D, 1D)) a, inner_product(array(1D, 2D), array(3D, 4D)) b, labels_contain(array(1L, 2L), array(2L)) c, norm_sq(array(3D, 4D)) d").first()
     assert tuple(row) == (4.0, 11.0, True, 25.0)
+
+
+@pytest.mark.parametrize("name", ["eq", "range", "subset", "intersect", "none"])
+def test_distances_are_of_matching_rows_only(spark, monkeypatch, name):
+    """As many as there are matches, whatever the selectivity; exact and by codes."""
+    import pyarrow as pa
+
+    rows = spark.range(200).select("id", F.array(*(F.rand(i).cast("float") for i in range(4))).alias("vec"), (F.col("id") % 10).cast("int").alias("label"), F.array((F.col("id") % 3).cast("int"), (F.col("id") % 5 + 10).cast("int")).alias("labels"), (F.col("id") % 50).cast("int").alias("attr"))
+    rows = spark.createDataFrame(rows.toPandas(), BASE)
+    q = rows.where("id % 20 = 0").selectExpr("id + 1000 qid", "vec qvec", "label qlabel", "slice(labels, 1, 1) qlabels", "attr lo", "attr + 4 hi")
+    base, ask = rows.toArrow().combine_chunks().to_batches()[0], q.toArrow()
+    where, seen = predicate(name), []
+    block = knn.l2_block
+
+    def counted(a, b):
+        seen.append(len(a) * len(b))
+        return block(a, b)
+
+    monkeypatch.setitem(knn.BLOCKS, "l2", counted)
+    got = knn.block_knn(base, ask, 5, "l2", where, False)
+    matches = knn.matching_points(rows, q, where).count()
+    assert sum(seen) == matches
+    want = knn.knn(rows, q, 5, "l2", where).select("qid", "id", "dist").toArrow()
+    assert sorted(pa.Table.from_batches([got]).to_pylist(), key=str) == sorted(want.to_pylist(), key=str)
+
+
+def test_ties_of_seq_are_settled_the_same_way(spark):
+    rows = [(1, 5, "insert", 1.0), (1, 5, "delete", None), (2, 5, "insert", 1.0), (2, 5, "insert", 2.0)]
+    got = {tuple(map(tuple, updates.upserted(spark.createDataFrame(r, "tag long, seq long, op string, v double")).collect())) for r in (rows, rows[::-1])}
+    assert len(got) == 1
+    assert [r[0] for r in got.pop()] == [2]
+
+
+def test_scratch_deletes_after_a_failure(spark):
+    import os
+
+    from sparkvec import session
+
+    made = []
+    with pytest.raises(ZeroDivisionError):
+        with session.scratch(spark):
+            session.final(spark.range(3).toDF("id"))
+            made.append(session.GIVEN[spark.sparkContext.applicationId][-1])
+            raise ZeroDivisionError
+    assert made and not os.path.exists(made[0])
