@@ -3,7 +3,7 @@
 The shards' graphs are merged into one, and nodes are written in two tiers, one folder for each cell of `partition`: narrow rows (codes, attributes
 and neighbours with their cells) and wide rows (vectors). A round takes each query's next few pool members, follows
 their neighbours, leaves out what the query has met before, and reads the narrow rows of the cells where the others are. The wide rows of the
-final pool's members that satisfy the predicate are read last. Neither tier is listed or scanned as a whole.
+nearest met nodes that satisfy the predicate are read last. Neither tier is listed or scanned as a whole.
 
 A search starts from the rows of a bounded sample that are nearest to the query, both of all and of those that satisfy its predicate.
 """
@@ -48,6 +48,12 @@ class Paged(NamedTuple):
         return spark.read.option("basePath", folder).schema(f"{schema}, cell long").parquet(*(f"{folder}/cell={c}" for c in found))
 
 
+def opened(spark: SparkSession, at: str) -> Paged:
+    """What `pages` has written."""
+    row = spark.read.parquet(f"{at}/schemas").first()
+    return Paged(at, row.narrow, row.wide, spark.read.parquet(f"{at}/sample"))
+
+
 def merged_graph(graph: DataFrame) -> DataFrame:
     """id and nbrs: the union of each node's lists in all shards, in order of their places there."""
     each = graph.select("id", F.posexplode("nbrs").alias("pos", "dst"))
@@ -71,8 +77,11 @@ def pages(nodes: DataFrame, graph: DataFrame, placed: DataFrame, to: str, sample
     some = nodes.drop("codes").join(where, "id")
     if rate < 1:
         some = some.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    fields = {tier: ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "cell") for tier, df in (("narrow", narrow), ("wide", wide))}
-    return Paged(to, fields["narrow"], fields["wide"], written(some))
+    some.write.parquet(f"{to}/sample")
+    fields = [", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "cell") for df in (narrow, wide)]
+    spark = nodes.sparkSession
+    spark.createDataFrame([tuple(fields)], "narrow string, wide string").coalesce(1).write.parquet(f"{to}/schemas")
+    return opened(spark, to)
 
 
 def approximate(pairs: DataFrame, book: Codebook, metric: str) -> DataFrame:
@@ -95,16 +104,20 @@ def approximate(pairs: DataFrame, book: Codebook, metric: str) -> DataFrame:
     return pairs.select(*kept, "qvec", "codes").mapInArrow(run, f"{fields}, dist double")
 
 
-def search(paged: Paged, queries: DataFrame, book: Codebook, k: int, pool: int, where: Predicate, metric: str = "l2", store: int = 32, beam: int = 8, seeds: int = 8, with_self: bool = False) -> tuple[DataFrame, DataFrame]:
+def search(paged: Paged, queries: DataFrame, book: Codebook, k: int, pool: int, where: Predicate, metric: str = "l2", store: int = 32, beam: int | None = None, seeds: int = 8, fetch: int | None = None, with_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """(qid, id, dist, rk; per query n_fetch (wide rows read), n_met (nodes met) and n_rounds).
 
-    A pool member that fails the predicate is not fetched, but its first `store` neighbours are still followed.
+    A pool member that fails the predicate is not fetched, but its first `store` neighbours are still followed. A round follows the `beam`
+    nearest members that were not followed before (an eighth of the pool if not given): more save rounds and meet a few more nodes. Besides
+    the pool, which leads the way, each query keeps the `fetch` nearest nodes that it met and that pass (half the pool if not given).
     """
+    beam, fetch = beam or max(8, pool // 8), fetch or max(4 * k, pool // 2)
     spark = queries.sparkSession
     queries = written(queries.where("qid is not null and qvec is not null").select("qid", "qvec", *where.query_columns))
     asked = bounded(queries, 16 * book.dim + 256)
     order = W.partitionBy("qid").orderBy("dist", "id")
-    turn = W.partitionBy("qid", "done").orderBy("dist", "id")
+    passing = W.partitionBy("qid", "passes").orderBy("dist", "id")
+    turn = W.partitionBy("qid", F.col("done") | (F.col("place") > pool)).orderBy("dist", "id")
 
     def scored(new: DataFrame) -> DataFrame:
         """new(qid, cell, id) with dist, whether they pass, and their neighbours; reads the narrow rows of their cells."""
@@ -113,8 +126,11 @@ def search(paged: Paged, queries: DataFrame, book: Codebook, k: int, pool: int,
         return approximate(met.select("qid", "cell", "id", "passes", "nbrs", "qvec", "codes"), book, metric)
 
     def ranked_pool(rows: DataFrame) -> DataFrame:
-        best = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool).drop("place")
-        return written(best.withColumn("turn", ~F.col("done") & (F.row_number().over(turn) <= beam)))
+        kept = rows.withColumn("place", F.row_number().over(order)).withColumn("pass_place", F.row_number().over(passing))
+        kept = kept.where((F.col("place") <= pool) | (F.col("passes") & (F.col("pass_place") <= fetch + 1)))  # one for the query itself
+        kept = kept.withColumn("turn", ~F.col("done") & (F.col("place") <= pool) & (F.row_number().over(turn) <= beam))
+        nbrs = F.when((F.col("place") <= pool) & ~F.col("done"), F.col("nbrs"))
+        return written(kept.select("qid", "cell", "id", "passes", nbrs.alias("nbrs"), "dist", "done", "turn", "pass_place"))
 
     start = knn(paged.sample, queries, seeds, metric, with_self=True).select("qid", "id")
     start = start.unionByName(knn(paged.sample, queries, seeds, metric, where, True).select("qid", "id")).distinct()
@@ -133,9 +149,10 @@ def search(paged: Paged, queries: DataFrame, book: Codebook, k: int, pool: int,
         if rounds % MERGE == 0:
             met = written(met)
         looked = F.col("done") | F.col("turn")
-        old = state.select("qid", "cell", "id", "passes", F.when(~looked, F.col("nbrs")).alias("nbrs"), "dist", looked.alias("done"))
+        old = state.select("qid", "cell", "id", "passes", "nbrs", "dist", looked.alias("done"))
         state = ranked_pool(old.unionByName(found.withColumn("done", F.lit(False))))
-    fetched = state.where("passes") if with_self else state.where("passes and qid <> id")
+    fetched = state.where("passes").where(F.col("pass_place") <= fetch + (not with_self))
+    fetched = fetched if with_self else fetched.where("qid <> id")
     wide = fetched.select("qid", "cell", "id").join(paged.read(spark, "wide", fetched).select("id", "vec"), "id").join(asked, "qid")
     result = ranked(wide.select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("dist")), k)
     n_fetch = fetched.groupBy("qid").agg(F.count("*").alias("n_fetch"))

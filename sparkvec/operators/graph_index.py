@@ -1,7 +1,8 @@
 """Graph index in shards: build and traverse a proximity graph in each shard, queries meet the shards they probe.
 
-A shard has a bounded number of rows (by its k-means centre, split by hash where a centre draws too many), so one task builds it
-by sequential insertion and later searches it. A query visits the shards of its nearest centres, and the shards' results are merged.
+A shard has a bounded number of rows (it is a cell of `partition`, or a k-means centre's rows, split by hash where there are too many), so
+one task builds it by sequential insertion and later searches it. A query visits the shards of its nearest centres, and the
+shards' results are merged. `frontier` searches all shards as one graph.
 """
 
 from collections.abc import Callable
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Predicate
@@ -127,6 +129,16 @@ def shards(df: DataFrame, centers: DataFrame, copies: int, most_rows: int) -> Da
     return parted(of, of.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(most_rows)).cast("int").alias("parts")))
 
 
+def members(rows: DataFrame, centers: DataFrame, copies: int, most_rows: int) -> DataFrame:
+    """id, shard and part 0 of rows(id, vec, cell): each row is in its cell, and in its nearest other cells as far as these have room."""
+    own = rows.select("id", F.col("cell").alias("shard"), F.lit(0).alias("rk"))
+    near = closest_centers(rows, centers, copies).select("id", F.col("center").alias("shard"), "rk")
+    near = near.join(own.select("id", "shard"), ["id", "shard"], "left_anti")
+    place = F.row_number().over(W.partitionBy("shard").orderBy("rk", "id"))
+    every = own.unionByName(near).withColumn("place", place)
+    return every.where(F.col("place") <= most_rows).select("id", "shard", F.lit(0).alias("part"))
+
+
 def parted(of: DataFrame, parts: DataFrame) -> DataFrame:
     """id, shard, part of rows of(id, shard) in shards with that many parts; a shard that had no rows has one."""
     out = of.join(bounded(parts, 32), "shard", "left")
@@ -198,6 +210,8 @@ def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, poo
     asked = closest_centers(queries.select(F.col("qid").alias("id"), F.col("qvec").alias("vec")), centers, probes).select(F.col("id").alias("qid"), F.col("center").alias("shard"))
     parts = nodes.select("shard", "part").distinct()
     asked = asked.join(bounded(parts, 32), "shard").join(queries, "qid")
+    wanted = asked.select("shard", "part").distinct()
+    nodes = nodes.join(bounded(wanted, 32), ["shard", "part"], "left_semi")  # before any vector is shuffled
     asked = asked.select("qid", "qvec", *where.query_columns, F.col("shard").alias("to_shard"), F.col("part").alias("to_part"))
     held = nodes.sparkSession.sparkContext.broadcast(book)
 

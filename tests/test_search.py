@@ -125,7 +125,7 @@ def test_reinserted_tag_is_there(spark):
 @pytest.fixture(scope="module")
 def index(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    return VectorIndex.build(e, vec="embedding", label="label", degree=16, pool=32, centers=16, shards=2, shard_rows=400)
+    return VectorIndex.build(e, vec="embedding", label="label", degree=16, pool=32, centers=16, shard_rows=400)
 
 
 def test_strategies(index):
