@@ -1,19 +1,21 @@
 """Quality classifier: interpolated modified Kneser-Ney models of character n-grams, trained on trusted text.
 
 Characters are taken as they are: the alphabet is open, so the tables grow with the corpus. (Those beyond U+FFFF share 6,400
-stand-ins, which lets four characters fit one 64-bit code.) Every trusted text is counted, none is sampled. Each language with
-FEW trusted documents has models of its own, all others share those of all trusted texts together. A group has three: of
-all its trusted documents, and of each half of them. A trusted document is scored by the half that it isn't in, any other by
-the first, so no document is scored by a model that has seen it.
+stand-ins, which lets four characters fit one 64-bit code.) Every trusted text is counted, none is sampled. Each language has
+models of its own, and all trusted texts together have shared ones: of all documents, and of each half of them. A trusted
+document is scored by the half that it isn't in, any other by the first, so no document is scored by a model that has seen it. A character's
+probability is a mixture of its language's and of the shared model's; with n trusted characters behind it the language's own has the
+weight n / (n + TRUST), so a language with few of them leans on the shared model and one with none has that alone.
 
 1. Counts of 4-grams are summed from partial counts; continuation counts of the lower orders, context totals and discounts follow
    by grouping. Each order's n-grams are joined with their contexts and with the next lower order on sharded keys, which gives every
    seen n-gram its probability and every context its back-off weight.
-2. Documents are dealt to blocks of one model and bounded text. The different 4-grams of a block are pre-aggregated there;
-   they are joined, order by order, with the probabilities and weights, and each block gets back the log-probabilities
-   of its own n-grams. No task holds a whole model, and no table goes to the driver.
-3. A document's perplexity is over all its characters. A group's limit is a quantile of its trusted documents' perplexities, from a
-   histogram with steps of 1/1000 nat.
+2. Documents are dealt to blocks of one model and bounded text. The different 4-grams of a block are pre-aggregated there. The
+   different ones of all blocks are joined, order by order, with the probabilities and weights, and each block gets back the
+   log-probabilities of its own n-grams. No task holds a whole model, and no table goes to the driver.
+3. A document's perplexity is over all its characters. A language's limit is a quantile of its trusted documents' perplexities, from a
+   histogram with steps of 1/1000 standard deviation. Few documents tell little of their spread: the language's variance, and the number
+   of standard deviations from its mean to its quantile, are averaged with those of all languages, which count as much as STEADY documents.
 
 Trusted are documents whose labels say quality 1 and not toxic. A null text is the empty one; it has no perplexity and is not
 kept. A null lang is the empty one; null ids are scored, but never trusted. Repeated rows are each scored; an id that is labelled
@@ -36,7 +38,9 @@ from pyspark.sql import types as T
 from sparkvec.llm.common import by_bytes, settled, small_enough, texts, written
 from sparkvec.session import final, scratch, table
 
-ORDER, BITS, QUANTILE, FEW = 4, 16, 0.98, 100
+ORDER, BITS, QUANTILE = 4, 16, 0.98
+#: Characters at which a language's own model counts as much as the shared one; documents that the shared spread of perplexities counts for.
+TRUST, STEADY = 1 << 18, 50
 #: Stands before a text.
 START = "\x02" * (ORDER - 1)
 #: Characters of a block, characters that are coded at once.
@@ -156,19 +160,38 @@ def estimated(top: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen.unionByName(unknown), contexts.select("k", "model", "context", "weight")
 
 
-def log_probabilities(wanted: DataFrame, seen: DataFrame, weights: DataFrame) -> DataFrame:
-    """wanted(model, block, code) with the log-probability logp of the last character: from the longest seen ending up."""
-    own = ["model", "block", "code"]
+def probabilities(wanted: DataFrame, seen: DataFrame, weights: DataFrame) -> DataFrame:
+    """wanted(model, code) with the probability p of the last character: from the longest seen ending up. The tables of the lowest orders,
+    in which many n-grams share an ending, are small; they are broadcast below a counted size."""
+    own = ["model", "code"]
     out = wanted.select(*own, F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("w"))
     for k in range(ORDER, -1, -1):
         one = seen.where(F.col("k") == k).select("model", F.col("code").alias("end"), F.col("p").alias("found"))
+        one = small_enough(one, 32) if k <= 1 else one
         out = out.withColumn("end", last(F.col("code"), k)).join(one, ["model", "end"], "left")
         out = out.select(*own, F.coalesce("p", F.col("w") * F.col("found")).alias("p"), "w")
         if k > 0:
             back = weights.where(F.col("k") == k).select("model", "context", "weight")
+            back = small_enough(back, 32) if k <= 2 else back
             out = out.withColumn("context", F.shiftrightunsigned(last(F.col("code"), k), BITS)).join(back, ["model", "context"], "left")
             out = out.select(*own, "p", F.when(F.col("p").isNull(), F.col("w") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("w")).alias("w"))
-    return out.select(*own, F.log("p").alias("logp"))
+    return out.select(*own, "p")
+
+
+def log_probabilities(pairs: DataFrame, seen: DataFrame, weights: DataFrame, models: DataFrame | None) -> DataFrame:
+    """pairs(model, block, code) with the log-probability logp under the model, mixed as models(model, base, own) says."""
+    asked = pairs.select("model", "code").distinct()
+    if models is None:
+        mixed = probabilities(asked, seen, weights)
+    else:
+        asked = written(asked.join(small_enough(models, 32), "model", "left"))
+        shared = asked.where("base is not null").select(F.col("base").alias("model"), "code")
+        p = written(probabilities(asked.select("model", "code").unionByName(shared).distinct(), seen, weights))
+        low = p.select(F.col("model").alias("base"), "code", F.col("p").alias("q"))
+        own = F.when(F.col("base").isNull(), F.lit(1.0)).otherwise(F.col("own"))
+        mixed = asked.join(p, ["model", "code"]).join(low, ["base", "code"], "left")
+        mixed = mixed.select("model", "code", (own * F.coalesce("p", F.lit(0.0)) + (1 - own) * F.coalesce("q", F.lit(0.0))).alias("p"))
+    return pairs.join(mixed, ["model", "code"]).select("model", "block", "code", F.log("p").alias("logp"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -192,7 +215,7 @@ def unpacked(t: pa.Table) -> list[str]:
     return ["" if x is None else z.decompress(x).decode("utf-8", "surrogatepass") for x in t["text"].to_pylist()]
 
 
-def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool = False) -> DataFrame:
+def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, models: DataFrame | None = None, with_text: bool = False) -> DataFrame:
     """rows(model, id, text, ...) with the mean negative log-probability nll of a text's characters; null for a text without any.
 
     The texts are left out of the result if it is without them.
@@ -210,8 +233,8 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, with_text: bool
         model, block = (pa.array(np.full(len(known), t[c][0].as_py()), pa.int64()) for c in by)
         return pa.table([model, block, pa.array(known)], [*by, "code"])
 
-    pairs = rows.groupBy(*by).applyInArrow(different, "model long, block long, code long")
-    back = log_probabilities(pairs, seen, weights)
+    pairs = written(rows.groupBy(*by).applyInArrow(different, "model long, block long, code long"))
+    back = log_probabilities(pairs, seen, weights, models)
     rest = [c for c in rows.columns if c not in by and (with_text or c != "text")]
 
     def score(t: pa.Table, known: pa.Table) -> pa.Table:
@@ -251,42 +274,54 @@ def judged(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, qua
     ids = trusted_ids(labels, key)
     rows = rows.join(small_enough(ids, 24), F.col("id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0)).drop("trusted_id")
     rows = rows.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
-    per = written(rows.where("trusted").groupBy("lang", "half").count())
-    halves = {r[0]: r[1] for r in per.groupBy("half").agg(F.sum("count")).collect()}  # two rows
+    per = written(rows.where("trusted").groupBy("lang", "half").agg(F.sum(F.length("text")).alias("chars")))
+    halves = {r[0] for r in per.select("half").distinct().collect()}  # two rows
     shown = ["row", "text"] if with_text else ["row"]
     if not halves:
         none = F.lit(None).cast("double")
         return rows.select(*shown, none.alias("nll"), none.alias("limit"), F.coalesce(F.length("text") > 0, F.lit(False)).alias("keep"))
-    own = per.groupBy("lang").agg(F.sum("count").alias("docs"), F.count("*").alias("halves")).where((F.col("docs") >= FEW) & (F.col("halves") == 2))
-    rows = rows.join(small_enough(written(own.select("lang", F.col("lang").alias("grp"))), 64), "lang", "left")
+    own = written(per.groupBy(F.col("lang").alias("grp")).agg(*(F.sum(F.when(F.col("half") == h, F.col("chars")).otherwise(0)).alias(f"c{h}") for h in (0, 1))))
+    rows = rows.join(small_enough(own.select(F.col("grp").alias("lang"), "grp"), 64), "lang", "left")
+    behind = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), c.alias("chars")) for p, c in ((0, F.col("c1")), (1, F.col("c0")), (2, F.col("c0") + F.col("c1"))))))
+    models = own.select("grp", behind.alias("x")).select(model_of(F.col("grp"), F.col("x.part")).alias("model"), model_of(F.lit(None).cast("string"), F.col("x.part")).alias("base"), (F.col("x.chars") / (F.col("x.chars") + TRUST)).alias("own"))
+    models = written(models)
     part = F.when(F.col("trusted") & F.lit(len(halves) == 2), F.col("half")).otherwise(F.lit(2))
     trusted = rows.where("trusted").select("grp", "half", "text")
     both = F.explode(F.array(F.lit(2), 1 - F.col("half"))).alias("part")
-    some = trusted.select("grp", both, "text").where("grp is not null")
-    shared = not rows.where("grp is null and length(text) > 0").isEmpty()
     of_all = F.lit(None).cast("string")
-    if shared:
-        some = some.unionByName(trusted.select(of_all.alias("grp"), both, "text"))
+    some = trusted.select("grp", both, "text").unionByName(trusted.select(of_all.alias("grp"), both, "text"))
     with scratch(df.sparkSession):
         seen, weights = (final(t) for t in estimated(written(counted(some.select(model_of(F.col("grp"), F.col("part")).alias("model"), "text")))))
 
-    # limits first: trusted documents of other groups also set the one of all
+    # limits first; where there are languages without trusted documents, all trusted ones also set the limit of these
     ask = rows.where("trusted").select("id", "text", "grp", model_of(F.col("grp"), part).alias("model"))
-    if shared:
-        again = rows.where("trusted and grp is not null")
-        ask = ask.unionByName(again.select("id", "text", of_all.alias("grp"), model_of(of_all, part).alias("model")))
-    limits = small_enough(written(limit_of(scored(ask, seen, weights), quantile)), 64)
-    done = scored(rows.select("row", "id", "text", "grp", model_of(F.col("grp"), part).alias("model")), seen, weights, with_text)
+    if not rows.where("grp is null and length(text) > 0").isEmpty():
+        ask = ask.unionByName(rows.where("trusted").select("id", "text", of_all.alias("grp"), model_of(of_all, part).alias("model")))
+    limits = small_enough(written(limit_of(written(scored(ask, seen, weights, models)), quantile)), 64)
+    done = scored(rows.select("row", "id", "text", "grp", model_of(F.col("grp"), part).alias("model")), seen, weights, models, with_text)
     done = done.join(limits, F.col("grp").eqNullSafe(F.col("of")), "left")
     return done.select(*shown, "nll", "limit", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)).alias("keep"))
 
 
 def limit_of(scores: DataFrame, quantile: float) -> DataFrame:
-    """of (a group) and limit: the step of the histogram of its nll below which the quantile lies."""
-    steps = scores.groupBy(F.col("grp").alias("of"), F.ceil(F.col("nll") * 1000).alias("step")).agg(F.count("*").alias("n"))
-    up = W.partitionBy("of").orderBy("step")
-    steps = steps.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(W.partitionBy("of")))
-    return steps.where(F.col("upto") >= quantile * F.col("all")).groupBy("of").agg((F.min("step") / 1000).alias("limit"))
+    """of (a group) and limit of scores(grp, nll): as many standard deviations above its mean as the quantile lies, averaged with all groups'."""
+    means = scores.where("nll is not null").groupBy(F.col("grp").alias("of")).agg(F.avg("nll").alias("mean"), F.var_pop("nll").alias("var"), F.count("*").alias("docs"))
+    means = written(means)  # a row a group
+    var = means.agg(F.sum(F.col("docs") * F.col("var")) / F.sum("docs")).first()[0] or 0.0
+    spread = F.sqrt((F.col("docs") * F.col("var") + STEADY * var) / (F.col("docs") + STEADY))
+    means = written(means.withColumn("spread", F.when(spread > 0, spread).otherwise(1.0)))
+    above = scores.join(small_enough(means, 64), F.col("grp").eqNullSafe(F.col("of")))
+    steps = written(above.groupBy("of", F.ceil((F.col("nll") - F.col("mean")) / F.col("spread") * 1000).alias("step")).agg(F.count("*").alias("n")))
+
+    def reached(steps: DataFrame, by: list[str], name: str) -> DataFrame:
+        up, every = W.partitionBy(*by).orderBy("step"), W.partitionBy(*by)
+        held = steps.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(every))
+        return held.where(F.col("upto") >= quantile * F.col("all")).groupBy(*by).agg((F.min("step") / 1000).alias(name))
+
+    own = reached(steps, ["of"], "at").withColumnRenamed("of", "same")
+    common = reached(steps.groupBy("step").agg(F.sum("n").alias("n")), [], "common").first()[0] or 0.0  # over steps, not rows
+    out = means.join(own, F.col("of").eqNullSafe(F.col("same")))
+    return out.select("of", (F.col("mean") + F.col("spread") * (F.col("docs") * F.col("at") + STEADY * common) / (F.col("docs") + STEADY)).alias("limit"))
 
 
 def classified(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:

@@ -55,14 +55,34 @@ def test_pipeline_by_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = docs.collect()
 
-    # quality: few trusted documents, so one model for all, and one of each half
+    # quality: models of each language and of all, of all trusted documents and of each half
     half = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
     trusted = {r.doc_id: r.text for r in rows if r.doc_id < 3000}
-    models = [KneserNey([t for d, t in trusted.items() if half[d] != h]) for h in (0, 1)] + [KneserNey(trusted.values())]
-    step = {r.doc_id: int(np.ceil(models[half[r.doc_id] if r.doc_id in trusted else 2].nll(r.text) * 1000)) for r in rows}
-    steps = sorted(step[d] for d in trusted)
-    limit = next(s for i, s in enumerate(steps, 1) if sum(x <= s for x in steps) >= op03_quality.QUANTILE * len(steps))
-    good = [r for r in rows if step[r.doc_id] <= limit]
+    lang = {r.doc_id: r.lang for r in rows}
+    models = {}
+    for g in [None, *set(lang.values())]:
+        for part in (0, 1, 2):
+            some = [t for d, t in trusted.items() if half[d] != part and g in (None, lang[d])]
+            models[g, part] = KneserNey(some) if some else None, sum(map(len, some))
+
+    def nll(r):
+        part = half[r.doc_id] if r.doc_id in trusted else 2
+        (own, n), (base, _) = models[r.lang, part], models[None, part]
+        w, t = n / (n + op03_quality.TRUST), op03_quality.START + r.text
+        p = [(w * own.p(t[i - 3 : i], t[i]) if own else 0) + (1 - w) * base.p(t[i - 3 : i], t[i]) for i in range(3, len(t))]
+        return -np.mean(np.log(p))
+
+    score = {r.doc_id: nll(r) for r in rows}
+    groups = {g: [score[d] for d in trusted if lang[d] == g] for g in {lang[d] for d in trusted}}
+    var = sum(len(x) * np.var(x) for x in groups.values()) / len(trusted)
+    steady = op03_quality.STEADY
+    spread = {g: np.sqrt((len(x) * np.var(x) + steady * var) / (len(x) + steady)) for g, x in groups.items()}
+    steps = {g: sorted(np.ceil((np.array(x) - np.mean(x)) / spread[g] * 1000).tolist()) for g, x in groups.items()}
+    place = lambda x: next(s for s in x if sum(y <= s for y in x) >= op03_quality.QUANTILE * len(x)) / 1000
+    common = place(sorted(s for x in steps.values() for s in x))
+    limit = {g: np.mean(x) + spread[g] * (len(x) * place(steps[g]) + steady * common) / (len(x) + steady) for g, x in groups.items()}
+    good = [r for r in rows if score[r.doc_id] <= limit[r.lang]]
+    assert len(good) < len(rows) and len(set(limit.values())) == len(groups) > 1
     got = stages["quality"](spark, docs, small)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, good))
 
