@@ -67,7 +67,9 @@ def identity(key: str, text: str) -> list[Column]:
 
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """ref, doc, own, at, a 128-bit digest (h, g) and the tokens' hashes t of all lines that have tokens; written."""
-    lines = df.select(*identity(key, text), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(filled(F.col("line")))
+    # a text is hashed once, before it is cut
+    parts = df.select(*identity(key, text), F.split(text, "\n").alias("parts"))
+    lines = parts.select("doc", "own", F.posexplode("parts").alias("at", "line")).where(filled(F.col("line")))
     t = F.transform(F.array_distinct(words(F.col("line"))), lambda w: F.hash(w).bitwiseAND((1 << HASH_BITS) - 1))
     # the numbers are those of the written rows, so they stay as they are
     return written(lines.select(F.monotonically_increasing_id().alias("ref"), *PLACE, F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), t.alias("t")))

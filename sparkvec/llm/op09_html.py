@@ -1,22 +1,28 @@
 """Main text of HTML pages: flat text blocks, judged by their own and their neighbours' word counts and link densities.
 
-A page is read into flat blocks at block-level tags, with tags, attributes and comments ended as the HTML standard has it. What stands in
-an element that the page itself declares to be a menu, header, footer, sidebar, notice, advert, form or reader comments (by tag, role, or
-a whole class or id name) gives no block. Each block has its number of words, the share of them inside links, the same of the block
-before and after, and whether it stands in the page's article, beside it, or on a page without one. A decision tree, trained on
-the small labelled table below, keeps or leaves each block; kept blocks are joined in page order by one newline.
+A page is read into flat blocks at block-level tags, with tags, attributes and comments ended as the HTML standard has it. Only what is
+never text (scripts, styles, form controls, drawings) gives no block. Each block has its number of words, the share of
+them inside links, the same of the block before and after, whether it stands in the page's article, beside it, or on a page
+without one, how much the elements around it say that it is furniture (0 to 3, by tag, role, class and id), what kind of element it
+is, and its share of words that notices use. A decision tree keeps or leaves each block; kept blocks are joined in page order by one newline.
+
+The tree is trained on the blocks of labelled pages that `layouts` lays out: 1,500 news pages, blogs, manuals, forums and forms.
 
 The article is what article and main elements hold, or containers that say so; a page whose such elements hold less than a third of the
-words outside links counts as one without. In the article the table keeps all blocks; on pages without one, words and links decide.
+words outside links and furniture counts as one without. A form, or a container with the name of furniture, says nothing about a page that it holds most of.
 
 A null or empty page gives the empty text. Unclosed and cut-off tags are taken as browsers do: an unfinished tag is dropped,
 an unclosed script or style runs to the end. Repeated rows each give a row; an empty table gives an empty one; other columns
-are not read. Pages are narrow per row, so no shuffle is needed and no size of page or number of blocks is capped.
+are not read. Pages are narrow per row, so no shuffle is needed; no size of page or number of blocks is capped, and reading takes time in
+proportion to a page's length.
 """
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -42,13 +48,18 @@ IN_HEAD = frozenset("base link meta script style title noscript template".split(
 #: A start tag of the first kind ends the innermost open one of the second, unless one of the third is in between.
 ENDED_BY = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search head".split())
-FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: A class or id names furniture if one of its parts between - and _ is a word of the first set, and the others are of either.
-FURNITURE = frozenset("ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar".split())
-NEUTRAL = frozenset("area bar body bottom box block container content form global group holder inner item left links list main message nested page panel primary reader right row secondary section site slot thread top unit user widget wrap wrapper".split())
-COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: How much a tag or role around a block speaks for furniture.
+TAGS = {"nav": 2, "footer": 2, "aside": 2, "menu": 2, "dialog": 2, "search": 2, "form": 2, "header": 1}
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: A class or id names furniture if one of its parts between - and _ is a word of these sets, and the others are of these or neutral.
+WEAK = frozenset("breadcrumb breadcrumbs header masthead menu notice related toolbar".split())
+STRONG = frozenset("ad ads adsense advert advertisement advertising adverts aside banner consent cookie cookies copyright footer gdpr modal nav navbar navigation newsletter overlay pagination popup popular promo promoted promotion share sharing sidebar signup social sponsor sponsored subscribe subscription trending".split())
+COMMENTS = frozenset("comment comments discussion discussions disqus feedback reactions replies reply respond responses review reviews".split())
+NEUTRAL = frozenset("area bar body bottom box block container content form global group holder inner item left links list main message most nested page panel primary reader readers read right row secondary section site slot thread top unit user users widget wrap wrapper".split())
 ARTICLE = frozenset("article articlebody article-body article-content article-text entry-content post-body post-content story-body".split())
+#: Words that notices, offers and buttons use.
+CUES = frozenset("accept advertisement advertisements click consent cookie cookies download follow login newsletter policy privacy settings share sign sponsored subscribe tweet".split())
+KINDS = {"p": 2, "pre": 2, "blockquote": 2, "figcaption": 2, "h1": 3, "h2": 3, "h3": 3, "h4": 3, "h5": 3, "h6": 3, "li": 1, "td": 1, "th": 1, "dd": 1, "dt": 1}
 
 
 class Block(NamedTuple):
@@ -56,55 +67,114 @@ class Block(NamedTuple):
     words: int
     linked: int
     in_article: bool
+    kind: int
+    box: int
 
 
 class Place(NamedTuple):
     tag: str
     in_article: bool
-    furniture: bool
     comments: bool  # furniture that an article inside doesn't end
+    box: int  # the innermost element around that speaks for furniture, -1 for none
+
+
+class Box:
+    """An element that speaks for furniture, and what is found in it."""
+
+    __slots__ = ("doubtful", "hint", "parent", "titled", "words")
+
+    def __init__(self, parent: int, hint: int, doubtful: bool):
+        self.parent, self.hint, self.doubtful, self.words, self.titled = parent, hint, doubtful, 0, False
+
+
+def layouts(seed: int, pages: int) -> Iterator[str]:
+    """Labelled pages: text of the article is made of words that begin with k, all else of words that begin with x."""
+    rng = random.Random(seed)
+
+    def say(letter: str, least: int, most: int, cues: float = 0.0) -> str:
+        return " ".join(rng.choice(sorted(CUES)) if i and rng.random() < cues else f"{letter}{rng.randrange(99)}" for i in range(rng.randint(least, most)))
+
+    def links(tag: str, n: int, letter: str = "x") -> str:
+        inner = "li" if tag in ("ul", "ol") else "span"
+        return f"<{tag}>" + "".join(f'<{inner}><a href="/{i}">{say(letter, 1, 5)}</a></{inner}>' for i in range(n)) + f"</{tag}>"
+
+    def paragraph() -> str:
+        size = rng.choice([(1, 3), (4, 15), (16, 60), (60, 200)])
+        text = say("k", *size)
+        return rng.choice(["<p>{}</p>"] * 6 + ["<div>{}</div>"] * 2 + ["<p>{} <a href=x>k1 k2</a></p>", '<p>k1</p><p><a href="a">{}</a></p>', "<p>k2 k3 <a href=x>{}</a></p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li><li>k3 k4</li></ul>", "<pre>{}</pre>", '<div class="related"><p>k7 k8 k9 k1 k2 k3 k4 k5 k6 {}</p></div>', '<p class="menu">k7 k8 k9 k1 k2 k3 k4 k5 k6 {}</p>']).format(text)
+
+    def furniture() -> str:
+        name = rng.choice(["ad", "sidebar", "cookie-notice", "newsletter-signup box", "social-share", "site-footer", "promo", "most-popular", "nav menu", "site-banner"])
+        return rng.choice([
+            lambda: f'<div class="{name}"><h3>{say("x", 1, 4)}</h3><p>{say("x", 1, 60)}</p></div>',
+            lambda: f'<div class="{name}">{say("x", 1, 40)}</div>',
+            lambda: f"<aside>{links('ul', 4)}<p>{say('x', 5, 50)}</p></aside>",
+            lambda: f'<section class="{rng.choice(["comments", "discussion", "user-reviews", "replies"])}"><h2>{say("x", 1, 3)}</h2><article><p>{say("x", 3, 90)}</p></article></section>',
+            lambda: f"<form action=x><label>{say('x', 1, 4)}</label><p>{say('x', 3, 40)}</p></form>",
+            lambda: f'<div role="{rng.choice(sorted(ROLES))}"><p>{say("x", 1, 40)}</p></div>',
+        ])()
+
+    def unnamed() -> str:
+        """Furniture that no name gives away."""
+        return rng.choice([
+            lambda: links("ul", rng.randint(3, 9)),
+            lambda: f"<div>{links('div', rng.randint(3, 6))}</div>",
+            lambda: f'<div><a href="/x"><h2>{say("x", 1, 4)}</h2><h2>{say("x", 1, 4)}</h2></a></div>',
+            lambda: f'<div class="{rng.choice(sorted(WEAK))}">{links("ul", 3)}</div>',
+            lambda: f'<div class="z{rng.randrange(9)}">{say("x", 8, 30, 0.3)}</div>',
+            lambda: f'<div class="z{rng.randrange(9)}"><a href=y>{say("x", 1, 4, 0.4)}</a> <a href=y>{say("x", 1, 3, 0.4)}</a></div>',
+            lambda: f"<div>x1 {say('x', 1, 2, 1.0)}</div>",
+            lambda: f'<div class="most-read">{links("ul", rng.randint(1, 6))}</div>',
+        ])()
+
+    for _ in range(pages):
+        title = f"<h1>{say('k', 1, 12)}</h1>"
+        body = title if rng.random() < 0.6 else f"<div>{say('k', 1, 6)}</div>" if rng.random() < 0.3 else f"<header>{title}<p>{say('k', 6, 25)}</p></header>"
+        kind = rng.random()
+        for _ in range(rng.randint(1, 9)):
+            body += f"<h2>{say('k', 1, 6)}</h2>" * (rng.random() < 0.2) + paragraph()
+            if rng.random() < 0.25:
+                body += furniture() if rng.random() < 0.6 or kind >= 0.5 else unnamed()
+        head = rng.choice([f'<header class="site-header"><a href="/">{say("x", 1, 3)}</a></header>', f"<header>{say('x', 1, 3)}{links('ul', 4)}</header>", f"<div>{say('x', 1, 3)}</div>{links('ul', 6)}", ""])
+        head += rng.choice([f"<nav>{links('ul', 5)}</nav>", links("ul", 6), unnamed(), ""])
+        tail = "".join(rng.choice([furniture, unnamed])() for _ in range(rng.randint(0, 3))) + rng.choice([f"<footer>{say('x', 1, 60)}</footer>", ""])
+        if kind < 0.5:
+            middle = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div class="entry-content">{}</div>', '<div id="page"><article>{}</article></div>']).format(body)
+        else:
+            middle = rng.choice(["{}", '<div class="page">{}</div>', '<div class="content"><div>{}</div></div>', "<td>{}</td>"]).format(body)
+        page = head + middle + tail
+        if rng.random() < 0.1:
+            page = f'<form id="aspnetForm">{page}</form>'
+        yield f"<body>{page}</body>" if rng.random() < 0.95 else f"<p>{say('k', 1, 3)}</p>"
+
+
+def examples(seed: int, pages: int) -> list[tuple]:
+    """Features and label of every block of the layouts."""
+    out = []
+    for page in layouts(seed, pages):
+        found = blocks(page)[0]
+        out += [(*f, int(b.text[0] == "k")) for b, f in zip(found, features(page), strict=True)]
+    return out
 
 
-#: The labelled table: words, link density, words and density before, words and density after, place (2: in the article, 1: on a page
-#: without one, 0: beside it), label. From the layouts of news pages, blogs, manuals, forums and shops.
-LABELLED = (
-    # in an article: title, lead, paragraphs, captions, lists of links, one-word lines
-    (9, 0.0, 0, 0.0, 70, 0.0, 2, 1), (70, 0.0, 9, 0.0, 80, 0.0, 2, 1), (5, 0.0, 80, 0.0, 60, 0.0, 2, 1), (1, 0.0, 66, 0.0, 12, 0.0, 2, 1),
-    (12, 0.0, 1, 0.0, 0, 0.0, 2, 1), (4, 1.0, 70, 0.0, 3, 1.0, 2, 1), (3, 1.0, 4, 1.0, 0, 0.0, 2, 1), (20, 0.8, 70, 0.0, 60, 0.0, 2, 1),
-    (2, 0.0, 3, 1.0, 4, 1.0, 2, 1), (140, 0.1, 12, 1.0, 9, 1.0, 2, 1), (6, 0.0, 0, 0.0, 0, 0.0, 2, 1), (1, 1.0, 0, 0.0, 0, 0.0, 2, 1),
-    # beside an article: site names, teasers, dates, offers, legal lines
-    (6, 1.0, 0, 0.0, 5, 1.0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 0), (30, 0.0, 90, 0.0, 0, 0.0, 0, 0), (55, 0.0, 60, 0.0, 20, 0.0, 0, 0),
-    (12, 0.2, 9, 0.0, 0, 0.0, 0, 0), (2, 0.0, 0, 0.0, 9, 0.0, 0, 0), (120, 0.0, 14, 1.0, 11, 1.0, 0, 0), (40, 0.5, 60, 0.0, 3, 1.0, 0, 0),
-    # no article element: paragraphs of any length among others, whatever links stand near
-    (80, 0.0, 60, 0.0, 70, 0.0, 1, 1), (40, 0.0, 6, 0.0, 50, 0.05, 1, 1), (25, 0.0, 40, 0.0, 45, 0.0, 1, 1), (60, 0.1, 30, 0.0, 20, 0.0, 1, 1),
-    (18, 0.0, 50, 0.0, 60, 0.0, 1, 1), (150, 0.02, 3, 1.0, 4, 1.0, 1, 1), (35, 0.0, 2, 1.0, 45, 0.0, 1, 1), (30, 0.2, 55, 0.0, 2, 1.0, 1, 1),
-    (22, 0.3, 2, 1.0, 4, 1.0, 1, 1), (28, 0.0, 0, 0.0, 3, 1.0, 1, 1), (45, 0.35, 20, 0.0, 0, 0.0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 1),
-    # headings, short paragraphs and last lines next to paragraphs
-    (9, 0.0, 40, 0.0, 60, 0.0, 1, 1), (7, 0.0, 60, 0.0, 35, 0.0, 1, 1), (4, 0.0, 3, 1.0, 60, 0.0, 1, 1), (8, 0.0, 50, 0.0, 0, 0.0, 1, 1),
-    (6, 0.3, 45, 0.0, 3, 1.0, 1, 1), (11, 0.0, 60, 0.0, 4, 0.9, 1, 1), (1, 0.0, 30, 0.0, 30, 0.0, 1, 1), (3, 0.0, 0, 0.0, 25, 0.0, 1, 1),
-    (12, 0.0, 14, 0.0, 13, 0.0, 1, 1), (10, 0.0, 12, 0.0, 5, 1.0, 1, 1), (9, 0.0, 4, 1.0, 15, 0.0, 1, 1), (14, 0.1, 9, 0.0, 8, 0.0, 1, 1),
-    (6, 0.0, 13, 0.0, 2, 0.0, 1, 1), (2, 0.0, 3, 0.0, 12, 0.0, 1, 1),
-    # menus, link lists, site names and lone labels between them
-    (5, 1.0, 2, 1.0, 3, 1.0, 1, 0), (4, 1.0, 3, 1.0, 60, 0.0, 1, 0), (3, 1.0, 80, 0.0, 60, 0.0, 1, 0), (15, 0.8, 10, 0.7, 12, 0.9, 1, 0),
-    (25, 0.9, 4, 1.0, 6, 1.0, 1, 0), (40, 0.7, 3, 1.0, 5, 1.0, 1, 0), (9, 0.6, 30, 0.0, 4, 1.0, 1, 0), (60, 0.95, 70, 0.0, 0, 0.0, 1, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 1, 0), (2, 0.0, 2, 1.0, 1, 1.0, 1, 0), (6, 0.0, 5, 1.0, 6, 0.9, 1, 0), (5, 0.0, 2, 1.0, 3, 1.0, 1, 0),
-    (4, 0.0, 3, 1.0, 0, 0.0, 1, 0), (7, 0.2, 4, 1.0, 2, 1.0, 1, 0), (3, 0.0, 2, 0.0, 1, 1.0, 1, 0), (2, 0.0, 0, 0.0, 3, 0.0, 1, 0), (1, 1.0, 40, 0.0, 1, 1.0, 1, 0),
-)
-
-
-def train(rows: tuple = LABELLED, depth: int = 9) -> tuple:
+def train(rows: list[tuple], depth: int = 12, least: int = 8) -> tuple:
     """A decision tree by Gini impurity: nested (feature, threshold, below, above), or a label."""
 
     def grow(x: np.ndarray, y: np.ndarray, left: int) -> tuple | int:
-        if left == 0 or y.min() == y.max():
+        if left == 0 or y.min() == y.max() or len(y) < 2 * least:
             return int(y.mean() >= 0.5)
         best = (np.inf, 0, 0.0)
         for f in range(x.shape[1]):
-            v = np.unique(x[:, f])
-            for t in (v[1:] + v[:-1]) / 2:
-                low = x[:, f] < t
-                p, q = y[low].mean(), y[~low].mean()
-                best = min(best, (low.sum() * p * (1 - p) + (~low).sum() * q * (1 - q), f, float(t)))
+            order = np.argsort(x[:, f], kind="stable")
+            v, up = x[order, f], np.cumsum(y[order])
+            n = np.arange(1, len(v) + 1)
+            at = np.flatnonzero(v[1:] > v[:-1])
+            at = at[(n[at] >= least) & (len(v) - n[at] >= least)]
+            if len(at):
+                p, q = up[at] / n[at], (up[-1] - up[at]) / (len(v) - n[at])
+                gini = n[at] * p * (1 - p) + (len(v) - n[at]) * q * (1 - q)
+                i = int(gini.argmin())
+                best = min(best, (float(gini[i]), f, float((v[at[i]] + v[at[i] + 1]) / 2)))
         _, f, t = best
         if np.isinf(best[0]):
             return int(y.mean() >= 0.5)
@@ -115,6 +185,12 @@ def train(rows: tuple = LABELLED, depth: int = 9) -> tuple:
     return grow(a[:, :-1], a[:, -1], depth)
 
 
+@lru_cache(maxsize=1)
+def trained() -> tuple:
+    """The tree of 1,500 labelled pages."""
+    return train(examples(1, 1500))
+
+
 def judge(tree: tuple | int, row: tuple) -> int:
     while not isinstance(tree, int):
         f, t, low, high = tree
@@ -131,33 +207,54 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def furniture_words(name: str) -> set[str]:
-    """The words by which a class or id names furniture, none if it names something else."""
-    parts = [p for p in re.split(r"[-_]+", name.lower()) if p and not p.isdigit()]
-    return set(parts) & FURNITURE if all(p in FURNITURE or p in NEUTRAL for p in parts) else set()
+def named(name: str) -> int:
+    """How much a class or id speaks for furniture: 0 if it names something else, 1 or 2, 3 for reader comments."""
+    parts = {p for p in re.split(r"[-_]+", name.lower()) if p and not p.isdigit()}
+    if not parts <= WEAK | STRONG | COMMENTS | NEUTRAL:
+        return 0
+    return 3 if parts & COMMENTS else 2 if parts & STRONG else 1 if parts & WEAK else 0
 
 
-def entered(tag: str, raw: str, at: Place) -> Place:
-    """The place inside a new element."""
+def entered(tag: str, raw: str, at: Place, boxes: list[Box]) -> Place:
+    """The place inside a new element; what speaks for furniture is added to boxes."""
     a = attributes(raw) if "=" in raw else {}
     names = [*a.get("class", "").split(), *a.get("id", "").split()]
     role = a.get("role", "").lower()
-    named = set().union(*map(furniture_words, names)) if tag not in ("html", "body", "main") else set()
-    comments = at.comments or tag == "aside" or bool(named & COMMENTS)
+    by_name = max(map(named, names), default=0) if tag not in ("html", "body", "main") else 0
+    comments = at.comments or tag == "aside" or by_name == 3
     article = tag in ("article", "main") or role in ("article", "main") or any(n.lower() in ARTICLE for n in [*names, a.get("itemprop", "")])
-    if article and not comments and not named:
-        return Place(tag, True, False, False)
-    if at.in_article:
-        named.discard("header")
-    own = tag in FURNITURE_TAGS or (tag == "header" and not at.in_article) or role in FURNITURE_ROLES or bool(named)
-    return Place(tag, at.in_article, at.furniture or own, comments)
+    if article and not comments and not by_name:
+        if at.box >= 0:
+            boxes[at.box].titled = True
+        return Place(tag, True, False, -1)
+    by_tag = 0 if tag == "header" and at.in_article else TAGS.get(tag, 0)
+    hint = max(by_name, by_tag, 2 if role in ROLES else 0)
+    if not hint:
+        return Place(tag, at.in_article, comments, at.box)
+    boxes.append(Box(at.box, hint, tag == "form" or by_tag < 2))
+    return Place(tag, at.in_article, comments, len(boxes) - 1)
+
+
+def closed(tag: str, page: str) -> dict[int, int]:
+    """Where elements of this tag end, by where their start tags end; those that are never closed are not there."""
+    out, open_ = {}, []
+    for e in EDGES[tag].finditer(page):
+        if not e[1]:
+            if not e[0].endswith("/>"):
+                open_.append(e.end())
+        elif open_:
+            out[open_.pop()] = e.end()
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's flat blocks in order, without furniture."""
+def blocks(page: str) -> tuple[list[Block], list[Box]]:
+    """The page's flat blocks in order, and the elements around them that speak for furniture."""
     out: list[Block] = []
+    boxes: list[Box] = []
     places: list[Place] = []
-    outside = Place("", False, False, False)
+    outside = Place("", False, False, -1)
+    open_tags: Counter[str] = Counter()
+    ends_of: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     linked: list[str] = []
     link: int | None = None  # open places where the link began
@@ -167,14 +264,20 @@ def blocks(page: str) -> list[Block]:
         if parts:
             here = places[-1] if places else outside
             words = "".join(parts).split()
-            if words and not here.furniture:
-                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), here.in_article))
+            if words:
+                n = min(len(words), len("".join(linked).split()))
+                out.append(Block(" ".join(words), len(words), n, here.in_article, KINDS.get(here.tag, 0), here.box))
+                if here.box >= 0:
+                    boxes[here.box].words += len(words) - n
+                    boxes[here.box].titled |= here.tag == "h1"
             parts.clear()
             linked.clear()
 
     def leave(i: int) -> None:
         nonlocal link
         close()
+        for p in places[i:]:
+            open_tags[p.tag] -= 1
         del places[i:]
         if link is not None and link > i:
             link = None
@@ -203,50 +306,73 @@ def blocks(page: str) -> list[Block]:
             shut = ENDS[tag].search(page, at)
             at = shut.end() if shut else len(page)
         elif tag in APART and not ends:
-            depth, stop = 1, at
-            for e in EDGES[tag].finditer(page, at):
-                depth += -1 if e[1] else 0 if e[0].endswith("/>") else 1
-                if depth == 0:
-                    stop = e.end()
-                    break
-            at = stop
+            if tag not in ends_of:
+                ends_of[tag] = closed(tag, page)
+            at = ends_of[tag].get(at, at)
             parts.append(" ")
-        elif tag in BLOCK or any(p.tag == tag for p in places):
+        elif tag in BLOCK or open_tags[tag]:
             close()
             if ends:
-                i = next((i for i in range(len(places) - 1, -1, -1) if places[i].tag == tag), None)
-                if i is not None:
-                    leave(i)
+                if open_tags[tag]:
+                    leave(next(i for i in range(len(places) - 1, -1, -1) if places[i].tag == tag))
             elif tag != "hr":
                 if places and places[-1].tag == "p" and tag not in ("html", "body"):
                     leave(len(places) - 1)
                 if tag in ENDED_BY:
                     open_ones, bound = (x.split() for x in ENDED_BY[tag])
-                    for i in range(len(places) - 1, -1, -1):
+                    for i in range(len(places) - 1, -1, -1) if any(open_tags[t] for t in open_ones) else ():
                         if places[i].tag in bound:
                             break
                         if places[i].tag in open_ones:
                             leave(i)
                             break
-                places.append(entered(tag, m[3], places[-1] if places else outside))
+                places.append(entered(tag, m[3], places[-1] if places else outside, boxes))
+                open_tags[tag] += 1
     say(page[at:])
     close()
-    return out
+    return out, boxes
 
 
-def main_text(page: str, tree: tuple) -> str:
-    found = blocks(page)
+def hints(found: list[Block], boxes: list[Box], whole: bool) -> list[int]:
+    """How much each box, with those around it, speaks for furniture. A form or a name doesn't if it is around most of the page."""
     plain = sum(b.words - b.linked for b in found)
+    inside = [b.words for b in boxes]
+    for i in range(len(boxes) - 1, -1, -1):
+        if (up := boxes[i].parent) >= 0:
+            inside[up] += inside[i]
+            boxes[up].titled |= boxes[i].titled
+    out: list[int] = []
+    for b, n in zip(boxes, inside, strict=True):
+        around = b.doubtful and b.hint < 3 and (b.titled or not whole) and 2 * n >= plain
+        out.append(max(0 if around else b.hint, out[b.parent] if b.parent >= 0 else 0))
+    return out
+
+
+def features(page: str, read: tuple[list[Block], list[Box]] | None = None) -> list[tuple]:
+    """Per block: words, link density, the same before and behind, place (2: in the article, 1: on a page without one, 0: beside it),
+    hint, kind of element, share of cue words."""
+    found, boxes = read or blocks(page)
+    free = sum(b.words - b.linked for b in found if b.box < 0)
     inside = sum(b.words - b.linked for b in found if b.in_article)
-    whole = any(b.in_article for b in found) and 3 * inside >= plain
+    whole = any(b.in_article for b in found) and 3 * inside >= free
+    hint = hints(found, boxes, whole)
     sizes = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
-    places = [(2 if b.in_article else 0) if whole else 1 for b in found]
-    return "\n".join(b.text for i, b in enumerate(found) if judge(tree, (*sizes[i + 1], *sizes[i], *sizes[i + 2], places[i])))
+    out = []
+    for i, b in enumerate(found):
+        cues = sum(w.strip(".,:;!?()").lower() in CUES for w in b.text.split()) / b.words
+        place = (2 if b.in_article else 0) if whole else 1
+        out.append((*sizes[i + 1], *sizes[i], *sizes[i + 2], place, hint[b.box] if b.box >= 0 else 0, b.kind, cues))
+    return out
+
+
+def main_text(page: str, tree: tuple) -> str:
+    read = blocks(page)
+    return "\n".join(b.text for b, f in zip(read[0], features(page, read), strict=True) if judge(tree, f))
 
 
 def extract(df: DataFrame, page: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """key, url, text and n_chars of every page."""
-    tree = train()
+    tree = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "html"):
