@@ -41,6 +41,8 @@ from sparkvec.session import final, scratch, table
 ORDER, BITS, QUANTILE = 4, 16, 0.98
 #: Characters at which a language's own model counts as much as the shared one; documents that the shared spread of perplexities counts for.
 TRUST, STEADY = 1 << 18, 50
+#: Texts that the compression's dictionary is made of.
+SAMPLES = 1000
 #: Stands before a text.
 START = "\x02" * (ORDER - 1)
 #: Characters of a block, characters that are coded at once.
@@ -194,13 +196,22 @@ def log_probabilities(pairs: DataFrame, seen: DataFrame, weights: DataFrame, mod
     return pairs.join(mixed, ["model", "code"]).select("model", "block", "code", F.log("p").alias("logp"))
 
 
-def packed(rows: DataFrame) -> DataFrame:
+def common_parts(rows: DataFrame) -> bytes:
+    """A dictionary for compressing texts, from the beginnings of some: it saves shuffled bytes and changes no result. Empty if there are too few."""
+    some = [r.text.encode("utf-8", "surrogatepass") for r in rows.where("length(text) > 0").select(F.substring("text", 1, 8000).alias("text")).limit(SAMPLES).collect()]
+    try:
+        return zstandard.train_dictionary(64 << 10, some).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def packed(rows: DataFrame, parts: bytes) -> DataFrame:
     """rows with compressed texts, since these are shuffled."""
     names = rows.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(parts) if parts else None)
         for b in by_bytes(batches, "text"):
             raw = pa.array([None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()], pa.binary())
             yield pa.record_batch([raw if i == at else c for i, c in enumerate(b.columns)], names)
@@ -209,9 +220,9 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema.fields]))
 
 
-def unpacked(t: pa.Table) -> list[str]:
+def unpacked(t: pa.Table, parts: bytes) -> list[str]:
     """The texts of a table; null is the empty one."""
-    z = zstandard.ZstdDecompressor()
+    z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(parts) if parts else None)
     return ["" if x is None else z.decompress(x).decode("utf-8", "surrogatepass") for x in t["text"].to_pylist()]
 
 
@@ -222,12 +233,13 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, models: DataFra
     """
     sizes = rows.groupBy("model").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / BLOCK)).cast("long").alias("blocks"))
     rows = rows.join(small_enough(written(sizes), 32), "model")
-    rows = packed(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.coalesce("blocks", F.lit(1)))).drop("blocks"))
+    parts = common_parts(rows)
+    rows = packed(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.coalesce("blocks", F.lit(1)))).drop("blocks"), parts)
     by = ["model", "block"]
 
     def different(t: pa.Table) -> pa.Table:
         known = np.zeros(0, np.int64)
-        for codes, _, _ in pieces(unpacked(t)):
+        for codes, _, _ in pieces(unpacked(t, parts)):
             known = encoded(np.concatenate([known, encoded(codes)[0]]))[0]
         settled()
         model, block = (pa.array(np.full(len(known), t[c][0].as_py()), pa.int64()) for c in by)
@@ -242,14 +254,14 @@ def scored(rows: DataFrame, seen: DataFrame, weights: DataFrame, models: DataFra
         order = np.argsort(code)
         code, logp = code[order], logp[order]
         total, n = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
-        for codes, of, size in pieces(unpacked(t)):
+        for codes, of, size in pieces(unpacked(t, parts)):
             new, at = encoded(codes)
             each = logp[np.searchsorted(code, new)][at]
             np.add.at(total, of, np.add.reduceat(each, np.cumsum(size) - size))
             np.add.at(n, of, size)
         settled()
         nll = pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-        whole = {"text": pa.array(unpacked(t), pa.string(), mask=t["text"].is_null().to_numpy())} if with_text else {}
+        whole = {"text": pa.array(unpacked(t, parts), pa.string(), mask=t["text"].is_null().to_numpy())} if with_text else {}
         return pa.table([*(whole[c] if c in whole else t[c] for c in rest), nll], [*rest, "nll"])
 
     kinds = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in rows.select(*rest).schema.fields]
@@ -297,7 +309,9 @@ def judged(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, qua
     ask = rows.where("trusted").select("id", "text", "grp", model_of(F.col("grp"), part).alias("model"))
     if not rows.where("grp is null and length(text) > 0").isEmpty():
         ask = ask.unionByName(rows.where("trusted").select("id", "text", of_all.alias("grp"), model_of(of_all, part).alias("model")))
-    limits = small_enough(written(limit_of(written(scored(ask, seen, weights, models)), quantile)), 64)
+    with scratch(df.sparkSession):
+        limits = final(limit_of(written(scored(ask, seen, weights, models)), quantile))
+    limits = small_enough(limits, 64)
     done = scored(rows.select("row", "id", "text", "grp", model_of(F.col("grp"), part).alias("model")), seen, weights, models, with_text)
     done = done.join(limits, F.col("grp").eqNullSafe(F.col("of")), "left")
     return done.select(*shown, "nll", "limit", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)).alias("keep"))
