@@ -5,8 +5,8 @@ laid end to end. A suffix array of that text, sorted by as many characters as th
 for every piece of the vocabulary: each has one range of suffixes that begin with it. All ranges together are the edges
 (start, piece), put in order of position. Relaxation then follows the model's kind: for a BPE model, the best-scored edge
 that joins two neighbouring symbols of a segment replaces them, leftmost first among equals, until no edge joins any;
-characters without a piece become their bytes. That gives the library's own ids. Segments' ids are kept, so a segment is
-matched once per worker.
+characters without a piece become their bytes. That gives the library's own ids. Segments longer than IN_STEP are cut into short ones
+where that is proven not to matter (`cuts`). Segments' ids are kept, so a segment is matched once per worker.
 
 Decoding joins the pieces' bytes and drops the space that encoding puts in front.
 
@@ -19,7 +19,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -30,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkvec.llm.common import by_bytes, settled, texts
+from sparkvec.llm.cuts import in_cuts
 from sparkvec.llm.words import summed
 from sparkvec.session import table
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Bytes of segments kept at most (estimated), characters indexed at once, longest segment that is relaxed in step with others.
-KEPT, INDEXED, IN_STEP = 64 << 20, 200_000, 48
+KEPT, INDEXED, IN_STEP = 64 << 20, 200_000, 192
 #: What a kept segment takes besides its characters and ids.
 ENTRY = 180
 NONE = -1
@@ -100,11 +100,10 @@ def edges(p: Pieces, text: np.ndarray) -> np.ndarray:
 
 def relaxed(p: Pieces, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and segment of the final symbols, in order."""
-    n_symbols = np.where(lengths <= IN_STEP, lengths, 0)
-    seg = np.repeat(np.arange(len(starts)), n_symbols)
-    start = np.arange(len(seg)) - np.repeat(np.cumsum(n_symbols) - n_symbols, n_symbols) + starts[seg]
+    seg = np.repeat(np.arange(len(starts)), lengths)
+    start = np.arange(len(seg)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[seg]
     length = np.ones(len(seg), np.int64)
-    done = [alone(p, table, s, starts[s], lengths[s]) for s in np.flatnonzero(lengths > IN_STEP)]
+    done = [(start[:0], length[:0], seg[:0])]
     score = np.append(p.score, -np.inf)  # of NONE
     while len(seg):
         both = length + np.append(length[1:], 0)
@@ -126,35 +125,6 @@ def relaxed(p: Pieces, table: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     return start[order], length[order], seg[order]
 
 
-def alone(p: Pieces, table: np.ndarray, seg: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for one long segment, with a queue of its joins."""
-    length, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
-    queue: list[tuple[float, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = after[a] if a >= 0 else n
-        if b < n and (both := length[a] + length[b]) <= p.longest and (i := table[start + a, both - 1]) != NONE:
-            queue.append((-p.score[i], a, b, both))
-
-    for a in range(n):
-        offer(a)
-    heapify(queue)
-    while queue:
-        _, a, b, both = heappop(queue)
-        if length[a] == 0 or after[a] != b or length[a] + length[b] != both:
-            continue
-        length[a], length[b], after[a] = both, 0, after[b]
-        if after[b] < n:
-            before[after[b]] = a
-        for x in (before[a], a):
-            size = len(queue)
-            offer(x)
-            if len(queue) > size:
-                heappush(queue, queue.pop())
-    kept = np.flatnonzero(length)
-    return start + kept, np.array(length)[kept], np.full(len(kept), seg)
-
-
 class Segments(dict):
     """Segment -> number, with the ids of numbered segments in flat arrays."""
 
@@ -202,9 +172,9 @@ class Segments(dict):
             self.learn(new[at:])
         return numbers, np.fromiter(map(len, rows), np.int64, len(rows))
 
-    def learn(self, new: list[str]) -> None:
+    def pieces_of(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (NONE for a character without a piece) and lengths of the pieces of short segments end to end, and how many each has."""
         p = self.pieces
-        whole = [s if s[0] in (SPACE, "\n") else SPACE + s for s in new]
         lengths = np.fromiter(map(len, whole), np.int64, len(whole))
         points = np.frombuffer(("\0".join(whole) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.cumsum(lengths + 1) - lengths - 1
@@ -212,19 +182,47 @@ class Segments(dict):
         codes[starts + lengths] = 0
         table = edges(p, codes)
         start, length, seg = relaxed(p, table, starts, lengths)
-        ids = table[start, length - 1]
+        return table[start, length - 1], length, np.bincount(seg, minlength=len(whole))
+
+    def of_long(self, segment: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for one segment of any length."""
+
+        def encode(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            each, at = [], 0
+            size = np.cumsum(spans[:, 1] - spans[:, 0])
+            while at < len(spans):  # as much at once as is indexed
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + INDEXED)))
+                each.append(self.pieces_of([segment[a:z] for a, z in spans[at:stop].tolist()]))
+                at = stop
+            return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+
+        ids, lengths = in_cuts(len(segment), encode, IN_STEP // 2)
+        return ids, lengths, np.array([len(ids)])
+
+    def learn(self, new: list[str]) -> None:
+        p = self.pieces
+        whole = [s if s[0] in (SPACE, "\n") else SPACE + s for s in new]
+        long = [i for i, s in enumerate(whole) if len(s) > IN_STEP]
+        short = [i for i, s in enumerate(whole) if len(s) <= IN_STEP]
+        found = [self.of_long(whole[i]) for i in long] + ([self.pieces_of([whole[i] for i in short])] if short else [])
+        ids, lengths, n_pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+        text = "".join(whole[i] for i in [*long, *short])
+        begins = np.cumsum(lengths) - lengths
         per = np.ones(len(ids), np.int64)
-        for i in np.flatnonzero(ids == NONE):  # a character without a piece: its bytes
-            per[i] = len(chr(points[start[i]]).encode("utf-8", "surrogatepass"))
+        unknown = np.flatnonzero(ids == NONE)
+        for i in unknown:  # a character without a piece: its bytes
+            per[i] = len(text[begins[i]].encode("utf-8", "surrogatepass"))
         out = np.repeat(ids, per)
         at = np.cumsum(per) - per
-        for i in np.flatnonzero(ids == NONE):
-            out[at[i] : at[i] + per[i]] = p.byte[list(chr(points[start[i]]).encode("utf-8", "surrogatepass"))]
-        counts = np.bincount(seg, weights=per, minlength=len(new)).astype(np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
+        for i in unknown:
+            out[at[i] : at[i] + per[i]] = p.byte[list(text[begins[i]].encode("utf-8", "surrogatepass"))]
+        counts, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        order = np.array([*long, *short])
+        counts[order] = summed(per, n_pieces)
+        starts[order] = len(self.flat) + np.cumsum(counts[order]) - counts[order]
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, out.astype(np.int32)])
-        self.held += len(points) * 2 + len(out) * 4 + len(new) * ENTRY
+        self.held += len(text) * 2 + len(out) * 4 + len(new) * ENTRY
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, and how many each has."""

@@ -616,3 +616,25 @@ def test_pages_against_another_parser(spark):
         a.feed(r.html or "")
         a.close()
         assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in a.out if x.split())
+
+
+@pytest.mark.parametrize("alphabet", [["the", "ing", "ation", "er", "q"], ["a"], ["ab", "a"], list("abcdefghij"), ["日", "本", "é"], ["!", "="]])
+def test_sentencepiece_runs_without_spaces(alphabet):
+    rng = random.Random(5)
+    text = "".join(rng.choice(alphabet) for _ in range(20_000))
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert op05_sentencepiece.Segments(PIECES).encode([text])[0].tolist() == model.encode(text)
+
+
+def test_sentencepiece_memory_of_a_long_run():
+    """Python's and numpy's memory for two million characters in one segment stays within 60 bytes a character."""
+    import tracemalloc
+
+    known = op05_sentencepiece.Segments(PIECES)
+    text = "".join(random.Random(6).choices(["the", "ing", "ation", "er", "q"], k=700_000))
+    tracemalloc.start()
+    ids, n = known.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == n[0] and known.decode(ids, n)[0].decode() == text
+    assert peak < 60 * len(text)
