@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Predicate
-from sparkvec.operators.graph import pruned
+from sparkvec.operators.graph import occlusion, pruned
 from sparkvec.operators.knn import BLOCKS, matrix, ranked
 from sparkvec.operators.quantization import Codebook, closest_centers, query_tables
 from sparkvec.session import bounded, written
@@ -72,6 +72,7 @@ class Shard:
     def __init__(self, x: np.ndarray, nbrs: list[np.ndarray], metric: str, degree: int, pool: int, alpha: float, candidates: int):
         self.x, self.nbrs, self.metric, self.degree, self.pool, self.alpha, self.candidates = x, nbrs, metric, degree, pool, alpha, candidates
         self.sq = (x * x).sum(1)
+        self.computed = 0  # distances of pruning
 
     def dist(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Between rows by number; as one matrix product, since building needs no bit-equal sums."""
@@ -84,6 +85,7 @@ class Shard:
         d = self.dist(np.array([i]), others)[0]
         order = np.lexsort((others, d))[: self.candidates]
         others, d = others[order], d[order]
+        self.computed += len(others) ** 2
         return others[pruned(d, self.dist(others, others), self.degree, self.alpha, self.metric, fill=True)]
 
     def insert(self, i: int, entry: int) -> None:
@@ -93,7 +95,27 @@ class Shard:
         self.nbrs[i] = self.cut(i, np.array(found, int))
         for j in self.nbrs[i]:
             back = np.append(self.nbrs[j], i)
-            self.nbrs[j] = self.cut(int(j), back) if len(back) > SLACK * self.degree else back
+            self.nbrs[j] = self.evicted(int(j), i) if len(back) > SLACK * self.degree else back
+
+    def evicted(self, j: int, i: int) -> np.ndarray:
+        """A full list of j with i in one place of it, from distances of the list to j and to i alone.
+
+        If a nearer member hides i by the slack, the list stays. Otherwise the member that i hides most makes room, or the
+        farthest of all, i among them, where i hides none.
+        """
+        mine = self.nbrs[j]
+        to_j, to_i = self.dist(np.array([j, i]), np.append(mine, i))
+        self.computed += 2 * len(mine) + 1
+        new, to_j, to_i = to_j[-1], to_j[:-1], to_i[:-1]
+        if (occlusion(self.metric, np.full(len(mine), new), to_i)[to_j < new] > self.alpha).any():
+            return mine
+        hides = np.where(to_j > new, occlusion(self.metric, to_j, to_i), 0.0)
+        out = int(hides.argmax()) if hides.max(initial=0) > self.alpha else int(to_j.argmax()) if to_j.max() > new else -1
+        if out < 0:
+            return mine
+        mine = mine.copy()
+        mine[out] = i
+        return mine
 
     def delete(self, gone: np.ndarray) -> None:
         """Neighbours that go (a mask) are replaced by their own that stay; what is too long is pruned."""

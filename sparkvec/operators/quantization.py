@@ -47,8 +47,45 @@ def codebook_of(centers: DataFrame, dim: int, m: int, mean: np.ndarray | None =
     return Codebook(chunk_bounds(dim, m), per, np.zeros(dim) if mean is None else mean)
 
 
+class Bounds:
+    """Nearest centres of rows with a bound above on the distance to the own centre and one below on that to any other.
+
+    After centres have moved, the bounds move with them; where the first is still below the second (or below half the way from the
+    own centre to its nearest neighbour), the row keeps its centre and no distance is computed. `computed` counts the others.
+    """
+
+    def __init__(self, x: np.ndarray, c: np.ndarray):
+        self.x, self.c, self.computed = x, c, 0
+        self.of = np.zeros(len(x), np.int64)
+        self.above, self.below = np.full(len(x), np.inf), np.zeros(len(x))
+        self.assign()
+
+    def assign(self) -> None:
+        gap = ((self.c[:, None] - self.c[None]) ** 2).sum(-1) if len(self.c) > 1 else np.full((1, 1), np.inf)
+        np.fill_diagonal(gap, np.inf)
+        half = np.sqrt(gap.min(1)) / 2
+        safe = np.maximum(self.below, half[self.of]) * (1 - 1e-9)  # rounding never saves a row that a tie would move
+        open_ = np.flatnonzero(self.above >= safe)
+        self.above[open_] = np.sqrt(((self.x[open_] - self.c[self.of[open_]]) ** 2).sum(1))
+        self.computed += len(open_)
+        open_ = open_[self.above[open_] >= safe[open_]]
+        d = np.sqrt(np.maximum((self.x[open_] ** 2).sum(1)[:, None] + (self.c * self.c).sum(1) - 2 * self.x[open_] @ self.c.T, 0))
+        self.computed += d.size
+        self.of[open_] = d.argmin(1)
+        two = np.partition(d, 1, 1)[:, :2] if len(self.c) > 1 else np.column_stack([d, np.full(len(d), np.inf)])
+        self.above[open_], self.below[open_] = two[:, 0], two[:, 1]
+
+    def move(self, c: np.ndarray) -> None:
+        went = np.sqrt(((c - self.c) ** 2).sum(1))
+        self.above += went[self.of]
+        self.below -= went.max(initial=0)
+        self.c = c
+        self.assign()
+
+
 def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """k-means++ seeding and Lloyd steps; an empty cluster keeps its centre; at most as many centres as rows."""
+    """k-means++ seeding and Lloyd steps, with distances computed only where bounds leave a choice; an empty cluster keeps its centre; at
+    most as many centres as rows."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     centers = [x[rng.integers(len(x))]]
@@ -58,17 +95,16 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         centers.append(x[pick])
         gap = np.minimum(gap, ((x - x[pick]) ** 2).sum(1))
     c = np.array(centers)
-    before = np.inf
+    before, near = np.inf, Bounds(x, c)
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T
-        of = d.argmin(1)
-        n = np.bincount(of, minlength=len(c))
-        sums = np.stack([np.bincount(of, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], 1)
+        n = np.bincount(near.of, minlength=len(c))
+        sums = np.stack([np.bincount(near.of, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], 1)
+        residual = max(((x - c[near.of]) ** 2).sum(), 0)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        residual = max(d.min(1).sum(), 0)
         if before - residual <= 1e-5 * max(residual, 1e-300):
             break
         before = residual
+        near.move(c)
     return c
 
 

@@ -1,5 +1,6 @@
 """VectorIndex: a table of vectors with attributes, its codes, codebook and sharded graph, searched by strategy."""
 
+import math
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -80,8 +81,9 @@ class VectorIndex:
         """exact, whatever the size: the others return fewer matches and are for callers who name them."""
         return "exact"
 
-    def search(self, queries: DataFrame, k: int = 10, pool: int = 100, where: Predicate | str = "none", strategy: str | None = None, store: int = 32, probes: int = 2, with_self: bool = False) -> DataFrame:
-        """qid, id, dist, rk for queries(qid, qvec, and what the predicate reads)."""
+    def search(self, queries: DataFrame, k: int = 10, pool: int = 100, where: Predicate | str = "none", strategy: str | None = None, store: int = 32, probes: int | None = None, with_self: bool = False) -> DataFrame:
+        """qid, id, dist, rk for queries(qid, qvec, and what the predicate reads). probes: the shards that `graph` visits for a query, twice
+        the root of their number if not given, so that splitting a shard does not lose what was found in it."""
         where = predicate(where) if isinstance(where, str) else where
         strategy = strategy or self.strategy(where, pool)
         narrow = self.nodes.select("id", "codes", *where.base_columns)
@@ -93,6 +95,7 @@ class VectorIndex:
             return pools.gated_knn(self.nodes, narrow, queries, self.book, k, pool, where, self.metric)
         if strategy == "graph":
             rows = self.graph.join(self.nodes, "id")
+            probes = probes or 2 * math.ceil(math.sqrt(self.centers.count()))
             return graph_index.search(rows, queries, self.centers, k, pool, where, self.book, True, store, probes, self.metric, with_self)[0]
         if strategy == "visit":
             return frontier.search(self.paged, queries, self.book, k, pool, where, self.metric, store, with_self=with_self)[0]

@@ -316,3 +316,44 @@ def test_scratch_deletes_after_a_failure(spark):
             made.append(session.GIVEN[spark.sparkContext.applicationId][-1])
             raise ZeroDivisionError
     assert made and not os.path.exists(made[0])
+
+
+def test_bounds_save_distances_and_change_nothing():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8)) + 6 * rng.normal(size=(20, 8))[rng.integers(0, 20, 3000)]
+    c, full = x[:20].copy(), 0
+    near = quantization.Bounds(x, c)
+    for _ in range(12):
+        d = ((x[:, None] - near.c[None]) ** 2).sum(-1)
+        full += d.size
+        assert (near.of == d.argmin(1)).all()
+        near.move(np.array([x[near.of == i].mean(0) if (near.of == i).any() else near.c[i] for i in range(20)]))
+    assert near.computed < full / 2
+
+
+def test_one_eviction_costs_less_and_finds_as_much(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in e], float)
+    true = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, 1:11]
+
+    def built(evict):
+        g = graph_index.Shard(x, [np.zeros(0, int) for _ in x], "l2", 12, 32, 1.2, 750)
+        if not evict:
+            monkeypatch.setattr(graph_index.Shard, "evicted", lambda self, j, i: self.cut(j, np.append(self.nbrs[j], i)))
+        entry = graph_index.medoid_of(x)
+        for i in [entry, *(j for j in range(len(x)) if j != entry)]:
+            g.insert(i, entry)
+        nbrs = g.trimmed()
+        assert max(map(len, nbrs)) <= 12
+        hits = 0
+        for q in range(0, len(x), 10):
+            near = lambda some, q=q: g.dist(np.array([q]), np.array(some, int))[0]
+            got = graph_index.walk([entry], near, nbrs, 40).fetched
+            d = near(got)
+            best = [got[i] for i in np.argsort(d) if got[i] != q][:10]
+            hits += len(set(best) & set(true[q].tolist()))
+        return g.computed, hits
+
+    cost, hits = built(True)
+    full_cost, full_hits = built(False)
+    assert cost < full_cost and hits >= full_hits - 5, (cost, full_cost, hits, full_hits)
