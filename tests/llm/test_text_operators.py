@@ -1,5 +1,6 @@
 """Text operators against the libraries and brute force, and on nulls, empty and long texts, repeated rows and odd columns."""
 
+import os
 import random
 import re
 import zlib
@@ -627,14 +628,22 @@ def test_sentencepiece_runs_without_spaces(alphabet):
 
 
 def test_sentencepiece_memory_of_a_long_run():
-    """Python's and numpy's memory for two million characters in one segment stays within 60 bytes a character."""
-    import tracemalloc
-
-    known = op05_sentencepiece.Segments(PIECES)
-    text = "".join(random.Random(6).choices(["the", "ing", "ation", "er", "q"], k=700_000))
-    tracemalloc.start()
-    ids, n = known.encode([text])
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert len(ids) == n[0] and known.decode(ids, n)[0].decode() == text
-    assert peak < 60 * len(text)
+    """A worker's memory grows by less than 150 bytes for each character of a segment."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from sparkvec.llm import op05_sentencepiece as m
+known = m.Segments(sys.argv[1])
+size = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+make = lambda k: "".join(random.Random(6).choices(["the", "ing", "ation", "er", "q"], k=k))
+known.encode([make(100_000)])
+before, text = size(), make(400_000)
+ids, n = known.encode([text])
+assert known.decode(ids, n)[0].decode() == text
+print((size() - before) / len(text))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, PIECES], capture_output=True, text=True, cwd=root, env={**os.environ, "PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])}, check=True)
+    assert float(out.stdout) < 150
