@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkvec.functions.predicates import Predicate
 from sparkvec.functions.vector import distance
 from sparkvec.operators.knn import knn, matrix, ranked
-from sparkvec.operators.quantization import Codebook
+from sparkvec.operators.quantization import Coder
 from sparkvec.session import bounded, written
 
 #: Rows of the sample that searches start from, at most.
@@ -84,27 +84,21 @@ def pages(nodes: DataFrame, graph: DataFrame, placed: DataFrame, to: str, sample
     return opened(spark, to)
 
 
-def approximate(pairs: DataFrame, book: Codebook, metric: str) -> DataFrame:
+def approximate(pairs: DataFrame, book: Coder, metric: str) -> DataFrame:
     """pairs(qvec, codes, ...) with their distance `dist` to what the codes stand for, without qvec and codes."""
     kept = [c for c in pairs.columns if c not in ("qvec", "codes")]
     held = pairs.sparkSession.sparkContext.broadcast(book)
     fields = ", ".join(f"`{n}` {t}" for n, t in pairs.select(*kept).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = held.value
         for b in batches:
             q, codes = matrix(b.column(len(kept))), matrix(b.column(len(kept) + 1)).astype(np.int64)
-            dist = np.zeros(b.num_rows)
-            for c, ((at, n), centers) in enumerate(zip(book.bounds, book.centers, strict=True)):
-                if b.num_rows:
-                    x = centers[codes[:, c]]
-                    dist += ((q[:, at : at + n] - book.mean[at : at + n] - x) ** 2).sum(1) if metric == "l2" else -(q[:, at : at + n] * x).sum(1)
-            yield pa.record_batch([*b.columns[: len(kept)], pa.array(dist)], [*kept, "dist"])
+            yield pa.record_batch([*b.columns[: len(kept)], pa.array(held.value.rowwise(q, codes, metric))], [*kept, "dist"])
 
     return pairs.select(*kept, "qvec", "codes").mapInArrow(run, f"{fields}, dist double")
 
 
-def search(paged: Paged, queries: DataFrame, book: Codebook, k: int, pool: int, where: Predicate, metric: str = "l2", store: int = 32, beam: int | None = None, seeds: int = 8, fetch: int | None = None, with_self: bool = False) -> tuple[DataFrame, DataFrame]:
+def search(paged: Paged, queries: DataFrame, book: Coder, k: int, pool: int, where: Predicate, metric: str = "l2", store: int = 32, beam: int | None = None, seeds: int = 8, fetch: int | None = None, with_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """(qid, id, dist, rk; per query n_fetch (wide rows read), n_met (nodes met) and n_rounds).
 
     A pool member that fails the predicate is not fetched, but its first `store` neighbours are still followed. A round follows the `beam`

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkvec.functions.predicates import Predicate
 from sparkvec.operators.graph import occlusion, pruned
 from sparkvec.operators.knn import BLOCKS, matrix, ranked
-from sparkvec.operators.quantization import Codebook, closest_centers, query_tables
+from sparkvec.operators.quantization import Coder, closest_centers
 from sparkvec.session import bounded, written
 
 #: How far a neighbour list may grow before it is pruned, and the nearest candidates that pruning looks at.
@@ -223,7 +223,7 @@ def changed(graph: DataFrame, rows: DataFrame, gone: DataFrame, new: DataFrame,
     return still.select("shard", "part", "id", "entry", "nbrs").unionByName(every.groupBy("shard", "part").applyInArrow(solve, GRAPH))
 
 
-def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, pool: int, where: Predicate, book: Codebook | None = None, gate: bool = True, store: int = 32, probes: int = 2, metric: str = "l2", with_self: bool = False, relaxed: int | None = None) -> tuple[DataFrame, DataFrame]:
+def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, pool: int, where: Predicate, book: Coder | None = None, gate: bool = True, store: int = 32, probes: int = 2, metric: str = "l2", with_self: bool = False, relaxed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(qid, id, dist, rk; per query n_fetch, n_skip, n_cmp).
 
     nodes: shard, part, id, vec, entry, nbrs, the predicate's columns, and codes if there is a codebook. gate: failing nodes are not
@@ -248,13 +248,13 @@ def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, poo
             book = held.value
             if book is not None:
                 codes = matrix(t["codes"]).astype(int)
-                tables = query_tables(qx, book, "l2" if metric == "l2" else "ip")
+                score = book.scorer(qx, "l2" if metric == "l2" else "ip")
             for i, qid in enumerate(q["qid"].to_pylist()):
 
                 def near(some: list[int], i: int = i) -> np.ndarray:
                     if book is None:
                         return BLOCKS[metric](qx[i : i + 1], x[some])[0]
-                    return sum(tab[i][codes[some, c]] for c, tab in enumerate(tables))
+                    return score(np.array([i]), codes[some])[0]
 
                 passes = mask[i] if mask is not None else None
                 w = walk(start, near, nbrs, pool, passes if gate else None, store, k, relaxed)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkvec.functions.predicates import Predicate
 from sparkvec.functions.vector import distance
 from sparkvec.operators.knn import knn, ranked
-from sparkvec.operators.quantization import Codebook, adc
+from sparkvec.operators.quantization import Coder, adc
 from sparkvec.session import bounded
 
 
@@ -32,7 +32,7 @@ def rerank(pairs: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric
     return ranked(wide.select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("dist")), k)
 
 
-def gated_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, k: int, pool: int, where: Predicate, metric: str = "l2") -> DataFrame:
+def gated_knn(base: DataFrame, codes: DataFrame, queries: DataFrame, book: Coder, k: int, pool: int, where: Predicate, metric: str = "l2") -> DataFrame:
     """qid, id, dist, rk: codes are (id, codes) with the predicate's columns; base is read for survivors only."""
     return rerank(adc(codes, queries, book, max(pool, k), metric, where), base, queries, k, metric)
 

@@ -5,8 +5,8 @@ the lowest number among equals. A query table holds, per chunk and centre, the p
 summing its entries in order of chunk gives the approximate distance.
 """
 
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,25 @@ from sparkvec.session import bounded
 LEAST_SAMPLE = 10_000
 
 
+class Coder(Protocol):
+    """What searches need of a way to code vectors: arrays of ints that give approximate distances. `codes.CODERS` has the kinds by name."""
+
+    @property
+    def dim(self) -> int: ...
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """(rows, ints a row) of vectors."""
+
+    def scorer(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of query numbers and codes that gives (queries, rows) of approximate distances."""
+
+    def rowwise(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        """The approximate distance of each query to the code of the same row."""
+
+    def rows(self) -> list[tuple]:
+        """As rows of `codes.SAVED`."""
+
+
 class Codebook(NamedTuple):
     """centers[chunk]: (centres, width) in doubles, relative to `mean`."""
 
@@ -34,6 +53,32 @@ class Codebook(NamedTuple):
     def dim(self) -> int:
         return sum(n for _, n in self.bounds)
 
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        x = x - self.mean if x.size else np.zeros((0, self.dim))
+        return np.stack([nearest_center(x[:, at : at + n], c) for (at, n), c in zip(self.bounds, self.centers, strict=True)], 1)
+
+    def scorer(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        tables = query_tables(q, self, metric)
+
+        def distances(some: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            dist = np.zeros((len(some), len(codes)))
+            for c, t in enumerate(tables):
+                dist += t[some][:, codes[:, c]]
+            return dist
+
+        return distances
+
+    def rowwise(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        dist = np.zeros(len(codes))
+        for c, ((at, n), centers) in enumerate(zip(self.bounds, self.centers, strict=True)):
+            if len(codes):
+                x, mine = centers[codes[:, c]], q[:, at : at + n]
+                dist += ((mine - self.mean[at : at + n] - x) ** 2).sum(1) if metric == "l2" else -(mine * x).sum(1)
+        return dist
+
+    def rows(self) -> list[tuple]:
+        return [("pq", c, at, n, i, v.tolist(), self.mean[at : at + n].tolist()) for c, ((at, n), x) in enumerate(zip(self.bounds, self.centers, strict=True)) for i, v in enumerate(x)]
+
 
 def chunks(df: DataFrame, dim: int, m: int, vec: str = "vec") -> DataFrame:
     """id, chunk and vec (the chunk's coordinates)."""
@@ -108,17 +153,12 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def save_codebook(spark: SparkSession, book: Codebook, to: str) -> None:
-    """As one table of chunk, start, width, center, vec and the mean's part."""
-    rows = [(c, at, n, i, v.tolist(), book.mean[at : at + n].tolist()) for c, ((at, n), x) in enumerate(zip(book.bounds, book.centers, strict=True)) for i, v in enumerate(x)]
-    spark.createDataFrame(rows, "chunk int, start int, width int, center int, vec array<double>, mean array<double>").coalesce(1).write.parquet(to)
-
-
-def open_codebook(spark: SparkSession, at: str) -> Codebook:
-    rows = sorted(spark.read.parquet(at).select("chunk", "center", "start", "width", "vec", "mean").collect())  # chunks x centres
+def opened_codebook(rows: list) -> Codebook:
+    """From what `rows` gave; chunks x centres of them."""
+    rows = sorted(rows, key=lambda r: (r.chunk, r.center))
     first = [r for r in rows if r.center == 0]
     per = [np.array([r.vec for r in rows if r.chunk == f.chunk], float) for f in first]
-    return Codebook([(f.start, f.width) for f in first], per, np.concatenate([np.array(f.mean, float) for f in first]))
+    return Codebook([(f.start, f.width) for f in first], per, np.concatenate([np.zeros(0), *(np.array(f.mean, float) for f in first)]))
 
 
 def train(df: DataFrame, dim: int, m: int, k: int = 256, rounds: int = 15, seed: int = 42, share: float = 0.1, most: int = 256_000) -> Codebook:
@@ -143,7 +183,7 @@ def train(df: DataFrame, dim: int, m: int, k: int = 256, rounds: int = 15, seed:
     return codebook_of(fitted, dim, m, mean)
 
 
-def encode(df: DataFrame, book: Codebook, *keep: str, keep_vec: bool = False) -> DataFrame:
+def encode(df: DataFrame, book: Coder, *keep: str, keep_vec: bool = False) -> DataFrame:
     """id, the columns to keep (and vec), and codes (array<int>). The codebook is small by construction and goes to all tasks."""
     held = df.sparkSession.sparkContext.broadcast(book)
     src = df.where("id is not null and vec is not null").where(F.size("vec") == book.dim).select("id", *keep, "vec")
@@ -154,8 +194,7 @@ def encode(df: DataFrame, book: Codebook, *keep: str, keep_vec: bool = False) ->
         book = held.value
         for b in batches:
             x = matrix(b.column(b.schema.get_field_index("vec"))) if b.num_rows else np.zeros((0, book.dim))
-            x = x - book.mean if x.size else np.zeros((0, book.dim))
-            codes = np.stack([nearest_center(x[:, at : at + n], c) for (at, n), c in zip(book.bounds, book.centers, strict=True)], 1)
+            codes = book.codes(x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32()), pa.array(codes.ravel(), pa.int32()))
             yield pa.record_batch([*b.columns[:last], lists], [*b.schema.names[:last], "codes"])
 
@@ -190,7 +229,7 @@ def query_table(queries: DataFrame, centers: DataFrame, dim: int, m: int, metric
     return joined.select("qid", "chunk", "center", (l2_sq(F.col("part"), F.col("center_vec")) if metric == "l2" else ip).alias("value"))
 
 
-def adc(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: str = "l2", where: Predicate | None = None, with_self: bool = False) -> DataFrame:
+def adc(codes: DataFrame, queries: DataFrame, book: Coder, k: int, metric: str = "l2", where: Predicate | None = None, with_self: bool = False) -> DataFrame:
     """qid, id, dist, rk: of the rows that satisfy the predicate each query's k with the least approximate distance, from codes alone.
 
     The gate is inside the kernel, so rows that fail it take no place in the pool.
@@ -199,16 +238,9 @@ def adc(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: st
     held = codes.sparkSession.sparkContext.broadcast(book)
 
     def kernel(b: pa.RecordBatch, q: pa.Table) -> pa.RecordBatch:
-        tables = query_tables(matrix(q["qvec"]), held.value, metric)
+        score = held.value.scorer(matrix(q["qvec"]), metric)
         code = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-
-        def distances(some: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            dist = np.zeros((len(some), len(rows)))
-            for c, t in enumerate(tables):
-                dist += t[some][:, code[rows, c]]
-            return dist
-
-        return found_in(b, q, k, where, with_self, distances)
+        return found_in(b, q, k, where, with_self, lambda some, rows: score(some, code[rows]))
 
     ask = queries.where("qid is not null and qvec is not null").where(F.size("qvec") == book.dim).select("qid", "qvec", *where.query_columns)
     return ranked(met(codes.select("id", "codes", *where.base_columns), ask, book.dim * 8 + 64, kernel), k)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Predicate, predicate
-from sparkvec.operators import frontier, graph_index, knn, partition, pools, quantization, updates
-from sparkvec.operators.quantization import Codebook
+from sparkvec.operators import codes, frontier, graph_index, knn, partition, pools, quantization, updates
+from sparkvec.operators.quantization import Codebook, Coder
 from sparkvec.session import bounded, shared_dir, written
 
 ATTRIBUTES = ("label", "labels", "attr")
-SETTINGS = "metric string, degree int, pool int, alpha double, copies int, candidates int, shard_rows int, chunks int, codes int, seed int"
+SETTINGS = "metric string, degree int, pool int, alpha double, copies int, candidates int, shard_rows int, chunks int, n_centers int, kind string, seed int"
 
 
 def one_each(df: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ class VectorIndex:
     shards, none with more than shard_rows rows; centers: their means."""
 
     nodes: DataFrame
-    book: Codebook
+    book: Coder
     centers: DataFrame
     graph: DataFrame
     metric: str
@@ -42,18 +42,19 @@ class VectorIndex:
     tree: DataFrame | None = None
     shard_rows: int = 20_000
     chunks: int = 16
-    codes: int = 256
+    n_centers: int = 256
+    kind: str = "pq"
     seed: int = 42
     pages_at: str | None = None
 
     @staticmethod
-    def build(df: DataFrame, id: str = "id", vec: str = "vec", label: str | None = None, labels: str | None = None, attr: str | None = None, metric: str = "l2", degree: int = 32, pool: int = 64, alpha: float = 1.2, chunks: int = 16, centers: int = 256, shard_rows: int = 20_000, copies: int = 2, seed: int = 42, candidates: int = graph_index.CANDIDATES) -> "VectorIndex":
-        """candidates: how many of a node's candidates pruning looks at, nearest first. shard_rows: rows of a shard at most, here and after
+    def build(df: DataFrame, id: str = "id", vec: str = "vec", label: str | None = None, labels: str | None = None, attr: str | None = None, metric: str = "l2", degree: int = 32, pool: int = 64, alpha: float = 1.2, chunks: int = 16, centers: int = 256, shard_rows: int = 20_000, copies: int = 2, seed: int = 42, candidates: int = graph_index.CANDIDATES, kind: str = "pq") -> "VectorIndex":
+        """kind: of the codes, by their name in `codes`. candidates: how many of a node's candidates pruning looks at, nearest first. shard_rows: rows of a shard at most, here and after
         any insert. Of rows that share an id one is taken; rows without id or vector are left out. An empty table gives an index that finds nothing."""
         names = {id: "id", vec: "vec"} | {c: n for c, n in ((label, "label"), (labels, "labels"), (attr, "attr")) if c}
         rows = written(one_each(df.select(*(df[c].alias(n) for c, n in names.items()))))
         n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-        book = quantization.train(rows, dim, min(chunks, dim), min(centers, max(1, n // 16)), seed=seed) if n else Codebook([], [], np.zeros(0))
+        book = codes.trained(kind, rows, dim, chunks, min(centers, max(1, n // 16)), seed) if n else Codebook([], [], np.zeros(0))
         rows = written(rows.where(F.size("vec") == dim))
         kept = [n for n in names.values() if n not in ("id", "vec")]
         coded = quantization.encode(rows, book, *kept, keep_vec=True) if n else rows.withColumn("codes", F.array().cast("array<int>"))
@@ -63,7 +64,7 @@ class VectorIndex:
         shard_centers = written(partition.centroids(cells))
         assigned = written(graph_index.members(cells, shard_centers, copies, shard_rows))
         graph = written(graph_index.build_graph(rows, assigned, metric, degree, pool, alpha, candidates))
-        return VectorIndex(nodes, book, shard_centers, graph, metric, degree, pool, alpha, copies, candidates, tree, shard_rows, chunks, centers, seed)
+        return VectorIndex(nodes, book, shard_centers, graph, metric, degree, pool, alpha, copies, candidates, tree, shard_rows, chunks, centers, kind, seed)
 
     @cached_property
     def paged(self) -> frontier.Paged:
@@ -107,7 +108,7 @@ class VectorIndex:
         kept = [c for c in self.nodes.columns if c not in ("id", "vec", "codes")]
         if not self.book.dim:
             names = {c: c for c in kept}
-            return VectorIndex.build(df, metric=self.metric, degree=self.degree, pool=self.pool, alpha=self.alpha, chunks=self.chunks, centers=self.codes, shard_rows=self.shard_rows, copies=self.copies, seed=self.seed, candidates=self.candidates, **names)
+            return VectorIndex.build(df, metric=self.metric, degree=self.degree, pool=self.pool, alpha=self.alpha, chunks=self.chunks, centers=self.n_centers, kind=self.kind, shard_rows=self.shard_rows, copies=self.copies, seed=self.seed, candidates=self.candidates, **names)
         new = written(quantization.encode(one_each(df.select("id", "vec", *kept)), self.book, *kept, keep_vec=True).select(*self.nodes.columns))
         gone = new.select("id")
         nodes = written(updates.live(self.nodes, gone).unionByName(new))
@@ -150,12 +151,12 @@ class VectorIndex:
         self.centers.coalesce(1).write.parquet(f"{to}/centers")
         self.tree.write.parquet(f"{to}/tree")
         self._pages(f"{to}/pages")
-        quantization.save_codebook(spark, self.book, f"{to}/codebook")
+        codes.save(spark, self.book, f"{to}/codebook")
         row = tuple(getattr(self, n) for n in SETTINGS.replace(",", "").split()[::2])
         spark.createDataFrame([row], SETTINGS).coalesce(1).write.parquet(f"{to}/settings")
 
     @staticmethod
     def open(spark: SparkSession, at: str) -> "VectorIndex":
         read = spark.read.parquet
-        parts = (read(f"{at}/nodes"), quantization.open_codebook(spark, f"{at}/codebook"), read(f"{at}/centers"), read(f"{at}/graph"))
+        parts = (read(f"{at}/nodes"), codes.opened(spark, f"{at}/codebook"), read(f"{at}/centers"), read(f"{at}/graph"))
         return VectorIndex(*parts, tree=read(f"{at}/tree"), pages_at=f"{at}/pages", **read(f"{at}/settings").first().asDict())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkvec.functions import sql
 from sparkvec.functions import vector as V
 from sparkvec.functions.predicates import predicate
-from sparkvec.operators import cache, graph, graph_index, knn, pools, quality, quantization, updates
+from sparkvec.operators import cache, codes, graph, graph_index, knn, pools, quality, quantization, updates
 from sparkvec.plans.index import VectorIndex
 
 BASE = "id long, vec array<float>, label int, labels array<int>, attr int"
@@ -223,17 +223,17 @@ def test_trained_codes_are_the_nearest_of_a_good_codebook(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     book = quantization.train(e, 64, 16, 16)
     x = np.array([r.vec for r in e.orderBy("id").collect()], float)
-    codes = np.array([r.codes for r in quantization.encode(e, book).orderBy("id").collect()])
+    coded = np.array([r.codes for r in quantization.encode(e, book).orderBy("id").collect()])
     error, chance = 0.0, 0.0
     for c, ((at, n), centers) in enumerate(zip(book.bounds, book.centers, strict=True)):
         d = (((x[:, at : at + n] - book.mean[at : at + n])[:, None] - centers[None]) ** 2).sum(-1)
-        assert (codes[:, c] == d.argmin(1)).all()
-        assert np.allclose(centers, [x[codes[:, c] == i, at : at + n].mean(0) - book.mean[at : at + n] for i in range(16)], atol=0.05)
+        assert (coded[:, c] == d.argmin(1)).all()
+        assert np.allclose(centers, [x[coded[:, c] == i, at : at + n].mean(0) - book.mean[at : at + n] for i in range(16)], atol=0.05)
         error += d.min(1).sum()
         chance += (((x[:, at : at + n])[:, None] - x[None, :16, at : at + n]) ** 2).sum(-1).min(1).sum()
     assert error < 0.8 * chance
-    quantization.save_codebook(spark, book, str(tmp_path / "b"))
-    again = quantization.open_codebook(spark, str(tmp_path / "b"))
+    codes.save(spark, book, str(tmp_path / "b"))
+    again = codes.opened(spark, str(tmp_path / "b"))
     assert again.bounds == book.bounds and all((a == b).all() for a, b in zip(again.centers, book.centers, strict=True)) and (again.mean == book.mean).all()
 
 

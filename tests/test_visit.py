@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import predicate
-from sparkvec.operators import frontier, knn, partition
+from sparkvec.operators import codes, frontier, knn, partition
 from sparkvec.plans.index import VectorIndex
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +103,37 @@ def test_visits_open_few_cells(spark):
     read = paged.read(spark, "wide", partition.located(rows.where("id % 30 = 0"), index.tree).select("cell"))
     assert len({f.split("/")[-2] for f in read.inputFiles()}) < cells / 4
     assert paged.read(spark, "wide", q.selectExpr("1L cell").limit(0)).isEmpty()
+
+
+def test_bits_estimate_distances_within_their_bound():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(2000, 64)), rng.normal(size=(2000, 64))
+    r, _ = np.linalg.qr(rng.normal(size=(64, 64)))
+    bits = codes.RotatedBits(r, x.mean(0))
+    coded = bits.codes(x)
+    assert coded.shape == (2000, 4)  # 64 bits and two numbers
+    true, guess = ((x - q) ** 2).sum(1), bits.rowwise(q, coded, "l2")
+    assert (np.abs(true - guess) <= bits.error(q, coded)).mean() > 0.97
+    assert abs((guess - true).mean()) < 0.02 * true.mean()
+    assert np.allclose(bits.scorer(q[:5], "l2")(np.arange(5), coded[:5]).diagonal(), guess[:5])
+    assert np.corrcoef(bits.rowwise(q, coded, "ip"), -((x - x.mean(0)) * q).sum(1))[0, 1] > 0.75
+
+
+def test_every_search_takes_either_kind_of_codes(spark, tmp_path):
+    """Recall grows with the size of the codes: 16 bits (4 chunks of 16 centres), 64 bits and two numbers, 64 bits of 16 chunks."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    q = e.where("id % 25 = 0").selectExpr("id qid", "embedding qvec", "label qlabel")
+    shares = {}
+    for name, kind, chunks in (("pq4", "pq", 4), ("bits", "bits", 0), ("pq16", "pq", 16)):
+        index = VectorIndex.build(e, vec="embedding", label="label", degree=12, pool=24, centers=16, chunks=chunks, shard_rows=500, kind=kind)
+        exact = {(r.qid, r.id) for r in index.search(q, 10, where="eq").collect()}
+        for strategy in ("gated", "graph", "visit") if kind == "bits" else ("gated",):
+            got = {(r.qid, r.id) for r in index.search(q, 10, 20, "eq", strategy).collect()}
+            shares[name, strategy] = len(got & exact) / len(exact)
+        if kind == "bits":
+            index.save(str(tmp_path / "i"))
+            again = VectorIndex.open(spark, str(tmp_path / "i"))
+            assert {(r.qid, r.id) for r in again.search(q, 10, 20, "eq", "gated").collect()} == {(r.qid, r.id) for r in index.search(q, 10, 20, "eq", "gated").collect()}
+    assert shares["pq4", "gated"] < shares["bits", "gated"] and shares["bits", "gated"] > 0.85 and shares["bits", "visit"] > 0.7, shares
+    with pytest.raises(ValueError, match="unknown codes"):
+        VectorIndex.build(e, vec="embedding", kind="none")
