@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions import vector as V
 from sparkvec.functions.predicates import predicate
-from sparkvec.operators import cache, graph, graph_index, knn, pools, quality, quantization, updates, workload
+from sparkvec.operators import cache, codes, graph, graph_index, knn, partition, pools, quality, quantization, updates, workload
 from sparkvec.operators.quantization import Codebook
 from sparkvec.plans import oracle
+from sparkvec.plans.index import VectorIndex
 from sparkvec.session import table, written
 
 DIM, CHUNKS, CENTERS, K, DEGREE = 64, 16, 16, 10, 8
@@ -412,6 +413,30 @@ def graph_search(spark: SparkSession, sf: str) -> DataFrame:
     return graph_index.search(written(nodes), q, centers, K, 200, predicate("eq"), book, probes=4)[0]
 
 
+@query
+def visit_search(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: traversal of the merged graph that reads the cells it visits, from seeds near the query."""
+    b, q = both(spark, sf)
+    index = VectorIndex.build(b, label="label", degree=16, pool=32, chunks=CHUNKS, centers=CENTERS, shard_rows=2000)
+    return index.search(q, K, 200, predicate("eq"), "visit")
+
+
+@query
+def cell_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: recursive k-means until no cell has more than 100 rows; each row with the size of its cell."""
+    rows, _ = partition.cells(base_of(spark, sf), 100)
+    rows = written(rows.select("id", "cell"))
+    return rows.join(rows.groupBy("cell").agg(F.count("*").alias("n_rows")), "cell")
+
+
+@query
+def one_bit_adc(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: pools by rotated one-bit codes."""
+    b, q = both(spark, sf)
+    coder = codes.trained("bits", b, DIM, 0, 0, 42)
+    return quantization.adc(quantization.encode(b, coder, "label"), q, coder, 20, where=predicate("eq"))
+
+
 @query
 def pq_train(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: seeded k-means per chunk; the result is each row's codes."""
