@@ -9,7 +9,7 @@ the text) and backward (from the tree of its reversal) of their two ends give th
 Trees are built of the stretches that can hold a run. In a run every eight words come again within the run, so stretches
 are cut wherever eight words do not come again inside their stretch, until no cut is left; equal words give equal hashes, so no run is lost.
 
-A null text has no words, no runs and an empty collapsed text; so has an empty one. Texts of any length are taken whole; a tree takes about 600 bytes
+A null text has no words, no runs and an empty collapsed text; so has an empty one. Texts of any length are taken whole; a tree takes about 450 bytes
 for each word of its stretch. Rows that repeat give repeated rows, and an empty table an empty one. Only key and text are read.
 """
 

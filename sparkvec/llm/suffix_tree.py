@@ -5,6 +5,8 @@ Euler tour of the tree as the shallowest node between two visits: a constant num
 Questions are put in bulk, so the rows of that table (one for each power of two) are made one after another and only one is held.
 """
 
+from array import array
+
 import numpy as np
 
 END = 0
@@ -23,7 +25,7 @@ class SuffixTree:
 
     def _build(self, text: list[int]) -> None:
         n = self.n
-        start, end, link = [-1], [-1], [0]  # edge labels [start, end); an open end is n
+        start, end, link = array("i", [-1]), array("i", [-1]), array("i", [0])  # edge labels [start, end); an open end is n
         step: dict[int, int] = {}  # node and first symbol, packed -> child
         node, edge, length, left = 0, 0, 0, 0  # the active point and the suffixes still to be put in
         for i in range(n):
@@ -79,11 +81,11 @@ class SuffixTree:
         child = np.fromiter(self.step.values(), np.int64, size - 1)
         self.step = None
         order = np.argsort(key)
-        kids = child[order].tolist()
-        first = np.searchsorted(key[order] >> 32, np.arange(size + 1)).tolist()
-        length = (np.array(self.end) - np.array(self.start)).tolist()
-        depth, seen, tour, leaves = [0] * size, [0] * size, [], []
-        stack, upto = [0], first[:-1]
+        kids = array("i", child[order].astype(np.int32).tobytes())
+        first = array("i", np.searchsorted(key[order] >> 32, np.arange(size + 1)).astype(np.int32).tobytes())
+        length = array("i", (np.array(self.end) - np.array(self.start)).astype(np.int32).tobytes())
+        depth, seen, tour, leaves = array("i", bytes(4 * size)), array("i", bytes(4 * size)), array("i"), array("i")
+        stack, upto = [0], array("i", first[:-1])
         while stack:
             v = stack[-1]
             k = upto[v]
