@@ -103,36 +103,36 @@ def tunnel(failed: DataFrame, store: DataFrame, pool: DataFrame) -> DataFrame:
 
 def occlusion(metric: str, to_other: np.ndarray, between: np.ndarray) -> np.ndarray:
     """As functions.vector.occlude_factor, on arrays."""
-    most = np.finfo(np.float32).max
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if metric in ("l2", "cosine"):
-            return np.where(between == 0, most, to_other / between)
-        signed = np.where(between > 0, to_other / between, np.where(to_other < 0, between / to_other, most))
-    return np.where(to_other > between, signed, 0.0)
+    to_other, between = np.broadcast_arrays(np.asarray(to_other, float), np.asarray(between, float))
+    most = float(np.finfo(np.float32).max)
+    if metric in ("l2", "cosine"):
+        return np.divide(to_other, between, out=np.full(between.shape, most), where=between != 0)
+    # inner products: distances may be negative, and only a pair nearer to each other than the node is to the other one counts
+    out = np.full(between.shape, most)
+    np.divide(between, to_other, out=out, where=(between <= 0) & (to_other < 0))
+    np.divide(to_other, between, out=out, where=between > 0)
+    return out * (to_other > between)
 
 
 def pruned(dist: np.ndarray, mutual: np.ndarray, degree: int, alpha: float = 1.2, metric: str = "l2", fill: bool = False) -> list[int]:
     """Numbers of the neighbours that stay, nearest first. dist is ascending; mutual[i, j] is the distance of two candidates.
 
-    Passes with growing slack (1, 1.2, ... up to alpha): a candidate stays unless one that stays already hides it by more than
-    the slack. With fill, the nearest others make up the degree.
+    A candidate's shade is the largest factor by which one that stays and is nearer hides it. With a slack of 1, then of 1.2 and so on
+    up to alpha, the nearest candidate in less shade than the slack stays and shades those behind it, and so on down the list. With
+    fill, the nearest others make up the degree.
     """
-    hidden, stays, slack = np.zeros(len(dist)), np.zeros(len(dist), bool), 1.0
-    while slack <= alpha + 1e-6 and stays.sum() < degree:
-        for i in range(len(dist)):
-            if stays.sum() >= degree:
-                break
-            if stays[i] or hidden[i] > slack:
-                continue
+    n = len(dist)
+    shade, behind = np.zeros(n), np.arange(n)
+    stays = np.zeros(n, bool)
+    for slack in (1.2**k for k in range(1 + int(np.log(alpha + 1e-6) / np.log(1.2)) if alpha + 1e-6 >= 1 else 0)):
+        lit = np.flatnonzero((shade <= slack) & ~stays)
+        while len(lit) and stays.sum() < degree:
+            i = lit[0]
             stays[i] = True
-            later = np.arange(i + 1, len(dist))
-            later = later[hidden[later] <= alpha]
-            if len(later):
-                hidden[later] = np.maximum(hidden[later], occlusion(metric, dist[later], mutual[i, later]))
-        slack *= 1.2
+            shade = np.where(behind > i, np.maximum(shade, occlusion(metric, dist, mutual[i])), shade)
+            lit = lit[1:][shade[lit[1:]] <= slack]
     if fill and alpha > 1:
-        for i in np.flatnonzero(~stays)[: max(0, degree - int(stays.sum()))]:
-            stays[i] = True
+        stays[np.flatnonzero(~stays)[: max(0, degree - int(stays.sum()))]] = True
     return np.flatnonzero(stays).tolist()
 
 

@@ -357,3 +357,26 @@ def test_one_eviction_costs_less_and_finds_as_much(spark, monkeypatch):
     cost, hits = built(True)
     full_cost, full_hits = built(False)
     assert cost < full_cost and hits >= full_hits - 5, (cost, full_cost, hits, full_hits)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_pruning_of_any_metric_by_its_definition(metric):
+    """Against a loop over sets: with a slack of 1, 1.2, ... the nearest that none hides by more than the slack stay."""
+    rng = np.random.default_rng(4)
+    hides = lambda to, apart: float(graph.occlusion(metric, to, apart))
+    for degree in (1, 2, 3, 5, 8, 12):
+        for alpha in (1.0, 1.2, 1.5):
+            x, q = rng.normal(size=(20, 3)), rng.normal(size=3)
+            d = ((x - q) ** 2).sum(1) if metric == "l2" else 1 - x @ q
+            x, d = x[np.argsort(d)], np.sort(d)
+            m = ((x[:, None] - x[None]) ** 2).sum(-1) if metric == "l2" else 1 - x @ x.T
+            stay, slack = set(), 1.0
+            while slack <= alpha + 1e-6:
+                for i in range(20):
+                    if len(stay) < degree and max((hides(d[i], m[j, i]) for j in stay if j < i), default=0) <= slack:
+                        stay.add(i)
+                slack *= 1.2
+            assert graph.pruned(d, m, degree, alpha, metric) == sorted(stay)
+            full = graph.pruned(d, m, degree, alpha, metric, fill=True)
+            rest = [i for i in range(20) if i not in stay][: degree - len(stay)] if alpha > 1 else []
+            assert full == sorted([*stay, *rest])
