@@ -79,3 +79,29 @@ def test_older_inserts_stay_deleted(spark, tmp_path):
     changes.apply_to(root, ["tag", "seq", "value"], settled=100)(spark.createDataFrame([(5, 11, "delete", None)], schema), 0)
     after = changes.manifest(spark, root)
     assert len(after) == len(before) - 1 and all(before[b] == v for b, v in after.items())  # other buckets stay where they are
+
+
+@pytest.mark.parametrize(("element", "layout"), [("float", "bin"), ("uint8", "bin"), ("float", "vecs")])
+def test_data_source(spark, tmp_path, element, layout):
+    from pyspark.sql import functions as F
+
+    from sparkvec.sources import datasource
+
+    datasource.register(spark)
+    df = spark.range(100).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: ((F.col("id") * i) % 200).cast("float")).alias("vec"))
+    to = str(tmp_path / "v")
+    w = df.repartitionByRange(3, "id").sortWithinPartitions("id").write.format("vecfile").option("element", element).option("layout", layout)
+    w.mode("append").save(to)
+    back = spark.read.format("vecfile").option("element", element).option("layout", layout).option("rangeBytes", 100).load(to)
+    want = {(r.id, tuple(map(float, r.vec))) for r in df.collect()}
+    assert {(r.id, tuple(map(float, r.vec))) for r in back.collect()} == want
+    assert sorted(r.id for r in back.where("id between 7 and 9").collect()) == [7, 8, 9]
+    assert back.count() == 100
+    some = spark.read.format("vecfile").option("element", element).option("layout", layout).option("first", 40).option("last", 77).option("rangeBytes", 100).load(to)
+    assert {(r.id, tuple(map(float, r.vec))) for r in some.collect()} == {w for w in want if 40 <= w[0] <= 77}
+    ranges = datasource.VectorReader({"path": to, "element": element, "layout": layout, "first": "40", "last": "77", "rangeBytes": "100"}).partitions()
+    assert sum(p.n for p in ranges) == 38 and sum(p.n for p in datasource.VectorReader({"path": to, "element": element, "layout": layout}).partitions()) == 100
+    with pytest.raises(Exception, match="not in order"):
+        df.orderBy(F.desc("id")).coalesce(1).write.format("vecfile").option("element", element).mode("append").save(str(tmp_path / "w"))
+    w.mode("overwrite").save(to)
+    assert back.count() == 100
