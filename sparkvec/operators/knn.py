@@ -1,8 +1,8 @@
 """Exact nearest neighbours under a predicate: every query against every row, in blocks.
 
 Queries whose counted size is small go to all tasks; more of them are cut into blocks that meet salted parts of the base, so
-neither side is ever whole in one task. Either way a kernel computes a block of distances, keeps each query's k best matching
-rows, and a window merges them. Distances add up element by element in double precision, as `functions.vector` does.
+neither side is ever whole in one task. Either way a kernel takes one block of queries at a time, computes a block of distances and
+hands on each query's k best matching rows, and a window merges them. Distances add up element by element in double precision, as `functions.vector` does.
 Rows with a null id, a null vector or another length than the queries' take no part.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Always, Predicate
 
-#: Bytes of queries that are broadcast, rows of a query block and of a base part beyond that, elements of a distance block.
-BROADCAST, QUERY_BLOCK, PART_ROWS, BLOCK = 64 << 20, 1024, 1 << 16, 1 << 22
+#: Bytes of queries that are broadcast, queries that a kernel takes at once, rows of a base part beyond that, elements of a distance block.
+BROADCAST, QUERY_BLOCK, PART_ROWS, BLOCK = 64 << 20, 1024, 1 << 16, 1 << 20
 FOUND = "qid long, id long, dist double"
 
 
@@ -110,7 +110,8 @@ Kernel = Callable[[pa.RecordBatch, pa.Table], pa.RecordBatch]
 def met(base: DataFrame, queries: DataFrame, row_bytes: int, kernel: Kernel) -> DataFrame:
     """What the kernel finds (qid, id, dist) for every batch of base(id, ...) and every query(qid, ...).
 
-    Queries of a counted size below BROADCAST go to all tasks; more are cut into blocks that meet salted parts of the base.
+    Queries of a counted size below BROADCAST go to all tasks; more are cut into blocks that meet salted parts of the base. What a worker
+    holds besides the broadcast is of one block of queries, however many there are.
     """
     n = queries.count()
     if n * row_bytes <= BROADCAST:
@@ -118,7 +119,8 @@ def met(base: DataFrame, queries: DataFrame, row_bytes: int, kernel: Kernel) ->
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield kernel(b, held.value)
+                for at in range(0, held.value.num_rows, QUERY_BLOCK):
+                    yield kernel(b, held.value.slice(at, QUERY_BLOCK))
 
         return base.mapInArrow(run, FOUND)
     blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-base.count() // PART_ROWS))

@@ -81,6 +81,19 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     assert knn.knn(b, q, 5).orderBy("qid", "rk").collect() == whole
 
 
+def test_kernels_take_one_block_of_broadcast_queries(spark, monkeypatch):
+    import pyarrow as pa
+
+    def size(b, q):
+        n = q.num_rows
+        return pa.record_batch([q["qid"].combine_chunks(), pa.array([0] * n, pa.int64()), pa.array([float(n)] * n)], ["qid", "id", "dist"])
+
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    b, q = spark.range(50), spark.range(100).withColumnRenamed("id", "qid")
+    found = knn.met(b.coalesce(1), q, 8, size).collect()
+    assert sorted(r.qid for r in found) == list(range(100)) and max(r.dist for r in found) == 16
+
+
 def test_recall_with_ties(spark):
     truth = spark.createDataFrame([(0, 1, 1.0, 1), (0, 2, 2.0, 2), (0, 3, 2.0, 3)], "qid long, id long, dist double, rk long")
     found = spark.createDataFrame([(0, 1, 1.0, 1), (0, 3, 2.0, 2)], "qid long, id long, dist double, rk long")
