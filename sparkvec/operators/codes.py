@@ -55,6 +55,16 @@ class RotatedBits(NamedTuple):
 
         return distances
 
+    def paired(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        y = ((q - self.mean) if metric == "l2" else q) @ self.rotation.T
+
+        def distances(some: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            signs, size, kept = self.parts(codes)
+            products = (y[some] * signs).sum(1) / kept * size
+            return (y[some] ** 2).sum(1) + size**2 - 2 * products if metric == "l2" else -products
+
+        return distances
+
     def rowwise(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
         if not len(codes):
             return np.zeros(0)

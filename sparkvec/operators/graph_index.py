@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from sparkvec.functions.predicates import Predicate
 from sparkvec.operators.graph import occlusion, pruned
-from sparkvec.operators.knn import BLOCKS, matrix, ranked
+from sparkvec.operators.knn import matrix, pair_distances, ranked
 from sparkvec.operators.quantization import Coder, closest_centers
 from sparkvec.session import bounded, written
 
 #: How far a neighbour list may grow before it is pruned, and the nearest candidates that pruning looks at.
 SLACK, CANDIDATES = 1.3, 750
+#: Queries times nodes of a shard part whose walks go together; the distance of what has none.
+TOGETHER, FARTHEST = 1 << 18, np.finfo(float).max
 GRAPH = "shard long, part int, id long, entry boolean, nbrs array<long>"
 STATS = "qid long, id long, dist double, n_fetch long, n_skip long, n_cmp long"
 
@@ -66,6 +68,67 @@ def walk(start: list[int], near: Callable[[list[int]], np.ndarray], nbrs: list[n
             held = sorted([*held, *zip(near(new).tolist(), new, strict=True)])[:pool]
 
 
+def walks(start: list[int], near: Callable[[np.ndarray, np.ndarray], np.ndarray], nbrs: list[np.ndarray], pool: int, queries: int, passes: np.ndarray | None = None, most: int | None = None, k: int | None = None, relaxed: int | None = None) -> list[Walk]:
+    """What `walk` gives for each of so many queries, which go one step at a time together: near(query numbers, nodes) gives distances of
+    pairs, and is asked once a step for all. passes: (queries, nodes).
+
+    The nearest open node leads unless `pool` nodes before it have been looked at: all that are nearer have been.
+    """
+    n, width = len(nbrs), max(map(len, nbrs), default=0)
+    lists, length = np.zeros((n, width), np.int64), np.array([len(x) for x in nbrs], np.int64)
+    for i, x in enumerate(nbrs):
+        lists[i, : len(x)] = x
+    ahead = np.arange(width)
+    first = np.unique(np.array(start, np.int64))
+    seen = np.zeros((queries, n + 1), bool)  # the last column takes what is no neighbour
+    open_ = np.full((queries, n), np.inf)
+    q, at = np.repeat(np.arange(queries), len(first)), np.tile(first, queries)
+    seen[q, at] = True
+    open_[q, at] = np.fmin(near(q, at), FARTHEST)
+    fetched: list[list[int]] = [[] for _ in range(queries)]
+    skipped, compared = np.zeros(queries, np.int64), np.full(queries, len(first), np.int64)
+    settled = np.full(queries, -1)
+    done_dist, done_node, steps = np.full((queries, pool), np.inf), np.zeros((queries, pool), np.int64), 0
+    live = np.arange(queries)
+    while len(live) and n:
+        every = len(live) == queries
+        lead = (open_ if every else open_[live]).argmin(1)  # the least number among equals
+        dist = open_[live, lead]
+        before = np.zeros(len(live), np.int64)
+        if steps >= min(pool, k or pool):  # fewer steps than that end no walk
+            d, at = (done_dist[:, :steps], done_node[:, :steps]) if every else (done_dist[live, :steps], done_node[live, :steps])
+            before = ((d < dist[:, None]) | ((d == dist[:, None]) & (at < lead[:, None]))).sum(1)
+        going = np.isfinite(dist) & (before < pool)
+        if relaxed is not None and k is not None:
+            held = np.minimum(np.minimum(compared[live], pool), k)
+            now = (settled[live] < 0) & ((before >= held) | ~going)
+            n_fetched = np.array([len(fetched[i]) for i in live])
+            settled[live[now]] = n_fetched[now]
+            going &= ~((settled[live] >= 0) & (n_fetched >= settled[live] + relaxed))
+        live, lead, dist = live[going], lead[going], dist[going]
+        if not len(live):
+            break
+        if steps == done_dist.shape[1]:
+            done_dist = np.concatenate([done_dist, np.full((queries, pool), np.inf)], 1)
+            done_node = np.concatenate([done_node, np.zeros((queries, pool), np.int64)], 1)
+        done_dist[live, steps], done_node[live, steps] = dist, lead
+        steps += 1
+        open_[live, lead] = np.inf
+        passing = np.ones(len(live), bool) if passes is None else passes[live, lead]
+        for i, at_ in zip(live[passing].tolist(), lead[passing].tolist(), strict=True):
+            fetched[i].append(at_)
+        skipped[live[~passing]] += 1
+        upto = length[lead] if most is None else np.where(passing, length[lead], np.minimum(length[lead], most))
+        new = np.where(ahead < upto[:, None], lists[lead], n)
+        row, col = np.nonzero(~seen[live[:, None], new] & (new < n))
+        q, at = live[row], new[row, col]
+        if len(q):
+            seen[q, at] = True
+            compared += np.bincount(q, minlength=queries)
+            open_[q, at] = np.fmin(near(q, at), FARTHEST)
+    return [Walk(fetched[i], int(skipped[i]), int(compared[i])) for i in range(queries)]
+
+
 class Shard:
     """Vectors of one shard part and their neighbours, changed in place. Nodes are numbers of rows."""
 
@@ -238,38 +301,42 @@ def search(nodes: DataFrame, queries: DataFrame, centers: DataFrame, k: int, poo
     held = nodes.sparkSession.sparkContext.broadcast(book)
 
     def solve(t: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if t.num_rows and q.num_rows:
-            ids, x, qx = t["id"].to_numpy(), matrix(t["vec"]), matrix(q["qvec"])
-            at = {int(v): i for i, v in enumerate(ids)}
-            nbrs = [np.array([at[v] for v in n if v in at], int) for n in t["nbrs"].to_pylist()]
-            start = np.flatnonzero(t["entry"].to_numpy(zero_copy_only=False)).tolist()
-            mask = where.mask(t.combine_chunks().to_batches()[0], q)
-            book = held.value
-            if book is not None:
-                codes = matrix(t["codes"]).astype(int)
-                score = book.scorer(qx, "l2" if metric == "l2" else "ip")
-            for i, qid in enumerate(q["qid"].to_pylist()):
-
-                def near(some: list[int], i: int = i) -> np.ndarray:
-                    if book is None:
-                        return BLOCKS[metric](qx[i : i + 1], x[some])[0]
-                    return score(np.array([i]), codes[some])[0]
-
-                passes = mask[i] if mask is not None else None
-                w = walk(start, near, nbrs, pool, passes if gate else None, store, k, relaxed)
-                got = np.array(w.fetched, int)
-                got = got[passes[got]] if passes is not None and len(got) else got
-                got = got if with_self else got[ids[got] != qid]
-                d = BLOCKS[metric](qx[i : i + 1], x[got])[0] if len(got) else np.zeros(0)
-                best = np.lexsort((ids[got], d))[:k]
-                stats = (len(w.fetched), w.skipped, w.compared)
-                out.append((qid, None, None, *stats))
-                out += [(qid, int(ids[got[b]]), float(d[b]), 0, 0, 0) for b in best]
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["qid", "id", "dist", "n_fetch", "n_skip", "n_cmp"])
-
+        if not t.num_rows or not q.num_rows:
+            return pa.table([pa.array([], f.type) for f in stats_schema], schema=stats_schema)
+        base = t.combine_chunks().to_batches()[0]
+        ids, x = t["id"].to_numpy(), matrix(t["vec"])
+        at = {int(v): i for i, v in enumerate(ids)}
+        nbrs = [np.array([at[v] for v in n if v in at], int) for n in t["nbrs"].to_pylist()]
+        start = np.flatnonzero(t["entry"].to_numpy(zero_copy_only=False)).tolist()
+        codes = matrix(t["codes"]).astype(int) if held.value is not None else None
+        step = max(1, TOGETHER // len(ids))
+        return pa.concat_tables([block(q.slice(n, step), base, ids, x, nbrs, start, codes) for n in range(0, q.num_rows, step)])
+
+    def block(q: pa.Table, base: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: list[int], codes: np.ndarray | None) -> pa.Table:
+        qids, qx, mask = q["qid"].to_numpy(), matrix(q["qvec"]), where.mask(base, q)
+        score = held.value.paired(qx, "l2" if metric == "l2" else "ip") if codes is not None else None
+
+        def near(some: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return pair_distances(metric, qx[some], x[at]) if score is None else score(some, codes[at])
+
+        found = walks(start, near, nbrs, pool, len(qids), mask if gate else None, store, k, relaxed)
+        of = np.repeat(np.arange(len(qids)), [len(w.fetched) for w in found])
+        got = np.array([i for w in found for i in w.fetched], np.int64)
+        right = np.ones(len(of), bool) if mask is None else mask[of, got]
+        right &= with_self | (ids[got] != qids[of])
+        of, got = of[right], got[right]
+        d = pair_distances(metric, qx[of], x[got])
+        order = np.lexsort((ids[got], d, of))
+        of, got, d = of[order], got[order], d[order]
+        best = np.arange(len(of)) - np.searchsorted(of, of) < k
+        of, got, d = of[best], got[best], d[best]
+        # a row of each query's counts, then what was found
+        none, counts = np.zeros(len(of), np.int64), [np.array(c, np.int64) for c in zip(*((len(w.fetched), w.skipped, w.compared) for w in found), strict=True)]
+        empty = np.concatenate([np.ones(len(qids), bool), np.zeros(len(of), bool)])
+        cols = [np.concatenate([qids, qids[of]]), np.concatenate([np.zeros(len(qids), np.int64), ids[got]]), np.concatenate([np.zeros(len(qids)), d]), *(np.concatenate([c, none]) for c in counts)]
+        return pa.table([pa.array(c, f.type, mask=empty if f.name in ("id", "dist") else None) for c, f in zip(cols, stats_schema, strict=True)], schema=stats_schema)
+
+    stats_schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64()), ("n_fetch", pa.int64()), ("n_skip", pa.int64()), ("n_cmp", pa.int64())])
     found = nodes.groupBy("shard", "part").cogroup(asked.groupBy("to_shard", "to_part")).applyInArrow(solve, STATS)
     results = found.where("id is not null").groupBy("qid", "id").agg(F.min("dist").alias("dist"))
     stats = found.groupBy("qid").agg(*(F.sum(c).alias(c) for c in ("n_fetch", "n_skip", "n_cmp")))

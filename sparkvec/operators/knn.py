@@ -48,6 +48,15 @@ def ip_block(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 BLOCKS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"l2": l2_block, "cosine": ip_block, "ip": ip_block, "mips": ip_block}
 
 
+def pair_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each q to the x of the same row, added up in the order of BLOCKS."""
+    out = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        step = q[:, d] - x[:, d] if metric == "l2" else x[:, d]
+        out += step * (step if metric == "l2" else q[:, d])
+    return out if metric == "l2" else 1.0 - out
+
+
 def nearest(dist: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of each row's k least entries, ties by id."""
     if allowed is not None:

@@ -35,6 +35,9 @@ class Coder(Protocol):
     def scorer(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         """A function of query numbers and codes that gives (queries, rows) of approximate distances."""
 
+    def paired(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of query numbers and codes, one for each, that gives the distances of these pairs."""
+
     def rowwise(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
         """The approximate distance of each query to the code of the same row."""
 
@@ -68,6 +71,17 @@ class Codebook(NamedTuple):
 
         return distances
 
+    def paired(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        tables = query_tables(q, self, metric)
+
+        def distances(some: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            dist = np.zeros(len(some))
+            for c, t in enumerate(tables):
+                dist += t[some, codes[:, c]]
+            return dist
+
+        return distances
+
     def rowwise(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
         dist = np.zeros(len(codes))
         for c, ((at, n), centers) in enumerate(zip(self.bounds, self.centers, strict=True)):

@@ -268,6 +268,26 @@ def test_walk_needs_tunnels():
     assert graph_index.walk([0], near, nbrs, 10, passes, 0).fetched == [0]
 
 
+@pytest.mark.parametrize("most, k, relaxed", [(None, None, None), (2, None, None), (0, 3, 0), (4, 5, 6)])
+def test_walks_of_a_block_go_together(most, k, relaxed):
+    """Each query's walk is what it is alone, with ties, and all ask for distances once a step."""
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(0, 4, (120, 3)).astype(float), rng.integers(0, 4, (30, 3)).astype(float)
+    nbrs = [np.unique(rng.integers(0, 120, rng.integers(0, 7))) for _ in x]
+    passes = None if most is None else rng.random((30, 120)) < 0.4
+    asked = []
+
+    def near(some, at):
+        asked.append(len(some))
+        return knn.pair_distances("l2", q[some], x[at])
+
+    got = graph_index.walks([5, 60], near, nbrs, 15, 30, passes, most, k, relaxed)
+    for i, w in enumerate(got):
+        alone = graph_index.walk([5, 60], lambda at, i=i: knn.l2_block(q[i : i + 1], x[at])[0], nbrs, 15, None if passes is None else passes[i], most, k, relaxed)
+        assert w == alone
+    assert len(asked) <= 1 + max(len(w.fetched) + w.skipped for w in got)
+
+
 def test_pool_counts(spark):
     b, q = square(spark), ask(spark)
     got = pools.io_counts(knn.knn(b, q, 3), b, q, predicate("eq")).first()
