@@ -2,7 +2,8 @@
 
 The shards' graphs are merged into one, and nodes are written in two tiers, one folder for each cell of `partition`: narrow rows (codes, attributes
 and neighbours with their cells) and wide rows (vectors). A round takes each query's next few pool members, follows
-their neighbours, leaves out what the query has met before, and reads the narrow rows of the cells where the others are. The wide rows of the
+their neighbours, leaves out what the query has met before, and reads the narrow rows of the cells where the others are. Neighbour lists are
+read for the members of a round only, so what a query keeps are ids and distances. The wide rows of the
 nearest met nodes that satisfy the predicate are read last. Neither tier is listed or scanned as a whole.
 
 A search starts from the rows of a bounded sample that are nearest to the query, both of all and of those that satisfy its predicate.
@@ -114,36 +115,42 @@ def search(paged: Paged, queries: DataFrame, book: Coder, k: int, pool: int, whe
     turn = W.partitionBy("qid", F.col("done") | (F.col("place") > pool)).orderBy("dist", "id")
 
     def scored(new: DataFrame) -> DataFrame:
-        """new(qid, cell, id) with dist, whether they pass, and their neighbours; reads the narrow rows of their cells."""
-        rows = paged.read(spark, "narrow", new).select("id", "codes", "nbrs", *where.base_columns)
+        """new(qid, cell, id) with dist and whether they pass; reads the narrow rows of their cells."""
+        rows = paged.read(spark, "narrow", new).select("id", "codes", *where.base_columns)
         met = new.join(rows, "id").join(asked, "qid").withColumn("passes", where.column())
-        return approximate(met.select("qid", "cell", "id", "passes", "nbrs", "qvec", "codes"), book, metric)
+        return approximate(met.select("qid", "cell", "id", "passes", "qvec", "codes"), book, metric)
+
+    def followed(turns: DataFrame) -> DataFrame:
+        """(qid, cell, id): the neighbours of turns(qid, cell, id, passes)."""
+        rows = paged.read(spark, "narrow", turns).select("id", "nbrs")
+        ahead = F.when(F.col("passes"), F.col("nbrs")).otherwise(F.slice("nbrs", 1, store))
+        return turns.select("qid", "id", "passes").join(rows, "id").select("qid", F.explode(ahead).alias("n")).select("qid", "n.cell", "n.id")
 
     def ranked_pool(rows: DataFrame) -> DataFrame:
         kept = rows.withColumn("place", F.row_number().over(order)).withColumn("pass_place", F.row_number().over(passing))
         kept = kept.where((F.col("place") <= pool) | (F.col("passes") & (F.col("pass_place") <= fetch + 1)))  # one for the query itself
         kept = kept.withColumn("turn", ~F.col("done") & (F.col("place") <= pool) & (F.row_number().over(turn) <= beam))
-        nbrs = F.when((F.col("place") <= pool) & ~F.col("done"), F.col("nbrs"))
-        return written(kept.select("qid", "cell", "id", "passes", nbrs.alias("nbrs"), "dist", "done", "turn", "pass_place"))
+        return written(kept.select("qid", "cell", "id", "passes", "dist", "done", "turn", "pass_place"))
 
     start = knn(paged.sample, queries, seeds, metric, with_self=True).select("qid", "id")
     start = start.unionByName(knn(paged.sample, queries, seeds, metric, where, True).select("qid", "id")).distinct()
     new = written(start.join(bounded(paged.sample.select("id", "cell"), 32), "id").select("qid", "cell", "id"))
     first = written(scored(new))
-    met = first.select("qid", "id")
+    met = first.select("qid", "cell", "id")
     state = ranked_pool(first.withColumn("done", F.lit(False)))
     rounds = 0
     while not state.where("turn").isEmpty():
         rounds += 1
-        ahead = F.when(F.col("passes"), F.col("nbrs")).otherwise(F.slice("nbrs", 1, store))
-        new = state.where("turn").select("qid", F.explode(ahead).alias("n")).select("qid", "n.cell", "n.id").distinct()
-        new = written(new.join(met, ["qid", "id"], "left_anti"))
+        # one shuffle by query; a node has one cell
+        every = followed(state.where("turn")).withColumn("old", F.lit(False)).unionByName(met.withColumn("old", F.lit(True)))
+        once = every.repartition("qid").groupBy("qid", "id").agg(F.max("cell").alias("cell"), F.max("old").alias("old"))
+        new = written(once.where("not old").select("qid", "cell", "id"))
         found = written(scored(new))
-        met = met.unionByName(found.select("qid", "id"))
+        met = met.unionByName(found.select("qid", "cell", "id"))
         if rounds % MERGE == 0:
             met = written(met)
         looked = F.col("done") | F.col("turn")
-        old = state.select("qid", "cell", "id", "passes", "nbrs", "dist", looked.alias("done"))
+        old = state.select("qid", "cell", "id", "passes", "dist", looked.alias("done"))
         state = ranked_pool(old.unionByName(found.withColumn("done", F.lit(False))))
     fetched = state.where("passes").where(F.col("pass_place") <= fetch + (not with_self))
     fetched = fetched if with_self else fetched.where("qid <> id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkvec.functions.predicates import predicate
 from sparkvec.operators import codes, frontier, knn, partition
 from sparkvec.plans.index import VectorIndex
+from sparkvec.session import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +92,15 @@ def test_recall_of_visits(spark, index, tmp_path):
     assert {(r.qid, r.id): r.dist for r in again.search(q, 10, 200, "eq", "visit").collect()} == got
 
 
+def test_what_queries_keep_has_no_neighbour_lists(spark, index, monkeypatch):
+    seen = []
+    monkeypatch.setattr(frontier, "written", lambda df: seen.append(df.columns) or written(df))
+    q = index.nodes.where("id % 100 = 0").selectExpr("id qid", "vec qvec", "label qlabel")
+    found, stats = frontier.search(index.paged, q, index.book, 10, 40, predicate("eq"))
+    assert found.count() == 50 and stats.where("n_rounds = 0 or n_met < 40").isEmpty()
+    assert len(seen) > 4 and not any("nbrs" in c for c in seen)
+
+
 def test_visits_open_few_cells(spark):
     rows = clustered(spark, 1500, 30)
     index = VectorIndex.build(rows, label="label", degree=8, pool=16, centers=16, shard_rows=80, copies=2)
