@@ -33,8 +33,10 @@ from sparkvec.session import final, scratch, table
 K, SKETCHES, PICKED, NEAR = 2, 32, 2, 0.8
 #: Documents of up to SHORT words have sketches of single words, those from LONG words on of K words; near ones share a kind.
 SHORT, LONG = 40, 32
-#: 64-bit words of parities of a document, rounds of heads, members of a bucket that one task pairs with the others.
+#: 64-bit words of parities of any document, rounds of heads, members of a bucket that one task pairs with the others.
 MARKS, STARS, PART = 8, 2, 1024
+#: Bits of a document's own parities: at least so many a word, but no more than that in all.
+OWN_BITS, MOST_BITS = 4, 1 << 20
 #: Pairs of one text that meet it in one task.
 SIDE_PAIRS = 256
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -156,30 +158,28 @@ def anchored(x: np.ndarray, y: np.ndarray, k: int = 3) -> int:
 
 
 def banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
-    """The edit distance if it is at most `band`, else something above."""
+    """The edit distance if it is at most `band`, else something above. A column of differences is two numbers of len(x) bits."""
     n, m = len(x), len(y)
     if abs(n - m) > band:
         return band + 1
-    wide = 2 * band + 1  # cell c of row i is column i + c - band
-    far = n + m + 1
-    steps = np.arange(wide)
-    padded = np.full(m + 2 * wide + n, -1, np.int64)
-    row = np.where(steps >= band, steps - band, far)
-    row[band + m + 1 :] = far
-    # words as small numbers, so that padding equals none
-    _, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
-    cx, padded[wide : wide + m] = codes[:n], codes[n:]
-    for i in range(1, n + 1):
-        at = i - band + wide - 1
-        step = row + (padded[at : at + wide] != cx[i - 1])
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        col = i + steps - band
-        step = np.where((col < 0) | (col > m), far, np.where(col == 0, i, step))
-        row = np.minimum(np.minimum.accumulate(step - steps) + steps, far)
-        row[(col < 0) | (col > m)] = far
-        if row.min() > band:
+    if not n:
+        return m
+    at: dict[int, int] = {}
+    for i, w in enumerate(x.tolist()):
+        at[w] = at.get(w, 0) | (1 << i)
+    full, last, cost = (1 << n) - 1, 1 << (n - 1), n
+    more, less = full, 0  # where a cell is one above, or one below, the cell before it in its column
+    for left, w in enumerate(y.tolist(), 1 - m):
+        same = at.get(w, 0)
+        down = same | less
+        along = (((same & more) + more) ^ more) | same
+        up, low = less | (full & ~(along | more)), more & along
+        cost += 1 if up & last else -1 if low & last else 0
+        if cost + left > band:  # what is left lowers it by one a word at most
             return band + 1
-    return int(row[m - n + band])
+        up, low = (up << 1) | 1, low << 1
+        more, less = full & (low | ~(down | up)), full & up & down
+    return cost
 
 
 def near(x: np.ndarray, y: np.ndarray, least: float = NEAR) -> bool:
@@ -203,46 +203,72 @@ def near(x: np.ndarray, y: np.ndarray, least: float = NEAR) -> bool:
         return False
     if anchored(x, y) <= most:
         return True
-    band = max(8, abs(len(x) - len(y)))
-    while band < most:
-        if banded(x, y, band) <= band:
-            return True
-        band *= 4
     return banded(x, y, most) <= most
 
 
-def marks(docs: list[np.ndarray]) -> np.ndarray:
-    """(documents, MARKS) words of parity bits: each word of a document flips the bit that its hash names."""
-    n, bits = np.array([len(d) for d in docs], np.int64), 64 * MARKS
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-    cell = np.repeat(np.arange(len(n)) * bits, n) + (flat & np.uint64(bits - 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=len(n) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(n), bits), axis=1).view(np.int64)
+def marks(docs: list[np.ndarray]) -> tuple[pa.ListArray, pa.ListArray]:
+    """Parities of each document's words: MARKS words of bits, and a larger power of two of them, by its length.
+
+    A word, labelled with how often it occurred before, flips the bit that its hash names. Low bits name it, so bits fold by halves.
+    """
+    h, per = kmers(docs, 1)
+    bits = np.full(len(per), 64 * MARKS)
+    while (small := (bits < OWN_BITS * per) & (bits < MOST_BITS)).any():
+        bits[small] *= 2
+    ends = np.cumsum(bits)
+    cell = np.repeat(ends - bits, per) + (h & np.repeat(bits - 1, per).astype(np.uint64)).astype(np.int64)
+    own = np.packbits((np.bincount(cell, minlength=bits.sum()) & 1).astype(np.uint8)).view(np.int64)
+    folded = np.bitwise_xor.reduceat(own.reshape(-1, MARKS), (ends - bits) // (64 * MARKS)) if len(per) else own
+    first = np.append(0, ends // 64)
+    return (
+        pa.ListArray.from_arrays(pa.array(np.arange(len(per) + 1) * MARKS, pa.int32()), pa.array(folded.ravel(), pa.int64())),
+        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(own, pa.int64())),
+    )
+
+
+def edits(least: float) -> Column:
+    """The largest edit distance of near documents a and b."""
+    return F.floor((1 - least) * F.greatest(F.col("a.n"), F.col("b.n")) + 1e-9)
+
+
+def flips(least: float) -> Column:
+    """The most bits that these edits flip: two each, but one where the length changes."""
+    return 2 * edits(least) - F.abs(F.col("a.n") - F.col("b.n"))
+
+
+def may(least: float) -> Column:
+    """Whether documents a and b can be near by lengths and marks. Loses none."""
+    apart = sum((F.bit_count(F.get("a.marks", F.lit(i)).bitwiseXOR(F.get("b.marks", F.lit(i)))) for i in range(MARKS)), F.lit(0))
+    return (F.abs(F.col("a.n") - F.col("b.n")) <= edits(least)) & (apart <= flips(least))
+
+
+def may_still(least: float) -> Column:
+    """As may, by the documents' own bits. Lengths that differ by less than half give as many bits, or twice as many, which fold."""
 
+    def fitted(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(other), folded).otherwise(x)
 
-def may(a: str, b: str, least: float) -> Column:
-    """Whether documents can be near by lengths and marks: an edit changes the length by one and two bits at most. Loses none."""
-    col = F.col
-    most = F.floor((1 - least) * F.greatest(col(f"{a}.n"), col(f"{b}.n")) + 1e-9)
-    apart = sum((F.bit_count(F.get(f"{a}.marks", F.lit(i)).bitwiseXOR(F.get(f"{b}.marks", F.lit(i)))) for i in range(MARKS)), F.lit(0))
-    return (F.abs(col(f"{a}.n") - col(f"{b}.n")) <= most) & (apart <= 2 * most)
+    a, b = F.col("a.bits"), F.col("b.bits")
+    apart = F.zip_with(fitted(a, b), fitted(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    fits = F.aggregate(apart, F.lit(0), lambda n, x: n + x) <= flips(least)
+    return F.coalesce(fits, F.lit(True))  # null: more than twice as many, at a lower threshold
 
 
 def sketched(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, a 128-bit digest of the text, the number of words, their marks, and the sketches' keys."""
+    """key, a 128-bit digest of the text, the number of words, their marks and bits, and the sketches' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", 2 << 20):
             whole = texts(b)
             docs = [word_hashes(t) for t in whole]
-            x = marks(docs)
-            x = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * MARKS, pa.int32()), pa.array(x.ravel(), pa.int64()))
             n = pa.array([len(d) for d in docs], pa.int64())
-            yield pa.record_batch([b.column(0), b.column(1), n, x, sketch_lists(docs)], ["key", "digest", "n", "marks", "sketches"])
+            yield pa.record_batch([b.column(0), b.column(1), n, *marks(docs), sketch_lists(docs)], ["key", "digest", "n", "marks", "bits", "sketches"])
         settled()
 
     src = df.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "key long, digest binary, n long, marks array<long>, sketches array<long>")
+    return src.mapInArrow(run, "key long, digest binary, n long, marks array<long>, bits array<long>, sketches array<long>")
 
 
 def digest(text: str) -> Column:
@@ -283,11 +309,12 @@ def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
 
 def linked(firsts: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """node, label: the components of all near pairs among candidates; firsts(digest, n, marks, sketches) has every text once.
+    """node, label: the components of all near pairs among candidates; firsts(digest, n, marks, bits, sketches) has every text once.
 
     Stars first: in each bucket the members are aligned with one of them, its head; then those that aren't in the head's class
     get a head of their own. That links large families with few pairs. After some rounds every pair of a bucket whose sides are
-    still in different classes, and which lengths and marks allow, is aligned, so no candidate pair is left out.
+    still in different classes, and which lengths, marks and bits allow, is aligned, so no candidate pair is left out. Of the buckets
+    that a pair shares, the one of the least key gives it.
     """
     keys = written(firsts.select(F.col("digest").alias("node"), F.explode("sketches").alias("sketch")))
     many = keys.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1").select("sketch")
@@ -317,7 +344,7 @@ def linked(firsts: DataFrame, held: DataFrame, least: float) -> DataFrame:
         order = F.col("node") if turn == 0 else F.xxhash64("node", "sketch", F.lit(turn))  # at first the same head in all buckets
         now = written(classed(active))
         heads = written(now.groupBy("sketch").agg(F.min(F.struct(order.alias("o"), "node", "n", "marks", "class")).alias("h"), F.count("*").alias("size")).where("size > 1").select("sketch", "h.*"))
-        stars = now.alias("a").join(heads.alias("b"), (F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.class") != F.col("b.class")) & may("a", "b", least))
+        stars = now.alias("a").join(heads.alias("b"), (F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.class") != F.col("b.class")) & may(least))
         pairs = fresh(stars)
         if turn == 0:  # most are linked by one partner each
             pairs = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -329,16 +356,18 @@ def linked(firsts: DataFrame, held: DataFrame, least: float) -> DataFrame:
         if active.isEmpty():
             break
 
-    every = written(classed(members))
+    every = written(classed(members.select("sketch", "node")))
     largest = every.groupBy("sketch", "class").agg(F.count("*").alias("size"))
     largest = largest.groupBy("sketch").agg(F.max(F.struct("size", "class")).alias("x"), F.sum("size").alias("all"))
     split = largest.where("x.size < all").select("sketch", F.col("x.class").alias("top"), F.ceil((F.col("all") - F.col("x.size")) / PART).cast("int").alias("salts"))
-    every = every.join(written(split), "sketch")  # members outside the bucket's largest class against all of other classes
+    # members outside the bucket's largest class against all of other classes
+    every = every.join(written(split), "sketch").join(firsts.select(F.col("digest").alias("node"), "n", "marks", "bits", "sketches"), "node")
     left = every.where("class <> top").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts").cast("long")).cast("int")).alias("a")
     right = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
     once = (F.col("b.class") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
     met = (F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.class") != F.col("b.class"))
-    pairs = fresh(left.join(right, met & once & may("a", "b", least)))
+    own = F.col("a.sketch") == F.array_min(F.array_intersect("a.sketches", "b.sketches"))
+    pairs = fresh(left.join(right, met & once & may(least) & own & may_still(least)))
     if labels is None or not pairs.isEmpty():
         align(pairs)
     return labels
@@ -348,7 +377,7 @@ def labelled(df: DataFrame, key: str, text: str, least: float) -> tuple[DataFram
     """key and digest of all rows; and digest, rep (the smallest id with that text) and label of every different text."""
     with scratch(df.sparkSession):
         every = final(sketched(df, key, text))
-        firsts = written(every.groupBy("digest").agg(F.min("key").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "marks", "sketches"))))
+        firsts = written(every.groupBy("digest").agg(F.min("key").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "marks", "bits", "sketches"))))
         held = df.select(digest(text).alias("digest"), F.col(text).alias("text"))
         labels = linked(firsts, held, least)
         reps = firsts.select("digest", "rep").join(labels, F.col("digest") == F.col("node"), "left")

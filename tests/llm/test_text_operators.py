@@ -303,6 +303,39 @@ def test_near_copies_behind_other_heads(spark):
     assert {r.doc_id: r.class_id for r in op06_order_minhash.classes(df).collect()} == want
 
 
+def test_unlike_texts_of_a_bucket_are_not_aligned(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(2000)}"
+    shared = [word() for _ in range(500)]  # a passage, so that they share sketches
+    rows = [(i, " ".join(shared + [word() for _ in range(400 + i)])) for i in range(30)]
+    w = shared + [word() for _ in range(400)]
+    rows += [(100 + i, " ".join(w[: 900 - 60 * i])) for i in range(4)]  # and a family whose lengths differ
+    met, verified = [], op06_order_minhash.verified
+    monkeypatch.setattr(op06_order_minhash, "verified", lambda pairs, held, least: met.append(pairs.count()) or verified(pairs, held, least))
+    found = {r.doc_id: r.class_id for r in op06_order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: min(i, 100) for i, _ in rows}
+    assert sum(met[op06_order_minhash.STARS :]) < 100, met  # of 435 pairs
+
+
+def test_marks_and_bits_bound_the_edits(spark):
+    rng = np.random.default_rng(4)
+    docs, words = [], rng.integers(0, 1 << 63, 501).astype(np.uint64)
+    for _ in range(60):
+        x = words[rng.integers(0, 400, rng.integers(1, 1500))]
+        y = x.copy()
+        for _ in range(int(rng.integers(0, 1 + len(x) // 5))):  # up to the threshold
+            at, kind = rng.integers(0, len(y) + 1), rng.random()
+            y = np.insert(y, at, words[500]) if kind < 0.3 else np.delete(y, min(at, len(y) - 1)) if kind < 0.6 and len(y) > 1 else y
+            y[min(at, len(y) - 1)] = words[rng.integers(0, 500)]
+        docs += [x, y]
+    m, b = op06_order_minhash.marks(docs)
+    rows = [(i // 2, len(d), x, y) for i, (d, x, y) in enumerate(zip(docs, m.to_pylist(), b.to_pylist(), strict=True))]
+    sides = [spark.createDataFrame(rows[i::2], "i long, n long, marks array<long>, bits array<long>").alias(s) for i, s in ((0, "a"), (1, "b"))]
+    pairs = sides[0].join(sides[1], "i").select("i", op06_order_minhash.may(0.8).alias("may"), op06_order_minhash.may_still(0.8).alias("still")).collect()
+    like = {i for i in range(60) if op06_order_minhash.near(docs[2 * i], docs[2 * i + 1])}
+    assert len(like) > 20 and like <= {r.i for r in pairs if r.may and r.still}
+
+
 def targets(sizes, share=1.5, cap=2):
     """By bisection, unlike the operator."""
     w = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
