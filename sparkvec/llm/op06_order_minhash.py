@@ -39,6 +39,8 @@ MARKS, STARS, PART = 8, 2, 1024
 OWN_BITS, MOST_BITS = 4, 1 << 20
 #: Pairs of one text that meet it in one task.
 SIDE_PAIRS = 256
+#: k-mers of a document that a sketch looks at first.
+FEW = 24
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,16 +88,23 @@ def sketches(docs: list[np.ndarray], k: int = K, m: int = SKETCHES, picked: int
     h, per = kmers(docs, k)
     if not len(per):
         return np.zeros((0, m), np.uint64)
-    starts = np.cumsum(per) - per
     out = np.zeros((len(per), m), np.uint64)
+    doc = np.repeat(np.arange(len(per)), per)
+    # what is picked is nearly always among the few that fall below such a bound
+    low = np.where(per > FEW, np.minimum(FEW / per, 0.9) * 2.0**64, 0).astype(np.uint64)
+    low = np.repeat(np.where(per > FEW, low, MOST), per)
     for i in range(m):
         v = mixed(h ^ mixed(np.uint64([i + 1])))
+        few = np.flatnonzero(v <= low)
+        count = np.bincount(doc[few], minlength=len(per))
+        if (count < np.minimum(picked, per)).any():
+            few, count = np.arange(len(v)), per
+        v, first = v[few], np.cumsum(count) - count
         at = np.full((picked, len(per)), np.iinfo(np.int64).max)
         for r in range(min(picked, int(per.max()))):
-            least = np.minimum.reduceat(v, starts)
-            hit = np.flatnonzero((v == np.repeat(least, per)) & (v < MOST))
-            of = np.searchsorted(starts, hit, "right") - 1
-            at[r, of[::-1]] = hit[::-1]
+            least = np.minimum.reduceat(v, first)
+            hit = np.flatnonzero((v == np.repeat(least, count)) & (v < MOST))
+            at[r, doc[few[hit[::-1]]]] = few[hit[::-1]]
             v[hit] = MOST
         key = np.full(len(per), i + 1, np.uint64)
         for row in np.sort(at, axis=0):
@@ -211,13 +220,21 @@ def marks(docs: list[np.ndarray]) -> tuple[pa.ListArray, pa.ListArray]:
 
     A word, labelled with how often it occurred before, flips the bit that its hash names. Low bits name it, so bits fold by halves.
     """
-    h, per = kmers(docs, 1)
+    per = np.array([len(d) for d in docs], np.int64)
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
+    part = np.uint64(40)  # bits of a word's hash, below the document's number, then below the occurrence
+    key = np.sort((flat >> (np.uint64(64) - part)) | (np.repeat(np.arange(len(per)), per).astype(np.uint64) << part))
+    place = np.arange(len(key))
+    seen = place - np.maximum.accumulate(np.where(np.append(False, key[1:] == key[:-1])[: len(key)], 0, place))
+    h = mixed((key & ((np.uint64(1) << part) - np.uint64(1))) | (seen.astype(np.uint64) << part))
     bits = np.full(len(per), 64 * MARKS)
     while (small := (bits < OWN_BITS * per) & (bits < MOST_BITS)).any():
         bits[small] *= 2
     ends = np.cumsum(bits)
     cell = np.repeat(ends - bits, per) + (h & np.repeat(bits - 1, per).astype(np.uint64)).astype(np.int64)
-    own = np.packbits((np.bincount(cell, minlength=bits.sum()) & 1).astype(np.uint8)).view(np.int64)
+    odd = np.zeros(bits.sum(), np.uint8)
+    np.add.at(odd, cell, np.uint8(1))
+    own = np.packbits(odd & 1).view(np.int64)
     folded = np.bitwise_xor.reduceat(own.reshape(-1, MARKS), (ends - bits) // (64 * MARKS)) if len(per) else own
     first = np.append(0, ends // 64)
     return (
@@ -361,11 +378,14 @@ def linked(firsts: DataFrame, held: DataFrame, least: float) -> DataFrame:
     largest = largest.groupBy("sketch").agg(F.max(F.struct("size", "class")).alias("x"), F.sum("size").alias("all"))
     split = largest.where("x.size < all").select("sketch", F.col("x.class").alias("top"), F.ceil((F.col("all") - F.col("x.size")) / PART).cast("int").alias("salts"))
     # members outside the bucket's largest class against all of other classes
-    every = every.join(written(split), "sketch").join(firsts.select(F.col("digest").alias("node"), "n", "marks", "bits", "sketches"), "node")
+    every = every.join(written(split), "sketch").join(facts, "node")
     left = every.where("class <> top").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts").cast("long")).cast("int")).alias("a")
     right = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
     once = (F.col("b.class") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
     met = (F.col("a.sketch") == F.col("b.sketch")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.class") != F.col("b.class"))
+    # at first, which have any partner by their marks: few, and only these get their bits and sketches
+    wide = firsts.select(F.col("digest").alias("node"), "bits", "sketches")
+    left, right = (written(x.join(y, met & once & may(least), "left_semi")).join(wide, "node").alias(s) for x, y, s in ((left, right, "a"), (right, left, "b")))
     own = F.col("a.sketch") == F.array_min(F.array_intersect("a.sketches", "b.sketches"))
     pairs = fresh(left.join(right, met & once & may(least) & own & may_still(least)))
     if labels is None or not pairs.isEmpty():
