@@ -16,6 +16,13 @@ def knn_graph(base: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
     return found.select(F.col("qid").alias("src"), (F.col("rk") - 1).alias("pos"), F.col("id").alias("dst"), "dist")
 
 
+def neighbors_of(ids: DataFrame, base: DataFrame, degree: int, metric: str = "l2") -> DataFrame:
+    """src, pos, dst, dist: the exact nearest others among all rows of base(id, vec), for the rows whose ids(id) are asked for."""
+    asked = base.join(bounded(ids.select("id").distinct(), 16), "id", "left_semi")
+    found = knn(base, written(asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))), degree, metric)
+    return found.select(F.col("qid").alias("src"), (F.col("rk") - 1).alias("pos"), F.col("id").alias("dst"), "dist")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """id and nbrs (array in order of pos)."""
     rows = F.array_sort(F.collect_list(F.struct("pos", "dst")))

@@ -2,7 +2,8 @@
 
 Queries whose counted size is small go to all tasks; more of them are cut into blocks that meet salted parts of the base, so
 neither side is ever whole in one task. Either way a kernel takes one block of queries at a time, computes a block of distances and
-hands on each query's k best matching rows, and a window merges them. Distances add up element by element in double precision, as `functions.vector` does.
+hands on each query's k best matching rows, and a window merges them. Distances add up element by element in double precision, as `functions.vector` does;
+of many rows, a matrix product with a bound on its rounding rules out those that are not among the k best, and only the others' are added up so.
 Rows with a null id, a null vector or another length than the queries' take no part.
 """
 
@@ -19,6 +20,8 @@ from sparkvec.functions.predicates import Always, Predicate
 
 #: Bytes of queries that are broadcast, queries that a kernel takes at once, rows of a base part beyond that, elements of a distance block.
 BROADCAST, QUERY_BLOCK, PART_ROWS, BLOCK = 64 << 20, 1024, 1 << 16, 1 << 20
+#: Blocks of queries that meet a part together, so that parts are not sent once for each; rows from which on products rule out; pairs that are settled at once.
+BLOCKS_TOGETHER, PRODUCT_ROWS, SETTLED = 16, 1024, 1 << 14
 FOUND = "qid long, id long, dist double"
 
 
@@ -85,18 +88,63 @@ def alike(allowed: np.ndarray | None, queries: int, rows: int) -> Iterator[tuple
             yield group, at
 
 
-def found_in(base: pa.RecordBatch, queries: pa.Table, k: int, where: Predicate, with_self: bool, distances: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
-    """Each query's k nearest rows that satisfy the predicate; distances(query numbers, row numbers) is asked for these rows only."""
+class Products:
+    """Distances by one matrix product, with a bound on how far they are from those that are added up in order."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, metric: str):
+        self.q, self.x, self.metric = q, x, metric
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.q_sq, self.x_sq = (q * q).sum(1), (x * x).sum(1)
+
+    def bound(self, some: np.ndarray, rows: np.ndarray) -> np.ndarray | None:
+        """For each query; none where products may not be finite."""
+        # a sum of n products is off by n roundings of its absolute terms at most, in any order; this is four times what all sums here need
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = self.q_sq[some] + self.x_sq[rows].max(initial=0) + (self.metric != "l2")
+            ok = np.isfinite(4 * size).all() and np.isfinite(self.x_sq[rows]).all()
+        return 8 * (self.q.shape[1] + 2) * np.finfo(float).eps * size + 1e-300 if ok else None
+
+    def distances(self, some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        products = self.q[some] @ self.x[rows].T
+        if self.metric != "l2":
+            return np.subtract(1.0, products, out=products)
+        products *= -2
+        products += self.q_sq[some, None]
+        products += self.x_sq[rows]
+        return products
+
+    def nearest(self, some: np.ndarray, rows: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `nearest` by the distances of BLOCKS, and these: they are computed where the bound leaves a row among the k nearest."""
+        rough = self.distances(some, rows)
+        if allowed is not None:
+            np.copyto(rough, np.inf, where=~allowed)
+        most = np.partition(rough, k - 1, 1)[:, k - 1] + 2 * bound if rough.shape[1] > k else np.full(len(rough), np.inf)
+        at, col = np.nonzero(rough <= np.minimum(most, np.finfo(float).max)[:, None])
+        dist = np.concatenate([np.zeros(0), *(pair_distances(self.metric, self.q[some[at[n : n + SETTLED]]], self.x[rows[col[n : n + SETTLED]]]) for n in range(0, len(at), SETTLED))])
+        order = np.lexsort((ids[col], dist, at))
+        at, col, dist = at[order], col[order], dist[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[best], col[best], dist[best]
+
+
+def found_in(base: pa.RecordBatch, queries: pa.Table, k: int, where: Predicate, with_self: bool, distances: Callable[[np.ndarray, np.ndarray], np.ndarray], products: Products | None = None) -> pa.RecordBatch:
+    """Each query's k nearest rows that satisfy the predicate; distances(query numbers, row numbers) is asked for these rows only,
+    and for few of them where products can be asked before."""
     ids, qids = base.column(base.schema.get_field_index("id")).to_numpy(), queries["qid"].to_numpy()
     out = []
     step = max(1, BLOCK // max(1, len(ids)))
     for at in range(0, len(qids), step):
         allowed = where.mask(base, queries.slice(at, step))
         for group, rows in alike(allowed, min(step, len(qids) - at), len(ids)):
-            dist = distances(group + at, rows)
             other = None if with_self else qids[group + at, None] != ids[rows][None]
-            r, c = nearest(dist, ids[rows], other, k)
-            out.append((qids[group + at][r], ids[rows][c], dist[r, c]))
+            bound = products.bound(group + at, rows) if products is not None and len(rows) >= PRODUCT_ROWS else None
+            if bound is None:
+                dist = distances(group + at, rows)
+                r, c = nearest(dist, ids[rows], other, k)
+                d = dist[r, c]
+            else:
+                r, c, d = products.nearest(group + at, rows, ids[rows], other, k, bound)
+            out.append((qids[group + at][r], ids[rows][c], d))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["qid", "id", "dist"])
 
@@ -104,7 +152,7 @@ def found_in(base: pa.RecordBatch, queries: pa.Table, k: int, where: Predicate,
 def block_knn(base: pa.RecordBatch, queries: pa.Table, k: int, metric: str, where: Predicate, with_self: bool) -> pa.RecordBatch:
     """The kernel: base has id and vec, queries have qid and qvec, both with the predicate's columns."""
     q, x = matrix(queries["qvec"]), matrix(base.column(base.schema.get_field_index("vec")))
-    return found_in(base, queries, k, where, with_self, lambda some, rows: BLOCKS[metric](q[some], x[rows]))
+    return found_in(base, queries, k, where, with_self, lambda some, rows: BLOCKS[metric](q[some], x[rows]), Products(q, x, metric))
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -119,8 +167,8 @@ Kernel = Callable[[pa.RecordBatch, pa.Table], pa.RecordBatch]
 def met(base: DataFrame, queries: DataFrame, row_bytes: int, kernel: Kernel) -> DataFrame:
     """What the kernel finds (qid, id, dist) for every batch of base(id, ...) and every query(qid, ...).
 
-    Queries of a counted size below BROADCAST go to all tasks; more are cut into blocks that meet salted parts of the base. What a worker
-    holds besides the broadcast is of one block of queries, however many there are.
+    Queries of a counted size below BROADCAST go to all tasks; more are cut into some blocks at a time that meet salted parts of the base. What
+    a worker computes at once is of one block of queries, however many there are.
     """
     n = queries.count()
     if n * row_bytes <= BROADCAST:
@@ -132,7 +180,7 @@ def met(base: DataFrame, queries: DataFrame, row_bytes: int, kernel: Kernel) ->
                     yield kernel(b, held.value.slice(at, QUERY_BLOCK))
 
         return base.mapInArrow(run, FOUND)
-    blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-base.count() // PART_ROWS))
+    blocks, parts = -(-n // (BLOCKS_TOGETHER * QUERY_BLOCK)), max(1, -(-base.count() // PART_ROWS))
     name = uuid.uuid4().hex
 
     def dealt(key: str, count: int) -> F.Column:
@@ -143,7 +191,7 @@ def met(base: DataFrame, queries: DataFrame, row_bytes: int, kernel: Kernel) ->
 
     def solve(b: pa.Table, q: pa.Table) -> pa.Table:
         rows = b.combine_chunks().to_batches()
-        return pa.Table.from_batches([kernel(x, q) for x in rows if q.num_rows], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())]))
+        return pa.Table.from_batches([kernel(x, q.slice(at, QUERY_BLOCK)) for x in rows for at in range(0, q.num_rows, QUERY_BLOCK)], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())]))
 
     return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(solve, FOUND)
 

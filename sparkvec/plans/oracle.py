@@ -125,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "reverse_edges": f"WITH {BG} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g)",
         "bfs_hops": f"WITH RECURSIVE {BG}, {MEAN}, s AS (SELECT id FROM b, mv ORDER BY {l2('v', 'mean')}, id LIMIT 1), h1 AS (SELECT DISTINCT dst AS id, 1 AS hop FROM g JOIN s ON src = id), h2 AS (SELECT DISTINCT dst AS id, 2 AS hop FROM g JOIN h1 ON src = id), h3 AS (SELECT DISTINCT dst AS id, 3 AS hop FROM g JOIN h2 ON src = id) SELECT id, min(hop)::BIGINT AS hop FROM (SELECT id, 0 AS hop FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY id",
         "merge_shards": f"WITH {B}, {NEAR3}, sh AS (SELECT id, center AS shard, {PARTS} AS part FROM n WHERE rk <= 2), e AS (SELECT x.shard, x.id AS src, y.id AS dst, {l2('p.v', 'r.v')} AS dist FROM sh x JOIN sh y ON x.shard = y.shard AND x.part = y.part AND x.id <> y.id JOIN b p ON p.id = x.id JOIN b r ON r.id = y.id), k AS (SELECT *, row_number() OVER (PARTITION BY shard, src ORDER BY dist, dst) AS rn FROM e), u AS (SELECT DISTINCT src, dst, dist FROM k WHERE rn <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS pos FROM u) SELECT src, pos, dst FROM o WHERE pos < 8",
-        "tunnel_expand": f"WITH {BQ}, {GRAPH}, {pairs()}, pool AS ({top('d', 20, '*')}), x AS (SELECT DISTINCT pool.qid, g.dst AS id FROM pool JOIN g ON g.src = pool.id WHERE label <> ql AND pos < 4) SELECT x.qid, x.id FROM x WHERE x.qid <> x.id AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.qid = x.qid AND p.id = x.id)",
+        "tunnel_expand": f"WITH {BQ}, {pairs()}, pool AS ({top('d', 20, '*')}), s AS (SELECT DISTINCT id FROM pool WHERE label <> ql), g AS (SELECT src, dst FROM (SELECT p.id AS src, r.id AS dst, row_number() OVER (PARTITION BY p.id ORDER BY {l2('p.v', 'r.v')}, r.id) AS rk FROM s JOIN b p ON p.id = s.id JOIN b r ON r.id <> p.id) WHERE rk <= 4), x AS (SELECT DISTINCT pool.qid, g.dst AS id FROM pool JOIN g ON g.src = pool.id WHERE label <> ql) SELECT x.qid, x.id FROM x WHERE x.qid <> x.id AND NOT EXISTS (SELECT 1 FROM pool p WHERE p.qid = x.qid AND p.id = x.id)",
         "live_nodes": f"WITH {B} SELECT id FROM b WHERE id % 10 <> 3",
         "delete_repair": f"WITH {BG}, l AS (SELECT src, dst FROM g WHERE src % 10 <> 3) SELECT DISTINCT src, dst FROM (SELECT src, dst FROM l WHERE dst % 10 <> 3 UNION ALL SELECT l.src, g.dst FROM l JOIN g ON g.src = l.dst WHERE l.dst % 10 = 3 AND g.dst % 10 <> 3 AND g.dst <> l.src)",
         "id_compaction": f"WITH {B} SELECT id AS old_id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM b WHERE id % 10 <> 3",

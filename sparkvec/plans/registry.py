@@ -388,11 +388,12 @@ def merge_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tunnel_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours are the nearest among all rows; only those that tunnels go through are sought."""
     b, q = both(spark, sf)
     pool = written(knn.knn(b, q, 20))
     passed = pools.filtered_pool(pool, b, q, predicate("eq"))
-    failed = pool.select("qid", "id").join(passed, ["qid", "id"], "left_anti")
-    return graph.tunnel(failed, graph.neighbor_store(graph_of(b), 4), pool)
+    failed = written(pool.select("qid", "id").join(passed, ["qid", "id"], "left_anti"))
+    return graph.tunnel(failed, graph.neighbors_of(failed, b, 4), pool)
 
 
 @query

@@ -81,6 +81,25 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     assert knn.knn(b, q, 5).orderBy("qid", "rk").collect() == whole
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("scale, far", [(1.0, 0.0), (1e-6, 1e3), (1e-170, 0.0), (1e160, 0.0)])
+def test_products_rule_out_and_change_no_bit(monkeypatch, metric, scale, far):
+    """With many equal vectors and near ties, with components that are tiny against their sum, whose squares vanish or overflow."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(1).integers(-2, 3, (1500, 6)) * scale + far
+    x[:400], x[401, 0] = x[400], np.nan
+    vec = pa.array(x.tolist(), pa.list_(pa.float64()))
+    base = pa.record_batch([pa.array(range(1500)), vec], ["id", "vec"])
+    ask = pa.table([pa.array(range(350, 450)), vec.slice(350, 100)], ["qid", "qvec"])
+    for rows in (base, base.filter(pa.array(~np.isnan(x[:, 0])))):
+        with np.errstate(all="ignore"):
+            got = knn.block_knn(rows, ask, 7, metric, predicate("none"), False)
+            monkeypatch.setattr(knn, "PRODUCT_ROWS", 1 << 40)
+            assert got.equals(knn.block_knn(rows, ask, 7, metric, predicate("none"), False))
+            monkeypatch.undo()
+
+
 def test_kernels_take_one_block_of_broadcast_queries(spark, monkeypatch):
     import pyarrow as pa
 
@@ -261,6 +280,22 @@ def test_positions_of_ties_and_bins(spark, monkeypatch):
     assert [tuple(r) for r in workload.bin_statistics(some, "x", 2).orderBy("bin").collect()] == [(0, 5, 0.0, 4.0), (1, 5, 5.0, 9.0)]
 
 
+def test_tunnels_lead_to_the_nearest_of_all_rows(spark, tmp_path):
+    """More rows than a shard part has; a pool member's neighbours are the nearest wherever they are."""
+    from sparkvec.plans import registry
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4500, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.qid, r.id) for r in registry.queries()["tunnel_expand"](spark, str(tmp_path)).collect()}
+    x = x.astype(float)
+    near = np.concatenate([np.argpartition(np.where(np.arange(4500) == np.arange(a, a + 500)[:, None], np.inf, knn.ip_block(x[a : a + 500], x) * 2 + (x * x).sum(1)), 20, 1)[:, :21] for a in range(0, 4500, 500)])
+    order = [[int(i) for i in sorted(n, key=lambda j, s=s: ((x[s] - x[j]) ** 2).sum()) if i != s] for s, n in enumerate(near)]
+    pool = {q: order[q][:20] for q in range(0, 4500, 20)}
+    want = {(q, i) for q, p in pool.items() for j in p if j % 10 != q % 10 for i in order[j][:4] if i != q and i not in p}
+    assert got == want
+
+
 def test_walk_needs_tunnels():
     near, nbrs = np.array([3.0, 2.0, 1.0]).__getitem__, [np.array([1]), np.array([2]), np.array([1])]
     passes = np.array([True, False, True])
