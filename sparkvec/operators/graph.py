@@ -143,6 +143,26 @@ def pruned(dist: np.ndarray, mutual: np.ndarray, degree: int, alpha: float = 1.2
     return np.flatnonzero(stays).tolist()
 
 
+def pruned_lists(dist: np.ndarray, mutual: np.ndarray, degree: int, alpha: float = 1.2, metric: str = "l2", fill: bool = False) -> np.ndarray:
+    """A mask of what `pruned` lets stay, for many lists at once: dist (lists, candidates) is infinite where there is no candidate."""
+    lists, n = dist.shape
+    real = np.isfinite(dist)
+    behind = np.arange(n) > np.arange(n)[:, None]
+    hides = np.where(behind, occlusion(metric, np.where(real, dist, 0.0)[:, None], mutual), 0.0)
+    shade, stays, count = np.zeros((lists, n)), np.zeros((lists, n), bool), np.zeros(lists, np.int64)
+    for slack in (1.2**k for k in range(1 + int(np.log(alpha + 1e-6) / np.log(1.2)) if alpha + 1e-6 >= 1 else 0)):
+        for i in range(n):
+            lit = real[:, i] & ~stays[:, i] & (shade[:, i] <= slack) & (count < degree)
+            if lit.any():
+                stays[:, i] |= lit
+                count += lit
+                np.maximum(shade, hides[:, i], out=shade, where=lit[:, None])
+    if fill and alpha > 1:
+        free = real & ~stays
+        stays |= free & (free.cumsum(1) <= (degree - count)[:, None])
+    return stays
+
+
 def robust_prune(candidates: DataFrame, base: DataFrame, degree: int, alpha: float = 1.2, metric: str = "l2", most: int = 750, fill: bool = False) -> DataFrame:
     """src, pos, dst, dist of what stays of edges(src, dst, dist); of each node's candidates the `most` nearest are looked at."""
 

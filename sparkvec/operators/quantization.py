@@ -61,13 +61,13 @@ class Codebook(NamedTuple):
         return np.stack([nearest_center(x[:, at : at + n], c) for (at, n), c in zip(self.bounds, self.centers, strict=True)], 1)
 
     def scorer(self, q: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        tables = query_tables(q, self, metric)
+        tables = [np.ascontiguousarray(t.T) for t in query_tables(q, self, metric)]
 
         def distances(some: np.ndarray, codes: np.ndarray) -> np.ndarray:
-            dist = np.zeros((len(some), len(codes)))
+            dist = np.zeros((len(codes), len(some)))
             for c, t in enumerate(tables):
-                dist += t[some][:, codes[:, c]]
-            return dist
+                dist += t[:, some][codes[:, c]]  # whole rows are taken
+            return np.ascontiguousarray(dist.T)
 
         return distances
 

@@ -323,6 +323,73 @@ def test_walks_of_a_block_go_together(most, k, relaxed):
     assert len(asked) <= 1 + max(len(w.fetched) + w.skipped for w in got)
 
 
+@pytest.mark.parametrize("passing", [False, True])
+def test_rounds_of_one_member_are_walks(passing):
+    rng = np.random.default_rng(11)
+    x, q = rng.integers(-2, 3, (300, 6)).astype(float), rng.normal(size=(30, 6))
+    nbrs = [rng.choice(300, rng.integers(0, 9), replace=False) for _ in x]
+    near = knn.l2_block(q, x).astype(np.float32).astype(float)
+    passes = rng.random((30, 300)) < 0.3 if passing else None
+    want = [graph_index.walk([5, 60], lambda at, i=i: near[i, at], nbrs, 15, None if passes is None else passes[i], 3) for i in range(30)]
+    followed, met = graph_index.rounds(near, [5, 60], graph_index.padded(nbrs), 15, 1, passes, 3)
+    assert met.sum(1).tolist() == [w.compared for w in want] and followed.sum(1).tolist() == [len(w.fetched) + w.skipped for w in want]
+    fetched = followed if passes is None else followed & passes
+    assert [np.flatnonzero(f).tolist() for f in fetched] == [sorted(w.fetched) for w in want]
+    wide, _ = graph_index.rounds(near, [5, 60], graph_index.padded(nbrs), 15, 4, passes, 3)
+    assert wide.sum() < 1.3 * followed.sum()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_lists_that_are_pruned_together(metric):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 3))
+    x[5:9] = x[4]
+    lists = [rng.choice(40, rng.integers(1, 20), replace=False) for _ in range(25)]
+    for fill in (False, True):
+        dist, mutual = np.full((25, 20), np.inf), np.zeros((25, 20, 20))
+        want = []
+        for i, some in enumerate(lists):
+            d, m = knn.BLOCKS[metric](x[i : i + 1], x[some])[0], knn.BLOCKS[metric](x[some], x[some])
+            order = np.argsort(d, kind="stable")
+            dist[i, : len(some)], mutual[i, : len(some), : len(some)] = d[order], m[order][:, order]
+            want.append(graph.pruned(d[order], m[order][:, order], 6, 1.2, metric, fill))
+        got = graph.pruned_lists(dist, mutual, 6, 1.2, metric, fill)
+        assert [np.flatnonzero(g).tolist() for g in got] == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_building_in_batches(monkeypatch, metric):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(20, 8))[np.arange(900) % 20] * 6 + rng.normal(size=(900, 8))
+    x = x / np.linalg.norm(x, axis=1)[:, None] if metric == "cosine" else x
+    calls = []
+    cut = graph_index.Growing.cut
+    monkeypatch.setattr(graph_index.Growing, "cut", lambda self, rows, some: calls.append(len(rows)) or cut(self, rows, some))
+    entry, nbrs = graph_index.build(x, metric, 12, 24, 1.2)
+    assert len(calls) < 60  # not one for each row
+    assert max(map(len, nbrs)) <= 12 and all(i not in n for i, n in enumerate(nbrs))
+    for i, n in enumerate(nbrs):
+        d = knn.pair_distances(metric, np.repeat(x[i : i + 1], len(n), 0), x[n])
+        assert (np.diff(d) > -1e-9).all()
+    q = x[::9] + rng.normal(size=(100, 8)) * 0.1
+    true = knn.BLOCKS[metric](q, x).argsort(1)[:, :5]
+    followed, _ = graph_index.rounds(knn.BLOCKS[metric](q, x), [entry], graph_index.padded(nbrs), 40, 1)
+    assert np.take_along_axis(followed, true, 1).mean() > 0.95
+    for n in (0, 1, 2, 3):
+        e, few = graph_index.build(x[:n], metric, 12, 24, 1.2)
+        assert [sorted(v.tolist()) for v in few] == [[j for j in range(n) if j != i] for i in range(n)]
+
+
+def test_queries_that_meet_parts_find_what_broadcast_ones_find(index, monkeypatch):
+    rows = index.graph.join(index.nodes, "id")
+    q = index.nodes.where("id % 20 = 0").selectExpr("id qid", "vec qvec", "label qlabel")
+    search = lambda: [sorted(map(tuple, df.collect())) for df in graph_index.search(rows, q, index.centers, 10, 60, predicate("eq"), index.book, probes=2)]
+    whole = search()
+    assert whole[0] and len(whole[1]) == q.count()
+    monkeypatch.setattr(graph_index, "BROADCAST", 0)
+    assert search() == whole
+
+
 def test_pool_counts(spark):
     b, q = square(spark), ask(spark)
     got = pools.io_counts(knn.knn(b, q, 3), b, q, predicate("eq")).first()
