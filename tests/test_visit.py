@@ -101,6 +101,23 @@ def test_what_queries_keep_has_no_neighbour_lists(spark, index, monkeypatch):
     assert len(seen) > 4 and not any("nbrs" in c for c in seen)
 
 
+def test_a_round_writes_one_row_a_query(spark, index, monkeypatch):
+    made = []
+    monkeypatch.setattr(frontier, "written", lambda df: made.append(written(df)) or made[-1])
+    monkeypatch.setattr(frontier, "TOGETHER", 2)
+    q = index.nodes.where("id % 25 = 0").selectExpr("id qid", "vec qvec", "label qlabel")
+    found, stats = frontier.search(index.paged, q, index.book, 10, 40, predicate("eq"))
+    rounds = stats.first().n_rounds
+    assert len(made) == rounds + 2 and made[-1].count() == 20  # the queries, the seeds' round and the others
+    last = {r.qid: r for r in made[-1].collect()}
+    assert {(r.qid, r.n_met) for r in stats.collect()} == {(i, len(set(r.met))) for i, r in last.items()}
+    assert all(r.met == sorted(r.met) and r.dist == sorted(r.dist) and not any(r.turn) and all(r.done[:40]) for r in last.values())
+    codes = {r.id: r for r in index.nodes.collect()}
+    r = last[25]
+    want = [index.book.rowwise(np.array([codes[25].vec], float), np.array([codes[i].codes]), "l2")[0] for i in r.ids]
+    assert np.allclose(want, r.dist) and r.passes == [codes[i].label == codes[25].label for i in r.ids]
+
+
 def test_visits_open_few_cells(spark):
     rows = clustered(spark, 1500, 30)
     index = VectorIndex.build(rows, label="label", degree=8, pool=16, centers=16, shard_rows=80, copies=2)
