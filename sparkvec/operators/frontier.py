@@ -173,19 +173,21 @@ def search(paged: Paged, queries: DataFrame, book: Coder, k: int, pool: int, whe
     start = start.join(paged.sample.select(*told), "id").select("qid", F.array(F.struct(*told)).alias("nbrs"))
     empty = [F.array().cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in STATE.split(", ")]
     state = round_of(queries.select(group, *columns, *empty), start)
-    rounds = 0
+    going = F.exists("turn", lambda t: t)
+    ended, rounds = state.where(~going), 0
     while at := {r.cell: r["count"] for r in members(state, "turn").groupBy("cell").count().collect()}:  # no more than there are cells
         rounds += 1
         turns = members(state, "turn")
         turns = F.broadcast(turns) if sum(at.values()) * 48 <= BROADCAST_BYTES else turns
         rows = paged.cells(spark, "narrow", sorted(at)).select("id", F.transform("nbrs", lambda x: F.struct(*(x[c].alias(c) for c in told))).alias("nbrs"))
         ahead = F.when(F.col("passes"), F.col("nbrs")).otherwise(F.slice("nbrs", 1, store))
-        state = round_of(state, rows.join(turns, "id").select("qid", ahead.alias("nbrs")))
-    fetched = members(state, "near")
+        state = round_of(state.where(going), rows.join(turns, "id").select("qid", ahead.alias("nbrs")))
+        ended = ended.unionByName(state.where(~going))  # goes no further and is not written again
+    fetched = members(ended, "near")
     fetched = fetched if with_self else fetched.where("qid <> id")
     asked = bounded(queries.select("qid", "qvec"), 16 * book.dim + 256)
     wide = fetched.select("qid", "cell", "id").join(paged.read(spark, "wide", fetched).select("id", "vec"), "id").join(asked, "qid")
     result = ranked(wide.select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("dist")), k)
     n_fetch = fetched.groupBy("qid").agg(F.count("*").alias("n_fetch"))
-    stats = state.where("size(met) > 0").select("qid", F.size("met").cast("long").alias("n_met")).join(n_fetch, "qid", "left")
+    stats = ended.where("size(met) > 0").select("qid", F.size("met").cast("long").alias("n_met")).join(n_fetch, "qid", "left")
     return result, stats.select("qid", F.coalesce("n_fetch", F.lit(0)).alias("n_fetch"), "n_met", F.lit(rounds).alias("n_rounds"))
